@@ -50,12 +50,11 @@ def named(label: str | None) -> set[str]:
 
 
 _DIGITS = re.compile(r"\d+")
-_SPACE = re.compile(r"\s+")
 
 
 def canonical(sentence: str) -> str:
     """A sentence as the kernel sees it: lower case, numbers as 0, single spaces."""
-    return _SPACE.sub(" ", _DIGITS.sub("0", sentence.lower())).strip()
+    return _DIGITS.sub("0", " ".join(sentence.lower().split()))
 
 
 #: How the consonants and vowels of the Indic scripts, as Unicode names them, are written in Latin letters.
@@ -104,23 +103,25 @@ def romanised(s: str, final: bool = False) -> str:
 
 
 def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The presence matrix of texts in sparse form: row numbers and n-gram bins, each pair once, sorted by row."""
+    """The presence matrix of at most 2^14 texts in sparse form: row numbers and n-gram bins, each pair once, sorted by row."""
     joined = "\x00".join(texts) + "\x00"
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     ends = codes == 0
-    row = np.cumsum(ends) - ends
+    row = (np.cumsum(ends, dtype=np.uint32) - ends).astype(np.uint32) << np.uint32(BITS)
     keys = []
-    h = np.zeros(len(codes), dtype=np.uint64)
+    h = np.zeros(len(codes), dtype=np.uint32)
     good = np.ones(len(codes), dtype=bool)
     for n in range(1, P + 1):
-        shifted = np.zeros(len(codes), dtype=np.uint64)
+        shifted = np.zeros(len(codes), dtype=np.uint32)
         shifted[: len(codes) - n + 1] = codes[n - 1 :]
-        h = (h * np.uint64(1_000_003) + shifted) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ shifted) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
         good &= shifted != 0
-        bins = (h >> np.uint64(64 - BITS))[good]
-        keys.append((row[good].astype(np.uint64) << np.uint64(BITS)) | bins)
-    key = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
-    return (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        keys.append((row | (h >> np.uint32(32 - BITS)))[good])
+    key = np.concatenate(keys)
+    key.sort()
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    return (key >> np.uint32(BITS)).astype(np.int64), (key & np.uint32((1 << BITS) - 1)).astype(np.int64)
 
 
 def fit(texts: list[str], labels: list[str], rounds: int = 3, seed: int = 7) -> np.ndarray:
@@ -194,7 +195,10 @@ def confidence(scores: np.ndarray) -> np.ndarray:
 def fitted(documents: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> np.ndarray:
     """Weights from at most FIT_DOCUMENTS labelled documents, taken by a hash of their key; sentences are sampled within."""
     known = F.lower(F.regexp_extract(F.trim(label), r"^([^\W_]+)", 1)).isin(list(_OF))
-    picked = documents.where(known & F.col(text).isNotNull()).select(key, text, label).orderBy(F.xxhash64(key), key).limit(FIT_DOCUMENTS).toPandas()
+    # Thinned by a hash first, so that no more than about twice the bound is gathered from all tasks together.
+    every = max(1, documents.count() // (2 * FIT_DOCUMENTS))
+    thin = documents.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0)
+    picked = thin.where(known & F.col(text).isNotNull()).select(key, text, label).orderBy(F.xxhash64(key), key).limit(FIT_DOCUMENTS).toPandas()
     votes: dict[str, Counter] = {}
     for t, lab in zip(picked[text], picked[label]):
         langs = named(lab)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 #: Words before whose full stop no sentence ends.
 ABBREVIATIONS = ("rs", "no", "mr", "mrs", "ms", "dr", "smt", "sri", "shri", "st", "vs", "nos", "viz", "etc", "approx", "ref", "govt", "ltd", "pvt")
@@ -32,6 +33,6 @@ def sentences(text: str | None, words: int = 3) -> list[tuple[int, int]]:
             a = cut
         while a < b and text[a].isspace():
             a += 1
-        if len(_LETTERS.findall(text, a, b)) >= words:
+        if sum(1 for _ in islice(_LETTERS.finditer(text, a, b), words)) == words:
             out.append((a, b))
     return out
