@@ -189,7 +189,8 @@ def alike(a: str, b: str) -> bool:
     return distance(x, y) <= max(1, min(len(x), len(y)) // 4)
 
 
-def _agree(a: list[str], b: list[str]) -> int:
+@lru_cache(maxsize=300_000)
+def _agree(a: tuple[str, ...], b: tuple[str, ...]) -> int:
     """1: some name in common; -1: both have names but none in common; 0: one has none."""
     if not a or not b:
         return 0
@@ -261,47 +262,55 @@ def same_spellings(places: DataFrame, key: str = "sid") -> DataFrame:
         base = base.withColumn("towns", F.when((F.size("towns") == 0) & known.isNotNull(), F.array(known)).otherwise(F.col("towns")))
     # A leading component by its frame: first letters and length class survive most slips.
     skeleton = lambda c: F.regexp_replace(F.regexp_replace(c, "[aeiou ]", ""), r"(.)\1+", "$1")
-    passes = F.array_compact(
+    leads = F.array_compact(
         F.array(
-            F.when(F.col("pin") != "", F.concat(F.lit("p"), F.col("pin"))),
-            F.when(F.size("towns") > 0, F.concat(F.lit("t"), skeleton(F.array_sort("towns")[0]))),
-            F.when(F.size("roads") > 0, F.concat(F.lit("r"), skeleton(F.array_sort("roads")[0]))),
-            F.when(F.size("areas") > 0, F.concat(F.lit("a"), skeleton(F.array_sort("areas")[0]))),
+            F.when(F.col("pin") != "", F.concat(F.lit("1"), F.col("pin"))),
+            F.when(F.size("towns") > 0, F.concat(F.lit("2"), skeleton(F.array_sort("towns")[0]))),
+            F.when(F.size("roads") > 0, F.concat(F.lit("3"), skeleton(F.array_sort("roads")[0]))),
+            F.when(F.size("areas") > 0, F.concat(F.lit("4"), skeleton(F.array_sort("areas")[0]))),
         )
     )
-    rec = F.struct(key, "house", "flat", "pin", "roads", "areas", "towns")
-    keyed = base.select(F.col("house"), F.col("flat"), F.explode(passes).alias("lead"), rec.alias("r"))
-    # Ties: an equi-join on house, flat and leading component.
-    left = keyed.select("house", "flat", "lead", F.col("r").alias("x"))
-    right = keyed.select("house", "flat", "lead", F.col("r").alias("y"))
-    tied = left.join(right, ["house", "flat", "lead"]).where(F.col(f"x.{key}") < F.col(f"y.{key}")).select("x", "y")
-
-    # Neighbours: sorted by house, flat and leading component, each against the next few.
-    def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail: list[tuple] = []
+    parts = ["pin", "roads", "areas", "towns"]
+    flat = base.select(key, "house", "flat", "pin", *[F.array_join(c, "|").alias(c) for c in parts[1:]], leads.alias("leads"))
+    keyed = flat.select("*", F.explode("leads").alias("lead"))
+    # Ties: an equi-join on house, flat and leading component. A pair that ties in several passes is compared in the first.
+    left = keyed.select("house", "flat", "lead", F.col(key).alias("a"), F.col("leads").alias("xl"), *[F.col(c).alias(f"x{c}") for c in parts])
+    right = keyed.select("house", "flat", "lead", F.col(key).alias("b"), F.col("leads").alias("yl"), *[F.col(c).alias(f"y{c}") for c in parts])
+    tied = left.join(right, ["house", "flat", "lead"]).where((F.col("a") < F.col("b")) & (F.array_min(F.array_intersect("xl", "yl")) == F.col("lead"))).drop("lead", "xl", "yl")
+    pair = [f"{s}{c}" for s in "xy" for c in parts]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for h, f, lead, r in zip(pdf["house"], pdf["flat"], pdf["lead"], pdf["r"]):
-                t = (r["house"], r["flat"], r["pin"], list(r["roads"]), list(r["areas"]), list(r["towns"]))
-                for g, hh, ff, o, k in tail:
-                    if hh == h and ff == f and g[0] == lead[0] and g != lead and same_place(o, t):
-                        out.append((min(k, r[key]), max(k, r[key])))
-                tail = [*tail[-WINDOW + 1 :], (lead, h, f, t, r[key])]
+            for a, b, h, f, p, r, l, t, q, s, m, u in zip(pdf["a"], pdf["b"], pdf["house"], pdf["flat"], *(pdf[c] for c in pair)):
+                if same_place((h, f, p, _names(r), _names(l), _names(t)), (h, f, q, _names(s), _names(m), _names(u))):
+                    out.append((a, b))
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Neighbours: sorted by house, flat and leading component, each against the next few that do not tie with it.
+    def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail: list[tuple] = []
         for pdf in batches:
-            out = [
-                (x[key], y[key])
-                for x, y in zip(pdf["x"], pdf["y"])
-                if same_place(*((r["house"], r["flat"], r["pin"], list(r["roads"]), list(r["areas"]), list(r["towns"])) for r in (x, y)))
-            ]
+            out = []
+            for k, h, f, lead, p, r, l, t in zip(pdf[key], pdf["house"], pdf["flat"], pdf["lead"], *(pdf[c] for c in parts)):
+                me = None
+                for g, hh, ff, o, j in tail:
+                    if hh == h and ff == f and g[0] == lead[0] and g != lead and j != k:
+                        me = me or (h, f, p, _names(r), _names(l), _names(t))
+                        if same_place((hh, ff, o[0], _names(o[1]), _names(o[2]), _names(o[3])), me):
+                            out.append((min(j, k), max(j, k)))
+                tail = [*tail[-WINDOW + 1 :], (lead, h, f, (p, r, l, t), k)]
             yield pd.DataFrame(out, columns=["a", "b"])
 
     kind = places.schema[key].dataType.simpleString()
     order = ["house", "flat", "lead"]
-    near = keyed.repartitionByRange(*order).sortWithinPartitions(*order, f"r.{key}").mapInPandas(slide, f"a {kind}, b {kind}")
-    return tied.mapInPandas(compare, f"a {kind}, b {kind}").unionByName(near).distinct()
+    near = keyed.drop("leads").repartitionByRange(*order).sortWithinPartitions(*order, key).mapInPandas(slide, f"a {kind}, b {kind}")
+    return tied.select("a", "b", "house", "flat", *pair).mapInPandas(compare, f"a {kind}, b {kind}").unionByName(near).distinct()
+
+
+@lru_cache(maxsize=100_000)
+def _names(joined: str) -> tuple[str, ...]:
+    return tuple(joined.split("|")) if joined else ()
 
 
 def address_records(los: DataFrame, fields: DataFrame) -> DataFrame:
