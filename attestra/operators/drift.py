@@ -13,12 +13,15 @@ from __future__ import annotations
 import difflib
 import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from attestra.session import spread
+
 #: Flooded score from which a pair is taken to be a rename, and the share of equal contents that alone is enough.
 ACCEPT = 0.5
 #: Rounds after which flooding is stopped if it has not converged before.
@@ -163,14 +166,14 @@ def renames(fields: DataFrame, types: DataFrame, order: DataFrame, record: str =
     gone = F.collect_list(F.when(F.col("_out").isNull(), F.struct(F.col("field").alias("old"), "old_type")))
     come = F.collect_list(F.when(F.col("_in").isNull(), F.struct(F.col("field").alias("new"), "new_type")))
     sides = moved.groupBy("feed", "file_no").agg(gone.alias("gone"), come.alias("come")).where((F.size("gone") > 0) & (F.size("come") > 0))
-    pairs = sides.select("feed", "file_no", F.explode("gone").alias("g"), "come").select("feed", "file_no", "g", F.explode("come").alias("c")).select("feed", "file_no", "g.*", "c.*")
+    pairs = sides.select("feed", "file_no", F.explode("gone").alias("g"), "come").select("feed", "file_no", "g", F.explode("come").alias("c")).select("feed", "file_no", "g.*", "c.*").persist()
 
     # One content per record, file and field: repeated lines count once.
     single = fields.where(F.col("_record").isNotNull()).groupBy("feed", "file_no", "field", "_record").agg(F.min("content").alias("content"))
     at = pairs.join(after, ["feed", "file_no"]).select("feed", "file_no", "prev_no", "old", "new")
     old = at.join(single.select("feed", F.col("file_no").alias("prev_no"), F.col("field").alias("old"), "_record", F.col("content").alias("a")), ["feed", "prev_no", "old"])
     joined = old.join(single.select("feed", "file_no", F.col("field").alias("new"), "_record", F.col("content").alias("b")), ["feed", "file_no", "new", "_record"])
-    known = joined.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    known = joined.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("feed", "file_no", "old", "new", "a", "b").persist()
     key = ["feed", "file_no", "old", "new"]
     agreed = known.groupBy(*key).agg(F.count(F.lit(1)).alias("aligned"), F.sum((F.col("a") == F.col("b")).cast("long")).alias("equal"))
     # By chance, as many contents agree as the products of their frequencies on both sides say.
@@ -191,12 +194,16 @@ def renames(fields: DataFrame, types: DataFrame, order: DataFrame, record: str =
                 F.coalesce(recoded, F.lit(False)).alias("recoded"))
     )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = flood(pdf.astype({"old_type": object, "new_type": object}))
-        return pd.DataFrame([(pdf["feed"].iloc[0], pdf["file_no"].iloc[0], *f) for f in found], columns=["feed", "file_no", "old_name", "new_name", "score"])
+    measures = ["old", "new", "old_type", "new_type", "aligned", "equal", "chance", "recoded"]
+    graphs = stats.groupBy("feed", "file_no").agg(F.collect_list(F.struct(*measures)).alias("pairs"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(f, n, *x) for f, n, ps in zip(pdf["feed"], pdf["file_no"], pdf["pairs"]) for x in flood(pd.DataFrame(list(ps), columns=measures).astype(object))]
+            yield pd.DataFrame(found, columns=["feed", "file_no", "old_name", "new_name", "score"])
 
     kind = dict(types.dtypes)
-    return stats.groupBy("feed", "file_no").applyInPandas(run, f"feed {kind['feed']}, file_no {kind['file_no']}, old_name string, new_name string, score double")
+    return spread(graphs).mapInPandas(run, f"feed {kind['feed']}, file_no {kind['file_no']}, old_name string, new_name string, score double")
 
 
 def with_record(lines: DataFrame, record: str = "loan_id", payload: str = "payload") -> DataFrame:
@@ -210,10 +217,10 @@ def schema_changes(lines: DataFrame, record: str = "loan_id") -> DataFrame:
     carries the later name; a type is only compared where both files have non-null values. Null payloads and lines that are no
     objects are ignored; repeated lines change nothing; an empty table gives an empty report.
     """
-    fields = explode_fields(with_record(lines, record), ["feed", "file_no", "_record"])
-    types = file_fields(fields)
-    order = file_order(lines)
-    moves = renames(fields, types, order, record)
+    fields = explode_fields(with_record(lines, record), ["feed", "file_no", "_record"]).persist()
+    types = file_fields(fields).persist()
+    order = file_order(lines).persist()
+    moves = renames(fields, types, order, record).persist()
     after = order.where(F.col("prev_no").isNotNull())
     # What the previous file had, under the names of this one.
     before = after.join(types.withColumnRenamed("file_no", "prev_no"), ["feed", "prev_no"]).select("feed", "file_no", "field", F.col("type").alias("old_type"))
@@ -239,8 +246,8 @@ def unified_table(lines: DataFrame, key: str = "raw_id", record: str = "loan_id"
     Names that any feed's renames connect are one concept, named by the name that most files use (ties: the first by
     name). Contents are cast to text in canonical form. Lines that are no objects keep their row with a null map.
     """
-    fields = explode_fields(with_record(lines, record), [key, "feed", "file_no", "_record"])
-    types = file_fields(fields)
+    fields = explode_fields(with_record(lines, record), [key, "feed", "file_no", "_record"]).persist()
+    types = file_fields(fields).persist()
     moves = renames(fields, types, file_order(lines), record)
     names = concepts(types.groupBy("field").agg(F.count(F.lit(1)).alias("files")), moves.groupBy("old_name", "new_name").agg(F.count(F.lit(1)).alias("n")))
     named = fields.join(names, "field").where(F.col("content").isNotNull())
