@@ -85,7 +85,7 @@ def uniformity(toks: DataFrame, key: str) -> DataFrame:
     """WIN-05: per line the variation of widths and of distances between tokens (sample deviation over mean)."""
     line = W.partitionBy(key, "page", "t").orderBy("ord")
     spaced = toks.select(key, "page", "t", (F.col("r") - F.col("l")).alias("w"), (F.col("l") - F.lag("l").over(line)).alias("pitch"))
-    cv = lambda c: F.round(F.stddev_samp(c) / F.avg(c), 4)
+    cv = lambda c: F.stddev_samp(c) / F.avg(c)
     return spaced.groupBy(key, "page", "t").agg(F.count(F.lit(1)).alias("n"), cv("w").alias("width_cv"), cv("pitch").alias("pitch_cv")).where("n >= 3")
 
 

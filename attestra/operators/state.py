@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,14 +18,21 @@ def fold_status(events: DataFrame) -> DataFrame:
     events: loan_id, event_ts, audit_id, type, error. Folded in order of (event_ts, audit_id); repeated events count once; events without a loan or type are left out.
     """
     known = events.where(F.col("loan_id").isNotNull() & F.col("type").isNotNull()).select("loan_id", "event_ts", "audit_id", "type", "error").distinct()
-    seq = F.array_sort(F.collect_list(F.struct("event_ts", "audit_id", "type", "error")))
-    folded = known.groupBy("loan_id").agg(seq.alias("s"))
-    types = F.transform("s", lambda x: x["type"])
-    runs = F.filter(types, lambda x, i: (i == 0) | (x != F.try_element_at(types, i)))
-    errors = F.array_sort(F.array_distinct(F.filter(F.transform("s", lambda x: x["error"]), lambda x: x.isNotNull())))
-    return folded.select(
-        "loan_id", F.element_at(types, -1).alias("current"), F.array_join(runs, ">").alias("history"), F.array_join(errors, "|").alias("errors"), F.size("s").cast("long").alias("events")
+    # A busy loan's events are folded day by day first; what is left of a day are its changes of type.
+    seq = F.array_sort(F.collect_list(F.struct("event_ts", "audit_id", "type")))
+    daily = known.groupBy("loan_id", F.to_date("event_ts").alias("day")).agg(
+        _runs(F.transform(seq, lambda x: x["type"])).alias("runs"), F.collect_set("error").alias("errors"), F.count(F.lit(1)).alias("n")
     )
+    days = F.array_sort(F.collect_list(F.struct("day", "runs")))
+    whole = daily.groupBy("loan_id").agg(
+        _runs(F.flatten(F.transform(days, lambda x: x["runs"]))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("errors")))).alias("errors"), F.sum("n").alias("events")
+    )
+    return whole.select("loan_id", F.element_at("runs", -1).alias("current"), F.array_join("runs", ">").alias("history"), F.array_join("errors", "|").alias("errors"), "events")
+
+
+def _runs(types: Column) -> Column:
+    """An array without immediate repeats."""
+    return F.filter(types, lambda x, i: (i == 0) | (x != F.try_element_at(types, i)))
 
 
 def stream_status(events: DataFrame) -> DataFrame:

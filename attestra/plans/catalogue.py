@@ -1,11 +1,654 @@
-"""All queries of the record-reconciliation operators."""
+"""All queries of the record-reconciliation operators, each with the same in DuckDB's SQL where SQL can say it.
+
+A query runs over its whole tables. Statements that several queries share are named once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from attestra.functions import geometry as geo
+from attestra.functions import normalise as fn
+from attestra.functions import similarity as sim
+from attestra.operators import layout, records, state
+from attestra.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+# --- shared SQL -------------------------------------------------------------------------------------------------------
+
+LATEST_LOS = "(SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY loan_id ORDER BY loaded_at DESC NULLS LAST, row_id DESC) rn FROM los WHERE loan_id IS NOT NULL) WHERE rn = 1)"
+LATEST_FIELDS = (
+    "(SELECT loan_id, doc_key, field, value, kind FROM (SELECT *, row_number() OVER (PARTITION BY loan_id, doc_key, field ORDER BY extracted_at DESC NULLS LAST, field_id DESC) rn "
+    "FROM doc_fields WHERE loan_id IS NOT NULL AND doc_key IS NOT NULL AND field IS NOT NULL) WHERE rn = 1)"
+)
+
+
+def _num(x: str) -> str:
+    return f"TRY_CAST(regexp_replace(CAST({x} AS VARCHAR), '[^0-9.]', '', 'g') AS DOUBLE)"
+
+
+def _date(x: str) -> str:
+    shapes = (
+        (r"^\d{4}-\d{1,2}-\d{1,2}$", "%Y-%m-%d"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "%d-%m-%Y"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "%d/%m/%Y"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "%Y/%m/%d"),
+        (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "%d.%m.%Y"), (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "%d %b %Y"), (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "%d %B %Y"), (r"^\d{8}$", "%d%m%Y"), (r"^\d{8}$", "%Y%m%d"),
+    )
+    tried = ", ".join(f"CASE WHEN regexp_matches(trim({x}), '{s}') THEN try_strptime(trim({x}), '{f}') END" for s, f in shapes)
+    return f"coalesce(strftime(coalesce({tried}), '%Y-%m-%d'), lower(trim({x})))"
+
+
+def _tenure(x: str) -> str:
+    s = f"lower(trim(CAST({x} AS VARCHAR)))"
+    years = f"regexp_extract({s}, '^(\\d+(\\.\\d+)?)\\s*(years|year|yrs|yr|ys|y)$', 1)"
+    months = f"CASE WHEN {years} <> '' THEN CAST(round_even(TRY_CAST({years} AS DOUBLE) * 12, 0) AS INTEGER) ELSE TRY_CAST(nullif(regexp_extract({s}, '(\\d+)', 1), '') AS INTEGER) END"
+    return f"(CASE WHEN ({months}) > 0 THEN ({months}) END)"
+
+
+def _id(x: str) -> str:
+    return f"nullif(upper(regexp_replace({x}, '\\s+', '', 'g')), '')"
+
+
+def _aadhaar(x: str) -> str:
+    return f"upper(regexp_replace({x}, '[\\s\\-_.]', '', 'g'))"
+
+
+def add(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- functions --------------------------------------------------------------------------------------------------------
+
+
+@add(f"SELECT field_id, {_num('value')} AS amount FROM doc_fields WHERE field IN ('loan_amount', 'emi', 'disbursal_amount')")
+def fn_clean_numeric(spark: SparkSession, d: str) -> DataFrame:
+    """FN-01, FN-15."""
+    f = table(spark, d, "doc_fields").where(F.col("field").isin("loan_amount", "emi", "disbursal_amount"))
+    return f.select("field_id", fn.clean_numeric(F.col("value")).alias("amount"))
+
+
+@add(f"SELECT row_id, {_id('applicant_pan_number')} AS pan, trim(coalesce(applicant_name, '')) AS name, regexp_replace(lower(applicant_name), '[^a-z0-9]', '', 'g') AS compact FROM los")
+def fn_clean_id(spark: SparkSession, d: str) -> DataFrame:
+    """FN-02, FN-03, FN-23, SIM-17."""
+    name = F.col("applicant_name")
+    return table(spark, d, "los").select("row_id", fn.clean_id(F.col("applicant_pan_number")).alias("pan"), fn.clean_string(name).alias("name"), fn.alnum(name).alias("compact"))
+
+
+@add(f"SELECT row_id, {_date('applicant_dob')} AS dob, {_date('application_date')} AS applied FROM los")
+def fn_normalize_date(spark: SparkSession, d: str) -> DataFrame:
+    """FN-04, FN-19."""
+    return table(spark, d, "los").select("row_id", fn.normalize_date(F.col("applicant_dob")).alias("dob"), fn.normalize_date(F.col("application_date")).alias("applied"))
+
+
+@add(
+    f"SELECT row_id, {_aadhaar('aadhaar_no')} AS clean, regexp_matches(upper(aadhaar_no), '[X*•]') AS masked, "
+    "CASE WHEN length(regexp_replace(aadhaar_no, '[^0-9]', '', 'g')) >= 4 THEN 'XXXXXXXX' || right(regexp_replace(aadhaar_no, '[^0-9]', '', 'g'), 4) END AS mask FROM los"
+)
+def fn_aadhaar(spark: SparkSession, d: str) -> DataFrame:
+    """FN-05, FN-06, FN-07."""
+    c = F.col("aadhaar_no")
+    return table(spark, d, "los").select("row_id", fn.clean_aadhaar(c).alias("clean"), fn.is_masked(c).alias("masked"), fn.mask_aadhaar(c).alias("mask"))
+
+
+@add(f"SELECT row_id, {_tenure('loan_validity')} AS months FROM los")
+def fn_tenure(spark: SparkSession, d: str) -> DataFrame:
+    """FN-08."""
+    return table(spark, d, "los").select("row_id", fn.tenure_months(F.col("loan_validity")).alias("months"))
+
+
+@add(
+    f"SELECT loan_id, doc_key, coalesce(max(CASE WHEN field = 'application_no' THEN value END), max(CASE WHEN field = 'loan_no' THEN value END), max(CASE WHEN field = 'application_id' THEN value END)) AS application "
+    f"FROM {LATEST_FIELDS} GROUP BY loan_id, doc_key"
+)
+def fn_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """FN-09, FN-10, JN-02: a field under the first of its names that has a value."""
+    f = records.latest_fields(table(spark, d, "doc_fields"))
+    of = lambda n: F.max(F.when(F.col("field") == n, F.col("value")))
+    return f.groupBy("loan_id", "doc_key").agg(F.coalesce(of("application_no"), of("loan_no"), of("application_id")).alias("application"))
+
+
+_TYPES = "CASE doc_key WHEN 'kyc_pan' THEN 'pan' WHEN 'kyc_address_proof' THEN 'aadhaar' WHEN 'policy_note' THEN 'other' WHEN 'field_report' THEN 'other' WHEN 'complaint_mail' THEN 'other' ELSE doc_key END"
+
+
+@add(
+    f"SELECT doc_id, {_TYPES} AS doc_type, regexp_replace(regexp_replace(lower(trim('Doc-X1_' || source)), '^doc-[a-z0-9]+[_-]', ''), '[\\s-]+', '_', 'g') AS name, "
+    "CASE WHEN source LIKE 'mail/%' THEN 'mail' WHEN source LIKE 'store/%' THEN 'store' ELSE 'other' END AS route FROM documents"
+)
+def fn_doc_type(spark: SparkSession, d: str) -> DataFrame:
+    """FN-11, FN-12, FN-14, SRC-07: canonical type, unified name and route of documents."""
+    dim = {"kyc_pan": "pan", "kyc_address_proof": "aadhaar", "policy_note": "other", "field_report": "other", "complaint_mail": "other"}
+    k = F.col("doc_key")
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in dim.items() for x in kv]), F.coalesce(k, F.lit(""))), k)
+    route = F.when(F.col("source").startswith("mail/"), "mail").when(F.col("source").startswith("store/"), "store").otherwise("other")
+    return table(spark, d, "documents").select("doc_id", kind.alias("doc_type"), fn.doc_name(F.concat(F.lit("Doc-X1_"), "source")).alias("name"), route.alias("route"))
+
+
+@add("SELECT row_id, '₹' || format('{:,}', CAST(floor(loan_amount) AS BIGINT)) AS shown FROM los WHERE loan_amount IS NOT NULL")
+def fn_rupees(spark: SparkSession, d: str) -> DataFrame:
+    """FN-16."""
+    return table(spark, d, "los").where("loan_amount IS NOT NULL").select("row_id", fn.rupees(F.floor("loan_amount")).alias("shown"))
+
+
+@add(
+    "SELECT audit_id, lower(strftime(event_ts + INTERVAL 330 MINUTE, '%-I:%M %p')) AS clock, strftime(event_ts + INTERVAL 330 MINUTE, '%d/%m/%Y') AS day, "
+    "printf('%dm %02ds', CAST(floor(s / 60) AS INTEGER), CAST(s % 60 AS INTEGER)) AS took "
+    "FROM (SELECT *, greatest(0, CAST(epoch(date_trunc('second', ingested_at)) AS BIGINT) - CAST(epoch(date_trunc('second', event_ts)) AS BIGINT)) AS s FROM audit_log) WHERE event_ts IS NOT NULL AND ingested_at IS NOT NULL"
+)
+def fn_clock(spark: SparkSession, d: str) -> DataFrame:
+    """FN-18, FN-19, FN-20, FN-21, FN-22."""
+    a = table(spark, d, "audit_log").where("event_ts IS NOT NULL AND ingested_at IS NOT NULL")
+    unix = lambda c: F.unix_timestamp(F.date_trunc("second", c))
+    s = F.greatest(F.lit(0), unix("ingested_at") - unix("event_ts"))
+    day = F.date_format(F.col("event_ts") + F.expr("interval '5:30' hour to minute"), "dd/MM/yyyy")
+    return a.select("audit_id", fn.clock_12h(F.col("event_ts")).alias("clock"), day.alias("day"), fn.duration_text(s).alias("took"))
+
+
+_MASK = r"regexp_replace(regexp_replace({x}, '\b[0-9]{{4}}[ -]?[0-9]{{4}}[ -]?([0-9]{{4}})\b', 'XXXX-XXXX-\1', 'g'), '\b[A-Z]{{5}}([0-9]{{4}}[A-Z])\b', 'XXXXX\1', 'g')"
+
+
+@add(f"SELECT extraction_id, {_MASK.format(x='_formatted_text')} AS masked FROM extractions")
+def fn_mask_pii(spark: SparkSession, d: str) -> DataFrame:
+    """FN-24."""
+    return table(spark, d, "extractions").select("extraction_id", fn.mask_pii(F.col("_formatted_text")).alias("masked"))
+
+
+@add(r"SELECT audit_id, regexp_replace(coalesce(reason, '') || ' token=' || audit_id, '(?i)\b(password|token|secret|api_key)\s*[=:]\s*[^\s,;]+', '\1=***', 'g') AS line FROM audit_log")
+def fn_redact_log(spark: SparkSession, d: str) -> DataFrame:
+    """FN-25."""
+    line = F.concat(F.coalesce("reason", F.lit("")), F.lit(" token="), F.col("audit_id").cast("string"))
+    return table(spark, d, "audit_log").select("audit_id", fn.redact_log(line).alias("line"))
+
+
+_TEMPLATE = ("applicant_name", "fathers_name", "dob", "mobile_no", "gender", "pan_number", "aadhaar_number", "address", "loan_amount", "account_no")
+
+
+@add(f"SELECT loan_id, {', '.join(f'max(CASE WHEN field = {chr(39)}{f}{chr(39)} THEN value END) AS {f}' for f in _TEMPLATE)} FROM {LATEST_FIELDS} GROUP BY loan_id")
+def fn_template(spark: SparkSession, d: str) -> DataFrame:
+    """FN-28, FLT-12, UDTF-02: fields of all documents in one fixed template per loan (several documents: the largest text)."""
+    f = records.latest_fields(table(spark, d, "doc_fields"))
+    return f.groupBy("loan_id").agg(*[F.max(F.when(F.col("field") == c, F.col("value"))).alias(c) for c in _TEMPLATE])
+
+
+@add(
+    "SELECT field_id, CAST(round(least(1.0, CASE WHEN regexp_matches(v, p) THEN 1.0 ELSE 0.5 END * CASE WHEN length(v) = n THEN 1.0 ELSE 0.6 END), 4) AS DOUBLE) AS confidence, regexp_matches(v, p) AS valid FROM ("
+    "SELECT field_id, upper(regexp_replace(value, '\\s', '', 'g')) AS v, CASE field WHEN 'pan_number' THEN '^[A-Z]{5}[0-9]{4}[A-Z]$' WHEN 'aadhaar_number' THEN '^[0-9]{12}$' ELSE '^[6-9][0-9]{9}$' END AS p, "
+    "CASE field WHEN 'aadhaar_number' THEN 12 ELSE 10 END AS n FROM doc_fields WHERE field IN ('pan_number', 'aadhaar_number', 'mobile_no') AND value IS NOT NULL)"
+)
+def fn_field_valid(spark: SparkSession, d: str) -> DataFrame:
+    """FN-32, AGG-15: form and length of identifiers, with a confidence."""
+    f = table(spark, d, "doc_fields").where(F.col("field").isin("pan_number", "aadhaar_number", "mobile_no") & F.col("value").isNotNull())
+    v = F.upper(F.regexp_replace("value", r"\s", ""))
+    name = F.col("field")
+    good = F.when(name == "pan_number", v.rlike("^[A-Z]{5}[0-9]{4}[A-Z]$")).when(name == "aadhaar_number", v.rlike("^[0-9]{12}$")).otherwise(v.rlike("^[6-9][0-9]{9}$"))
+    fits = F.length(v) == F.when(name == "aadhaar_number", 12).otherwise(10)
+    c = F.least(F.lit(1.0), F.when(good, 1.0).otherwise(0.5) * F.when(fits, 1.0).otherwise(0.6))
+    return f.select("field_id", F.round(c, 4).alias("confidence"), good.alias("valid"))
+
+
+@add("SELECT 'APPL' || lpad(CAST(max(TRY_CAST(nullif(regexp_extract(loan_id, '(\\d+)$', 1), '') AS BIGINT)) + 1 AS VARCHAR), 8, '0') AS next_id FROM los")
+def fn_next_id(spark: SparkSession, d: str) -> DataFrame:
+    """FN-35."""
+    n = F.max(F.regexp_extract("loan_id", r"(\d+)$", 1).try_cast("bigint")) + 1
+    return table(spark, d, "los").agg(F.concat(F.lit("APPL"), F.lpad(n.cast("string"), 8, "0")).alias("next_id"))
+
+
+@add(
+    "SELECT extraction_id, line, trim(substr(s, 1, p - 1)) AS key, trim(substr(s, p + 1)) AS value FROM (SELECT extraction_id, CAST(i - 1 AS INTEGER) AS line, a[i] AS s, "
+    "CASE WHEN instr(a[i], ':') > 0 THEN instr(a[i], ':') ELSE instr(a[i], '=') END AS p FROM (SELECT extraction_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT extraction_id, string_split(_formatted_text, chr(10)) AS a FROM extractions))) WHERE p > 0"
+)
+def fn_key_value(spark: SparkSession, d: str) -> DataFrame:
+    """FN-37, FLT-13: lines of the form key: value."""
+    lines = table(spark, d, "extractions").select("extraction_id", F.posexplode(F.split("_formatted_text", "\n")).alias("line", "s"))
+    return lines.select("extraction_id", "line", fn.key_value(F.col("s")).alias("x")).where("x IS NOT NULL").select("extraction_id", "line", "x.key", "x.value")
+
+
+@add("SELECT audit_id, CASE WHEN confidence <= 1 THEN round(confidence * 100, 1) ELSE round(confidence, 1) END AS percent FROM audit_log WHERE confidence IS NOT NULL")
+def fn_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """FN-36."""
+    c = F.col("confidence")
+    return table(spark, d, "audit_log").where(c.isNotNull()).select("audit_id", F.when(c <= 1, F.round(c * 100, 1)).otherwise(F.round(c, 1)).alias("percent"))
+
+
+# --- similarity -------------------------------------------------------------------------------------------------------
+
+_CARD = f"(SELECT loan_id, value FROM {LATEST_FIELDS} WHERE doc_key = 'pan' AND field = 'applicant_name')"
+_JW = "coalesce(CASE WHEN trim(l.applicant_name) <> '' AND trim(c.value) <> '' THEN jaro_winkler_similarity(lower(l.applicant_name), lower(c.value)) END, 0)"
+
+
+@add(f"SELECT l.loan_id, round({_JW}, 4) AS score, CASE WHEN {_JW} >= 0.5 THEN 'MATCH' WHEN {_JW} >= 0.4 THEN 'PARTIAL' ELSE 'MISMATCH' END AS status FROM {LATEST_LOS} l JOIN {_CARD} c USING (loan_id)")
+def cmp_jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
+    """CMP-01, SIM-01."""
+    return records.compare_names(table(spark, d, "los"), table(spark, d, "doc_fields"))
+
+
+_WORDS = "regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+_NORM = "list_sum(list_transform(list_distinct({p}), lambda w: pow(len(list_filter({p}, lambda v: v = w)) * CASE WHEN list_contains({q}, w) THEN 1.0 ELSE 1.4054651081081644 END, 2)))"
+
+
+@add(
+    f"SELECT loan_id, round(CASE WHEN lower(trim(a)) = lower(trim(b)) THEN 1.0 WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE "
+    f"coalesce(list_sum(list_transform(list_intersect(list_distinct(x), list_distinct(y)), lambda w: len(list_filter(x, lambda v: v = w)) * len(list_filter(y, lambda v: v = w)))), 0) / sqrt({_NORM.format(p='x', q='y')} * {_NORM.format(p='y', q='x')}) END, 4) AS score "
+    f"FROM (SELECT l.loan_id, l.current_address AS a, c.value AS b, {_WORDS.format(x='l.current_address')} AS x, {_WORDS.format(x='c.value')} AS y FROM {LATEST_LOS} l "
+    f"JOIN {LATEST_FIELDS} c ON c.loan_id = l.loan_id AND c.doc_key = 'aadhaar' AND c.field = 'address' WHERE l.current_address IS NOT NULL AND c.value IS NOT NULL)"
+)
+def cmp_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    """CMP-02, SIM-02."""
+    f = table(spark, d, "doc_fields")
+    card = records.latest_fields(f.where((F.col("doc_key") == "aadhaar") & (F.col("field") == "address"))).select("loan_id", F.col("value").alias("b"))
+    pairs = records.latest_rows(table(spark, d, "los")).select("loan_id", F.col("current_address").alias("a")).join(card, "loan_id").where("a IS NOT NULL AND b IS NOT NULL")
+    return pairs.select("loan_id", F.round(sim.tfidf_cosine(F.col("a"), F.col("b")), 4).alias("score"))
+
+
+@add(
+    f"SELECT loan_id, round(CASE WHEN length(a) = 0 THEN CASE WHEN length(b) > 0 THEN 1.0 ELSE 0.0 END ELSE least(1.0, levenshtein(a, b) / length(a)) END, 4) AS cer FROM ("
+    f"SELECT l.loan_id, lower(l.applicant_name) AS a, lower(c.value) AS b FROM {LATEST_LOS} l JOIN {_CARD} c USING (loan_id) WHERE l.applicant_name IS NOT NULL AND c.value IS NOT NULL)"
+)
+def sim_cer(spark: SparkSession, d: str) -> DataFrame:
+    """SIM-04, SIM-06."""
+    pairs = _name_pairs(spark, d)
+    return pairs.select("loan_id", F.round(sim.char_error_rate(F.lower("a"), F.lower("b")), 4).alias("cer"))
+
+
+def _name_pairs(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "doc_fields")
+    card = records.latest_fields(f.where((F.col("doc_key") == "pan") & (F.col("field") == "applicant_name"))).select("loan_id", F.col("value").alias("b"))
+    return records.latest_rows(table(spark, d, "los")).select("loan_id", F.col("applicant_name").alias("a")).join(card, "loan_id").where("a IS NOT NULL AND b IS NOT NULL")
+
+
+@add()
+def sim_wer(spark: SparkSession, d: str) -> DataFrame:
+    """SIM-03, SIM-05: word error rate and ratio of matching blocks."""
+    pairs = sim.over_distinct(_name_pairs(spark, d), "a", "b", sim.word_error_rate, "wer")
+    return sim.over_distinct(pairs, "a", "b", sim.gestalt, "ratio").select("loan_id", "wer", "ratio")
+
+
+@add(
+    "SELECT field_id, contains(lower(e.t), lower(value)) OR contains(regexp_replace(lower(e.t), '[^a-z0-9]', '', 'g'), regexp_replace(lower(value), '[^a-z0-9]', '', 'g')) AS found "
+    "FROM doc_fields f JOIN (SELECT loan_id, doc_key, max(_formatted_text) AS t FROM extractions WHERE loan_id IS NOT NULL GROUP BY loan_id, doc_key) e USING (loan_id, doc_key) "
+    "WHERE value IS NOT NULL AND regexp_replace(lower(value), '[^a-z0-9]', '', 'g') <> ''"
+)
+def sim_field_recall(spark: SparkSession, d: str) -> DataFrame:
+    """SIM-07: whether a field's value stands in the document's text, as it is or without separators."""
+    e = table(spark, d, "extractions").where("loan_id IS NOT NULL").groupBy("loan_id", "doc_key").agg(F.max("_formatted_text").alias("t"))
+    f = table(spark, d, "doc_fields").where(F.col("value").isNotNull() & (fn.alnum(F.col("value")) != ""))
+    found = F.lower("t").contains(F.lower("value")) | fn.alnum(F.col("t")).contains(fn.alnum(F.col("value")))
+    return f.join(e, ["loan_id", "doc_key"]).select("field_id", found.alias("found"))
+
+
+_RANGES = {"latin": "A-Za-z", "devanagari": "ऀ-ॿ", "tamil": "஀-௿", "telugu": "ఀ-౿", "kannada": "ಀ-೿"}
+
+
+@add(f"SELECT doc_id, {', '.join(f'CAST(length(text) - length(regexp_replace(text, {chr(39)}[{r}]{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})) AS INTEGER) AS {n}' for n, r in _RANGES.items())} FROM documents")
+def sim_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """SIM-13, SIM-14: letters by script."""
+    return table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in sim.script_counts(F.col("text")).items()])
+
+
+@add(
+    "SELECT extraction_id, regexp_matches(_formatted_text, '[A-Z]{5}[0-9]{4}[A-Z]') OR regexp_matches(_formatted_text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') OR length(regexp_replace(_formatted_text, '[^0-9]', '', 'g')) >= 5 AS recoverable, "
+    "regexp_matches(_formatted_text, '(?i)PAN') AND NOT regexp_matches(_formatted_text, '\\b[A-Z]{5}[0-9]{4}[A-Z]\\b') AS ambiguous FROM extractions"
+)
+def sim_recoverable(spark: SparkSession, d: str) -> DataFrame:
+    """SIM-15, FN-33, FLT-08."""
+    c = F.col("_formatted_text")
+    return table(spark, d, "extractions").select("extraction_id", sim.recoverable(c).alias("recoverable"), (c.rlike("(?i)PAN") & ~c.rlike(r"\b[A-Z]{5}[0-9]{4}[A-Z]\b")).alias("ambiguous"))
+
+
+# --- record comparison ------------------------------------------------------------------------------------------------
+
+_CHECKS = ", ".join(f"('{a}', '{b}', {repr(c) if c else 'NULL'}, '{m}', 'chk_{a}_{b}_vs_los')" for a, b, c, m in records.CHECKS)
+_LOS_VALUE = "CASE k.los_field " + " ".join(f"WHEN '{c}' THEN CAST(l.{c} AS VARCHAR)" for c in sorted({c[2] for c in records.CHECKS if c[2]})) + " END"
+_D, _L = "d.value", "lv"
+_X, _Y = _aadhaar(_D), _aadhaar(_L)
+_LAST4 = "right(regexp_replace({x}, '[^0-9]', '', 'g'), 4)"
+_STATUS = (
+    f"CASE WHEN method = 'presence_only' THEN CASE WHEN {_D} IS NULL THEN 'NOT_FOUND' WHEN lower(trim({_D})) IN ('true','1','yes','y','verified','accepted','consented') THEN 'MATCH' ELSE 'MISMATCH' END "
+    f"WHEN {_D} IS NULL OR {_L} IS NULL THEN 'NOT_FOUND' WHEN method = 'exact_numeric' AND ({_num(_D)} IS NULL OR {_num(_L)} IS NULL) THEN 'NOT_FOUND' "
+    f"WHEN coalesce(CASE method WHEN 'exact_id' THEN {_id(_D)} = {_id(_L)} WHEN 'exact_date' THEN {_date(_D)} = {_date(_L)} WHEN 'exact_string_ci' THEN lower(trim({_D})) = lower(trim({_L})) AND trim({_D}) <> '' "
+    f"WHEN 'exact_numeric' THEN abs({_num(_D)} - {_num(_L)}) < 0.01 WHEN 'masked_aadhaar' THEN CASE WHEN regexp_matches({_X}, '[X*•]') OR regexp_matches({_Y}, '[X*•]') THEN {_LAST4.format(x=_X)} = {_LAST4.format(x=_Y)} ELSE {_X} = {_Y} END "
+    f"WHEN 'tenure_months' THEN {_tenure(_D)} = {_tenure(_L)} ELSE trim({_D}) = trim({_L}) END, false) THEN 'MATCH' ELSE 'MISMATCH' END"
+)
+RECORDS = (
+    f"(SELECT e.loan_id, e.check_id, e.doc_key, e.field, e.method, {_STATUS} AS status FROM (SELECT l.loan_id, k.check_id, k.doc_key, k.field, k.method, {_LOS_VALUE} AS lv FROM {LATEST_LOS} l "
+    f"CROSS JOIN (VALUES {_CHECKS}) k(doc_key, field, los_field, method, check_id)) e LEFT JOIN {LATEST_FIELDS} d ON d.loan_id = e.loan_id AND d.doc_key = e.doc_key AND d.field = e.field)"
+)
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return records.compare(table(spark, d, "los"), table(spark, d, "doc_fields"))
+
+
+@add(f"SELECT loan_id, check_id, doc_key, field, method, status FROM {RECORDS}")
+def cmp_records(spark: SparkSession, d: str) -> DataFrame:
+    """JN-01, CMP-03 to CMP-13, CMP-17 to CMP-20, SET-02."""
+    return _records(spark, d)
+
+
+_COUNTS = "count(*) FILTER (status = 'MATCH') AS n_match, count(*) FILTER (status = 'MISMATCH') AS n_mismatch, count(*) FILTER (status = 'NOT_FOUND') AS n_not_found, count(*) AS n_total"
+ROLLUP = f"(SELECT *, CASE WHEN n_mismatch > 0 THEN 'Discrepancy' WHEN n_not_found > 0 THEN 'Indeterminate' ELSE 'Verified' END AS rollup FROM (SELECT loan_id, {_COUNTS} FROM {RECORDS} GROUP BY loan_id))"
+
+
+@add(f"SELECT * FROM {ROLLUP}")
+def agg_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-01, AGG-03, SET-06."""
+    return records.rollup(_records(spark, d))
+
+
+@add(
+    f"SELECT doc_key, field, {_COUNTS}, round(avg(CASE status WHEN 'MATCH' THEN 1.0 ELSE 0.0 END), 4) AS match_rate FROM {RECORDS} GROUP BY doc_key, field"
+)
+def agg_check_rates(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-10, AGG-14, AGG-17: status counts and rate of matches per check."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return _records(spark, d).groupBy("doc_key", "field").agg(
+        n("MATCH").alias("n_match"), n("MISMATCH").alias("n_mismatch"), n("NOT_FOUND").alias("n_not_found"), F.count(F.lit(1)).alias("n_total"),
+        F.round(F.avg((F.col("status") == "MATCH").cast("double")), 4).alias("match_rate"),
+    )
+
+
+@add(f"SELECT rollup, count(*) AS loans, CAST(sum(n_match) AS BIGINT) AS matches, round(avg(n_mismatch), 4) AS mean_mismatches FROM {ROLLUP} GROUP BY rollup")
+def agg_kpi(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-09."""
+    r = records.rollup(_records(spark, d))
+    return r.groupBy("rollup").agg(F.count(F.lit(1)).alias("loans"), F.sum("n_match").alias("matches"), F.round(F.avg("n_mismatch"), 4).alias("mean_mismatches"))
+
+
+@add(f"SELECT loan_id, check_id, doc_key, field, CASE WHEN method IN ('exact_id', 'masked_aadhaar') THEN 'HIGH' ELSE 'MEDIUM' END AS priority FROM {RECORDS} WHERE status = 'MISMATCH'")
+def ent_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    """ENT-05, FLT-05: the mismatches, by priority."""
+    r = _records(spark, d).where("status = 'MISMATCH'")
+    return r.select("loan_id", "check_id", "doc_key", "field", F.when(F.col("method").isin("exact_id", "masked_aadhaar"), "HIGH").otherwise("MEDIUM").alias("priority"))
+
+
+def _amount_sql(doc: str, field: str) -> str:
+    return f"(SELECT loan_id, {_num('value')} AS v FROM {LATEST_FIELDS} WHERE doc_key = '{doc}' AND field = '{field}')"
+
+
+@add(
+    f"SELECT loan_id, CASE WHEN a IS NULL OR b IS NULL THEN 'NOT_FOUND' WHEN greatest(abs(a), abs(b)) = 0 THEN 'MATCH' WHEN abs(a - b) / greatest(abs(a), abs(b)) <= 0.10 THEN 'MATCH' ELSE 'MISMATCH' END AS status "
+    f"FROM (SELECT loan_id, k.v AS a, s.v AS b FROM {_amount_sql('kfs', 'emi')} k FULL OUTER JOIN {_amount_sql('sanction_letter', 'emi')} s USING (loan_id)) WHERE a IS NOT NULL OR b IS NOT NULL"
+)
+def cmp_tolerance(spark: SparkSession, d: str) -> DataFrame:
+    """CMP-07, CMP-14, JN-03: instalments of two documents within a tenth; a full outer join."""
+    f = records.latest_fields(table(spark, d, "doc_fields").where("field = 'emi'")).select("loan_id", "doc_key", fn.clean_numeric(F.col("value")).alias("v"))
+    return records.tolerance(f.where("doc_key = 'kfs'"), f.where("doc_key = 'sanction_letter'"))
+
+
+# --- scans, joins, set operations -------------------------------------------------------------------------------------
+
+
+@add(f"SELECT row_id, loan_id, source_id, status FROM {LATEST_LOS}")
+def src_latest(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-02, SRC-04, DED-02, WIN-17: the newest row per loan."""
+    return records.latest_rows(table(spark, d, "los")).select("row_id", "loan_id", "source_id", "status")
+
+
+@add(
+    "SELECT loan_id, doc_key, field, coalesce(max(CASE WHEN rn = 1 THEN value END), max(CASE WHEN fr = 1 AND value IS NOT NULL THEN value END)) AS value, count(*) AS runs FROM (SELECT *, "
+    "row_number() OVER (PARTITION BY loan_id, doc_key, field ORDER BY extracted_at DESC NULLS LAST, field_id DESC) rn, "
+    "row_number() OVER (PARTITION BY loan_id, doc_key, field, value IS NULL ORDER BY extracted_at DESC NULLS LAST, field_id DESC) fr FROM doc_fields WHERE loan_id IS NOT NULL AND doc_key IS NOT NULL AND field IS NOT NULL) GROUP BY loan_id, doc_key, field"
+)
+def src_tier_merge(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-09, SRC-10, SRC-11: the later run's values, nulls filled from before."""
+    return records.tier_merge(table(spark, d, "doc_fields"))
+
+
+@add("SELECT DISTINCT loan_id FROM (SELECT loan_id FROM los UNION SELECT loan_id FROM doc_fields UNION SELECT loan_id FROM extractions) WHERE loan_id IS NOT NULL")
+def set_union_ids(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-05, SET-01, SET-05: all loan ids of three sources; each is reduced before they meet."""
+    ids = [table(spark, d, t).select("loan_id").distinct() for t in ("los", "doc_fields", "extractions")]
+    return ids[0].unionByName(ids[1]).unionByName(ids[2]).where("loan_id IS NOT NULL").distinct()
+
+
+@add("SELECT DISTINCT loan_id FROM los WHERE loan_id IS NOT NULL EXCEPT SELECT loan_id FROM doc_fields")
+def set_missing_docs(spark: SparkSession, d: str) -> DataFrame:
+    """SET-04, CMP-12, SRC-25: loans without any document; an anti join."""
+    have = table(spark, d, "doc_fields").select("loan_id").distinct()
+    return table(spark, d, "los").where("loan_id IS NOT NULL").select("loan_id").distinct().join(have, "loan_id", "left_anti")
+
+
+@add("SELECT DISTINCT e.loan_id FROM extractions e WHERE e.loan_id IS NOT NULL AND EXISTS (SELECT 1 FROM documents d WHERE d.loan_id = e.loan_id AND contains(d.doc_key, 'agreement'))")
+def jn_semi_contains(spark: SparkSession, d: str) -> DataFrame:
+    """JN-08, FN-30: loans that have a document of which the name contains a word; a semi join."""
+    agreements = table(spark, d, "documents").where(F.col("doc_key").contains("agreement")).select("loan_id").distinct()
+    return table(spark, d, "extractions").where("loan_id IS NOT NULL").select("loan_id").distinct().join(agreements, "loan_id", "left_semi")
+
+
+@add(
+    f"SELECT l.loan_id, coalesce(x.n_docs, 0) AS n_docs, coalesce(a.n_events, 0) AS n_events, coalesce(i.signed, false) AS signed FROM {LATEST_LOS} l "
+    "LEFT JOIN (SELECT loan_id, count(DISTINCT doc_key) AS n_docs FROM doc_fields GROUP BY loan_id) x USING (loan_id) LEFT JOIN (SELECT loan_id, count(DISTINCT audit_id) AS n_events FROM audit_log GROUP BY loan_id) a USING (loan_id) "
+    "LEFT JOIN (SELECT loan_id, bool_or(pyhanko_inspection.is_signed) AS signed FROM inspections GROUP BY loan_id) i USING (loan_id)"
+)
+def jn_case(spark: SparkSession, d: str) -> DataFrame:
+    """JN-09, ENT-03, ENT-08: a loan with what belongs to it; each side is aggregated before it is joined."""
+    docs = table(spark, d, "doc_fields").groupBy("loan_id").agg(F.count_distinct("doc_key").alias("n_docs"))
+    events = table(spark, d, "audit_log").groupBy("loan_id").agg(F.count_distinct("audit_id").alias("n_events"))
+    signed = table(spark, d, "inspections").groupBy("loan_id").agg(F.bool_or("pyhanko_inspection.is_signed").alias("signed"))
+    j = records.latest_rows(table(spark, d, "los")).select("loan_id").join(docs, "loan_id", "left").join(events, "loan_id", "left").join(signed, "loan_id", "left")
+    return j.select("loan_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_events", F.lit(0)).alias("n_events"), F.coalesce("signed", F.lit(False)).alias("signed"))
+
+
+@add(
+    "SELECT inspection_id, coalesce(len(pyhanko_inspection.signatures) > 0 AND len(list_filter(pyhanko_inspection.signatures, lambda s: coalesce(s.intact AND s.valid, false))) = len(pyhanko_inspection.signatures), false) AS accepted FROM inspections"
+)
+def agg_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-23, SRC-19, CMP-15: accepted if all signatures are intact and valid; none is not accepted."""
+    s = F.col("pyhanko_inspection.signatures")
+    good = F.forall(s, lambda x: F.coalesce(x["intact"] & x["valid"], F.lit(False)))
+    return table(spark, d, "inspections").select("inspection_id", F.coalesce((F.size(s) > 0) & good, F.lit(False)).alias("accepted"))
+
+
+@add("SELECT extraction_id, doc_key, arrived_at >= extracted_at AS fresh FROM extractions WHERE arrived_at IS NOT NULL AND extracted_at IS NOT NULL AND loan_id IS NOT NULL")
+def src_cache_probe(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-28: whether a cached extraction is no older than its source."""
+    e = table(spark, d, "extractions").where("arrived_at IS NOT NULL AND extracted_at IS NOT NULL AND loan_id IS NOT NULL")
+    return e.select("extraction_id", "doc_key", (F.col("arrived_at") >= F.col("extracted_at")).alias("fresh"))
+
+
+@add("SELECT doc_id, n_chars, n_chars < 50 AS scanned, CASE WHEN n_chars > 50000 THEN 'reject' ELSE 'accept' END AS guard FROM documents")
+def src_guards(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-13 to SRC-17: predicates on size."""
+    n = F.col("n_chars")
+    return table(spark, d, "documents").select("doc_id", "n_chars", (n < 50).alias("scanned"), F.when(n > 50000, "reject").otherwise("accept").alias("guard"))
+
+
+# --- listing ----------------------------------------------------------------------------------------------------------
+
+
+@add(f"SELECT loan_id, applicant_name, loan_type FROM {LATEST_LOS} WHERE (contains(lower(loan_id), '77') OR contains(lower(applicant_name), 'kumar')) AND status <> 'ALL' AND loan_amount >= 100000")
+def flt_search(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-01, FLT-02, FLT-04, FLT-06, FLT-07: search in any of several columns, with filters."""
+    newest = records.latest_rows(table(spark, d, "los"))
+    hit = F.lower("loan_id").contains("77") | F.lower("applicant_name").contains("kumar")
+    return newest.where(hit & (F.col("status") != "ALL") & (F.col("loan_amount") >= 100000)).select("loan_id", "applicant_name", "loan_type")
+
+
+@add(f"SELECT row_id, {_date('application_date')} AS applied FROM los WHERE {_date('application_date')} BETWEEN '2024-03-01' AND '2024-06-30'")
+def flt_dates(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-03: a range of days, on normalised dates."""
+    return table(spark, d, "los").select("row_id", fn.normalize_date(F.col("application_date")).alias("applied")).where(F.col("applied").between("2024-03-01", "2024-06-30"))
+
+
+@add("SELECT row_id, emi FROM los ORDER BY emi DESC NULLS FIRST, row_id OFFSET 20 LIMIT 50")
+def srt_page(spark: SparkSession, d: str) -> DataFrame:
+    """SRT-01, SRT-02: a page of a total order, nulls first where descending."""
+    return table(spark, d, "los").select("row_id", "emi").orderBy(F.col("emi").desc_nulls_first(), "row_id").offset(20).limit(50)
+
+
+@add("SELECT DISTINCT loan_id FROM los WHERE loan_id IS NOT NULL ORDER BY loan_id DESC LIMIT 10")
+def srt_recent(spark: SparkSession, d: str) -> DataFrame:
+    """SRT-03, SRT-04, SRT-05."""
+    return table(spark, d, "los").where("loan_id IS NOT NULL").select("loan_id").distinct().orderBy(F.col("loan_id").desc()).limit(10)
+
+
+@add("SELECT loan_type, count(*) AS n, count(DISTINCT loan_id) AS loans FROM los WHERE loan_type IS NOT NULL GROUP BY loan_type")
+def agg_types(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-21."""
+    return table(spark, d, "los").where("loan_type IS NOT NULL").groupBy("loan_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("loan_id").alias("loans"))
+
+
+@add("SELECT loan_id, canon, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY loan_id, canon ORDER BY created_at NULLS LAST, doc_id) rn FROM (SELECT loan_id, doc_id, created_at, " + _TYPES + " AS canon FROM documents WHERE loan_id IS NOT NULL)) WHERE rn = 1")
+def ded_first_of_type(spark: SparkSession, d: str) -> DataFrame:
+    """DED-01, DED-03, SRC-24: the first document per loan and canonical type; an aggregate, so a hot loan is combined before the shuffle."""
+    kinds = fn_doc_type(spark, d).select("doc_id", F.col("doc_type").alias("canon"))
+    docs = table(spark, d, "documents").where("loan_id IS NOT NULL").select("doc_id", "loan_id", "created_at").join(kinds, "doc_id")
+    first = F.min_by("doc_id", F.struct(F.col("created_at").isNull(), "created_at", "doc_id"))
+    return docs.groupBy("loan_id", "canon").agg(first.alias("doc_id"))
+
+
+@add(
+    "SELECT loan_id, kind, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM (SELECT loan_id, type AS kind, event_ts AS ts FROM audit_log UNION ALL SELECT loan_id, 'extraction' AS kind, extracted_at AS ts FROM extractions UNION ALL SELECT loan_id, 'inspection' AS kind, inspected_at AS ts FROM inspections) WHERE loan_id IS NOT NULL"
+)
+def set_events(spark: SparkSession, d: str) -> DataFrame:
+    """SET-03: the feed of events of three sources."""
+    parts = [table(spark, d, t).select("loan_id", k.alias("kind"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("ts")) for t, k, ts in
+             (("audit_log", F.col("type"), "event_ts"), ("extractions", F.lit("extraction"), "extracted_at"), ("inspections", F.lit("inspection"), "inspected_at"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("loan_id IS NOT NULL")
+
+
+@add(
+    "WITH e AS (SELECT DISTINCT loan_id, event_ts, audit_id, type, error FROM audit_log WHERE loan_id IS NOT NULL AND type IS NOT NULL), r AS (SELECT *, lag(type) OVER (PARTITION BY loan_id ORDER BY event_ts, audit_id, error) AS p FROM e) "
+    "SELECT loan_id, arg_max(type, (event_ts, audit_id)) AS current, string_agg(CASE WHEN p IS DISTINCT FROM type THEN type END, '>' ORDER BY event_ts, audit_id) AS history, coalesce(string_agg(DISTINCT error, '|' ORDER BY error), '') AS errors, count(*) AS events FROM r GROUP BY loan_id"
+)
+def stm_status_fold(spark: SparkSession, d: str) -> DataFrame:
+    """STM-02, STM-03, DED-05."""
+    return state.fold_status(table(spark, d, "audit_log"))
+
+
+# --- layout -----------------------------------------------------------------------------------------------------------
+
+_WORD_ROWS = (
+    "(SELECT extraction_id, CAST(line // 40 + 1 AS INTEGER) AS page, CAST(line * 1000 + pos AS INTEGER) AS ord, word, pos * 0.05 AS l, (line % 40) * 0.025 AS t, pos * 0.05 + least(length(word) * 0.01, 0.045) AS r, (line % 40) * 0.025 + 0.02 AS b "
+    "FROM (SELECT extraction_id, line, j - 1 AS pos, w[j] AS word FROM (SELECT extraction_id, line, w, unnest(range(1, len(w) + 1)) AS j FROM (SELECT extraction_id, i - 1 AS line, string_split(a[i], ' ') AS w FROM "
+    "(SELECT extraction_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT extraction_id, string_split(_formatted_text, chr(10)) AS a FROM extractions WHERE _formatted_text IS NOT NULL))))) WHERE word <> '')"
+)
+_TOKENS = f"(SELECT extraction_id, page, ord, word, CAST(l AS DOUBLE) AS l, CAST(t AS DOUBLE) AS t, CAST(r AS DOUBLE) AS r, CAST(b AS DOUBLE) AS b FROM {_WORD_ROWS})"
+_GRID = f"(SELECT extraction_id, page, c AS cell, (c % 2) * 0.25 AS cl, (c // 2) * 0.25 AS ct, (c % 2) * 0.25 + 0.25 AS cr, (c // 2) * 0.25 + 0.25 AS cb FROM (SELECT DISTINCT extraction_id, page FROM {_TOKENS}), range(0, 8) g(c))"
+_INTER = "greatest(0.0, least(r, cr) - greatest(l, cl)) * greatest(0.0, least(b, cb) - greatest(t, ct))"
+_OVER = f"CASE WHEN (r - l) * (b - t) > 0 THEN {_INTER} / ((r - l) * (b - t)) ELSE 0.0 END"
+
+
+def _toks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = layout.tokens(table(spark, d, "extractions"))
+    return t, layout.cells(t, "extraction_id")
+
+
+@add(f"SELECT extraction_id, page, count(*) AS n, round(min(l), 4) AS l, round(min(t), 4) AS t, round(max(r), 4) AS r, round(max(b), 4) AS b, count(*) FILTER (length(word) = 1) AS low, count(*) FILTER (length(word) = 1) > 5 AS escalate FROM {_TOKENS} GROUP BY extraction_id, page")
+def agg_pages(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-13, AGG-19, GEO-06, FLT-09: per page the tokens, their joint box and the short ones."""
+    t, _ = _toks(spark, d)
+    short = F.count_if(F.length("word") == 1)
+    return t.groupBy("extraction_id", "page").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.min("l"), 4).alias("l"), F.round(F.min("t"), 4).alias("t"), F.round(F.max("r"), 4).alias("r"), F.round(F.max("b"), 4).alias("b"), short.alias("low"), (short > 5).alias("escalate")
+    )
+
+
+@add(
+    f"SELECT extraction_id, ord, round(least(1.0, l), 4) AS nl, round({_INTER} / ((r - l) * (b - t) + (cr - cl) * (cb - ct) - {_INTER}), 6) AS iou, round({_OVER}, 6) AS overlap, (r - l <= 1e-4 OR b - t <= 1e-4) AS flat "
+    f"FROM {_TOKENS} JOIN {_GRID} USING (extraction_id, page) WHERE {_INTER} > 0"
+)
+def geo_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-01 to GEO-05, GEO-08: boxes of tokens against the cells they touch."""
+    t, g = _toks(spark, d)
+    a, c = geo.box(), geo.box("c")
+    j = t.join(g, ["extraction_id", "page"]).where(geo.intersection(a, c) > 0)
+    inside = F.round(geo.normalised(F.col("l"), F.lit(1.0)), 4)
+    return j.select("extraction_id", "ord", inside.alias("nl"), F.round(geo.iou(a, c), 6).alias("iou"), F.round(geo.overlap(a, c), 6).alias("overlap"), geo.degenerate(a).alias("flat"))
+
+
+@add(
+    f"SELECT extraction_id, page, cell, string_agg(word, ' ' ORDER BY ord) AS text, count(*) AS n FROM {_TOKENS} JOIN {_GRID} USING (extraction_id, page) "
+    f"WHERE ((l + r) / 2 BETWEEN cl AND cr AND (t + b) / 2 BETWEEN ct AND cb) OR {_OVER} >= 0.40 GROUP BY extraction_id, page, cell"
+)
+def jn_fuse_cells(spark: SparkSession, d: str) -> DataFrame:
+    """JN-10, AGG-20, SNK-10."""
+    t, g = _toks(spark, d)
+    return layout.fuse_cells(t, g, "extraction_id").withColumn("cell", F.col("cell").cast("long"))
+
+
+@add(f"SELECT extraction_id, page, ord, word FROM {_TOKENS} k WHERE NOT EXISTS (SELECT 1 FROM {_GRID} g WHERE g.extraction_id = k.extraction_id AND g.page = k.page AND {_OVER} >= 0.60)")
+def jn_outside(spark: SparkSession, d: str) -> DataFrame:
+    """JN-11, JN-12."""
+    t, g = _toks(spark, d)
+    return layout.outside(t, g, "extraction_id").select("extraction_id", "page", "ord", "word")
+
+
+@add(f"SELECT extraction_id, page, ord, cell, share FROM (SELECT *, row_number() OVER (PARTITION BY extraction_id, page, ord ORDER BY share DESC, cell) rn FROM (SELECT extraction_id, page, ord, cell, round({_OVER}, 6) AS share FROM {_TOKENS} JOIN {_GRID} USING (extraction_id, page)) WHERE share > 0) WHERE rn = 1")
+def jn_best_cell(spark: SparkSession, d: str) -> DataFrame:
+    """JN-15, WIN-10, SRT-07."""
+    t, g = _toks(spark, d)
+    return layout.best_cell(t, g, "extraction_id").withColumn("cell", F.col("cell").cast("long"))
+
+
+_FRAME = "OVER (PARTITION BY extraction_id, page, t ORDER BY ord ROWS BETWEEN CURRENT ROW AND {n} FOLLOWING)"
+
+
+@add(
+    " UNION ALL ".join(
+        f"SELECT extraction_id, page, ord, CAST({k} AS INTEGER) AS k, array_to_string(ws, ' ') AS text, round(r, 4) AS r FROM (SELECT extraction_id, page, ord, list(word) {_FRAME.format(n=k - 1)} AS ws, max(r) {_FRAME.format(n=k - 1)} AS r FROM {_TOKENS}) WHERE len(ws) = {k}"
+        for k in (2, 3, 4)
+    )
+)
+def win_windows(spark: SparkSession, d: str) -> DataFrame:
+    """WIN-08, WIN-06, WIN-11."""
+    return layout.windows(_toks(spark, d)[0], "extraction_id").select("extraction_id", "page", "ord", "k", "text", F.round("r", 4).alias("r"))
+
+
+@add(
+    f"SELECT extraction_id, page, round(t, 4) AS t, CAST(run AS BIGINT) AS run, count(*) AS n, round(min(l), 4) AS l, round(max(r), 4) AS r FROM (SELECT *, sum(nw) OVER (PARTITION BY extraction_id, page, t ORDER BY ord ROWS UNBOUNDED PRECEDING) AS run FROM "
+    f"(SELECT *, CASE WHEN l - lag(r) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) > 0.0225 THEN 1 ELSE 0 END AS nw FROM {_TOKENS})) GROUP BY extraction_id, page, t, run"
+)
+def win_islands(spark: SparkSession, d: str) -> DataFrame:
+    """WIN-03, WIN-13, WIN-14."""
+    out = layout.islands(_toks(spark, d)[0], "extraction_id", 0.0225)
+    return out.select("extraction_id", "page", F.round("t", 4).alias("t"), F.col("run").cast("long").alias("run"), "n", F.round("l", 4).alias("l"), F.round("r", 4).alias("r"))
+
+
+@add(
+    f"SELECT extraction_id, page, round(t, 4) AS t, count(*) AS n, round(stddev_samp(w) / avg(w), 3) AS width_cv, round(stddev_samp(p) / avg(p), 3) AS pitch_cv FROM (SELECT extraction_id, page, t, r - l AS w, l - lag(l) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) AS p FROM {_TOKENS}) GROUP BY extraction_id, page, t HAVING count(*) >= 3"
+)
+def win_uniformity(spark: SparkSession, d: str) -> DataFrame:
+    """WIN-05, WIN-18."""
+    u = layout.uniformity(_toks(spark, d)[0], "extraction_id")
+    return u.select("extraction_id", "page", F.round("t", 4).alias("t"), "n", F.round("width_cv", 3).alias("width_cv"), F.round("pitch_cv", 3).alias("pitch_cv"))
+
+
+@add()
+def win_cluster_rows(spark: SparkSession, d: str) -> DataFrame:
+    """WIN-01, WIN-02: an ordered fold per page."""
+    return layout.cluster_rows(_toks(spark, d)[0], "extraction_id")
+
+
+@add()
+def ded_spatial(spark: SparkSession, d: str) -> DataFrame:
+    """DED-04: an ordered fold per page."""
+    return layout.spatial_dedupe(_toks(spark, d)[0], "extraction_id")
+
+
+@add(
+    f"SELECT extraction_id, page, ord, rtrim(word, ':') AS label, value FROM (SELECT *, lead(word) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) AS value, lead(l) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) - r AS dx FROM {_TOKENS}) WHERE ends_with(word, ':') AND value IS NOT NULL AND dx <= 0.35"
+)
+def jn_label_value(spark: SparkSession, d: str) -> DataFrame:
+    """JN-13, JN-14, WIN-21."""
+    return layout.nearest_right(_toks(spark, d)[0], "extraction_id")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
