@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from attestra.session import spread
+from attestra.session import checkpointed, spread
 
 #: Flooded score from which a pair is taken to be a rename, and the share of equal contents that alone is enough.
 ACCEPT = 0.5
@@ -248,7 +248,7 @@ def unified_table(lines: DataFrame, key: str = "raw_id", record: str = "loan_id"
     """
     fields = explode_fields(with_record(lines, record), [key, "feed", "file_no", "_record"]).persist()
     types = file_fields(fields).persist()
-    moves = renames(fields, types, file_order(lines), record)
+    moves = renames(fields, types, file_order(lines), record).persist()
     names = concepts(types.groupBy("field").agg(F.count(F.lit(1)).alias("files")), moves.groupBy("old_name", "new_name").agg(F.count(F.lit(1)).alias("n")))
     named = fields.join(names, "field").where(F.col("content").isNotNull())
     single = named.groupBy(key, "concept").agg(F.min("content").alias("content"))
@@ -259,14 +259,18 @@ def unified_table(lines: DataFrame, key: str = "raw_id", record: str = "loan_id"
 def concepts(names: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
     """(field, concept) by the connected components of names under renames seen at least `least` times.
 
-    The graph has a node per distinct field name, so its size is that of the vocabulary; labels are spread by joins until nothing changes.
+    The graph has a node per distinct field name, so its size is that of the vocabulary; the best label is
+    spread by joins, one checkpoint a round, until nothing changes.
     """
     kept = edges.where(F.col("n") >= least)
     links = kept.select(F.col("old_name").alias("a"), F.col("new_name").alias("b"))
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().cache()
-    label = names.select(F.col("field"), (-F.col("files")).alias("rank"), F.col("field").alias("concept"))
-    label = label.withColumn("best", F.struct("rank", "concept")).select("field", "best")
-    for _ in range(12):
+    links = checkpointed(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    best = F.struct((-F.col("files")).alias("rank"), F.col("field").alias("concept"))
+    label = checkpointed(names.select("field", best.alias("best")))
+    while True:
         near = links.join(label, links["b"] == label["field"]).select(F.col("a").alias("field"), "best")
-        label = label.unionByName(near).groupBy("field").agg(F.min("best").alias("best"))
-    return label.select("field", F.col("best.concept").alias("concept"))
+        spread_on = checkpointed(label.unionByName(near).groupBy("field").agg(F.min("best").alias("best")))
+        moved = spread_on.join(label.withColumnRenamed("best", "was"), "field").where(F.col("best") != F.col("was")).limit(1).count()
+        label = spread_on
+        if not moved:
+            return label.select("field", F.col("best.concept").alias("concept"))
