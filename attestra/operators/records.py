@@ -115,7 +115,7 @@ def compare_names(los: DataFrame, fields: DataFrame) -> DataFrame:
     scored = over_distinct(pairs, "a", "b", jaro_winkler, "score")
     s = F.coalesce(F.when((F.trim("a") != "") & (F.trim("b") != ""), F.col("score")), F.lit(0.0))
     band = F.when(s >= MATCH_BAND, "MATCH").when(s >= PARTIAL_BAND, "PARTIAL").otherwise("MISMATCH")
-    return scored.select("loan_id", F.round(s, 4).alias("score"), band.alias("status"))
+    return scored.select("loan_id", F.round(s, 6).alias("score"), band.alias("status"))
 
 
 def tolerance(left: DataFrame, right: DataFrame, share: float = 0.10) -> DataFrame:

@@ -228,7 +228,7 @@ _CARD = f"(SELECT loan_id, value FROM {LATEST_FIELDS} WHERE doc_key = 'pan' AND
 _JW = "coalesce(CASE WHEN trim(l.applicant_name) <> '' AND trim(c.value) <> '' THEN jaro_winkler_similarity(lower(l.applicant_name), lower(c.value)) END, 0)"
 
 
-@add(f"SELECT l.loan_id, round({_JW}, 4) AS score, CASE WHEN {_JW} >= 0.5 THEN 'MATCH' WHEN {_JW} >= 0.4 THEN 'PARTIAL' ELSE 'MISMATCH' END AS status FROM {LATEST_LOS} l JOIN {_CARD} c USING (loan_id)")
+@add(f"SELECT l.loan_id, round({_JW}, 6) AS score, CASE WHEN {_JW} >= 0.5 THEN 'MATCH' WHEN {_JW} >= 0.4 THEN 'PARTIAL' ELSE 'MISMATCH' END AS status FROM {LATEST_LOS} l JOIN {_CARD} c USING (loan_id)")
 def cmp_jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
     """CMP-01, SIM-01."""
     return records.compare_names(table(spark, d, "los"), table(spark, d, "doc_fields"))
@@ -618,12 +618,12 @@ def win_islands(spark: SparkSession, d: str) -> DataFrame:
 
 
 @add(
-    f"SELECT extraction_id, page, round(t, 4) AS t, count(*) AS n, round(stddev_samp(w) / avg(w), 3) AS width_cv, round(stddev_samp(p) / avg(p), 3) AS pitch_cv FROM (SELECT extraction_id, page, t, r - l AS w, l - lag(l) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) AS p FROM {_TOKENS}) GROUP BY extraction_id, page, t HAVING count(*) >= 3"
+    f"SELECT extraction_id, page, round(t, 4) AS t, count(*) AS n, round(stddev_samp(w) / avg(w), 6) AS width_cv, round(stddev_samp(p) / avg(p), 6) AS pitch_cv FROM (SELECT extraction_id, page, t, r - l AS w, l - lag(l) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) AS p FROM {_TOKENS}) GROUP BY extraction_id, page, t HAVING count(*) >= 3"
 )
 def win_uniformity(spark: SparkSession, d: str) -> DataFrame:
     """WIN-05, WIN-18."""
     u = layout.uniformity(_toks(spark, d)[0], "extraction_id")
-    return u.select("extraction_id", "page", F.round("t", 4).alias("t"), "n", F.round("width_cv", 3).alias("width_cv"), F.round("pitch_cv", 3).alias("pitch_cv"))
+    return u.select("extraction_id", "page", F.round("t", 4).alias("t"), "n", F.round("width_cv", 6).alias("width_cv"), F.round("pitch_cv", 6).alias("pitch_cv"))
 
 
 @add()
