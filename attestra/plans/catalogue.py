@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from attestra.functions import geometry as geo
 from attestra.functions import normalise as fn
 from attestra.functions import similarity as sim
+from attestra.functions import textquality as quality
 from attestra.operators import layout, records, state
 from attestra.session import table
 
@@ -646,6 +647,122 @@ def jn_label_value(spark: SparkSession, d: str) -> DataFrame:
     return layout.nearest_right(_toks(spark, d)[0], "extraction_id")
 
 
+# --- text quality, tables, weighted groups, adjudication --------------------------------------------------------------
+
+_LINES = "(SELECT extraction_id, CAST(i - 1 AS INTEGER) AS line, a[i] AS s FROM (SELECT extraction_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT extraction_id, string_split(_formatted_text, chr(10)) AS a FROM extractions WHERE _formatted_text IS NOT NULL)))"
+_Q = {k: getattr(quality, k).replace("'", "''") for k in ("FOREIGN_SYMBOLS", "ONLY_SYMBOLS", "REPEATED", "MISREAD_NGRAMS", "MISREAD_TOKENS", "CJK", "IDENTIFIER", "CONSONANTS", "SYMBOL", "SCRIPT")}
+_ACRONYMS = ", ".join(f"'{a}'" for a in quality.ACRONYMS)
+_LETTERS = "regexp_replace(w, '[^a-zA-Z]', '', 'g')"
+_NOISY = (
+    "CASE WHEN x = '' THEN false WHEN " + " OR ".join(f"regexp_matches(x, '{_Q[k]}')" for k in ("FOREIGN_SYMBOLS", "ONLY_SYMBOLS", "REPEATED", "MISREAD_NGRAMS", "CJK", "MISREAD_TOKENS")) + " THEN true "
+    "WHEN regexp_matches(x, '^[A-Z]{1,2}$') THEN true WHEN regexp_matches(x, '^[0-9]+$') THEN false "
+    f"WHEN NOT regexp_matches(x, '{_Q['IDENTIFIER']}') AND (len(list_filter(regexp_extract_all(x, '{_Q['CONSONANTS']}'), lambda w: upper(w) NOT IN ({_ACRONYMS}))) > 0 "
+    f"OR len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: NOT regexp_matches(w, '[0-9]') AND length({_LETTERS}) >= 4 AND upper({_LETTERS}) NOT IN ({_ACRONYMS}) AND length(regexp_replace({_LETTERS}, '[^aeiouyAEIOUY]', '', 'g')) < 0.15 * length({_LETTERS}))) > 0) THEN true "
+    f"WHEN NOT regexp_matches(x, '{_Q['SCRIPT']}') THEN true WHEN length(x) > 4 AND regexp_matches(x, '[a-zA-Z\\x{{0900}}-\\x{{097F}}]') AND length(x) - length(regexp_replace(x, '{_Q['SYMBOL']}', '', 'g')) > 0.40 * length(x) THEN true ELSE false END"
+)
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "extractions").where("_formatted_text IS NOT NULL")
+    return e.select("extraction_id", F.posexplode(F.split("_formatted_text", "\n")).alias("line", "s"))
+
+
+@add(f"SELECT extraction_id, line, {_NOISY} AS noisy FROM (SELECT extraction_id, line, trim(s) AS x FROM {_LINES})")
+def sim_noisy(spark: SparkSession, d: str) -> DataFrame:
+    """SIM-11, FLT-10."""
+    return _lines(spark, d).select("extraction_id", "line", quality.noisy(F.col("s")).alias("noisy"))
+
+
+@add()
+def sim_trust(spark: SparkSession, d: str) -> DataFrame:
+    """SIM-12, AGG-16: mean trust per text, with the share of noisy lines."""
+    t = _lines(spark, d).select("extraction_id", quality.trust(F.col("s")).alias("trust"))
+    return t.groupBy("extraction_id").agg(F.round(F.avg("trust"), 6).alias("trust"), F.round(F.avg((F.col("trust") == 0.35).cast("double")), 6).alias("noisy_share"))
+
+
+@add(
+    "SELECT extraction_id, line, CAST(k AS INTEGER) AS pair, c[2 * k + 1 + h] AS field, c[2 * k + 2 + h] AS value FROM (SELECT *, unnest(range(0, (len(c) - h) // 2)) AS k FROM (SELECT *, CASE WHEN regexp_matches(c[1], '^([0-9]{1,3}|[a-zA-Z]|[ivx]+)[.)]?$') OR lower(c[1]) IN ('sr.', 'sr. no.', 'sl no', 'sl. no.', 'no.', 'no') THEN 1 ELSE 0 END AS h "
+    f"FROM (SELECT extraction_id, line, list_filter(list_transform(string_split(s, ','), lambda v: trim(v)), lambda v: v <> '') AS c FROM {_LINES}) WHERE len(c) > 0))"
+)
+def sim_row_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """SIM-18: cells of a row read as pairs of field and value, after a leading index cell."""
+    cells = F.filter(F.transform(F.split("s", ","), lambda v: F.trim(v)), lambda v: v != "")
+    rows = _lines(spark, d).select("extraction_id", "line", cells.alias("c")).where(F.size("c") > 0)
+    first = F.col("c")[0]
+    head = first.rlike(r"^([0-9]{1,3}|[a-zA-Z]|[ivx]+)[.)]?$") | F.lower(first).isin("sr.", "sr. no.", "sl no", "sl. no.", "no.", "no")
+    rows = rows.withColumn("c", F.when(head, F.slice("c", F.lit(2), F.size("c"))).otherwise(F.col("c")))
+    pairs = F.filter(F.transform("c", lambda v, i: F.when((i % 2 == 0), F.struct(v.alias("field"), F.try_element_at(F.col("c"), i + 2).alias("value")))), lambda p: p.isNotNull() & p["value"].isNotNull())
+    return rows.select("extraction_id", "line", F.posexplode(pairs).alias("pair", "p")).select("extraction_id", "line", "pair", "p.field", "p.value")
+
+
+_CANDIDATE = r"length(word) <= 4 AND regexp_matches(word, '^[A-Za-z0-9@.,/_#-]+$')"
+
+
+@add(
+    f"SELECT extraction_id, page, n, round(c / n, 6) AS ratio, CASE WHEN n_rows > 1 OR n < 2 THEN 'KEEP' WHEN c / n >= 0.75 THEN 'RECLASSIFY' WHEN c / n >= 0.4 THEN 'AMBIGUOUS' ELSE 'KEEP' END AS shape "
+    f"FROM (SELECT extraction_id, page, count(*) AS n, count(DISTINCT t) AS n_rows, count(*) FILTER ({_CANDIDATE}) AS c FROM {_TOKENS} GROUP BY extraction_id, page)"
+)
+def agg_table_shape(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-18, SIM-19: a page's grid told apart as a table or a row of boxes."""
+    t, _ = _toks(spark, d)
+    short = (F.length("word") <= 4) & F.col("word").rlike("^[A-Za-z0-9@.,/_#-]+$")
+    g = t.groupBy("extraction_id", "page").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("t").alias("n_rows"), F.count_if(short).alias("c"))
+    r = F.col("c") / F.col("n")
+    shape = F.when((F.col("n_rows") > 1) | (F.col("n") < 2), "KEEP").when(r >= 0.75, "RECLASSIFY").when(r >= 0.4, "AMBIGUOUS").otherwise("KEEP")
+    return g.select("extraction_id", "page", "n", F.round(r, 6).alias("ratio"), shape.alias("shape"))
+
+
+@add(
+    "SELECT extraction_id, block, kind, min(line) AS first_line, max(line) AS last_line, count(*) AS n FROM (SELECT *, CAST(sum(nw) OVER (PARTITION BY extraction_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM "
+    f"(SELECT *, CASE WHEN kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY extraction_id ORDER BY line) THEN 1 ELSE 0 END AS nw FROM (SELECT extraction_id, line, CASE WHEN contains(s, ':') THEN 'pairs' WHEN trim(s) = '' THEN 'blank' ELSE 'text' END AS kind FROM {_LINES}))) GROUP BY extraction_id, block, kind"
+)
+def win_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """WIN-12, WIN-14, WIN-16: adjacent lines of one kind merged into blocks; a window within a text."""
+    kind = F.when(F.col("s").contains(":"), "pairs").when(F.trim("s") == "", "blank").otherwise("text")
+    w = W.partitionBy("extraction_id").orderBy("line")
+    marked = _lines(spark, d).select("extraction_id", "line", kind.alias("kind"))
+    marked = marked.withColumn("_new", (~F.col("kind").eqNullSafe(F.lag("kind").over(w))).cast("int")).withColumn("block", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return marked.groupBy("extraction_id", "block", "kind").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count(F.lit(1)).alias("n"))
+
+
+#: Groups of checks with the weight of each field (a relation; a field that a group does not name weighs nothing).
+GROUPS = (
+    ("identity", "aadhaar_number", 2.0), ("identity", "pan_number", 2.0), ("identity", "dob", 1.0), ("identity", "mobile_no", 1.0),
+    ("terms", "loan_amount", 2.0), ("terms", "emi", 1.0), ("terms", "irr_percent", 1.0), ("terms", "loan_validity", 1.0),
+    ("references", "application_no", 1.0), ("references", "loan_no", 1.0), ("references", "account_no", 1.0),
+)
+_GROUPS = ", ".join(f"('{g}', '{f}', {w})" for g, f, w in GROUPS)
+
+
+@add(
+    f"SELECT loan_id, grp, round(sum(weight * CASE status WHEN 'MATCH' THEN 1.0 ELSE 0.0 END) / sum(weight), 6) AS score, count(*) AS checks FROM "
+    f"(SELECT r.*, g.grp, CAST(g.weight AS DOUBLE) AS weight FROM {RECORDS} r JOIN (VALUES {_GROUPS}) g(grp, field, weight) ON g.field = r.field) WHERE status <> 'NOT_FOUND' GROUP BY loan_id, grp"
+)
+def agg_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """JN-04, JN-05, AGG-04, AGG-05, AGG-07: the weighted share of matches per group of fields."""
+    spec = spark.createDataFrame(list(GROUPS), "grp string, field string, weight double")
+    r = _records(spark, d).where("status <> 'NOT_FOUND'").join(F.broadcast(spec), "field")
+    score = F.sum(F.col("weight") * (F.col("status") == "MATCH").cast("double")) / F.sum("weight")
+    return r.groupBy("loan_id", "grp").agg(F.round(score, 6).alias("score"), F.count(F.lit(1)).alias("checks"))
+
+
+_VERDICTS = "(SELECT loan_id, field_type AS field, adjudication_status AS verdict FROM (SELECT *, row_number() OVER (PARTITION BY loan_id, field_type ORDER BY event_ts DESC NULLS LAST, audit_id DESC) rn FROM audit_log WHERE loan_id IS NOT NULL AND field_type IS NOT NULL AND adjudication_status IS NOT NULL) WHERE rn = 1)"
+
+
+@add(
+    f"SELECT loan_id, count(*) FILTER (verdict IS NOT NULL AND verdict <> status) AS changed, count(*) FILTER (coalesce(verdict, status) = 'MISMATCH') AS n_mismatch, CASE WHEN bool_or(coalesce(verdict, status) = 'MISMATCH') THEN 'Discrepancy' WHEN bool_or(coalesce(verdict, status) <> 'MATCH') THEN 'Indeterminate' ELSE 'Verified' END AS rollup "
+    f"FROM (SELECT r.loan_id, r.status, v.verdict FROM {RECORDS} r LEFT JOIN {_VERDICTS} v ON v.loan_id = r.loan_id AND v.field = r.field) GROUP BY loan_id"
+)
+def ent_adjudicated(spark: SparkSession, d: str) -> DataFrame:
+    """CMP-16, JN-21, ENT-06, AGG-11: the last adjudication of a loan's field replaces its status before the rollup."""
+    a = table(spark, d, "audit_log").where("loan_id IS NOT NULL AND field_type IS NOT NULL AND adjudication_status IS NOT NULL")
+    last = a.groupBy("loan_id", F.col("field_type").alias("field")).agg(F.max_by("adjudication_status", F.struct("event_ts", "audit_id")).alias("verdict"))
+    r = _records(spark, d).join(last, ["loan_id", "field"], "left").withColumn("now", F.coalesce("verdict", "status"))
+    n = r.groupBy("loan_id").agg(F.count_if(F.col("verdict").isNotNull() & (F.col("verdict") != F.col("status"))).alias("changed"), F.count_if(F.col("now") == "MISMATCH").alias("n_mismatch"), F.count_if(F.col("now") != "MATCH").alias("_open"))
+    state_of = F.when(F.col("n_mismatch") > 0, "Discrepancy").when(F.col("_open") > 0, "Indeterminate").otherwise("Verified")
+    return n.select("loan_id", "changed", "n_mismatch", state_of.alias("rollup"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
