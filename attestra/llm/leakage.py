@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 
 #: Template tokens of a hashed window; fewest of them that are no placeholders; words a stretch must take over.
 WINDOW, SOLID, LEAST = 4, 3, 18
+#: Words by which a stretch must be longer for each slot (number or name) that holds something else.
+SLOT = 2
 #: Items of one block of the built side.
 BLOCK_ITEMS = 5000
 #: Words that a page heading or other inserted line may have within a stretch.
@@ -126,12 +128,14 @@ class Index:
                 spans = done.setdefault(n, [])
                 if any(s <= p < e and f <= q < g for s, e, f, g in spans[-3:]):
                     continue
-                back, p0, q0 = stretch(doc, item, p - 1, q - 1, -1)
-                ahead, p1, q1 = stretch(doc, item, p, q, 1)
+                back, p0, q0, x0 = stretch(doc, item, p - 1, q - 1, -1, self.code)
+                ahead, p1, q1, x1 = stretch(doc, item, p, q, 1, self.code)
                 spans.append((p0, p1, q0, q1))
-                if back + ahead > best.get(n, (0, 0))[0]:
-                    best[n] = (back + ahead, p0)
-        return [(self.ids[n], k, p) for n, (k, p) in sorted(best.items()) if k >= LEAST]
+                # Slots that disagree speak for the same template filled anew: the more of them, the longer a stretch must be.
+                spare = back + ahead - SLOT * (x0 + x1)
+                if spare > best.get(n, (0, 0, 0))[0]:
+                    best[n] = (spare, back + ahead, p0)
+        return [(self.ids[n], k, p) for n, (spare, k, p) in sorted(best.items()) if spare >= LEAST]
 
 
 def misread(a: str, b: str) -> bool:
@@ -144,14 +148,17 @@ def misread(a: str, b: str) -> bool:
     return max(head, tail) * 3 >= max(n, m) * 2 or head + tail >= max(n, m) + 1
 
 
-def stretch(doc: list[str], item: list[str], p: int, q: int, step: int) -> tuple[int, int, int]:
-    """Words taken over from (p, q) on in one direction, and where the stretch ends."""
+def stretch(doc: list[str], item: list[str], p: int, q: int, step: int, ordinary) -> tuple[int, int, int, int]:
+    """Words taken over from (p, q) on in one direction, where the stretch ends, and how many slots in it disagree.
+
+    A slot disagrees where a number stands for another number, or a word that is not `ordinary` for another such word.
+    """
     # One direction only is worked out: words before the meeting are read from reversed copies.
     reach = len(item) + len(item) // 2 + 8 * HEADING
     d = doc[p : p + reach] if step > 0 else doc[max(0, p - reach + 1) : p + 1][::-1]
     e = item[q:] if step > 0 else item[: q + 1][::-1]
     nd, ne = len(d), len(e)
-    i = j = taken = 0
+    i = j = taken = against = 0
     while i < nd and j < ne:
         x, y = d[i], e[j]
         if x == y:
@@ -163,6 +170,8 @@ def stretch(doc: list[str], item: list[str], p: int, q: int, step: int) -> tuple
         elif (y + e1 if step > 0 else e1 + y) == x:  # two words run together
             taken, i, j = taken + 2, i + 1, j + 2
         elif d1 == e1 and (near := misread(x, y)) or d1 == e1 and d[i + 1 : i + 3] == e[j + 1 : j + 3]:  # a misread or altered word
+            if not near:
+                against += x.isdigit() and y.isdigit() or not x.isdigit() and not y.isdigit() and x not in ordinary and y not in ordinary
             taken, i, j = taken + bool(near), i + 1, j + 1
         elif d1 == y and d[i + 1 : i + 4] == e[j : j + 3]:  # an added word
             i += 1
@@ -178,7 +187,7 @@ def stretch(doc: list[str], item: list[str], p: int, q: int, step: int) -> tuple
             if not jump:
                 break
             i += jump
-    return taken, p + step * i, q + step * j
+    return taken, p + step * i, q + step * j, against
 
 
 def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage") -> DataFrame:
