@@ -69,3 +69,43 @@ def trust(c: Column) -> Column:
     marks = F.when(s.rlike(r"[,.;:!?_\-/\\|]{2,}") & ~s.contains("--") & ~s.contains("..."), 0.08).otherwise(0.0)
     score = F.greatest(F.lit(0.15), F.least(F.lit(0.99), 0.96 - cost - marks))
     return F.when(s.isNull() | (s == ""), 0.0).when(noisy(s), 0.35).otherwise(F.round(score, 4))
+
+
+# What is taken out of a line or protected from it, as patterns and tokens.
+GARBAGE_TOKENS = r"(?i)\b(VERIFIEO|Nane|Empioyee|OSV|Wuy)\b"
+LABEL_PREFIXES = (r"^[fF](ua)?\s*/\s*(?=[A-Z])", r"^[aA]\s*/\s*(?=[A-Z][a-z]{2,})", r"^[a-z]\s+(?=[A-Z][a-z]{2,})")
+SCRIPT_PREFIX = r"^[0-9]{1,3}[A-Z]{2,4}\s+(?=[A-Z][a-z])"
+PROTECTED = (
+    r"(?i)\b([A-Z]{5}\s?[0-9]{4}[A-Z]|[A-Z]{4}0[A-Z0-9]{6}|\d{2}[A-Z]{5}\d{4}[A-Z][A-Z\d]Z[A-Z\d]|\d{4}/\d{5}/\d{5}|\d{2}/\d{2}/\d{4}|\d{1,5}/\d{1,5}|[A-Z]{2,}-\d+|VID:\d+|PIN\s*Code:\s*\d{6}"
+    r"|[SD]/O:\s*[A-Za-z\s]+(?:Khatri|Singh|Kumar|Sharma|Patel|Gupta))\b"
+)
+PROTECTED_ACRONYMS = "AADHAAR PAN KYC VKYC IFSC NEFT RTGS GST HDFC ICICI UTI UIDAI DPI OCR VLM API S/O D/O W/O VTC PO PIN DOB DIST".split()
+
+
+def sanitized(c: Column) -> Column:
+    """SIM-08, SIM-09: struct<text, score, valid> of a line cleaned in four stages: characters, label noise, structure, judgement.
+
+    Null and blank lines give '', 0 and false. The structural stage leaves lines with a protected pattern alone. The score starts at 1
+    and is judged before the outer punctuation is taken off; a line of at least 0.4 is valid.
+    """
+    strip = lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))
+    s = F.regexp_replace(F.regexp_replace(c, CJK, ""), FOREIGN_SYMBOLS, "")
+    s = F.regexp_replace(s, r"([a-zA-Z])\1{4,}", "$1$1")
+    for prefix in LABEL_PREFIXES:
+        s = F.regexp_replace(s, prefix, "")
+    kept = F.filter(F.split(F.trim(s), r"\s+"), lambda w: ~w.rlike(GARBAGE_TOKENS) | F.upper(w).isin(PROTECTED_ACRONYMS))
+    s = F.regexp_replace(F.array_join(kept, " "), SCRIPT_PREFIX, "")
+    bare = F.regexp_replace(F.regexp_replace(s, r"^[A-Z]\s+$", ""), r"^\d{1,3}\s*$", "")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r",\s*,+", ""), r"^\s*,\s*", ""), r"\s*,\s*$", "")
+    s = F.when(s.rlike(PROTECTED), s).otherwise(F.regexp_replace(strip(bare), r"\s*,\s*", ", "))
+    t = F.trim(s)
+    latin = F.regexp_replace(t, "[^a-zA-Z]", "")
+    few = t.rlike("[a-zA-Z]{5,}") & (F.length(F.regexp_replace(latin, "[^aeiouyAEIOUY]", "")) < 0.10 * F.length(latin))
+    score = 1.0 - F.when(F.length(t) == 1, 0.3).when(F.length(t) == 2, 0.1).otherwise(0.0) - F.when(few, 0.3).otherwise(0.0)
+    score = F.when(F.upper(t).isin(PROTECTED_ACRONYMS) | t.rlike(PROTECTED), F.least(F.lit(1.0), score + 0.2)).otherwise(score)
+    score = F.when((t == "") | t.rlike(ONLY_SYMBOLS) | ~t.rlike(SCRIPT), 0.0).otherwise(F.round(score, 3))
+    text = F.trim(F.regexp_replace(strip(s), r"^[^\p{L}\p{N}_\s]+|[^\p{L}\p{N}_\s]+$", ""))
+    blank = c.isNull() | (F.trim(c) == "")
+    return F.struct(
+        F.when(blank, "").otherwise(text).alias("text"), F.when(blank, 0.0).otherwise(score).alias("score"), F.when(blank, False).otherwise(score >= 0.4).alias("valid")
+    )

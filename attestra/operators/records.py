@@ -88,13 +88,13 @@ def compare(los: DataFrame, fields: DataFrame) -> DataFrame:
     Loans without a document get NOT_FOUND. Repeated rows and restatements count once; documents of unknown loans give
     no rows; an empty table gives an empty result.
     """
-    spark = los.sparkSession
-    spec = spark.createDataFrame([(*c, f"chk_{c[0]}_{c[1]}_vs_los") for c in CHECKS], "doc_key string, field string, los_field string, method string, check_id string")
     newest = latest_rows(los)
     needed = sorted({c[2] for c in CHECKS if c[2]})
-    long = newest.select("loan_id", F.map_from_arrays(F.array(*map(F.lit, needed)), F.array(*[F.col(c).cast("string") for c in needed])).alias("m"))
-    expected = long.crossJoin(F.broadcast(spec)).select("loan_id", "check_id", "doc_key", "field", "method", F.try_element_at("m", F.coalesce("los_field", F.lit("")))
-        .alias("los_value"))
+    # The checks are a constant: they are exploded beside each loan, without a join.
+    checks = F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("doc_key", "field", "los_field", "method"), c)], F.lit(f"chk_{c[0]}_{c[1]}_vs_los").alias("check_id")) for c in CHECKS])
+    values = F.map_from_arrays(F.array(*map(F.lit, needed)), F.array(*[F.col(c).cast("string") for c in needed]))
+    each = newest.select("loan_id", values.alias("m"), F.explode(checks).alias("k"))
+    expected = each.select("loan_id", "k.check_id", "k.doc_key", "k.field", "k.method", F.try_element_at("m", F.coalesce("k.los_field", F.lit(""))).alias("los_value"))
     joined = expected.join(latest_fields(fields), ["loan_id", "doc_key", "field"], "left")
     status = status_of(F.col("method"), F.col("value"), F.col("los_value"))
     return joined.select("loan_id", "check_id", "doc_key", "field", "method", status.alias("status"))

@@ -680,6 +680,12 @@ def sim_trust(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("extraction_id").agg(F.round(F.avg("trust"), 6).alias("trust"), F.round(F.avg((F.col("trust") == 0.35).cast("double")), 6).alias("noisy_share"))
 
 
+@add()
+def sim_sanitized(spark: SparkSession, d: str) -> DataFrame:
+    """SIM-08, SIM-09: lines cleaned, with score and judgement."""
+    return _lines(spark, d).select("extraction_id", "line", quality.sanitized(F.col("s")).alias("x")).select("extraction_id", "line", "x.text", "x.score", "x.valid")
+
+
 @add(
     "SELECT extraction_id, line, CAST(k AS INTEGER) AS pair, c[2 * k + 1 + h] AS field, c[2 * k + 2 + h] AS value FROM (SELECT *, unnest(range(0, (len(c) - h) // 2)) AS k FROM (SELECT *, CASE WHEN regexp_matches(c[1], '^([0-9]{1,3}|[a-zA-Z]|[ivx]+)[.)]?$') OR lower(c[1]) IN ('sr.', 'sr. no.', 'sl no', 'sl. no.', 'no.', 'no') THEN 1 ELSE 0 END AS h "
     f"FROM (SELECT extraction_id, line, list_filter(list_transform(string_split(s, ','), lambda v: trim(v)), lambda v: v <> '') AS c FROM {_LINES}) WHERE len(c) > 0))"

@@ -53,3 +53,15 @@ def test_noise(spark, text, noise):
 def test_trust(spark):
     assert value(spark, quality.trust, "Applicant name") == 0.96
     assert value(spark, quality.trust, "NAMeS") < 0.85 and value(spark, quality.trust, "HRTRR") == 0.35 and value(spark, quality.trust, " ") == 0.0
+
+
+@pytest.mark.parametrize(
+    "text, clean, score, valid",
+    [
+        ("fua/Name of Employee", "Name of Employee", 1.0, True), ("a /Date of birth", "Date of birth", 1.0, True), ("Nane Rao", "Rao", 1.0, True), ("aaaaaab", "aab", 1.0, True), ("3TET Name", "Name", 1.0, True),
+        ("12 Mill Road, , Jalkhed,", "12 Mill Road Jalkhed", 1.0, True), ("ABCDE1234F,", "ABCDE1234F", 1.0, True), ("7", "", 0.0, False), ("##~~", "", 0.0, False), ("R", "R", 0.7, True), ("", "", 0.0, False), (None, "", 0.0, False),
+    ],
+)
+def test_sanitized(spark, text, clean, score, valid):
+    got = value(spark, quality.sanitized, text)
+    assert (got["text"], got["score"], got["valid"]) == (clean, score, valid)
