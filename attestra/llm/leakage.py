@@ -1,13 +1,14 @@
 """Problem 8: passages of held-out evaluation items inside corpus documents.
 
 Template canonicalisation. A text becomes a sequence of words and, beside it, of template tokens: numbers become one
-placeholder, and so do words that are no ordinary words of the evaluation items (names, places, misread words).
+placeholder, and words that are no ordinary words of the evaluation items (names, places, misread words) another.
+Units and currencies are ordinary words of the items and stand for themselves.
 Windows of WINDOW template tokens are hashed; a document's windows meet the items' windows in a hash join. The items
 are a stated, fixed set, so the built side of the join is small; it is handed to every task in blocks of BLOCK_ITEMS items and
 the documents are streamed past it once per block, without any shuffle. A meeting of windows is then checked slot by
-slot: from it the stretch of words taken over is followed in both directions, where a single altered, misread, split,
-lost or added word and a page heading do not end it. A text with the same template but other words is thereby told
-from a copy: its slots do not agree.
+slot, whether or not its own slots agree: from it the stretch of words taken over is followed in both directions, where
+a single altered, misread, split, lost or added word and a page heading do not end it. Only words that agree count as
+taken over, so a text with the same template but other words is told from a copy.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -23,8 +25,8 @@ from pyspark.sql import DataFrame
 
 #: Template tokens of a hashed window; fewest of them that are no placeholders; words a stretch must take over.
 WINDOW, SOLID, LEAST = 4, 3, 18
-#: Words by which a stretch must be longer for each slot (number or name) that holds something else.
-SLOT = 2
+#: Template tokens of a number and of a name or another word that is none of the template's; all others are larger.
+NUMBER, NAME = 0, 1
 #: Items of one block of the built side.
 BLOCK_ITEMS = 5000
 #: Words that a page heading or other inserted line may have within a stretch.
@@ -67,6 +69,7 @@ class Index:
         self.ids = ids
         self.latin = all(w.isascii() for p in passages for w in words(p))
         self.items = [words(p) for p in passages]
+        self.backwards = [item[::-1] for item in self.items]
         # A name is written with a capital throughout and no sentence starts with it; the rest is the template's vocabulary.
         lower, upper = Counter(), Counter()
         for p in passages:
@@ -94,7 +97,7 @@ class Index:
         if len(ws) < WINDOW:
             return np.empty(0, np.int64), np.empty(0, int)
         get = self.code.get
-        code = np.fromiter((get(w, 0) for w in ws), dtype=np.int64, count=len(ws))
+        code = np.fromiter((get(w) or (NUMBER if w[0].isdigit() else NAME) for w in ws), dtype=np.int64, count=len(ws))
         n = len(ws) - WINDOW + 1
         h = np.zeros(n, dtype=np.int64)
         solid = np.zeros(n, dtype=np.int8)
@@ -102,7 +105,7 @@ class Index:
             for i in range(WINDOW):
                 c = code[i : i + n]
                 h = h * np.int64(1_000_003) + (c ^ (c >> np.int64(21)))
-                solid += c != 0
+                solid += c > NAME
             h ^= h >> np.int64(29)
         pos = np.flatnonzero(solid >= SOLID)
         return h[pos], pos
@@ -117,25 +120,24 @@ class Index:
             return []
         left, right = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
         met = right > left
+        backwards = doc[::-1]
         best: dict[int, tuple[int, int]] = {}
         done: dict[int, list[tuple[int, int, int]]] = {}
         for p, a, b in zip(pos[met].tolist(), left[met].tolist(), right[met].tolist()):
             for n, q in self.place[a:b].tolist():
-                # The slots of the two windows must agree word for word; a meeting within a stretch already followed adds nothing.
+                # A meeting within a stretch already followed adds nothing.
                 item = self.items[n]
-                if doc[p : p + WINDOW] != item[q : q + WINDOW]:
-                    continue
                 spans = done.setdefault(n, [])
-                if any(s <= p < e and f <= q < g for s, e, f, g in spans[-3:]):
+                if spans and any(s <= p < e and f <= q < g for s, e, f, g in spans[-3:]):
                     continue
-                back, p0, q0, x0 = stretch(doc, item, p - 1, q - 1, -1, self.code)
-                ahead, p1, q1, x1 = stretch(doc, item, p, q, 1, self.code)
+                # Words before the meeting are read from reversed copies.
+                back, p0, q0 = stretch(backwards, self.backwards[n], len(doc) - p, len(item) - q, -1)
+                p0, q0 = len(doc) - 1 - p0, len(item) - 1 - q0
+                ahead, p1, q1 = stretch(doc, item, p, q, 1)
                 spans.append((p0, p1, q0, q1))
-                # Slots that disagree speak for the same template filled anew: the more of them, the longer a stretch must be.
-                spare = back + ahead - SLOT * (x0 + x1)
-                if spare > best.get(n, (0, 0, 0))[0]:
-                    best[n] = (spare, back + ahead, p0)
-        return [(self.ids[n], k, p) for n, (spare, k, p) in sorted(best.items()) if spare >= LEAST]
+                if back + ahead > best.get(n, (0, 0))[0]:
+                    best[n] = (back + ahead, p0)
+        return [(self.ids[n], k, p) for n, (k, p) in sorted(best.items()) if k >= LEAST]
 
 
 def misread(a: str, b: str) -> bool:
@@ -143,22 +145,15 @@ def misread(a: str, b: str) -> bool:
     n, m = len(a), len(b)
     if abs(n - m) > 1 or min(n, m) < 3:
         return False
-    head = sum(x == y for x, y in zip(a, b))
-    tail = sum(x == y for x, y in zip(reversed(a), reversed(b)))
+    head = sum(map(eq, a, b))
+    tail = head if n == m else sum(map(eq, reversed(a), reversed(b)))
     return max(head, tail) * 3 >= max(n, m) * 2 or head + tail >= max(n, m) + 1
 
 
-def stretch(doc: list[str], item: list[str], p: int, q: int, step: int, ordinary) -> tuple[int, int, int, int]:
-    """Words taken over from (p, q) on in one direction, where the stretch ends, and how many slots in it disagree.
-
-    A slot disagrees where a number stands for another number, or a word that is not `ordinary` for another such word.
-    """
-    # One direction only is worked out: words before the meeting are read from reversed copies.
-    reach = len(item) + len(item) // 2 + 8 * HEADING
-    d = doc[p : p + reach] if step > 0 else doc[max(0, p - reach + 1) : p + 1][::-1]
-    e = item[q:] if step > 0 else item[: q + 1][::-1]
-    nd, ne = len(d), len(e)
-    i = j = taken = against = 0
+def stretch(d: list[str], e: list[str], p: int, q: int, step: int) -> tuple[int, int, int]:
+    """Words of an item e taken over into d from (p, q) on, and where the stretch ends. step is -1 if both are read backwards."""
+    i, j, taken = p, q, 0
+    nd, ne = min(len(d), p + len(e) + len(e) // 2 + 8 * HEADING), len(e)
     while i < nd and j < ne:
         x, y = d[i], e[j]
         if x == y:
@@ -170,8 +165,6 @@ def stretch(doc: list[str], item: list[str], p: int, q: int, step: int, ordinary
         elif (y + e1 if step > 0 else e1 + y) == x:  # two words run together
             taken, i, j = taken + 2, i + 1, j + 2
         elif d1 == e1 and (near := misread(x, y)) or d1 == e1 and d[i + 1 : i + 3] == e[j + 1 : j + 3]:  # a misread or altered word
-            if not near:
-                against += x.isdigit() and y.isdigit() or not x.isdigit() and not y.isdigit() and x not in ordinary and y not in ordinary
             taken, i, j = taken + bool(near), i + 1, j + 1
         elif d1 == y and d[i + 1 : i + 4] == e[j : j + 3]:  # an added word
             i += 1
@@ -183,11 +176,11 @@ def stretch(doc: list[str], item: list[str], p: int, q: int, step: int, ordinary
             i, j = i + 1, j + 2
         else:
             # A heading stands between two words of the passage, which goes on after it.
-            jump = next((k for k in range(2, min(HEADING + 1, nd - i)) if d[i + k] == y and d[i + k : i + k + 4] == e[j : j + 4]), 0)
+            jump = y in d[i + 2 : i + HEADING + 1] and next((k for k in range(2, min(HEADING + 1, nd - i)) if d[i + k] == y and d[i + k : i + k + 4] == e[j : j + 4]), 0)
             if not jump:
                 break
             i += jump
-    return taken, p + step * i, q + step * j, against
+    return taken, i, j
 
 
 def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage") -> DataFrame:

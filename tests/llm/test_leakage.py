@@ -75,3 +75,20 @@ def test_blocks_of_items(spark, monkeypatch):
     docs = spark.createDataFrame([(k, p) for k, p in enumerate(ps)], "doc_id bigint, text string")
     items = spark.createDataFrame([(k, p) for k, p in enumerate(ps)], "item_id bigint, passage string")
     assert {(r[0], r[1]) for r in leakage.leaked(docs, items).collect()} >= {(k, k) for k in range(5)}
+
+
+def test_one_altered_slot_near_the_limit():
+    item = "Clause 565716 says the surveyor Gadagappa consolidates every wedding advance until arrears are certified; later that Gadagappa differs by 726442 from the quoted annuity under review."
+    index = leakage.Index([1], [item])
+    ws = item.split()[1:21]
+    assert len(leakage.words(" ".join(ws))) == 20
+    for at, other in ((4, "Mandapan"), (19, "33465"), (15, "Belurekar")):
+        text = " ".join(["Earlier", "notes", "end.", *ws[:at], other, *ws[at + 1 :], "Nothing", "more."])
+        assert [(i, k >= 18) for i, k, _ in index.leaks(text)] == [(1, True)], other
+
+
+def test_windows_whose_slots_all_differ_start_a_stretch():
+    ordinary = [w for w in dict.fromkeys(WORDS) if len(w) > 2][:24]
+    fill = lambda base: " ".join(f"{w} {base + i}" if i % 3 == 2 else w for i, w in enumerate(ordinary))
+    index = leakage.Index([3], [fill(1000)])
+    assert [(i, k) for i, k, _ in index.leaks(fill(77000))] == [(3, 24)]
