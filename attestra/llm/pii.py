@@ -17,7 +17,7 @@ import json
 import math
 import random
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -201,16 +201,15 @@ class Lattice:
                 i += 1
                 continue
             j = i
-            while j < self.n and self._placey(j) and j - i < 2 * ADDRESS_TOKENS:
+            while j < self.n and self._placey(j):
                 j += 1
-            # Starts: where a part may begin. Ends: after words and numbers.
-            begins = [k for k in range(i, j) if self.low[k] == "#" or self.cls[k] != "punct" and (k == i or self._edge(k))][:10]
-            ends = [k for k in range(j, i, -1) if self.cls[k - 1] != "punct" or self.low[k - 1] == "." and k - 1 > i]
-            ends = [k for k in ends if k == j or k == ends[0] or self._stop(k)][:12]
+            # Starts: where a part may begin. Ends: after words and numbers. All of the run, only the span's length is bounded.
+            begins = [k for k in range(i, j) if self.low[k] == "#" or self.cls[k] != "punct" and (k == i or self._edge(k))]
+            ends = [k for k in range(i + 1, j + 1) if self.cls[k - 1] != "punct" or self.low[k - 1] == "." and k - 1 > i]
+            ends = [k for k in ends if k == j or k == ends[-1] or self._stop(k)]
             for a in begins:
-                for b in ends:
-                    if 3 <= b - a <= ADDRESS_TOKENS:
-                        self._address(a, b)
+                for b in ends[bisect_left(ends, a + 3) : bisect_right(ends, a + ADDRESS_TOKENS)]:
+                    self._address(a, b)
             i = j if j > i else i + 1
 
     def _edge(self, k: int) -> bool:

@@ -65,3 +65,18 @@ def test_rows_and_edges(spark, model):
 def test_no_records_to_fit_on(spark):
     empty = spark.createDataFrame([], "extraction_id bigint, _formatted_text string")
     assert pii.fitted(empty).spans("Call 9000140405") in ([], [(5, 15, "phone")])
+
+
+def test_an_address_late_in_a_long_run_is_found(model):
+    home = "Flat No 12, 45/7, Temple Street, Rajwade, 411045"
+    early = [f"{100 + i} 98{i:02d}" for i in range(40)]
+    for calls in (6, 12, 40):
+        text = f"Log {', '.join(early[:calls])}, {home} - door locked."
+        x, at = pii.Lattice(text, model.lexicon), text.index(home)
+        held = {(x.starts[a], x.ends[b - 1]) for b in range(1, x.n + 1) for a, kind, _ in x.into[b] if kind == "address"}
+        assert (at, at + len(home)) in held, calls
+        # An early address keeps its right end, however many stops follow.
+        text = f"{home}\n{chr(10).join(early[:calls])}\n"
+        x = pii.Lattice(text, model.lexicon)
+        held = {(x.starts[a], x.ends[b - 1]) for b in range(1, x.n + 1) for a, kind, _ in x.into[b] if kind == "address"}
+        assert (0, len(home)) in held, calls
