@@ -3,8 +3,8 @@
 Addresses are parsed into components and sorted several times, each time with another component leading: the post code,
 the town, the street, the locality, always within one house and flat number, which must agree strictly. In each pass a
 record is compared with all records that tie with it on the leading component (an equi-join, so a hot key is split by
-the optimiser rather than drawn into one task) and with the next WINDOW records in sorted order, which catches slips in
-the leading component itself. A comparison weighs the components: edit distance with transpositions within words,
+the optimiser rather than drawn into one task) and with all records of the next WINDOW different leading components in
+sorted order, which catches slips in the leading component itself. A comparison weighs the components: edit distance with transpositions within words,
 agreement of ordinals and post codes exactly. Equal spellings are collapsed to one representative before anything is
 compared and expanded at the end.
 """
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Neighbours in sorted order that a record is compared with besides its ties.
+#: Different leading components before its own, in sorted order, with whose records a record is compared besides its ties.
 WINDOW = 4
 #: Share of addresses from which on a word names a region and no town.
 REGION = 0.033
@@ -287,24 +287,28 @@ def same_spellings(places: DataFrame, key: str = "sid") -> DataFrame:
                     out.append((a, b))
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    # Neighbours: sorted by house, flat and leading component, each against the next few that do not tie with it.
+    # Neighbours: within a house, flat and pass sorted by leading component, each against all of the next few that do not tie with it.
     def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail: list[tuple] = []
+        at: tuple = ()
+        lead = None
+        blocks: list[list[tuple]] = []
         for pdf in batches:
             out = []
-            for k, h, f, lead, p, r, l, t in zip(pdf[key], pdf["house"], pdf["flat"], pdf["lead"], *(pdf[c] for c in parts)):
-                me = None
-                for g, hh, ff, o, j in tail:
-                    if hh == h and ff == f and g[0] == lead[0] and g != lead and j != k:
-                        me = me or (h, f, p, _names(r), _names(l), _names(t))
-                        if same_place((hh, ff, o[0], _names(o[1]), _names(o[2]), _names(o[3])), me):
-                            out.append((min(j, k), max(j, k)))
-                tail = [*tail[-WINDOW + 1 :], (lead, h, f, (p, r, l, t), k)]
+            for k, h, f, now, p, r, l, t in zip(pdf[key], pdf["house"], pdf["flat"], pdf["lead"], *(pdf[c] for c in parts)):
+                if at != (h, f, now[0]):
+                    at, lead, blocks = (h, f, now[0]), now, [[]]
+                elif now != lead:
+                    lead, blocks = now, [*blocks[-WINDOW:], []]
+                me = (h, f, p, _names(r), _names(l), _names(t))
+                for block in blocks[:-1]:
+                    out += [(min(j, k), max(j, k)) for j, other in block if j != k and same_place(other, me)]
+                blocks[-1].append((k, me))
             yield pd.DataFrame(out, columns=["a", "b"])
 
     kind = places.schema[key].dataType.simpleString()
-    order = ["house", "flat", "lead"]
-    near = keyed.drop("leads").repartitionByRange(*order).sortWithinPartitions(*order, key).mapInPandas(slide, f"a {kind}, b {kind}")
+    # Neighbours never lie in different groups, so whole groups to a task leave no boundary between them.
+    group = ["house", "flat", F.substring("lead", 1, 1)]
+    near = keyed.drop("leads").repartition(*group).sortWithinPartitions("house", "flat", "lead", key).mapInPandas(slide, f"a {kind}, b {kind}")
     return tied.select("a", "b", "house", "flat", *pair).mapInPandas(compare, f"a {kind}, b {kind}").unionByName(near).distinct()
 
 

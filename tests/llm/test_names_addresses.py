@@ -109,3 +109,14 @@ def test_address_edges(spark):
 
 def test_swaps_count_as_one_edit():
     assert address.distance("hanuman", "hanumna") == 1 and address.distance("road", "rod") == 1 and address.distance("", "abc") == 3
+
+
+def test_neighbours_on_both_sides_of_a_block_of_ties(spark):
+    # Rows are (sid, house, flat, pin, roads, areas, rest). 1 and 2 tie in no pass; between them lies a block of ties of another place.
+    one = (1, "12/3", "", "", ["temple street"], [], ["tajwade"])
+    two = (2, "12/3", "", "", ["demple street"], [], ["rajwade"])
+    block = [(10 + i, "12/3", "", "", ["mill road"], [], ["sajwadi"]) for i in range(9)]
+    places = spark.createDataFrame([one, two, *block], f"sid bigint, {address.PARSED}")
+    parse = lambda x: (*x[1:4], *map(tuple, x[4:]))
+    assert address.same_place(parse(one), parse(two))
+    assert (1, 2) in {tuple(r) for r in address.same_spellings(places).collect()}
