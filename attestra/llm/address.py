@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Different leading components before its own, in sorted order, with whose records a record is compared besides its ties.
 WINDOW = 4
-#: Share of addresses from which on a word names a region and no town.
-REGION = 0.033
+#: A region stands after the town in at least this share of the addresses of at least so many post-code districts of different towns.
+REGION, REGION_TOWNS = 0.1, 3
 
 #: Abbreviations and what they stand for.
 _FULL = {
@@ -246,17 +246,30 @@ def parsed(spellings: DataFrame, key: str, text: str) -> DataFrame:
     return spellings.select(key, text).mapInPandas(run, f"{key} {kind}, {PARSED}")
 
 
+def regions(seen: DataFrame, districts: DataFrame) -> list[str]:
+    """Words that name a region: they stand after the towns of several post-code districts, whose own words they are not.
+
+    seen: d, w, n, first (addresses of district d with the word w, and those that start with it); districts: d, all. How
+    many addresses a word has does not count, so a town of very many stays a town.
+    """
+    own = seen.groupBy("d").agg(F.max_by("w", F.struct("n", "first", "w")).alias("own"))
+    beside = seen.join(own, "d").join(districts, "d").where((F.col("n") > 2) & (F.col("w") != F.col("own")) & (F.col("n") >= REGION * F.col("all")))
+    many = beside.groupBy("w").agg(F.count_distinct("own").alias("towns"), F.sum("n").alias("n"), F.sum("first").alias("first"))
+    return [r["w"] for r in many.where((F.col("towns") >= REGION_TOWNS) & (2 * F.col("first") < F.col("n"))).collect()]
+
+
 def same_spellings(places: DataFrame, key: str = "sid") -> DataFrame:
     """(a, b) with a < b: spellings of the same place among parsed ones (key, PARSED)."""
-    n = places.count()
-    # Words that very many addresses share name a region; the list of them is as short as 1 / REGION.
-    common = [r["w"] for r in places.select(F.explode(F.array_distinct("rest")).alias("w")).groupBy("w").count().where(F.col("count") > max(20, REGION * n)).collect()]
+    # How many addresses of a post-code district hold a word, and how many start with it. The districts are a thousand at most.
+    coded = places.where(F.length("pin") == 6).select(F.substring("pin", 1, 3).alias("d"), F.array_distinct("rest").alias("ws"))
+    seen = coded.select("d", F.posexplode("ws").alias("i", "w")).groupBy("d", "w").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("i") == 0).cast("long")).alias("first")).persist()
+    common = regions(seen, coded.groupBy("d").agg(F.count(F.lit(1)).alias("all")))
     towns = F.filter("rest", lambda w: ~w.isin(common)) if common else F.col("rest")
     has = (F.col("house") != "") | (F.col("flat") != "")
     base = places.where(has).select(key, "house", "flat", "pin", "roads", "areas", towns.alias("towns"))
     # The district digits of a post code stand for the town where that is left out. There are at most a thousand of them.
-    seen = base.where(F.col("pin") != "").select(F.substring("pin", 1, 3).alias("d"), F.explode("towns").alias("t")).groupBy("d", "t").count()
-    of = {r["d"]: r["t"] for r in seen.groupBy("d").agg(F.max_by("t", F.struct("count", "t")).alias("t")).where("length(d) = 3").limit(1000).collect()}
+    of = {r["d"]: r["w"] for r in seen.where(~F.col("w").isin(common)).groupBy("d").agg(F.max_by("w", F.struct("n", "w")).alias("w")).limit(1000).collect()}
+    seen.unpersist()
     if of:
         known = F.element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), F.substring("pin", 1, 3))
         base = base.withColumn("towns", F.when((F.size("towns") == 0) & known.isNotNull(), F.array(known)).otherwise(F.col("towns")))

@@ -120,3 +120,16 @@ def test_neighbours_on_both_sides_of_a_block_of_ties(spark):
     parse = lambda x: (*x[1:4], *map(tuple, x[4:]))
     assert address.same_place(parse(one), parse(two))
     assert (1, 2) in {tuple(r) for r in address.same_spellings(places).collect()}
+
+
+def test_a_hot_town_is_no_region(spark):
+    states = [("maharatna", [("jalkhed", "383"), ("panchgad", "344"), ("shirwadi", "331")]), ("telangiri", [("nalgopet", "526"), ("warigudem", "513"), ("kothaluru", "591")])]
+    rows = []
+    for state, towns in states:
+        for town, code in towns:
+            for i in range(300 if town == "jalkhed" else 60):
+                rows.append((f"{town}{i}", f"{i + 1}/7, Mill Road, Shanti Nagar, {town}{', ' + state if i % 3 == 0 else ''}, {code}{i % 900:03d}"))
+    rows += [("x", "5001/3, Temple Street, Jalkhed"), ("y", "5001/3, Temple Strete, Jalkhed, Maharatna"), ("z", "5001/3, Temple Street, Panchgad, Maharatna")]
+    records = spark.createDataFrame(rows, "record string, address string")
+    got = {tuple(r) for r in address.linked(records.where("record in ('x', 'y', 'z') or record rlike '[0-9]'")).collect()}
+    assert ("x", "y") in got and not {("x", "z"), ("y", "z")} & got
