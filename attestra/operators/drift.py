@@ -31,11 +31,12 @@ ROUNDS = 50
 _MEASURE = r"(?i)^(?:rs\.?|inr|₹)?\s*(-?\d[\d,]*(?:\.\d+)?)\s*(?:/-)?\s*(?:%|percent|p\.?a\.?|months?|mths?|years?|yrs?|days?|rupees)?$"
 
 
-def explode_fields(lines: DataFrame, keep: list[str], payload: str = "payload") -> DataFrame:
+def explode_fields(lines: DataFrame, keep: list[str], payload: str = "payload", recorded: bool = False) -> DataFrame:
     """One row per top-level field of each JSON line: keep..., field, type (JSON type, null for null) and content.
 
     content is the scalar that a value holds, however it is wrapped: a one-element array and an object with a member
-    `value` count as what they hold, 9.0 as 9. Lines that are no JSON objects give no rows.
+    `value` count as what they hold, 9.0 as 9. Lines that are no JSON objects give no rows. recorded: also `text`, the value
+    as it was recorded, arrays and objects whole as JSON.
     """
     spark = lines.sparkSession
     parsed = lines.select(*keep, F.expr(f"try_parse_json({payload})").alias("_v")).where(F.expr("schema_of_variant(_v) LIKE 'OBJECT%'"))
@@ -53,7 +54,8 @@ def explode_fields(lines: DataFrame, keep: list[str], payload: str = "payload")
         "coalesce(try_variant_get(_x, '$.value', 'string'), try_variant_get(_x, '$[0].value', 'string'), "
         "array_join(try_variant_get(_x, '$', 'array<string>'), ', '), try_variant_get(_x, '$', 'string'))"
     )
-    return each.withColumn("type", kind).withColumn("_c", F.trim(inner)).select(*keep, "field", "type", _canonical(F.col("_c")).alias("content"))
+    text = [F.expr("if(schema_of_variant(_x) LIKE 'ARRAY%' OR schema_of_variant(_x) LIKE 'OBJECT%', to_json(_x), try_variant_get(_x, '$', 'string'))").alias("text")] if recorded else []
+    return each.withColumn("type", kind).withColumn("_c", F.trim(inner)).select(*keep, "field", "type", _canonical(F.col("_c")).alias("content"), *text)
 
 
 def _canonical(c: Column) -> Column:
@@ -240,37 +242,71 @@ def schema_changes(lines: DataFrame, record: str = "loan_id") -> DataFrame:
     return both.select("feed", F.col("file_no").cast("long").alias("file_no"), F.explode(F.array_compact(found)).alias("x")).select("feed", "file_no", "x.*")
 
 
-def unified_table(lines: DataFrame, key: str = "raw_id", record: str = "loan_id") -> DataFrame:
-    """One row per line: key, feed, file_no and `fields`, a map from one consistent name per concept to content as text.
+#: A number in text that is the same when written as a number.
+_PLAIN = r"^-?(0|[1-9]\d*)(\.\d+)?$"
+
 
-    Names that any feed's renames connect are one concept, named by the name that most files use (ties: the first by
-    name). Contents are cast to text in canonical form. Lines that are no objects keep their row with a null map.
+def unified_table(lines: DataFrame, key: str = "raw_id", record: str = "loan_id") -> DataFrame:
+    """One row per line: key, feed, file_no, `fields`, a map from one consistent name per concept to the recorded value, and
+    `types`, a map from the same names to the common type of the concept.
+
+    Fields that a feed's renames connect are one concept there, named as in all feeds by the name that most files use (ties:
+    the first by name). The common type is number, boolean, array or object where all values are of it (plain numbers in
+    text are numbers), else string: scalars as they are, arrays and objects as JSON. Of several fields of one concept in a
+    line, that of the concept's name or else the most frequent holds it and the others keep their own names. Lines that are
+    no objects keep their row with null maps.
     """
-    fields = explode_fields(with_record(lines, record), [key, "feed", "file_no", "_record"]).persist()
+    fields = explode_fields(with_record(lines, record), [key, "feed", "file_no", "_record"], recorded=True).persist()
     types = file_fields(fields).persist()
-    moves = renames(fields, types, file_order(lines), record).persist()
-    names = concepts(types.groupBy("field").agg(F.count(F.lit(1)).alias("files")), moves.groupBy("old_name", "new_name").agg(F.count(F.lit(1)).alias("n")))
-    named = fields.join(names, "field").where(F.col("content").isNotNull())
-    single = named.groupBy(key, "concept").agg(F.min("content").alias("content"))
-    maps = single.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("concept", "content")))).alias("fields"))
+    moves = checkpointed(renames(fields, types, file_order(lines), record).select("feed", "old_name", "new_name").distinct())
+    # Checkpoints, as the plans of the rounds would otherwise carry those of the renames.
+    names = checkpointed(concepts(checkpointed(types.groupBy("feed", "field").agg(F.count(F.lit(1)).alias("files"))), moves))
+    held = fields.where(F.col("text").isNotNull()).withColumn("feed", F.coalesce("feed", F.lit(""))).join(names, ["feed", "field"])
+    first = F.row_number().over(W.partitionBy(key, "concept").orderBy((F.col("field") != F.col("concept")).cast("int"), F.desc("files"), "field")) == 1
+    named = held.withColumn("name", F.when(first, F.col("concept")).otherwise(F.col("field")))
+    entries = named.groupBy(key, "name").agg(F.min_by(F.struct("type", "text"), "text").alias("v")).select(key, "name", "v.*")
+    all_of = lambda c: F.min(c.cast("int")) == 1
+    number = (F.col("type") == "number") | (F.col("type") == "string") & F.col("text").rlike(_PLAIN)
+    common = entries.groupBy("name").agg(
+        F.when(all_of(number), "number").when(F.count_distinct("type") == 1, F.max("type")).otherwise("string").alias("common")
+    )
+    # A number has one notation: 12.0 is 12.
+    value = F.when((F.col("common") == "number") & F.col("text").rlike(r"^-?\d+\.0+$"), F.regexp_replace("text", r"\.0+$", "")).otherwise(F.col("text"))
+    sorted_map = lambda v: F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", v.alias("v")))))
+    maps = entries.join(common, "name").groupBy(key).agg(sorted_map(value).alias("fields"), sorted_map(F.col("common")).alias("types"))
     return lines.select(key, "feed", "file_no").join(maps, key, "left")
 
 
-def concepts(names: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
-    """(field, concept) by the connected components of names under renames seen at least `least` times.
+def concepts(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """(feed, field, files, concept). names: feed, field, files; edges: feed, old_name, new_name. A null feed counts as ''.
+
+    Fields are one concept in a feed if its own renames connect them. All feeds' renames together give each concept its
+    name, but where they connect what stands apart in a feed, it stays apart there under its own names.
+    """
+    feed = F.coalesce("feed", F.lit("")).alias("feed")
+    names = names.select(feed, "field", "files").groupBy("feed", "field").agg(F.sum("files").alias("files"))
+    total = names.groupBy("field").agg(F.sum("files").alias("rank"))
+    nodes = names.join(total, "field")
+    local = components(nodes.select("feed", "field", "rank"), edges).withColumnRenamed("concept", "_own")
+    overall = components(total.select(F.lit("").alias("feed"), "field", "rank"), edges.withColumn("feed", F.lit(""))).select("field", F.col("concept").alias("_all"))
+    both = local.join(overall, "field").join(names, ["feed", "field"])
+    alone = F.size(F.collect_set("_own").over(W.partitionBy("feed", "_all"))) == 1
+    return both.select("feed", "field", "files", F.when(alone, F.col("_all")).otherwise(F.col("_own")).alias("concept"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(feed, field, concept) by the connected components of each feed's names (feed, field, rank) under its renames.
 
-    The graph has a node per distinct field name, so its size is that of the vocabulary; the best label is
+    The graph has a node per distinct field name of a feed, so its size is that of the vocabulary; the best label is
     spread by joins, one checkpoint a round, until nothing changes.
     """
-    kept = edges.where(F.col("n") >= least)
-    links = kept.select(F.col("old_name").alias("a"), F.col("new_name").alias("b"))
-    links = checkpointed(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    best = F.struct((-F.col("files")).alias("rank"), F.col("field").alias("concept"))
-    label = checkpointed(names.select("field", best.alias("best")))
+    links = edges.select("feed", F.col("old_name").alias("a"), F.col("new_name").alias("b"))
+    links = checkpointed(links.unionByName(links.select("feed", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = checkpointed(nodes.select("feed", "field", F.struct((-F.col("rank")).alias("rank"), F.col("field").alias("concept")).alias("best")))
     while True:
-        near = links.join(label, links["b"] == label["field"]).select(F.col("a").alias("field"), "best")
-        spread_on = checkpointed(label.unionByName(near).groupBy("field").agg(F.min("best").alias("best")))
-        moved = spread_on.join(label.withColumnRenamed("best", "was"), "field").where(F.col("best") != F.col("was")).limit(1).count()
+        near = links.join(label.withColumnRenamed("field", "b"), ["feed", "b"]).select("feed", F.col("a").alias("field"), "best")
+        spread_on = checkpointed(label.unionByName(near).groupBy("feed", "field").agg(F.min("best").alias("best")))
+        moved = spread_on.join(label.withColumnRenamed("best", "was"), ["feed", "field"]).where(F.col("best") != F.col("was")).limit(1).count()
         label = spread_on
         if not moved:
-            return label.select("field", F.col("best.concept").alias("concept"))
+            return label.select("feed", "field", F.col("best.concept").alias("concept"))

@@ -64,3 +64,22 @@ def test_unified_names(spark):
     files = {n: people(6, **{name: lambda i: f"PAN{i:04d}"}) for n, name in enumerate(("pan", "panNo", "pan", "panNo"))}
     out = drift.unified_table(lines(spark, files)).collect()
     assert len(out) == 24 and len({k for r in out for k in r["fields"] if k != "loan_id"}) == 1
+
+
+def test_one_rename_unites_and_recorded_values_stay(spark):
+    extra = {"tenure": lambda i: f"{i + 2} {'years' if i % 2 else 'months'}", "tags": lambda i: [f"a{i}", f"b{i}"], "card": lambda i: {"value": f"C{i}", "checked": i % 2 == 0}, "amount": lambda i: 1000.0 + i}
+    files = {0: people(6, pan=lambda i: f"PAN{i:04d}", **extra), 1: people(6, panNo=lambda i: f"PAN{i:04d}", **extra)}
+    out = [r.asDict() for r in drift.unified_table(lines(spark, files)).collect()]
+    assert len({k for r in out for k in r["fields"]} & {"pan", "panNo"}) == 1
+    fields, types = out[0]["fields"], out[0]["types"]
+    assert {r["fields"]["tenure"] for r in out} >= {"2 months", "3 years"} and types["tenure"] == "string"
+    assert len(json.loads(fields["tags"])) == 2 and types["tags"] == "array" and set(json.loads(fields["card"])) == {"value", "checked"} and types["card"] == "object"
+    assert fields["amount"].startswith("100") and "." not in fields["amount"] and types["amount"] == "number"
+
+
+def test_two_fields_of_one_concept_in_a_line_both_stay(spark):
+    files = {n: people(6, **{name: lambda i: f"PAN{i:04d}"}) for n, name in enumerate(("pan", "panNo"))}
+    stray = [{"loan_id": "stray", "pan": "PAN9998", "panNo": "PAN9999"}]
+    out = drift.unified_table(lines(spark, {**files, 2: people(6, panNo=lambda i: f"PAN{i:04d}") + stray})).collect()
+    got = [r["fields"] for r in out if r["fields"].get("loan_id") == "stray"]
+    assert len(got) == 1 and {got[0].get("pan"), got[0].get("panNo")} == {"PAN9998", "PAN9999"}
