@@ -2,8 +2,8 @@
 
 Suffix blocking: each name is indexed by the suffixes of its tokens. Short suffixes are common ("-murthy" ends a tenth
 of all surnames), so an entry is a suffix of minimum length refined with another field of the record: day of birth,
-last characters of an identity number, phone, house. An entry that is still too common is refined again, with the
-longer suffix; nothing is discarded. Candidate pairs are compared by the longest-common-subsequence ratio of their
+last characters of an identity number, phone, house. All mentions of an entry meet, also of a common one; nothing is
+discarded. Candidate pairs are compared by the longest-common-subsequence ratio of their
 tokens, with initials, nicknames and lost or reordered parts allowed for, and linked if the other fields do not
 contradict and say enough that the bearer is the same.
 """
@@ -21,10 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.address import Place
-from attestra.session import small
 
-#: Shortest suffix that is indexed, the longer one for common entries, and the size from which an entry is common.
-SUFFIX, LONG_SUFFIX, COMMON = 3, 6, 80
+#: The suffix that is indexed.
+SUFFIX = 3
 #: Smallest longest-common-subsequence ratio of two tokens that are the same word, and evidence that links.
 RATIO, ENOUGH = 0.75, 2.5
 
@@ -204,11 +203,11 @@ def mentions(los: DataFrame, fields: DataFrame) -> DataFrame:
 BODY, SEPARATOR = ["loan_id", "name", "dob", "pan", "aad", "mob", "other", "homes"], "\x1f"
 ENTRY = ", ".join(f"{c} string" for c in MENTION) + ", keys array<string>"
 #: Pairs of refining fields that say enough without a suffix: day of birth, identity numbers and phone.
-_TWICE = frozenset(("da", "dp", "dm", "am"))
+_TWICE = frozenset(("da", "dp", "dm", "am", "pa", "pm"))
 
 
 def entries(named: DataFrame) -> DataFrame:
-    """Mentions with their suffix entries: keys, each a suffix and a refining field, as "suffix|long suffix|refinement"."""
+    """Mentions with their suffix entries: keys, each a suffix and a refining field, as "suffix|refinement"."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -220,8 +219,8 @@ def entries(named: DataFrame) -> DataFrame:
                     else:
                         aad = mob = homes = None
                 refine = [x for x in (dob and "d" + dob, pan and len(pan) >= 4 and "p" + pan[-4:], aad and len(aad) >= 4 and "a" + aad[-4:], mob and "m" + mob) if x]
-                words = sorted({frame(w) for w in tokens(name) if len(w) >= 3 and w not in _FILLERS}, key=lambda w: (-len(w), w))[:2]
-                tails = {(w[-SUFFIX:], w[-LONG_SUFFIX:]) for w in words}
+                words = sorted({frame(w) for w in tokens(name) if len(w) >= 3 and w not in _FILLERS}, key=lambda w: (-len(w), w))
+                tails = {w[-SUFFIX:] for w in words}
                 # A house, or two fields together, refine so far that the suffix may be lost to a slip or an initial.
                 alone = ["h" + h for h in homes.split("|")] if homes else []
                 if field == "fathers_name":
@@ -229,8 +228,8 @@ def entries(named: DataFrame) -> DataFrame:
                     dob = pan = aad = mob = other = None  # what is known is known of the child
                 else:
                     alone += [x + y for n, x in enumerate(refine) for y in refine[n + 1 :] if x[0] + y[0] in _TWICE]
-                twice = [f"|{words[0][-LONG_SUFFIX:] if words else ''}|{x}" for x in alone]
-                out.append((field, loan, name, dob, pan, aad, mob, other, homes, list({f"{s}|{t}|{x}" for s, t in tails for x in refine} | set(twice))))
+                twice = [f"|{x}" for x in alone]
+                out.append((field, loan, name, dob, pan, aad, mob, other, homes, list({f"{s}|{x}" for s in tails for x in refine} | set(twice))))
             yield pd.DataFrame(out, columns=[*MENTION, "keys"])
 
     return named.mapInPandas(run, ENTRY)
@@ -284,12 +283,8 @@ def same_father(s: float, e: float, child: float | None) -> bool:
 
 def candidates(mentions_in: DataFrame) -> DataFrame:
     """(a, b): ids of mentions that share an entry of the suffix index. mentions_in: id, field, keys."""
-    entry = mentions_in.select("id", "field", F.explode("keys").alias("k"))
-    part = F.split("k", r"\|")
-    short = entry.select("id", F.xxhash64("field", part[0], part[2]).alias("e"), F.xxhash64("field", part[0], part[1], part[2]).alias("l"))
-    common = small(short.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("e", F.lit(True).alias("_common")))
-    # Common entries are refined with the longer suffix.
-    final = short.join(common, "e", "left").select("id", F.when(F.col("_common"), F.col("l")).otherwise(F.col("e")).alias("e"))
+    # All mentions of an entry meet, however many: a hot entry is a skewed key of the join, which the optimiser splits.
+    final = mentions_in.select("id", "field", F.explode("keys").alias("k")).select("id", F.xxhash64("field", "k").alias("e"))
     return final.alias("x").join(final.alias("y"), "e").where(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 

@@ -133,3 +133,18 @@ def test_a_hot_town_is_no_region(spark):
     records = spark.createDataFrame(rows, "record string, address string")
     got = {tuple(r) for r in address.linked(records.where("record in ('x', 'y', 'z') or record rlike '[0-9]'")).collect()}
     assert ("x", "y") in got and not {("x", "z"), ("y", "z")} & got
+
+
+def test_a_hot_day_of_birth_keeps_its_pairs(spark):
+    rows = [("A", "Lokhan Hosaknath", None, "16/04/1991", None, None, None, None, None), ("B", "Lokhan Hosakmath", None, "16/04/1991", None, None, None, None, None)]
+    rows += [(f"H{i}", f"Zubin{chr(97 + i % 26)}{chr(97 + i // 26)} Perathath", None, "16/04/1991", None, None, None, None, None) for i in range(100)]
+    base = names.entries(names.mentions(los(spark, [*rows]), spark.createDataFrame([], FIELDS))).selectExpr("*", "xxhash64(loan_id) as id")
+    ids = {r["id"]: r["loan_id"] for r in base.collect()}
+    assert {"A", "B"} in [{ids[r["a"]], ids[r["b"]]} for r in names.candidates(base).collect()]
+
+
+def test_all_words_and_pairs_of_fields_are_indexed(spark):
+    rows = [("A", "Venkatesh Hosaknath Gopal", None, "16/04/1991", "CJKXS6836K", "XXXXXXXX 4261", "9000540165", None, None)]
+    keys = names.entries(names.mentions(los(spark, rows), spark.createDataFrame([], FIELDS))).first()["keys"]
+    assert any(k.startswith("pal|") for k in keys)
+    assert {"p836Km9000540165", "p836Ka4261"} <= {k.rsplit("|", 1)[1] for k in keys}
