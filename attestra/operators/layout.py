@@ -59,8 +59,23 @@ def best_cell(toks: DataFrame, grid: DataFrame, key: str) -> DataFrame:
     return joined.groupBy(key, "page", "ord").agg(best.alias("x")).select(key, "page", "ord", "x.cell", "x.share")
 
 
+def page_windows(toks: DataFrame, key: str, longest: int = 7, band: float = 0.035, gap: float = 0.06) -> DataFrame:
+    """WIN-08: all runs of 2 to `longest` consecutive tokens of a page, with joined text and merged box.
+
+    A run goes on over line ends: where a token lies more than `band` off the first one's line, no two tokens after each
+    other may be more than `gap` apart in height.
+    """
+    ahead = W.partitionBy(key, "page").orderBy("ord").rowsBetween(0, longest - 1)
+    runs = toks.select(key, "page", "ord", F.collect_list(F.struct("word", "l", "t", "r", "b")).over(ahead).alias("ws")).where("size(ws) >= 2")
+    runs = runs.select(key, "page", "ord", "ws", F.explode(F.expr("sequence(2, size(ws))")).alias("k")).withColumn("ws", F.expr("slice(ws, 1, k)"))
+    one_line = F.expr(f"forall(ws, x -> abs(x.t - ws[0].t) <= {band})")
+    close = F.expr(f"forall(sequence(1, k - 1), i -> ws[i].t - ws[i - 1].b <= {gap})")
+    sides = [F.expr(f"{f}(ws.{c})").alias(c) for f, c in (("array_min", "l"), ("array_min", "t"), ("array_max", "r"), ("array_max", "b"))]
+    return runs.where(one_line | close).select(key, "page", "ord", "k", F.array_join("ws.word", " ").alias("text"), *sides)
+
+
 def windows(toks: DataFrame, key: str, longest: int = 4) -> DataFrame:
-    """WIN-08: all runs of 2 to `longest` consecutive tokens of a line, with joined text and merged box."""
+    """All runs of 2 to `longest` consecutive tokens of one line, with joined text and merged box; see page_windows for WIN-08."""
     line = W.partitionBy(key, "page", "t").orderBy("ord")
     out = None
     for k in range(2, longest + 1):

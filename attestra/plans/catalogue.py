@@ -589,7 +589,7 @@ def jn_outside(spark: SparkSession, d: str) -> DataFrame:
 
 @add(f"SELECT extraction_id, page, ord, cell, share FROM (SELECT *, row_number() OVER (PARTITION BY extraction_id, page, ord ORDER BY share DESC, cell) rn FROM (SELECT extraction_id, page, ord, cell, round({_OVER}, 6) AS share FROM {_TOKENS} JOIN {_GRID} USING (extraction_id, page)) WHERE share > 0) WHERE rn = 1")
 def jn_best_cell(spark: SparkSession, d: str) -> DataFrame:
-    """JN-15, WIN-10, SRT-07."""
+    """JN-15."""
     t, g = _toks(spark, d)
     return layout.best_cell(t, g, "extraction_id").withColumn("cell", F.col("cell").cast("long"))
 
@@ -604,10 +604,27 @@ _FRAME = "OVER (PARTITION BY extraction_id, page, t ORDER BY ord ROWS BETWEEN CU
     )
 )
 def win_windows(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-08, WIN-06, WIN-11."""
+    """WIN-06, WIN-11: windows of two to four tokens within a line."""
     return layout.windows(_toks(spark, d)[0], "extraction_id").select("extraction_id", "page", "ord", "k", "text", F.round("r", 4).alias("r"))
 
 
+_AHEAD = "OVER (PARTITION BY extraction_id, page ORDER BY ord ROWS BETWEEN CURRENT ROW AND {n} FOLLOWING)"
+
+
+@add(
+    " UNION ALL ".join(
+        f"SELECT extraction_id, page, ord, CAST({k} AS INTEGER) AS k, array_to_string(ws, ' ') AS text, round(l, 4) AS l, round(t, 4) AS t, round(r, 4) AS r, round(b, 4) AS b FROM "
+        f"(SELECT extraction_id, page, ord, list(word) {w} AS ws, min(l) {w} AS l, min(t) {w} AS t, max(r) {w} AS r, max(b) {w} AS b, list(t) {w} AS ts, list(b) {w} AS bs FROM {_TOKENS}) WHERE len(ws) = {k} "
+        f"AND (len(list_filter(range(1, {k}), lambda i: abs(ts[i + 1] - ts[1]) > 0.035)) = 0 OR len(list_filter(range(1, {k}), lambda i: ts[i + 1] - bs[i] > 0.06)) = 0)"
+        for k, w in ((k, _AHEAD.format(n=k - 1)) for k in range(2, 8))
+    )
+)
+def win_page_windows(spark: SparkSession, d: str) -> DataFrame:
+    """WIN-08: windows of two to seven tokens, also over line ends."""
+    out = layout.page_windows(_toks(spark, d)[0], "extraction_id")
+    return out.select("extraction_id", "page", "ord", "k", "text", *[F.round(c, 4).alias(c) for c in ("l", "t", "r", "b")])
+
+
 @add(
     f"SELECT extraction_id, page, round(t, 4) AS t, CAST(run AS BIGINT) AS run, count(*) AS n, round(min(l), 4) AS l, round(max(r), 4) AS r FROM (SELECT *, sum(nw) OVER (PARTITION BY extraction_id, page, t ORDER BY ord ROWS UNBOUNDED PRECEDING) AS run FROM "
     f"(SELECT *, CASE WHEN l - lag(r) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) > 0.0225 THEN 1 ELSE 0 END AS nw FROM {_TOKENS})) GROUP BY extraction_id, page, t, run"
@@ -622,14 +639,14 @@ def win_islands(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT extraction_id, page, round(t, 4) AS t, count(*) AS n, round(stddev_samp(w) / avg(w), 6) AS width_cv, round(stddev_samp(p) / avg(p), 6) AS pitch_cv FROM (SELECT extraction_id, page, t, r - l AS w, l - lag(l) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) AS p FROM {_TOKENS}) GROUP BY extraction_id, page, t HAVING count(*) >= 3"
 )
 def win_uniformity(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-05, WIN-18."""
+    """WIN-05."""
     u = layout.uniformity(_toks(spark, d)[0], "extraction_id")
     return u.select("extraction_id", "page", F.round("t", 4).alias("t"), "n", F.round("width_cv", 6).alias("width_cv"), F.round("pitch_cv", 6).alias("pitch_cv"))
 
 
 @add()
 def win_cluster_rows(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-01, WIN-02: an ordered fold per page."""
+    """WIN-01: an ordered fold per page."""
     return layout.cluster_rows(_toks(spark, d)[0], "extraction_id")
 
 
