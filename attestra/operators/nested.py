@@ -89,14 +89,19 @@ def shred(text: str | None, layout: Layout) -> list[tuple[str, str, str | None,
         record = json.loads(text)
     except ValueError as e:
         return [("", "", None, "error", str(e)[:200])]
+    beside: dict = {}
     for _ in range(len(layout.wrappers) + 1):
         for w in layout.wrappers:
             if isinstance(record, dict) and w in record:
+                beside |= {k: v for k, v in record.items() if k != w}
                 record = json.loads(record[w]) if isinstance(record[w], str) else record[w]
     if layout.root and isinstance(record, list):
         record = {layout.root: record}
     if layout.root and isinstance(record, dict) and layout.root not in record and any(m in record for m in layout.root_marks):
         record = {layout.root: record}
+    # What stands beside the wrapped record is the record's too.
+    if isinstance(record, dict):
+        record = {**beside, **record}
     out: list[tuple[str, str, str | None, str, str | None]] = []
     stack = [("", "", None, record)]
     while stack:
@@ -152,7 +157,11 @@ BENCH_LAYOUT = Layout(
 
 
 def bench_tables(rows: DataFrame, key: str = "run_id", column: str = "ocr_bench_report") -> dict[str, DataFrame]:
-    """documents, pages, fields and missing fields of benchmark reports, with keys to their parents."""
+    """reports, documents, pages, fields and missing fields of benchmark reports, with keys to their parents.
+
+    reports has a row per report that is no null, also without documents: `members` has what it says outside of its
+    documents by path (items of arrays also by label), `error` why it could not be read. nodes has every node of every path.
+    """
     nodes = json_nodes(rows, key, column, BENCH_LAYOUT)
     base = "benchmark_results"
     number = F.expr("try_cast(value as double)")
@@ -167,8 +176,13 @@ def bench_tables(rows: DataFrame, key: str = "run_id", column: str = "ocr_bench_
     doc = {"document": "string", "doc_cer": "double", "doc_wer": "double", "avg_field_recall": "double", "total_elements_extracted": "bigint"}
     page = {"page": "bigint", "field_recall": "double", "fields_found": "bigint", "fields_total": "bigint", "mean_containment": "double"}
     where = f"{base}.pages.per_field_containment{{}}"
+    about = nodes.where(~F.col("path").startswith(base))
+    place = F.when(F.col("dewey") == "", F.col("path")).otherwise(F.concat_ws(" ", "path", "dewey"))
+    member = F.when(~F.col("kind").isin("object", "error"), F.struct(place.alias("path"), F.col("value").alias("value")))
+    reports = about.groupBy(key).agg(F.max(F.when(F.col("kind") == "error", F.col("value"))).alias("error"), F.map_from_entries(F.array_sort(F.collect_set(member))).alias("members"))
     return {
         "nodes": nodes,
+        "reports": reports.select(key, F.lit("").alias("dewey"), "error", "members"),
         "documents": members(base, doc),
         "pages": members(f"{base}.pages", page),
         "fields": nodes.where(F.col("path") == where).select(key, F.col("dewey").alias("parent"), F.col("name").alias("field"), number.alias("containment")),

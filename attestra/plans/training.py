@@ -49,6 +49,16 @@ def p6_signatures(spark: SparkSession, d: str) -> DataFrame:
     return at.select("inspection_id", F.col("dewey").cast("long").alias("pos"), "sig_type", "intact", "valid", "trusted", "signer_common_name")
 
 
+def p6_inspections(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of inspections with all their members."""
+    return nested.struct_tables(table(spark, d, "inspections"), "inspection_id", "pyhanko_inspection")[""]
+
+
+def p6_signature_members(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of signatures with all their members."""
+    return nested.struct_tables(table(spark, d, "inspections"), "inspection_id", "pyhanko_inspection")["signatures"]
+
+
 def _bench(part: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, d: str) -> DataFrame:
         return nested.bench_tables(table(spark, d, "bench_runs"))[part]
@@ -58,8 +68,8 @@ def _bench(part: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {f.__name__: f for f in (p1_found, p1_reconciled, p2_found, p2_unified, p6_found, p6_signatures)}
-    return out | {f"p6_{part}": _bench(part) for part in ("documents", "pages", "fields", "missing")}
+    out = {f.__name__: f for f in (p1_found, p1_reconciled, p2_found, p2_unified, p6_found, p6_signatures, p6_inspections, p6_signature_members)}
+    return out | {f"p6_{part}": _bench(part) for part in ("reports", "documents", "pages", "fields", "missing", "nodes")}
 
 
 #: The documents, pages, entries and missing fields of reports of any layout.

@@ -68,3 +68,19 @@ def test_flat_tables(spark):
     assert nested.child_rows(
         spark.createDataFrame([], "inspection_id bigint, pyhanko_inspection struct<signatures: array<struct<index: int>>>"), runs.limit(0)
     ).count() == 0
+
+
+def test_reports_without_documents_and_their_members(spark):
+    reports = [(1, '{"ocr_bench_report": {"benchmark_results": []}, "tool": {"name": "bench", "build": 7}}'), (2, '{"benchmark_results": null}'), (3, None), (4, "{broken")]
+    got = {r["run_id"]: r for r in nested.bench_tables(spark.createDataFrame(reports, "run_id bigint, ocr_bench_report string"))["reports"].collect()}
+    assert set(got) == {1, 2, 4} and got[1]["members"] == {"tool.name": "bench", "tool.build": "7"} and got[4]["error"]
+
+
+def test_all_members_have_a_table(spark, small):
+    import __spark_entry__ as contract
+
+    queries = contract.queries()
+    columns = queries["p6_signature_members"](spark, small).columns
+    assert {"coverage", "summary", "signing_time", "validation_error", "signer_issuer_dn"} <= set(columns)
+    assert queries["p6_inspections"](spark, small).count() == queries["p6_inspections"](spark, small).select("inspection_id").distinct().count() > 0
+    assert {r["path"] for r in queries["p6_nodes"](spark, small).select("path").distinct().collect()} >= {"tool.name"}
