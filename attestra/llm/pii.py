@@ -6,9 +6,11 @@ features of its form, its words and what stands before and after it. Decoding is
 positions, which chooses boundaries and types jointly; learning maximises the likelihood of labelled texts with the
 forward-backward sums over the same segments.
 
-Labelled texts come without hand labels: the template records among the texts name their own fields, and notes are
-composed from those fields' values and sentence frames. The model is fitted on at most FIT_RECORDS records; every text
-is decoded whole.
+Labels are distant and come from the table alone. The template records among the texts name their own fields, so their
+values are labelled spans; a first field is fitted on these, without any word of context. It labels the free notes of
+the sample, from which a field with context is fitted, and so on for ROUNDS rounds (expectation and maximisation with
+the best segmentation). No sentence, name or host is written down here. The fields are fitted on at most FIT_TEXTS texts; every
+text is decoded whole.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import math
 import random
 import re
 from bisect import bisect_left, bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,11 +29,15 @@ from pyspark.sql import functions as F
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
-FIT_RECORDS, EPOCHS, RATE = 1000, 4, 0.25
+#: Texts that the field is fitted on at most, rounds of labelling the notes among them, passes of a fit, and its step.
+FIT_TEXTS, ROUNDS, EPOCHS, RATE = 2000, 2, 3, 0.25
 #: Longest spans in tokens.
-NAME_WORDS, ADDRESS_TOKENS = 5, 48
+NAME_WORDS, ADDRESS_TOKENS, NUMBER_TOKENS = 5, 48, 9
+#: Texts in which a word must stand, outside of all names and addresses of records, to be an ordinary word of notes.
+ORDINARY = 3
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_", re.UNICODE)
+# Public formats of e-mail addresses, phone numbers, PAN, Aadhaar and passport numbers.
 _EMAIL = re.compile(
     r"[A-Za-z0-9][\w.+-]*\s?(?:@|\(at\)|\[at\]|\sat\s)\s?[A-Za-z0-9][A-Za-z0-9-]*(?:(?:\.|\sdot\s|\s?\(dot\)\s?|\s?\[dot\]\s?)[A-Za-z]{2,}[A-Za-z0-9-]*)+", re.IGNORECASE
 )
@@ -39,21 +45,31 @@ _PHONE = re.compile(r"(?<![\w.])(?:(?:\+|00)\s?91[\s.-]?|0)?[6-9]\d{2,4}[\s.-]?\
 _PAN = re.compile(r"(?<![\w])[A-Za-z]{5}[\s-]?\d{4}[\s-]?[A-Za-z](?!\w)")
 _AADHAAR = re.compile(r"(?<![\w-])\d{4}[\s-]?\d{4}[\s-]?\d{4}(?![\w-])")
 _PASSPORT = re.compile(r"(?<!\w)[A-Za-z]\s?\d{7}(?!\w)")
+_FORMATS = (("email", _EMAIL, "email"), ("phone", _PHONE, "phone"), ("id_number", _PAN, "pan"), ("id_number", _AADHAAR, "aadhaar"), ("id_number", _PASSPORT, "passport"))
+#: What a public format says before anything is learnt; types that no record has (e-mail addresses, passports) start from it.
+_PRIOR = {"email|mark=@": 12.0, "email|mark=(at": 12.0, "email|mark=[at": 12.0, "email|domain=True": 6.0, "email|format": 2.0, "phone|format": 2.0, "id_number|format": 2.0} | {f"{kind}|no format": -2.0 for kind in ("email", "phone", "id_number")}
+#: A mailbox or a number as it may be written outside of these formats.
+_MAILISH = re.compile(r"[^\s@,;<>()\"']+\s?@\s?[^\s@,;<>()\"']+[^\W_]")
+_NUMBERISH = re.compile(r"(?<![^\W_])[+(]?[A-Za-z]{0,5}\d[\d\s()./+-]{5,18}\d[A-Za-z]?(?![^\W_])")
+#: Common and reserved top-level domains.
+_DOMAINS = frozenset("com org net edu gov info biz in co io test example invalid".split())
+_DATE = re.compile(r"\d{1,4}[./-]\d{1,2}[./-]\d{2,4}(?!\d)")
 _TITLES = frozenset("mr mrs ms smt shri sri dr kum km prof ji".split())
 _HOUSE = frozenset("flat flt unit apt f h d no house door plot block blk".split())
 _ROAD = frozenset("road rd rood street str st lane ln avenue ave av marg mg cross crs main mn path bazaar bazar".split())
 
 
 class Lexicon:
-    """Which words occur in names, in addresses and elsewhere in the labelled texts."""
+    """Which words occur in names, in addresses and elsewhere in the labelled texts, and which begin addresses."""
 
     def __init__(self) -> None:
         self.name: dict[str, int] = defaultdict(int)
         self.address: dict[str, int] = defaultdict(int)
         self.other: dict[str, int] = defaultdict(int)
+        self.starts: dict[str, int] = defaultdict(int)
 
     def freeze(self) -> Lexicon:
-        self.name, self.address, self.other = dict(self.name), dict(self.address), dict(self.other)
+        self.name, self.address, self.other, self.starts = dict(self.name), dict(self.address), dict(self.other), dict(self.starts)
         self.heads = {w[:4] for w in self.name if len(w) >= 5}
         tails: dict[str, int] = defaultdict(int)
         for w in self.name:
@@ -106,33 +122,49 @@ class Lattice:
         self.words, self.starts, self.ends = _tokens(text)
         self.low = [w.lower() for w in self.words]
         self.n = len(self.words)
+        self.lex = lex
         self.cls = [lex.looks(w) if w[0].isalpha() else "num" if w[0].isdigit() else "punct" for w in self.low]
-        self.into: list[list[tuple[int, str, list[str]]]] = [[] for _ in range(self.n + 1)]
+        self.into: list[list[tuple[int, str, tuple[str, ...]]]] = [[] for _ in range(self.n + 1)]
         self._patterns()
         self._names()
         self._addresses()
 
-    def add(self, a: int, b: int, kind: str, features: list[str]) -> None:
-        """A segment of tokens a..b-1. Context is shared by all kinds."""
-        p1 = self.low[a - 1] if a else "^"
-        p2 = self.low[a - 2] if a > 1 else "^"
-        nx = self.low[b] if b < self.n else "$"
-        gap = "\n" in self.text[self.ends[a - 1] : self.starts[a]] if a else True
-        out = [f"{kind}|{f}" for f in features]
-        out += [f"{kind}|bias", f"{kind}|p1={p1}", f"{kind}|p2={p2} {p1}", f"{kind}|n1={nx}", f"{kind}|line={gap}"]
-        if a:
-            out.append(f"{kind}|pc={self.cls[a - 1]}")
-        if b < self.n:
-            out.append(f"{kind}|nc={self.cls[b]}")
-        self.into[b].append((a, kind, out))
+    def add(self, a: int, b: int, kind: str, form: list[str]) -> None:
+        """A segment of tokens a..b-1 with the features of its form; those of its context are shared by all that begin or end there."""
+        self.into[b].append((a, kind, tuple(form)))
+
+    def before(self, a: int) -> tuple[str, ...]:
+        """What stands before a segment that begins at a."""
+        if not a:
+            return ("p1=^", "line=True")
+        gap = "\n" in self.text[self.ends[a - 1] : self.starts[a]]
+        return (f"p1={self.low[a - 1]}", f"p2={self.low[a - 2] if a > 1 else '^'} {self.low[a - 1]}", f"pc={self.cls[a - 1]}", f"line={gap}")
+
+    def after(self, b: int) -> tuple[str, ...]:
+        """What stands after a segment that ends before b."""
+        return (f"n1={self.low[b]}", f"nc={self.cls[b]}") if b < self.n else ("n1=$",)
 
     def _patterns(self) -> None:
-        for kind, pattern, tag in (("email", _EMAIL, "email"), ("phone", _PHONE, "phone"), ("id_number", _PAN, "pan"), ("id_number", _AADHAAR, "aadhaar"), ("id_number", _PASSPORT, "passport")):
+        seen = set()
+        for kind, pattern, tag in _FORMATS:
+            for m in pattern.finditer(self.text):
+                self._shaped(m, kind, ["format", tag], seen)
+        for kinds, pattern in ((("email",), _MAILISH), (("phone", "id_number"), _NUMBERISH)):
             for m in pattern.finditer(self.text):
-                a, b = bisect_left(self.starts, m.start()), bisect_left(self.ends, m.end()) + 1
-                if a < self.n and b <= self.n and self.starts[a] == m.start() and self.ends[b - 1] == m.end():
-                    digits = sum(c.isdigit() for c in m[0])
-                    self.add(a, b, kind, [f"{tag}", f"{tag} digits={digits}", f"{tag} form={re.sub(r'[0-9]+', '9', re.sub(r'[A-Za-z]+', 'A', m[0]))[:12]}"])
+                for kind in kinds:
+                    self._shaped(m, kind, ["no format"], seen)
+
+    def _shaped(self, m: re.Match, kind: str, form: list[str], seen: set) -> None:
+        a, b = bisect_left(self.starts, m.start()), bisect_left(self.ends, m.end()) + 1
+        if a < self.n and b <= self.n and self.starts[a] == m.start() and self.ends[b - 1] == m.end() and (a, b, kind) not in seen:
+            seen.add((a, b, kind))
+            digits = sum(c.isdigit() for c in m[0])
+            if kind == "email":
+                mark = "@" if "@" in m[0] else re.search(r"[(\[]?\bat\b", m[0].lower())[0]
+                self.add(a, b, kind, [*form, f"mark={mark}", f"spelled dot={'dot' in self.low[a:b]}", f"domain={self.low[b - 1] in _DOMAINS}"])
+            else:
+                shape = re.sub(r"[0-9]+", lambda d: str(len(d[0])), re.sub(r"[A-Za-z]+", "A", m[0]))[:16]
+                self.add(a, b, kind, [*form, f"{form[-1]} digits={digits}", f"{form[-1]} shape={shape}"])
 
     def _names(self) -> None:
         i = 0
@@ -204,7 +236,7 @@ class Lattice:
             while j < self.n and self._placey(j):
                 j += 1
             # Starts: where a part may begin. Ends: after words and numbers. All of the run, only the span's length is bounded.
-            begins = [k for k in range(i, j) if self.low[k] == "#" or self.cls[k] != "punct" and (k == i or self._edge(k))]
+            begins = [k for k in range(i, j) if self.low[k] == "#" or self.cls[k] != "punct" and (k == i or self._edge(k)) and (self.cls[k] != "partly" or self.lex.starts.get(self.low[k]))]
             ends = [k for k in range(i + 1, j + 1) if self.cls[k - 1] != "punct" or self.low[k - 1] == "." and k - 1 > i]
             ends = [k for k in ends if k == j or k == ends[-1] or self._stop(k)]
             for a in begins:
@@ -233,67 +265,68 @@ class Lattice:
         body = self.low[a:b]
         f = [f"addr known={min(known, 8)}", f"addr nums={min(nums, 5)}", f"addr unknown={min(unknown, 5)}", f"addr other={min(other, 3)}"]
         f += [f"addr start={self.low[a] if self.cls[a] in ('address', 'punct') or self.low[a] in _HOUSE else self.cls[a]}", f"addr end={self.cls[b - 1]}{len(self.low[b - 1]) if self.cls[b - 1] == 'num' else ''}"]
+        f.append(f"addr start seen={self.lex.starts.get(self.low[a], 0) >= 3 or self.cls[a]}")
         f += [f"addr road={any(w in _ROAD for w in body)}", f"addr house={any(w in _HOUSE or w == '#' for w in body)}", f"addr len={min((b - a) // 4, 9)}"]
         if self.cls[b - 1] == "num" and len(self.low[b - 1]) == 6 or b - a > 2 and [len(w) for w in self.low[b - 2 : b]] == [3, 3] and self.cls[b - 1] == self.cls[b - 2] == "num":
             f.append("addr pin at end")
-        if b < self.n:
-            f.append(f"addr goes on={self._placey(b)} {self.cls[b]}")
-        if a:
-            f.append(f"addr before={self._placey(a - 1)} {self.cls[a - 1]}")
+        f += [f"addr goes on={self._beyond(b, 1)}", f"addr before={self._beyond(a - 1, -1)}"]
         self.add(a, b, "address", f)
 
-    # --- dynamic programming ---
-
-    def decode(self, weights: dict[str, float]) -> list[tuple[int, int, str]]:
-        """The best segmentation as (first token, end token, type)."""
-        best = [0.0] * (self.n + 1)
-        back: list[tuple[int, str] | None] = [None] * (self.n + 1)
-        get = weights.get
-        for b in range(1, self.n + 1):
-            top, arg = best[b - 1], None
-            for a, kind, features in self.into[b]:
-                s = best[a] + sum(get(f, 0.0) for f in features)
-                if s > top:
-                    top, arg = s, (a, kind)
-            best[b], back[b] = top, arg
-        out, b = [], self.n
-        while b > 0:
-            if back[b] is None:
-                b -= 1
-            else:
-                a, kind = back[b]
-                out.append((a, b, kind))
-                b = a
-        return out[::-1]
-
-    def learn(self, gold: set[tuple[int, int, str]], weights: dict[str, float], sums: dict[str, float], rate: float) -> float:
-        """One gradient step of the log likelihood (adaptive rates); the log likelihood before it."""
-        get = weights.get
-        score = [[(a, kind, f, sum(get(x, 0.0) for x in f)) for a, kind, f in at] for at in self.into]
-        ahead = [0.0] * (self.n + 1)
-        for b in range(1, self.n + 1):
-            ahead[b] = _logsum([ahead[b - 1], *(ahead[a] + s for a, _, _, s in score[b])])
-        after = [0.0] * (self.n + 1)
-        onward: list[list[tuple[int, float]]] = [[] for _ in range(self.n + 1)]
-        for b in range(1, self.n + 1):
-            for a, _, _, s in score[b]:
-                onward[a].append((b, s))
-        for a in range(self.n - 1, -1, -1):
-            after[a] = _logsum([after[a + 1], *(after[b] + s for b, s in onward[a])])
-        total, value = ahead[self.n], 0.0
-        grad: dict[str, float] = defaultdict(float)
-        for b in range(1, self.n + 1):
-            for a, kind, f, s in score[b]:
-                p = math.exp(min(0.0, ahead[a] + s + after[b] - total))
-                g = ((a, b, kind) in gold) - p
-                value += s if (a, b, kind) in gold else 0.0
-                if abs(g) > 1e-4:
-                    for x in f:
-                        grad[x] += g
-        for x, g in grad.items():
-            sums[x] = sums.get(x, 0.0) + g * g
-            weights[x] = get(x, 0.0) * 0.9999 + rate * g / math.sqrt(sums[x] + 1e-6)
-        return value - total
+    def _beyond(self, k: int, step: int) -> str:
+        """The class of the next word on the line, from token k on, if it may be of an address: a span should not stop short of it."""
+        while 0 <= k < self.n and self.cls[k] == "punct" and self.low[k] in ",./-–—:#()":
+            k += step
+        if not 0 <= k < self.n or "\n" in (self.text[self.ends[k - 1] : self.starts[k]] if step > 0 and k else self.text[self.ends[k] : self.starts[k + 1]] if step < 0 and k + 1 < self.n else ""):
+            return "nothing"
+        return self.cls[k] if self.cls[k] != "punct" and self._placey(k) else "nothing"
+
+class Weights:
+    """Weights of features, named "type|feature", with the sums that decoding asks for again and again."""
+
+    def __init__(self, values: dict[str, float], context: bool) -> None:
+        self.values, self.context = values, context
+        self.sums: dict[tuple, float] = {}
+
+    def of(self, kind: str, features: tuple[str, ...]) -> float:
+        key = (kind, features)
+        s = self.sums.get(key)
+        if s is None:
+            if len(self.sums) > 300_000:
+                self.sums.clear()
+            get = self.values.get
+            s = self.sums[key] = sum(get(f"{kind}|{f}", 0.0) for f in features)
+        return s
+
+
+def decode(x: Lattice, weights: Weights) -> list[tuple[int, int, str]]:
+    """The best segmentation as (first token, end token, type)."""
+    best = [0.0] * (x.n + 1)
+    back: list[tuple[int, str] | None] = [None] * (x.n + 1)
+    of, left = weights.of, {}
+    bias = {k: weights.values.get(f"{k}|bias", 0.0) for k in TYPES}
+    for b in range(1, x.n + 1):
+        top, arg = best[b - 1], None
+        right: dict[str, float] = {}
+        for a, kind, form in x.into[b]:
+            s = best[a] + bias[kind] + of(kind, form)
+            if weights.context:
+                if (a, kind) not in left:
+                    left[a, kind] = of(kind, x.before(a))
+                if kind not in right:
+                    right[kind] = of(kind, x.after(b))
+                s += left[a, kind] + right[kind]
+            if s > top:
+                top, arg = s, (a, kind)
+        best[b], back[b] = top, arg
+    out, b = [], x.n
+    while b > 0:
+        if back[b] is None:
+            b -= 1
+        else:
+            a, kind = back[b]
+            out.append((a, b, kind))
+            b = a
+    return out[::-1]
 
 
 def _logsum(xs: list[float]) -> float:
@@ -301,171 +334,213 @@ def _logsum(xs: list[float]) -> float:
     return top + math.log(sum(math.exp(x - top) for x in xs)) if len(xs) > 1 else top
 
 
-# --- labelled texts ---------------------------------------------------------------------------------------------------
-
+class Learner:
+    """Stochastic gradient ascent of the log likelihood, with rates that adapt to each weight. Features are numbered once."""
+
+    def __init__(self, context: bool) -> None:
+        self.context, self.number = context, {}
+        self.w: list[float] = []
+        self.g2: list[float] = []
+        for name in _PRIOR:
+            self._id(name)
+
+    def prepared(self, x: Lattice, gold: set[tuple[int, int, str]]) -> tuple[int, list[tuple[int, int, list[int], bool]]]:
+        """(tokens, segments) of a text: begin, end, feature numbers and whether it is a labelled one."""
+        out = []
+        for b in range(1, x.n + 1):
+            for a, kind, form in x.into[b]:
+                names = ("bias", *form, *x.before(a), *x.after(b)) if self.context else ("bias", *form)
+                out.append((a, b, [self._id(f"{kind}|{f}") for f in names], (a, b, kind) in gold))
+        return x.n, out
+
+    def _id(self, name: str) -> int:
+        i = self.number.get(name)
+        if i is None:
+            i = self.number[name] = len(self.w)
+            self.w.append(_PRIOR.get(name, 0.0))
+            self.g2.append(0.0)
+        return i
+
+    def marginals(self, n: int, segments: list[tuple[int, int, list[int], bool]]) -> tuple[float, list[float]]:
+        """The logarithm of the sum over all segmentations, and the probability of each segment, by forward and backward sums."""
+        w = self.w
+        scores = [sum([w[i] for i in ids]) for _, _, ids, _ in segments]
+        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        begins: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        for (a, b, _, _), s in zip(segments, scores):
+            ends[b].append((a, s))
+            begins[a].append((b, s))
+        ahead, after = [0.0] * (n + 1), [0.0] * (n + 1)
+        for b in range(1, n + 1):
+            ahead[b] = _logsum([ahead[b - 1], *[ahead[a] + s for a, s in ends[b]]]) if ends[b] else ahead[b - 1]
+        for a in range(n - 1, -1, -1):
+            after[a] = _logsum([after[a + 1], *[after[b] + s for b, s in begins[a]]]) if begins[a] else after[a + 1]
+        total = ahead[n]
+        return total, [math.exp(min(0.0, ahead[a] + s + after[b] - total)) for (a, b, _, _), s in zip(segments, scores)]
+
+    def step(self, n: int, segments: list[tuple[int, int, list[int], bool]], rate: float) -> None:
+        grad: dict[int, float] = defaultdict(float)
+        for (_, _, ids, labelled), p in zip(segments, self.marginals(n, segments)[1]):
+            g = labelled - p
+            if abs(g) > 1e-3:
+                for i in ids:
+                    grad[i] += g
+        w, g2 = self.w, self.g2
+        for i, g in grad.items():
+            g2[i] += g * g
+            w[i] = w[i] * 0.9999 + rate * g / math.sqrt(g2[i] + 1e-6)
+
+    def weights(self) -> Weights:
+        return Weights({k: round(self.w[i], 4) for k, i in self.number.items() if abs(self.w[i]) > 0.01}, self.context)
+
+
+# --- distant labels -----------------------------------------------------------------------------------------------------
+
+#: Fields of template records and what their values are.
 _FIELDS = {"applicant_name": "name", "fathers_name": "name", "address": "address", "current_address": "address", "mobile_no": "phone", "pan_number": "id_number", "aadhaar_number": "id_number"}
 _TITLE = re.compile(r"^(?:(?:mrs?|ms|m/s|smt|shri|sri|dr|kum)\b\.?\s*)+", re.IGNORECASE)
-#: Sentence frames. {n} name, {p} phone, {a} address, {i} identity number, {e} e-mail, {d} a date, {x} a number, {t} a title or nothing.
-_FRAMES = (
-    "Met {t}{n} at {a}.", "Spoke to {t}{n} on {p}; papers go to {e}.", "Call back {p} after {d}.", "Alternate contact {p}, belongs to brother {n}.",
-    "Guarantor {t}{n} (id {i}) signed before the officer.", "Copy of card {i} was blurred, asked for a new scan.", "Original of {i} returned to bearer.",
-    "Courier returned from {a} - door locked.", "Customer moved; new residence: {a}.", "Witness {n}, {a}.", "Co-borrower: {t}{n}; ph. {p}; resides {a}.",
-    "As told by {t}{n} over the phone, the tenant of {a} left in {d}.", "Neighbour {n} confirmed that the applicant lives at {a}.", "Tele-verification: {t}{n} answered {p} at the second attempt.",
-    "Referee {x}: {n}, {p}.", "Ids {i} / {i} both legible.", "PAN seen in original: {i}.", "Ref {i} matched, holder {n}, mobile {p}.", "Old number {p} is dead, use {p}.",
-    "Please remove {e} from the mailing list, says {n}.", "Mail trail: {e} to {e}, subject APPL file.", "KYC mail bounced ({e}).", "Statement to be mailed to {e} before {d}.",
-    "Employer's desk wrote from {e} confirming that {n} is on the rolls.", "{n}/{p}", "{e};{p}", "Sd/- {n}", "पता: {a}", "आवेदक {n} से {p} पर बात हुई।", "{t}{n} ने पहचान संख्या {i} दिखाई।",
-    "Dear {t}{n},", "Respected {n},", "To\n{n},\n{a}\n", "Regards\n{n}", "Contact {n} at {p} or {e}.", "Lives with {n} at {a}.", "{n} ({p}) will bring the form.",
-)
-_PLAIN = (
-    "Himgiri Credit Desk has no objection.", "Sunrise Residency project is on the approved list.", "Rules of Station Road Market Committee do not apply here.", "No adverse remark.",
-    "Applicant will call later.", "Page {x} unreadable, rescan asked.", "Aadhaar shown as XXXX XXXX {y} only.", "Masked PAN XXXXXX{y}X on the print.", "Account closes with {y}.",
-    "UTR N{z} credited on {d}.", "Cheque no. {x}{y} drawn for {x}{y}/-.", "EMI of Rs. {x}{y}.00 falls due on the 5th.", "Branch code {y}{x}, product Two Wheeler Loan.", "File APPL{y}{y} was received on {d} and numbered {y}{x}.",
-    "Disbursal memo v{x}.{x}.{x} kept in folder {y}{x}-{y}{x}.", "Sanction letter and KFS agree, amount {x}{y}.", "Irr {x}.00 percent, tenor as printed.", "Helpdesk mails are answered in two days.", "दस्तावेज़ पूरे हैं।",
-    "Remarks:", "FIELD VISIT NOTE", "Call log", "Observations of the officer:", "Regards", "Account {z} was opened at Temple Street Branch.", "Loan {z} of Rs. {x}{y} is regular.",
-)
-
-
-def _records(texts: list[str]) -> list[tuple[dict, str]]:
-    out = []
+
+Spans = list[tuple[int, int, str]]
+
+
+def record_spans(text: str) -> tuple[Spans, int] | None:
+    """The labelled spans of a template record and where its free part begins; None for a text that is none."""
+    if not text.lstrip().startswith("{"):
+        return None
+    try:
+        record = json.loads(text)
+    except ValueError:
+        return None
+    if not isinstance(record, dict):
+        return None
+    spans, cut = [], len(text)
+    for field, v in record.items():
+        if field not in _FIELDS and isinstance(v, str) and len(v) > 40:
+            at = text.find(json.dumps(v, ensure_ascii=False))
+            cut = min(cut, at) if at >= 0 else cut
+    for field, kind in _FIELDS.items():
+        v = record.get(field)
+        if not isinstance(v, str) or not v.strip() or kind == "id_number" and re.search(r"[Xx*]{3}", v):
+            continue
+        key = text.find(f'"{field}"')
+        at = text.find(v, key + len(field) + 2) if key >= 0 else -1
+        if 0 <= at < cut:
+            title = _TITLE.match(v) if kind == "name" else None
+            spans.append((at + (len(title[0]) if title else 0), at + len(v), kind))
+    return spans, cut
+
+
+def sampled(texts: list[str]) -> tuple[list[tuple[str, Spans]], list[str]]:
+    """Records without their free parts, labelled, and the free parts and notes, unlabelled."""
+    records, notes = [], []
     for t in texts:
-        if t.lstrip().startswith("{"):
-            try:
-                r = json.loads(t)
-            except ValueError:
-                continue
-            if isinstance(r, dict):
-                out.append((r, t))
-    return out
+        found = record_spans(t)
+        if found is None:
+            notes.append(t)
+            continue
+        spans, cut = found
+        records.append((t[:cut], spans))
+        if cut < len(t):
+            notes.append(t[cut:])
+    return records, notes
 
 
-def _email(name: str, rng: random.Random) -> str:
-    p = [w for w in re.findall(r"[a-z]+", name.lower()) if len(w) > 2] or ["post"]
-    who = rng.choice([p[0] + str(rng.randint(2, 999)), rng.choice("._-").join(p[:2]), p[-1] + "." + p[0][0], "-".join(p[:2]) + "+loan", p[0][0] + p[-1] + str(rng.randint(2, 99))])
-    host, end = rng.choice(["mail.example", "example", "branch", "posta", "kuriyar", "daak"]), rng.choice(["com", "net", "org", "test", "example", "invalid"])
-    at, dot = rng.choice([("@", "."), ("@", "."), ("@", "."), (" @ ", "."), (" (at) ", " dot "), (" at ", " dot "), (" at ", "."), ("[at]", "[dot]")])
-    return f"{who}{at}{host.replace('.', dot) if ' ' in dot else host}{dot}{end}"
+_WORD = re.compile(r"[^\W\d_]{2,}", re.UNICODE)
 
 
-def _fill(frame: str, values: dict[str, list[str]], rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
-    out, spans, kinds = "", [], {"n": "name", "a": "address", "p": "phone", "i": "id_number", "e": "email"}
-    for part in re.split(r"(\{\w\})", frame):
-        if not re.fullmatch(r"\{\w\}", part):
-            out += part
-            continue
-        k = part[1]
-        if k in kinds:
-            v = rng.choice(values[kinds[k]]) if k != "e" else _email(rng.choice(values["name"]), rng)
-            if k == "i" and rng.random() < 0.2:
-                v = rng.choice("ABCHJKLMNPRSTUVZ") + f"{rng.randint(0, 9999999):07d}"
-            if k in "na":
-                style = rng.random()
-                v = v.upper() if style < 0.12 else v.lower() if style < 0.2 else v
-            spans.append((len(out), len(out) + len(v), kinds[k]))
-            out += v
-        elif k == "t":
-            out += rng.choice(["", "", "Mr ", "Mr. ", "Shri ", "Smt. ", "Ms ", "Smt "])
-        elif k == "d":
-            out += f"{rng.randint(1, 28):02d}/{rng.randint(1, 12):02d}/2025"
-        else:
-            out += {"x": str(rng.randint(1, 99)), "y": f"{rng.randint(0, 9999):04d}", "z": str(rng.randint(10**13, 10**15))}[k]
-    return out, spans
-
-
-def labelled(texts: list[str], seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Texts with spans: template records without their free part, and notes composed from their values."""
-    rng = random.Random(seed)
-    values: dict[str, list[str]] = defaultdict(list)
-    out = []
-    for record, text in _records(texts):
-        spans, cut = [], len(text)
-        for field in record:
-            if field not in _FIELDS and isinstance(record[field], str) and len(record[field]) > 40:
-                at = text.find(json.dumps(record[field], ensure_ascii=False))
-                cut = min(cut, at) if at >= 0 else cut
-        for field, kind in _FIELDS.items():
-            v = record.get(field)
-            if not isinstance(v, str) or not v.strip() or kind == "id_number" and re.search(r"[Xx*]{3}", v):
-                continue
-            key = text.find(f'"{field}"')
-            at = text.find(v, key + len(field) + 2) if key >= 0 else -1
-            if at < 0 or at >= cut:
-                continue
-            skip = len(_TITLE.match(v)[0]) if kind == "name" and _TITLE.match(v) else 0
-            spans.append((at + skip, at + len(v), kind))
-            if len(v) - skip > 3:
-                values[kind].append(v[skip:])
-        out.append((text[:cut], spans))
-    if all(values[k] for k in ("name", "address", "phone", "id_number")):
-        for _ in range(2 * len(out)):
-            text, spans = "", []
-            for _ in range(rng.randint(2, 5)):
-                t, s = _fill(rng.choice(_FRAMES) if rng.random() < 0.6 else rng.choice(_PLAIN), values, rng)
-                text += rng.choice([" ", "\n", "\n- ", " "]) if text else ""
-                spans += [(a + len(text), b + len(text), k) for a, b, k in s]
-                text += t
-            out.append((text, spans))
-    return out
+def lexicon(labelled: list[tuple[str, Spans]], notes: list[str]) -> Lexicon:
+    """Words by where they stand in labelled texts; words of unlabelled notes are ordinary if they recur and stand in no name or address."""
+    lex = Lexicon()
+    for text, spans in labelled:
+        inside = [0] * (len(text) + 1)
+        for a, b, kind in spans:
+            if kind == "address" and (first := _TOKEN.match(text, a)):
+                lex.starts[first[0].lower()] += 1
+            inside[a:b] = [1 if kind == "name" else 2 if kind == "address" else 3] * (b - a)
+        for m in _WORD.finditer(text):
+            at = inside[m.start()]
+            if at < 3:
+                (lex.other, lex.name, lex.address)[at][m[0].lower()] += 1
+    # A word seen once in a name or an address is as well a slip as a word: the model must learn to do without.
+    seen = dict(lex.address)
+    lex.name = {w: n for w, n in lex.name.items() if n >= 2}
+    lex.address = {w: n for w, n in lex.address.items() if n >= 3}
+    lex.freeze()
+    for w, n in Counter(w for t in notes for w in {m[0].lower() for m in _WORD.finditer(t)}).items():
+        # What is made of the parts of names is taken for one that no record has; a word of addresses must be far more frequent.
+        if n >= ORDINARY and w not in lex.name and n > 4 * seen.get(w, 0) and w[:4] not in lex.heads:
+            lex.other[w] = lex.other.get(w, 0) + n
+    return lex
+
+
+def voted(labelled: list[tuple[str, Spans]]) -> list[tuple[str, Spans]]:
+    """Labels of numbers without those whose word before says another kind: most numbers after it are in no public format."""
+    last = re.compile(r"([^\W\d_]+)\W{0,3}$", re.UNICODE)
+    before = lambda t, at: m[1].lower() if (m := last.search(t, max(0, at - 24), at)) else ""
+    all_after, taken = Counter(), Counter()
+    for t, spans in labelled:
+        numbers = {a: b for a, b, kind in spans if kind in ("phone", "id_number")}
+        taken.update(before(t, a) for a in numbers)
+        all_after.update(before(t, a) for a in numbers.keys() | {m.start() for m in _NUMBERISH.finditer(t) if not _DATE.match(m[0])})
+    other = {w for w, n in all_after.items() if w and n >= ORDINARY and taken[w] < 0.6 * n}
+    return [(t, [x for x in spans if x[2] not in ("phone", "id_number") or before(t, x[0]) not in other]) for t, spans in labelled]
 
 
 class Model:
     """A fitted field: weights and lexicon."""
 
-    def __init__(self, weights: dict[str, float], lexicon: Lexicon) -> None:
+    def __init__(self, weights: Weights, lexicon: Lexicon) -> None:
         self.weights, self.lexicon = weights, lexicon
 
-    def spans(self, text: str | None) -> list[tuple[int, int, str]]:
+    def spans(self, text: str | None) -> Spans:
         """(start, end, type) of personal information, 0-based, in order and disjoint."""
         if not text or not text.strip():
             return []
         x = Lattice(text, self.lexicon)
-        return [(x.starts[a], x.ends[b - 1], kind) for a, b, kind in x.decode(self.weights)]
+        return [(x.starts[a], x.ends[b - 1], kind) for a, b, kind in decode(x, self.weights)]
 
 
-def fit(texts: list[str], epochs: int = EPOCHS, seed: int = 5) -> Model:
-    sample = labelled(texts, seed)
-    lex = Lexicon()
-    for text, spans in sample:
-        inside = [0] * (len(text) + 1)
-        for a, b, kind in spans:
-            inside[a:b] = [1 if kind == "name" else 2 if kind == "address" else 3] * (b - a)
-        for m in re.finditer(r"[^\W\d_]{2,}", text, re.UNICODE):
-            w = m[0].lower()
-            (lex.other, lex.name, lex.address, {})[inside[m.start()]].setdefault(w, 0)
-            if inside[m.start()] < 3:
-                (lex.other, lex.name, lex.address)[inside[m.start()]][w] += 1
-    # A word seen once in a name or an address is as well a slip as a word: the model must learn to do without.
-    lex.name = {w: n for w, n in lex.name.items() if n >= 2}
-    lex.address = {w: n for w, n in lex.address.items() if n >= 3}
-    lex.freeze()
-    weights: dict[str, float] = {}
-    sums: dict[str, float] = {}
-    rng = random.Random(seed)
-    lattices = []
-    for text, spans in sample:
+def _gold(x: Lattice, spans: Spans) -> set[tuple[int, int, str]]:
+    gold = set()
+    for a, b, kind in spans:
+        i, j = bisect_left(x.starts, a), bisect_left(x.ends, b) + 1
+        if kind == "name" or kind == "address":  # closing punctuation is no part of a segment
+            fits = [(p, q) for q in range(max(0, j - 2), min(x.n, j + 1) + 1) for p, k, _ in x.into[q] if k == kind and p == i]
+            if fits:
+                i, j = min(fits, key=lambda f: abs(f[1] - j))
+        gold.add((i, j, kind))
+    return gold
+
+
+def _fit(labelled: list[tuple[str, Spans]], lex: Lexicon, context: bool, epochs: int, seed: int) -> Model:
+    learner, rng = Learner(context), random.Random(seed)
+    ready = []
+    for text, spans in labelled:
         x = Lattice(text, lex)
-        gold = set()
-        for a, b, kind in spans:
-            i, j = bisect_left(x.starts, a), bisect_left(x.ends, b) + 1
-            if kind == "name" or kind == "address":  # closing punctuation is no part of a segment
-                fits = [(p, q) for q in range(max(0, j - 2), min(x.n, j + 1) + 1) for p, k, _ in x.into[q] if k == kind and p == i]
-                if fits:
-                    i, j = min(fits, key=lambda f: abs(f[1] - j))
-            gold.add((i, j, kind))
-        lattices.append((x, gold))
+        ready.append(learner.prepared(x, _gold(x, spans)))
     for epoch in range(epochs):
-        rng.shuffle(lattices)
-        for x, gold in lattices:
-            x.learn(gold, weights, sums, RATE / (1 + 0.3 * epoch))
-    return Model({k: round(v, 4) for k, v in weights.items() if abs(v) > 0.01}, lex)
+        rng.shuffle(ready)
+        for n, segments in ready:
+            learner.step(n, segments, RATE / (1 + 0.3 * epoch))
+    return Model(learner.weights(), lex)
+
+
+def fit(texts: list[str], epochs: int = EPOCHS, rounds: int = ROUNDS, seed: int = 5) -> Model:
+    """The field of a sample of texts: records label themselves, notes are labelled by the round before."""
+    records, notes = sampled(texts)
+    model = _fit(records, lexicon(records, notes), False, epochs, seed)
+    for _ in range(rounds):
+        labelled = records + voted([(t, model.spans(t)) for t in notes])
+        model = _fit(labelled, lexicon(labelled, []), True, epochs, seed)
+    return model
 
 
 def fitted(rows: DataFrame, key: str = "extraction_id", text: str = "_formatted_text") -> Model:
-    """The model of a table: fitted on at most FIT_RECORDS of its template records, taken by a hash of the key."""
+    """The model of a table: fitted on at most FIT_TEXTS of its texts, taken by a hash of the key."""
     # Thinned by a hash first, so that what all tasks together hand over stays near the bound.
-    every = max(1, rows.count() // (4 * FIT_RECORDS))
-    thin = rows.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0)
-    records = thin.where(F.ltrim(F.col(text)).startswith("{")).select(key, text).orderBy(F.xxhash64(key), key).limit(FIT_RECORDS)
-    return fit(records.toPandas()[text].tolist())
+    every = max(1, rows.count() // (4 * FIT_TEXTS))
+    thin = rows.where((F.pmod(F.xxhash64(key), F.lit(every)) == 0) & F.col(text).isNotNull())
+    return fit(thin.select(key, text).orderBy(F.xxhash64(key), key).limit(FIT_TEXTS).toPandas()[text].tolist())
 
 
 def find(rows: DataFrame, model: Model, key: str = "extraction_id", text: str = "_formatted_text") -> DataFrame:
@@ -474,11 +549,12 @@ def find(rows: DataFrame, model: Model, key: str = "extraction_id", text: str =
     spans: array of struct pii_type, start_pos (1-based), length. A null text stays null, an empty one empty, both
     without spans; repeated rows are treated alike; extra columns are ignored. Texts are decoded whole.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((model.weights, model.lexicon))
+    shared = rows.sparkSession.sparkContext.broadcast((model.weights.values, model.weights.context, model.lexicon))
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Model(*shared.value)
+        values, context, words = shared.value
+        own = Model(Weights(values, context), words)
         for pdf in batches:
             known: dict[str, tuple[str, list]] = {}
             out = []
