@@ -1,14 +1,18 @@
 """Problem 8: passages of held-out evaluation items inside corpus documents.
 
-Template canonicalisation. A text becomes a sequence of words and, beside it, of template tokens: numbers become one
-placeholder, and words that are no ordinary words of the evaluation items (names, places, misread words) another.
-Units and currencies are ordinary words of the items and stand for themselves.
-Windows of WINDOW template tokens are hashed; a document's windows meet the items' windows in a hash join. The items
-are a stated, fixed set, so the built side of the join is small; it is handed to every task in blocks of BLOCK_ITEMS items and
-the documents are streamed past it once per block, without any shuffle. A meeting of windows is then checked slot by
-slot, whether or not its own slots agree: from it the stretch of words taken over is followed in both directions, where
-a single altered, misread, split, lost or added word and a page heading do not end it. Only words that agree count as
-taken over, so a text with the same template but other words is told from a copy.
+Template canonicalisation. A text becomes a sequence of words and, beside it, of template tokens: numbers, units and
+names have a typed placeholder each, the ordinary words of the evaluation items stand for themselves. A word that is none of
+these (a name that no item has, a misread word) counts as a name.
+Windows of WINDOW template tokens are hashed, and the documents' windows meet the items' windows in a hash join.
+What meets is checked slot by slot along its diagonal:
+
+* literal: the words taken over are followed in both directions, where a single altered, misread, split, lost or added
+  word and a page heading do not end the stretch. Only words that agree count, so another text of the same template is none.
+* re-parameterised: LEAST or more template tokens agree in one piece, some slots hold other values, and the slots are
+  consistent: one value of the item always became the same value of the document, and different ones different values.
+
+The join has two ways. Items of up to ITEM_BYTES are handed to every task and the documents are streamed past them once.
+Larger sets stay distributed: documents keep what passes a bitmap of the items' windows, of a fixed size, and the rest is joined by hash.
 """
 
 from __future__ import annotations
@@ -21,14 +25,25 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from attestra.session import checkpointed
 
-#: Template tokens of a hashed window; fewest of them that are no placeholders; words a stretch must take over.
-WINDOW, SOLID, LEAST = 4, 3, 18
-#: Template tokens of a number and of a name or another word that is none of the template's; all others are larger.
-NUMBER, NAME = 0, 1
-#: Items of one block of the built side.
-BLOCK_ITEMS = 5000
+#: Template tokens of a hashed window; fewest of them that are no placeholders; words (or template tokens) a stretch must take over.
+WINDOW, SOLID, LEAST = 5, 2, 18
+#: Template tokens of numbers, of units and of names and words that are none of the template's; all others are larger.
+NUMBER, UNIT, NAME = 1, 2, 3
+#: Units and currencies.
+UNITS = frozenset(
+    "rupees rupee rs inr paise lakh lakhs crore crores dollar dollars euro euros percent percentage bps day days week weeks fortnight fortnights month months quarter quarters "
+    "year years hour hours minute minutes kg kgs kilogram kilograms gram grams quintal quintals tonne tonnes km kms kilometre kilometres metre metres acre acres hectare hectares litre litres".split()
+)
+#: A stretch is followed from a piece of it: two or more windows on one diagonal with PIECE equal words, single words between them aside.
+PIECE = 5
+#: Bytes of passages up to which items are handed to every task; bits of the bitmaps of words and of windows.
+ITEM_BYTES, WORD_BITS, WINDOW_BITS = 32 << 20, 20, 22
 #: Words that a page heading or other inserted line may have within a stretch.
 HEADING = 12
 
@@ -62,82 +77,189 @@ def words(text: str | None, latin: bool = False) -> list[str]:
     return _APART.sub(" ", text.lower()).split()
 
 
+class Vocabulary(dict):
+    """The template token of a word, from a bitmap of the items' ordinary words."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = xxhash.xxh64_intdigest(w)
+        if w[0].isdigit():
+            code = NUMBER
+        elif w in UNITS:
+            code = UNIT
+        else:
+            code = (h >> 2) | 8 if self.bits[h & ((1 << WORD_BITS) - 1)] else NAME
+        self[w] = code
+        return code
+
+
+_LETTERS = re.compile(r"[^\W\d_]+", re.UNICODE)
+
+
+def ordinary(passages: list[str | None]) -> Counter:
+    """How the words of passages speak for or against being ordinary ones: (word, "lower", "upper" or "head") -> times.
+
+    A name is written with a capital throughout and no sentence starts with it; the rest is the template's vocabulary.
+    """
+    seen: Counter = Counter()
+    for p in passages:
+        seen.update((w.lower(), "lower" if w[0].islower() else "upper") for w in _LETTERS.findall(p or ""))
+        seen.update((m[1].lower(), "head") for s in re.split(r"(?<=[.!?])\s+", p or "") if (m := re.match(r"\W*([^\W\d_]+)", s, re.UNICODE)))
+    return seen
+
+
+def is_ordinary(word: str, lower: int, head: int) -> bool:
+    return lower > 0 and len(word) > 1 or head > 0
+
+
+def word_bits(words_in: list[str]) -> np.ndarray:
+    bits = np.zeros(1 << WORD_BITS, dtype=bool)
+    for w in words_in:
+        bits[xxhash.xxh64_intdigest(w) & ((1 << WORD_BITS) - 1)] = True
+    return bits
+
+
+def windows(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of the template windows with enough words that are no placeholders."""
+    n = len(code) - WINDOW + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    h, solid = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int8)
+    with np.errstate(over="ignore"):
+        for i in range(WINDOW):
+            c = code[i : i + n]
+            h = h * np.int64(1_000_003) + (c ^ (c >> np.int64(21)))
+            solid += c > NAME
+        h ^= h >> np.int64(29)
+    pos = np.flatnonzero(solid >= SOLID)
+    return h[pos], pos
+
+
 class Index:
-    """The built side of the join: template windows of a block of items."""
+    """The built side of the join: template windows of items, with their words for the check of slots."""
 
-    def __init__(self, ids: list[int], passages: list[str | None]) -> None:
+    def __init__(self, ids: list[int], passages: list[str | None], bits: np.ndarray | None = None) -> None:
         self.ids = ids
-        self.latin = all(w.isascii() for p in passages for w in words(p))
+        if bits is None:
+            seen = ordinary(passages)
+            bits = word_bits([w for w in {w for w, _ in seen} if is_ordinary(w, seen[w, "lower"], seen[w, "head"])])
+        self.codes = Vocabulary(bits)
         self.items = [words(p) for p in passages]
+        self.latin = all(w.isascii() for item in self.items for w in item)
         self.backwards = [item[::-1] for item in self.items]
-        # A name is written with a capital throughout and no sentence starts with it; the rest is the template's vocabulary.
-        lower, upper = Counter(), Counter()
-        for p in passages:
-            for w in re.findall(r"[^\W\d_]+", p or "", re.UNICODE):
-                (lower if w[0].islower() else upper)[w.lower()] += 1
-        heads = {re.match(r"\W*([^\W\d_]*)", s, re.UNICODE)[1].lower() for p in passages for s in re.split(r"(?<=[.!?])\s+", p or "")}
-        solid = sorted({w for w in lower if len(w) > 1} | (set(upper) & heads))
-        rng = np.random.default_rng(11)
-        codes = rng.integers(1 << 20, 1 << 62, size=len(solid), dtype=np.int64)
-        self.code = dict(zip(solid, codes.tolist()))
-        hashes, at = [], []
-        for n, item in enumerate(self.items):
-            h, pos = self.windows(item)
-            hashes.append(h)
-            at.append(np.stack([np.full(len(pos), n), pos], axis=1))
-        h = np.concatenate(hashes) if hashes else np.empty(0, np.int64)
-        place = np.concatenate(at) if at else np.empty((0, 2), int)
+        self.number = {w: i for i, w in enumerate({w for item in self.items for w in item}, 1)}
+        codes = [self.coded(item) for item in self.items]
+        self.start = np.cumsum([0] + [len(c) for c in codes])
+        self.code = np.concatenate(codes) if codes else np.empty(0, np.int64)
+        self.word = np.array([self.number[w] for item in self.items for w in item], dtype=np.int64)
+        found = [windows(c) for c in codes]
+        h = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
+        place = np.concatenate([np.stack([np.full(len(f[1]), n), f[1]], axis=1) for n, f in enumerate(found)]) if found else np.empty((0, 2), int)
         order = np.argsort(h, kind="stable")
         self.hashes, self.place = h[order], place[order]
-        self.filter = np.zeros(1 << 20, dtype=bool)
-        self.filter[self.hashes & ((1 << 20) - 1)] = True
-
-    def windows(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and positions of the template windows with enough words that are no placeholders."""
-        if len(ws) < WINDOW:
-            return np.empty(0, np.int64), np.empty(0, int)
-        get = self.code.get
-        code = np.fromiter((get(w) or (NUMBER if w[0].isdigit() else NAME) for w in ws), dtype=np.int64, count=len(ws))
-        n = len(ws) - WINDOW + 1
-        h = np.zeros(n, dtype=np.int64)
-        solid = np.zeros(n, dtype=np.int8)
-        with np.errstate(over="ignore"):
-            for i in range(WINDOW):
-                c = code[i : i + n]
-                h = h * np.int64(1_000_003) + (c ^ (c >> np.int64(21)))
-                solid += c > NAME
-            h ^= h >> np.int64(29)
-        pos = np.flatnonzero(solid >= SOLID)
-        return h[pos], pos
-
-    def leaks(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item id, words taken over in the longest stretch, position of its first word) of items that leaked into a text."""
+        self.filter = np.zeros(1 << WINDOW_BITS, dtype=bool)
+        self.filter[self.hashes & ((1 << WINDOW_BITS) - 1)] = True
+
+    def coded(self, ws: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.codes.__getitem__, ws), dtype=np.int64, count=len(ws))
+
+    def leaks(self, text: str | None) -> list[tuple[int, str, int, int]]:
+        """(item id, kind, words taken over or template tokens in the longest stretch, its first word) of items that leaked into a text."""
         doc = words(text, self.latin)
-        h, pos = self.windows(doc)
-        near = self.filter[h & ((1 << 20) - 1)]
+        code = self.coded(doc)
+        h, pos = windows(code)
+        near = self.filter[h & ((1 << WINDOW_BITS) - 1)]
         h, pos = h[near], pos[near]
         if not len(h):
             return []
         left, right = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        met = right > left
+        times = right - left
+        if not times.any():
+            return []
+        # Every meeting of two windows lies on a diagonal of (item, document); all of a diagonal's words are compared at once.
+        at = np.repeat(left - np.cumsum(times) + times, times) + np.arange(times.sum())
+        n, q, p = self.place[at, 0], self.place[at, 1], np.repeat(pos, times)
+        key = n * (1 << 32) + (p - q)
+        order = np.argsort(key, kind="stable")
+        key, q = key[order], q[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        meets = np.diff(np.append(first, len(key)))
+        several = meets >= 2
+        if not several.any():
+            return []
+        lane = key[first[several]]
+        dd = ((lane + (1 << 31)) & ((1 << 32) - 1)) - (1 << 31)
+        dn = (lane - dd) >> 32
+        # Only what lies between a diagonal's first and last meeting, and LEAST words around it, can be of a stretch that starts on it.
+        lo = np.maximum(np.maximum(q[first[several]] - LEAST, 0), -dd)
+        hi = np.minimum(np.minimum(q[first[several] + meets[several] - 1] + WINDOW + LEAST, self.start[dn + 1] - self.start[dn]), len(doc) - dd)
+        size = hi - lo
+        flat = np.repeat(np.arange(len(dn)), size)
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - lo, size)
+        here, own = inside + dd[flat], self.start[dn][flat] + inside
+        number = self.number.get
+        ids = np.fromiter((number(w, 0) for w in doc), dtype=np.int64, count=len(doc))
+        change = flat[1:] != flat[:-1]
+        equal = ids[here] == self.word[own]
+        # A piece closes single words that differ.
+        closed = equal.copy()
+        closed[1:-1] |= equal[:-2] & equal[2:] & ~change[1:] & ~change[:-1]
+        a, b = _runs(closed, change)
+        total = np.concatenate([[0], np.cumsum(equal)])
+        good = total[b] - total[a] >= PIECE
+        out = self._literal(doc, dn[flat[a[good]]], inside[a[good]], here[a[good]])
+        known = {x[0] for x in out}
+        a, b = _runs(code[here] == self.code[own], change)
+        long = b - a >= LEAST
+        best: dict[int, tuple[int, int]] = {}
+        for x, y in zip(a[long].tolist(), b[long].tolist()):
+            i, f, g = int(dn[flat[x]]), int(inside[x]), int(here[x])
+            if self.ids[i] not in known and y - x > best.get(i, (0, 0))[0] and consistent(self.items[i][f : f + y - x], doc[g : g + y - x]):
+                best[i] = (y - x, g)
+        return out + [(self.ids[i], "re-parameterised", k, g) for i, (k, g) in sorted(best.items())]
+
+    def _literal(self, doc: list[str], n: np.ndarray, q: np.ndarray, p: np.ndarray) -> list[tuple[int, str, int, int]]:
         backwards = doc[::-1]
         best: dict[int, tuple[int, int]] = {}
-        done: dict[int, list[tuple[int, int, int]]] = {}
-        for p, a, b in zip(pos[met].tolist(), left[met].tolist(), right[met].tolist()):
-            for n, q in self.place[a:b].tolist():
-                # A meeting within a stretch already followed adds nothing.
-                item = self.items[n]
-                spans = done.setdefault(n, [])
-                if spans and any(s <= p < e and f <= q < g for s, e, f, g in spans[-3:]):
-                    continue
-                # Words before the meeting are read from reversed copies.
-                back, p0, q0 = stretch(backwards, self.backwards[n], len(doc) - p, len(item) - q, -1)
-                p0, q0 = len(doc) - 1 - p0, len(item) - 1 - q0
-                ahead, p1, q1 = stretch(doc, item, p, q, 1)
-                spans.append((p0, p1, q0, q1))
-                if back + ahead > best.get(n, (0, 0))[0]:
-                    best[n] = (back + ahead, p0)
-        return [(self.ids[n], k, p) for n, (k, p) in sorted(best.items()) if k >= LEAST]
+        done: dict[int, list[tuple[int, int, int, int]]] = {}
+        for i, b, a in zip(n.tolist(), q.tolist(), p.tolist()):
+            # A piece within a stretch already followed adds nothing.
+            item, spans = self.items[i], done.setdefault(i, [])
+            if any(s <= a < e and f <= b < g for s, e, f, g in spans):
+                continue
+            # Words before the piece are read from reversed copies.
+            back, p0, q0 = stretch(backwards, self.backwards[i], len(doc) - a, len(item) - b, -1)
+            p0, q0 = len(doc) - p0, len(item) - q0
+            ahead, p1, q1 = stretch(doc, item, a, b, 1)
+            spans.append((p0, p1, q0, q1))
+            if back + ahead > best.get(i, (0, 0))[0]:
+                best[i] = (back + ahead, p0)
+        return [(self.ids[i], "literal", k, first) for i, (k, first) in sorted(best.items()) if k >= LEAST]
+
+
+def _runs(flags: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of true flags, which do not go over a change."""
+    begins = flags.copy()
+    begins[1:] &= ~flags[:-1] | change
+    ends = flags.copy()
+    ends[:-1] &= ~flags[1:] | change
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def consistent(item: list[str], doc: list[str]) -> bool:
+    """Whether slots that differ are filled by one rule: equal values stay equal and different ones different."""
+    there: dict[str, str] = {}
+    back: dict[str, str] = {}
+    changed = False
+    for x, y in zip(item, doc):
+        if there.setdefault(x, y) != y or back.setdefault(y, x) != x:
+            return False
+        changed |= x != y
+    return changed
 
 
 def misread(a: str, b: str) -> bool:
@@ -183,27 +305,79 @@ def stretch(d: list[str], e: list[str], p: int, q: int, step: int) -> tuple[int,
     return taken, i, j
 
 
-def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage") -> DataFrame:
-    """(key, item_id, words, first_word): documents with LEAST or more words taken over from an item in one stretch.
+def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """(key, item_id, kind, words, first_word): documents into which an item leaked, literally or with other values in its slots.
 
-    Every document is scanned whole against all items. Null and empty texts and passages match nothing; repeated
-    documents are reported each under its key; extra columns are ignored. Items are read in blocks of a fixed size, so
-    the memory of a task does not depend on how many there are.
+    Every document is scanned whole, once, against all items. Null and empty texts and passages match nothing; repeated
+    documents are reported each under its key; extra columns are ignored; a literal leak is not reported as a re-parameterised one too.
     """
-    rows = items.where(f"{passage} is not null").select(item, passage).orderBy(item).toPandas()
+    rows = items.where(F.col(passage).isNotNull()).select(F.col(item).alias("item_id"), F.col(passage).alias("passage"))
     kind, ikind = documents.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    out = None
-    for at in range(0, max(1, len(rows)), BLOCK_ITEMS):
-        part = rows.iloc[at : at + BLOCK_ITEMS]
-        block = (part[item].tolist(), part[passage].tolist())
-        shared = documents.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = Index(*shared.value)
-            for pdf in batches:
-                found = [(k, *x) for k, t in zip(pdf[key], pdf[text]) for x in index.leaks(t if isinstance(t, str) else None)]
-                yield pd.DataFrame(found, columns=[key, "item_id", "words", "first_word"])
-
-        hits = documents.select(key, text).mapInPandas(run, f"{key} {kind}, item_id {ikind}, words int, first_word int")
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    schema = f"{key} {kind}, item_id {ikind}, kind string, words int, first_word int"
+    columns = [key, "item_id", "kind", "words", "first_word"]
+    if (rows.agg(F.sum(F.octet_length("passage"))).first()[0] or 0) > item_bytes:
+        return _joined(documents, rows, key, text, schema, columns)
+    held = rows.orderBy("item_id", "passage").toPandas()
+    shared = documents.sparkSession.sparkContext.broadcast((held["item_id"].tolist(), held["passage"].tolist()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = Index(*shared.value)
+        for pdf in batches:
+            yield pd.DataFrame([(k, *x) for k, t in zip(pdf[key], pdf[text]) for x in index.leaks(t if isinstance(t, str) else None)], columns=columns)
+
+    return documents.select(key, text).mapInPandas(run, schema)
+
+
+def _joined(documents: DataFrame, items: DataFrame, key: str, text: str, schema: str, columns: list[str]) -> DataFrame:
+    """The same for items of any number. What reaches the driver are the set bits of two bitmaps of a fixed size."""
+
+    def spoken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(w, how, k) for (w, how), k in ordinary(pdf["passage"].tolist()).items()], columns=["word", "how", "n"])
+
+    def bit_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"bit": np.flatnonzero(word_bits([w for w, n, h in zip(pdf["word"], pdf["lower"], pdf["head"]) if is_ordinary(w, n, h)]))})
+
+    count = lambda how: F.sum(F.when(F.col("how") == how, F.col("n")).otherwise(0))
+    said = items.mapInPandas(spoken, "word string, how string, n bigint").groupBy("word").agg(count("lower").alias("lower"), count("head").alias("head"))
+    ordinary_bits = np.zeros(1 << WORD_BITS, dtype=bool)
+    ordinary_bits[said.mapInPandas(bit_of, "bit bigint").distinct().toPandas()["bit"].to_numpy(dtype=np.int64)] = True
+
+    sc = documents.sparkSession.sparkContext
+    vocabulary = sc.broadcast(ordinary_bits)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = Vocabulary(vocabulary.value)
+        for pdf in batches:
+            found = [(i, windows(np.fromiter(map(codes.__getitem__, ws), np.int64, len(ws)))[0]) for i, p in zip(pdf["item_id"], pdf["passage"]) if (ws := words(p))]
+            yield pd.DataFrame([(i, x) for i, h in found for x in np.unique(h).tolist()], columns=["item_id", "h"])
+
+    ikind = items.schema["item_id"].dataType.simpleString()
+    cuts = checkpointed(items.mapInPandas(cut, f"item_id {ikind}, h bigint"))
+    window_bits = np.zeros(1 << WINDOW_BITS, dtype=bool)
+    window_bits[cuts.select(F.col("h").bitwiseAND(F.lit((1 << WINDOW_BITS) - 1)).alias("bit")).distinct().toPandas()["bit"].to_numpy(dtype=np.int64)] = True
+    passed = sc.broadcast(window_bits)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = Vocabulary(vocabulary.value)
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf[key], pdf[text]):
+                ws = words(t if isinstance(t, str) else None)
+                h = windows(np.fromiter(map(codes.__getitem__, ws), np.int64, len(ws)))[0]
+                h = np.unique(h[passed.value[h & ((1 << WINDOW_BITS) - 1)]])
+                if len(h):
+                    out.append((k, t, h.tolist()))
+            yield pd.DataFrame(out, columns=[key, "text", "hs"])
+
+    kind = documents.schema[key].dataType.simpleString()
+    met = checkpointed(documents.select(key, text).mapInPandas(near, f"{key} {kind}, text string, hs array<bigint>").withColumn("_row", F.monotonically_increasing_id()))
+    pairs = met.select("_row", F.explode("hs").alias("h")).join(cuts, "h").select("_row", "item_id").distinct()
+    both = met.select("_row", key, "text").join(pairs, "_row").join(items, "item_id").select(key, "text", "item_id", "passage")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(k, *x) for k, t, i, p in zip(pdf[key], pdf["text"], pdf["item_id"], pdf["passage"]) for x in Index([i], [p], vocabulary.value).leaks(t)], columns=columns)
+
+    return both.mapInPandas(check, schema)

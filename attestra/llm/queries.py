@@ -44,12 +44,21 @@ def p7_usage(spark: SparkSession, d: str) -> DataFrame:
     return packing.usage(p7_containers(spark, d))
 
 
+def _leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the evaluation items that leaked into them."""
-    found = leakage.leaked(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
+    """Documents with the evaluation items of which they take over eighteen or more words in one stretch."""
+    found = _leaked(spark, d).where("kind = 'literal'")
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("item_id").cast("long").alias("item_id")).distinct()
 
 
+def p8_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with evaluation items taken over literally or with other values in their slots."""
+    return _leaked(spark, d)
+
+
 def _classified(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     return language.classify(spread(documents.select("doc_id", "text", "lang")), language.fitted(documents), label="lang")
@@ -72,7 +81,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p3_found, p4_found, p4_redacted, p5_found, p7_containers, p7_usage, p8_found, p9_found, p9_languages, p9_segments)
+    every = (p3_found, p4_found, p4_redacted, p5_found, p7_containers, p7_usage, p8_found, p8_templates, p9_found, p9_languages, p9_segments)
     return {f.__name__: f for f in every}
 
 

@@ -33,7 +33,7 @@ def test_every_exact_stretch_is_found():
         ws = items[n].split()
         a, k = rng.randrange(20), rng.randrange(12, 30)
         text = f"filler text goes here first. {' '.join(ws[a : a + k])} afterwards nothing else of note."
-        found = {i for i, _, _ in index.leaks(text)}
+        found = {i for i, kind, _, _ in index.leaks(text) if kind == "literal"}
         for i, item in enumerate(items):
             if brute(text, item) >= leakage.LEAST:
                 assert i in found
@@ -54,10 +54,41 @@ def test_alterations_do_not_end_a_stretch():
         assert index.leaks(f"Before it. {text} After it."), name
 
 
+ITEM = "Clause 565716 says the surveyor Gadagappa consolidates every wedding advance until arrears are certified; Khas differs by 726442 rupees. One elderly beekeeper named Gadagappa rejects the tractor credit of Rs. 123606 at Kot."
+
+
 def test_same_template_with_other_words_is_no_leak():
-    item = "Clause 565716 says the surveyor Gadagappa consolidates every wedding advance until arrears are certified; Khas differs by 726442. One elderly beekeeper named Belurekar rejects the tractor credit of Rs. 123606 at Kot."
     other = "Clause 33465 says the welder Beluria postpones every seed facility before insurers reply; Jalkhed differs by 938328. One minor potter named Mandapan appeals the dairy float of Rs. 556276 at Ambegiri."
-    assert leakage.Index([1], [item]).leaks(other) == []
+    assert leakage.Index([1], [ITEM]).leaks(other) == []
+
+
+def test_reparameterised_item_is_found():
+    index = leakage.Index([1], [ITEM])
+    slots = {"565716": "881", "Gadagappa": "Beluria", "Khas": "Jalkhed", "726442": "938,328", "rupees": "dollars", "123606": "556276", "Kot": "Ambegiri"}
+    text = ITEM
+    for old, new in slots.items():
+        text = text.replace(old, new)
+    # The template goes on over every slot.
+    got = index.leaks(f"Seen before. {text} And so on.")
+    assert got and got[0][0] == 1
+    short = "Sum 5 metres, Anand, 6 metres, Bela, 7 metres, Chitra, 8 metres, Devi; then weigh 9 metres, Esha, 11 metres, Fatima."
+    index = leakage.Index([2], ["Sum the lots: then weigh. " + short])
+    numbers = short.replace("5", "51").replace("6", "62").replace("7", "73").replace("8", "84").replace("9", "95").replace("Anand", "Ravi").replace("Bela", "Sita")
+    assert [(i, kind) for i, kind, _, _ in index.leaks("It says: the lots: then weigh. " + numbers)] in ([(2, "re-parameterised")], [(2, "literal")])
+
+
+def test_slots_must_be_consistent():
+    item = "pay 5 rupees to Anand and then 5 rupees to Bela".split()
+    assert leakage.consistent(item, "pay 7 rupees to Ravi and then 7 rupees to Sita".split())
+    assert not leakage.consistent(item, "pay 7 rupees to Ravi and then 8 rupees to Sita".split())
+    assert not leakage.consistent(item, "pay 7 rupees to Ravi and then 7 rupees to Ravi".split())
+    assert not leakage.consistent(item, item)
+
+
+def test_placeholders_are_typed():
+    index = leakage.Index([1], ["The lender charges 12 rupees. The lender meets Anand within 3 months."])
+    code = dict(zip(("lender", "12", "rupees", "months", "anand", "unheard"), index.coded(["lender", "12", "rupees", "months", "anand", "unheard"]).tolist()))
+    assert code["12"] == leakage.NUMBER and code["rupees"] == code["months"] == leakage.UNIT and code["anand"] == code["unheard"] == leakage.NAME and code["lender"] > leakage.NAME
 
 
 def test_rows_and_edges(spark):
@@ -69,12 +100,16 @@ def test_rows_and_edges(spark):
     assert leakage.leaked(docs.limit(0), items).count() == leakage.leaked(docs, items.limit(0)).count() == 0
 
 
-def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 2)
+def test_joined_way_gives_the_same_rows(spark):
+    rng = random.Random(6)
     ps = [passage(random.Random(k), 40) for k in range(5)]
-    docs = spark.createDataFrame([(k, p) for k, p in enumerate(ps)], "doc_id bigint, text string")
-    items = spark.createDataFrame([(k, p) for k, p in enumerate(ps)], "item_id bigint, passage string")
-    assert {(r[0], r[1]) for r in leakage.leaked(docs, items).collect()} >= {(k, k) for k in range(5)}
+    texts = ps + [f"Start. {' '.join(ps[k % 5].split()[3:30])} end." for k in range(6)] + [passage(rng, 30), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([*enumerate(ps), (77, None), (78, "")], "item_id bigint, passage string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    held, joined = rows(leakage.leaked(docs, items)), rows(leakage.leaked(docs, items, item_bytes=0))
+    assert held == joined and {(r[0], r[1]) for r in held} >= {(k, k) for k in range(5)}
+    assert leakage.leaked(docs.limit(0), items, item_bytes=0).count() == 0
 
 
 def test_one_altered_slot_near_the_limit():
@@ -84,11 +119,11 @@ def test_one_altered_slot_near_the_limit():
     assert len(leakage.words(" ".join(ws))) == 20
     for at, other in ((4, "Mandapan"), (19, "33465"), (15, "Belurekar")):
         text = " ".join(["Earlier", "notes", "end.", *ws[:at], other, *ws[at + 1 :], "Nothing", "more."])
-        assert [(i, k >= 18) for i, k, _ in index.leaks(text)] == [(1, True)], other
+        assert [(i, kind, k >= 18) for i, kind, k, _ in index.leaks(text)] == [(1, "literal", True)], other
 
 
 def test_windows_whose_slots_all_differ_start_a_stretch():
     ordinary = [w for w in dict.fromkeys(WORDS) if len(w) > 2][:24]
     fill = lambda base: " ".join(f"{w} {base + i}" if i % 3 == 2 else w for i, w in enumerate(ordinary))
     index = leakage.Index([3], [fill(1000)])
-    assert [(i, k) for i, k, _ in index.leaks(fill(77000))] == [(3, 24)]
+    assert [(i, kind, k) for i, kind, k, _ in index.leaks(fill(77000))] == [(3, "literal", 24)]
