@@ -2,8 +2,9 @@
 
 Suffix blocking: each name is indexed by the suffixes of its tokens. Short suffixes are common ("-murthy" ends a tenth
 of all surnames), so an entry is a suffix of minimum length refined with another field of the record: day of birth,
-last characters of an identity number, phone, house. All mentions of an entry meet, also of a common one; nothing is
-discarded. Candidate pairs are compared by the longest-common-subsequence ratio of their
+last characters of an identity number, phone, house. A record stands under the suffixes of the applicant's and of the
+father's words alike, all of them. All mentions of an entry meet, also of a common one; nothing is discarded, and there
+is no way to a candidate but a suffix. Candidate pairs are compared by the longest-common-subsequence ratio of their
 tokens, with initials, nicknames and lost or reordered parts allowed for, and linked if the other fields do not
 contradict and say enough that the bearer is the same.
 """
@@ -151,6 +152,7 @@ def digits_of(c: Column) -> Column:
 
 
 ABOUT = ["dob", "pan", "aad", "mob"]
+#: A mention: a record of the loan ("los": its applicant `name` and the father `other`) or a card ("pan_applicant_name").
 MENTION = ["field", "loan_id", "name", *ABOUT, "other", "homes"]
 
 
@@ -168,7 +170,7 @@ def with_homes(person: DataFrame) -> DataFrame:
 
 
 def mentions(los: DataFrame, fields: DataFrame) -> DataFrame:
-    """One row per (field, loan, spelling) with what the record says of the person. Null and blank names give none."""
+    """One row per (record, loan, spellings) with what the record says of the person. Null and blank names give none."""
     norm = los.select(
         "loan_id", "applicant_name", "fathers_name",
         day_of(F.col("applicant_dob")).alias("dob"), pan_of(F.col("applicant_pan_number")).alias("pan"),
@@ -178,9 +180,7 @@ def mentions(los: DataFrame, fields: DataFrame) -> DataFrame:
     grouped = norm.groupBy("loan_id", "applicant_name", "fathers_name").agg(*[F.max(c).alias(c) for c in (*ABOUT, "address", "address2")])
     person = with_homes(grouped).persist()
     none = [F.lit(None).cast("string").alias(c) for c in ("_applicant", "_dob", "_pan")]
-    # The father's entries need houses only: that he is of the same child is seen at the child's own entries.
-    own = person.select(F.lit("applicant_name").alias("field"), "loan_id", F.col("applicant_name").alias("name"), *ABOUT, F.col("fathers_name").alias("other"), "homes", *none)
-    father = person.where("homes != ''").select(F.lit("fathers_name").alias("field"), "loan_id", F.col("fathers_name").alias("name"), *ABOUT, F.col("applicant_name").alias("other"), "homes", *none)
+    own = person.select(F.lit("los").alias("field"), "loan_id", F.col("applicant_name").alias("name"), *ABOUT, F.col("fathers_name").alias("other"), "homes", *none)
     value = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))
     cards = (
         fields.where((F.col("doc_key") == "pan") & F.col("loan_id").isNotNull() & F.col("field").isin("applicant_name", "dob", "pan_number", "fathers_name"))
@@ -196,18 +196,26 @@ def mentions(los: DataFrame, fields: DataFrame) -> DataFrame:
         F.lit("pan_applicant_name").alias("field"), "loan_id", "name", F.col("d").alias("dob"), F.col("p").alias("pan"), "aad", "mob", F.col("f").alias("other"),
         "homes", F.col("applicant_name").alias("_applicant"), F.col("dob").alias("_dob"), F.col("pan").alias("_pan"),
     )
-    return own.unionByName(father).unionByName(card).where(F.trim("name") != "")
+    return own.unionByName(card).where((F.trim("name") != "") | (F.col("field") == "los") & (F.trim("other") != ""))
 
 
 #: The columns that are compared, and what parts them in one string.
 BODY, SEPARATOR = ["loan_id", "name", "dob", "pan", "aad", "mob", "other", "homes"], "\x1f"
 ENTRY = ", ".join(f"{c} string" for c in MENTION) + ", keys array<string>"
-#: Pairs of refining fields that say enough without a suffix: day of birth, identity numbers and phone.
-_TWICE = frozenset(("da", "dp", "dm", "am", "pa", "pm"))
+
+
+def suffixes(name: str | None) -> set[str]:
+    """The indexed suffixes of a name's words of three letters and more."""
+    return {frame(w)[-SUFFIX:] for w in tokens(name) if len(w) >= 3 and w not in _FILLERS} if name else set()
 
 
 def entries(named: DataFrame) -> DataFrame:
-    """Mentions with their suffix entries: keys, each a suffix and a refining field, as "suffix|refinement"."""
+    """Mentions with their entries in the suffix index: keys, each a suffix and a refining field, as "suffix|refinement".
+
+    A record stands under the suffixes of both its names. Those of the applicant are refined with each field of the record, those of
+    the father with the house and the child's day of birth, phone and numbers: where one name lost its suffix to a slip or
+    an initial, the other's finds the record.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -219,17 +227,9 @@ def entries(named: DataFrame) -> DataFrame:
                     else:
                         aad = mob = homes = None
                 refine = [x for x in (dob and "d" + dob, pan and len(pan) >= 4 and "p" + pan[-4:], aad and len(aad) >= 4 and "a" + aad[-4:], mob and "m" + mob) if x]
-                words = sorted({frame(w) for w in tokens(name) if len(w) >= 3 and w not in _FILLERS}, key=lambda w: (-len(w), w))
-                tails = {w[-SUFFIX:] for w in words}
-                # A house, or two fields together, refine so far that the suffix may be lost to a slip or an initial.
-                alone = ["h" + h for h in homes.split("|")] if homes else []
-                if field == "fathers_name":
-                    refine = []
-                    dob = pan = aad = mob = other = None  # what is known is known of the child
-                else:
-                    alone += [x + y for n, x in enumerate(refine) for y in refine[n + 1 :] if x[0] + y[0] in _TWICE]
-                twice = [f"|{x}" for x in alone]
-                out.append((field, loan, name, dob, pan, aad, mob, other, homes, list({f"{s}|{x}" for s in tails for x in refine} | set(twice))))
+                refine += ["h" + h for h in homes.split("|")] if homes else []
+                keys = {f"{s}|{x}" for s in suffixes(name) | suffixes(other) for x in refine}
+                out.append((field, loan, name, dob, pan, aad, mob, other, homes, list(keys)))
             yield pd.DataFrame(out, columns=[*MENTION, "keys"])
 
     return named.mapInPandas(run, ENTRY)
@@ -298,11 +298,9 @@ def linked(los: DataFrame, fields: DataFrame) -> DataFrame:
     pairs = candidates(base)
     # What is compared travels as one string: ten short columns would weigh twice as much in the two joins.
     body = F.array_join(F.array(*[F.translate(F.coalesce(c, F.lit("")), SEPARATOR, "") for c in BODY]), SEPARATOR)
-    left = base.select(F.col("id").alias("a"), "field", F.col("dob").alias("x_dob"), body.alias("x"))
-    right = base.select(F.col("id").alias("b"), F.col("dob").alias("y_dob"), body.alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    # Another day of birth is another person; a father may have several children.
-    both = both.where((F.col("field") == "fathers_name") | F.col("x_dob").isNull() | F.col("y_dob").isNull() | (F.col("x_dob") == F.col("y_dob"))).select("field", "x", "y")
+    left = base.select(F.col("id").alias("a"), "field", body.alias("x"))
+    right = base.select(F.col("id").alias("b"), body.alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("field", "x", "y")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -310,20 +308,23 @@ def linked(los: DataFrame, fields: DataFrame) -> DataFrame:
             for f, x, y in zip(pdf["field"], pdf["x"], pdf["y"]):
                 l1, n1, d1, p1, a1, m1, o1, h1 = x.split(SEPARATOR)
                 l2, n2, d2, p2, a2, m2, o2, h2 = y.split(SEPARATOR)
-                if l1 == l2:
+                if l1 == l2 or n1 == n2 and o1 == o2:
                     continue
                 one, two = (l1, l2) if l1 < l2 else (l2, l1)
+                other_day = bool(d1 and d2 and d1 != d2)
+                if f == "los" and o1 != o2 and o1 and o2 and h1 and h2 and not set(h1.split("|")).isdisjoint(h2.split("|")) and same_name(o1, o2) >= 0.55:
+                    # Fathers of one house; the children may be different.
+                    out.append(("fathers_name", one, two))
+                if other_day:
+                    continue  # another day of birth is another person
                 s = same_name(n1, n2)
-                if f == "fathers_name":
-                    # Of one house; the children may be different.
-                    if n1 != n2 and s >= 0.55 and set(h1.split("|")) & set(h2.split("|")):
-                        out.append((f, one, two))
+                if s <= 0:
                     continue
                 e = evidence(d1, p1, a1, m1, h1, d2, p2, a2, m2, h2)
                 related = same_name(o1, o2) if o1 and o2 else None
                 if n1 != n2 and same_bearer(s, e, related):
-                    out.append((f, one, two))
-                if f == "applicant_name" and related and o1 != o2 and same_father(related, e, s):
+                    out.append(("applicant_name" if f == "los" else f, one, two))
+                if f == "los" and related and o1 != o2 and same_father(related, e, s):
                     out.append(("fathers_name", one, two))
             yield pd.DataFrame(out, columns=["field", "loan_a", "loan_b"])
 
