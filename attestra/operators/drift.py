@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from attestra.session import checkpointed, spread
+from attestra.session import checkpointed, split
 
 #: Flooded score from which a pair is taken to be a rename, and the share of equal contents that alone is enough.
 ACCEPT = 0.5
@@ -205,7 +205,7 @@ def renames(fields: DataFrame, types: DataFrame, order: DataFrame, record: str =
             yield pd.DataFrame(found, columns=["feed", "file_no", "old_name", "new_name", "score"])
 
     kind = dict(types.dtypes)
-    return spread(graphs).mapInPandas(run, f"feed {kind['feed']}, file_no {kind['file_no']}, old_name string, new_name string, score double")
+    return split(graphs).mapInPandas(run, f"feed {kind['feed']}, file_no {kind['file_no']}, old_name string, new_name string, score double")
 
 
 def with_record(lines: DataFrame, record: str = "loan_id", payload: str = "payload") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.operators import drift, nested, units
-from attestra.session import spread, table
+from attestra.session import split, table
 
 DURATIONS = ("loan_validity", "tenure_months", "tenure")
 
@@ -40,7 +40,7 @@ def p2_unified(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The children of inspections and benchmark runs."""
-    return nested.child_rows(table(spark, d, "inspections"), spread(table(spark, d, "bench_runs").select("run_id", "ocr_bench_report")))
+    return nested.child_rows(table(spark, d, "inspections"), split(table(spark, d, "bench_runs").select("run_id", "ocr_bench_report")))
 
 
 def p6_signatures(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,17 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. A folder of this machine only where Spark runs on this machine alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder; on a cluster one is needed")
+    return f"file://{tempfile.mkdtemp(prefix='attestra-')}"
+
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where neither the setting nor the
-    context names one (single-machine tests) a temporary folder is set.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df with a reliable checkpoint in the folder named by spark.checkpoint.dir, see shared_folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="attestra-cp-", dir=os.environ.get("TMPDIR")))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -53,7 +56,8 @@ def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Round-robin (or hash by cols) over the session's shuffle partitions: few input splits must not mean few tasks."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *cols) if cols else df.repartition(n)
+def split(df: DataFrame) -> DataFrame:
+    """df as its files are split. Only a scan of fewer splits than the application has cores is spread over them, by a shuffle
+    that is small as the scan is; a large one is left where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
