@@ -39,6 +39,8 @@ _OF = {n: lang for lang, names in NOTATIONS.items() for n in names}
 P, BITS = 4, 18
 #: Labelled documents that the model is fitted on at most, distinct sentences of them, and landmarks per language.
 FIT_DOCUMENTS, FIT_SENTENCES, LANDMARKS = 3000, 6000, 80
+#: Sentences of one labelled document that the model is fitted on at most.
+FIT_OF_ONE = 40
 RIDGE = 0.3
 
 
@@ -203,7 +205,7 @@ def fitted(documents: DataFrame, key: str = "doc_id", text: str = "text", label:
     for t, lab in zip(picked[text], picked[label]):
         langs = named(lab)
         if len(langs) == 1:
-            for a, b in sentences(t)[:40]:
+            for a, b in sentences(t)[:FIT_OF_ONE]:
                 votes.setdefault(canonical(t[a:b]), Counter())[next(iter(langs))] += 1
     pairs = {t: max(sorted(v), key=v.get) for t, v in votes.items()}
     chosen = sorted(pairs.items(), key=lambda x: hash_text(x[0]))[:FIT_SENTENCES]
@@ -220,19 +222,32 @@ def hash_text(s: str) -> int:
     return h
 
 
-SEGMENTS = "segment int, start_pos int, end_pos int, lang string, confidence double"
+_LETTER = re.compile(r"[^\W\d_]", re.UNICODE)
 
 
-def classify(documents: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text", label: str | None = None, merged: bool = True) -> DataFrame:
-    """One row per document: key, languages (array of struct lang, sentences, confidence), segments and total sentences.
+def remainder(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What lies between whole sentences and holds letters: headings, table rows, greetings, texts without terminal marks."""
+    out, at = [], 0
+    for a, b in [*spans, (len(text), len(text))]:
+        piece = text[at:a]
+        if _LETTER.search(piece):
+            out.append((at + len(piece) - len(piece.lstrip()), at + len(piece.rstrip())))
+        at = b
+    return out
+
+
+def classify(documents: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text", label: str | None = None, rest: bool = False) -> DataFrame:
+    """One row per document: key, languages (array of struct lang, sentences, letters, confidence), segments and total sentences.
 
-    segments: maximal runs of sentences in one language, with 1-based positions in the text. A document without whole sentences has none of
-    either; null and empty texts likewise. Repeated rows are classified each. Extra columns are ignored.
+    segments: maximal runs of sentences in one language, with 1-based positions in the text. rest: what lies outside of whole
+    sentences is classified too, as pieces that count no sentence, so that every text with letters has a language and no part
+    of it is without a segment. Otherwise a document without whole sentences has none of either; null and empty texts have
+    none in any case. Repeated rows are classified each. Extra columns are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(weights)
     kind = documents.schema[key].dataType.simpleString()
     schema = (
-        f"{key} {kind}, _label string, n_sentences int, languages array<struct<lang:string,sentences:int,confidence:double>>, "
+        f"{key} {kind}, _label string, n_sentences int, languages array<struct<lang:string,sentences:int,letters:int,confidence:double>>, "
         "segments array<struct<lang:string,start_pos:int,end_pos:int,sentences:int,confidence:double>>"
     )
 
@@ -240,8 +255,9 @@ def classify(documents: DataFrame, weights: np.ndarray, key: str = "doc_id", tex
         w = shared.value
         known: dict[str, tuple[int, float]] = {}
         for pdf in batches:
-            spans = [sentences(t) if isinstance(t, str) else [] for t in pdf[text]]
-            forms = [[canonical(t[a:b]) for a, b in s] for t, s in zip(pdf[text], spans)]
+            whole = [sentences(t) if isinstance(t, str) else [] for t in pdf[text]]
+            spans = [sorted([(*x, 1) for x in s] + [(*x, 0) for x in remainder(t, s)]) if rest and isinstance(t, str) else [(*x, 1) for x in s] for t, s in zip(pdf[text], whole)]
+            forms = [[canonical(t[a:b]) for a, b, _ in s] for t, s in zip(pdf[text], spans)]
             if len(known) > 200_000:
                 known.clear()
             new = list({f for fs in forms for f in fs} - known.keys())
@@ -249,23 +265,26 @@ def classify(documents: DataFrame, weights: np.ndarray, key: str = "doc_id", tex
                 s = score(new, w)
                 known.update(zip(new, zip(s.argmax(axis=1).tolist(), confidence(s).tolist())))
             rows = []
-            for k, lab, span, fs in zip(pdf[key], pdf["_label"], spans, forms):
+            for k, lab, span, fs, n_whole in zip(pdf[key], pdf["_label"], spans, forms, map(len, whole)):
                 runs: list[list] = []
                 total: dict[int, list] = {}
-                for (a, b), f in zip(span, fs):
+                for (a, b, one), f in zip(span, fs):
                     c, p = known[f]
-                    t = total.setdefault(c, [0, 0.0])
-                    t[0] += 1
-                    t[1] += p
+                    t = total.setdefault(c, [0, 0, 0, 0.0])
+                    t[0] += one
+                    t[1] += b - a
+                    t[2] += 1
+                    t[3] += p
                     if runs and runs[-1][0] == c:
-                        runs[-1][2], runs[-1][3], runs[-1][4] = b, runs[-1][3] + 1, runs[-1][4] + p
+                        last = runs[-1]
+                        last[2], last[3], last[4], last[5] = b, last[3] + one, last[4] + 1, last[5] + p
                     else:
-                        runs.append([c, a + 1, b, 1, p])
-                ranked = sorted(total.items(), key=lambda x: (-x[1][0], x[0]))
+                        runs.append([c, a + 1, b, one, 1, p])
+                ranked = sorted(total.items(), key=lambda x: (-x[1][0], -x[1][1], x[0]))
                 rows.append((
-                    k, lab, len(span),
-                    [(LANGUAGES[c], n, p / n) for c, (n, p) in ranked],
-                    [(LANGUAGES[c], a, b, n, p / n) for c, a, b, n, p in runs],
+                    k, lab, n_whole,
+                    [(LANGUAGES[c], n, size, p / m) for c, (n, size, m, p) in ranked],
+                    [(LANGUAGES[c], a, b, n, p / m) for c, a, b, n, m, p in runs],
                 ))
             yield pd.DataFrame(rows, columns=[key, "_label", "n_sentences", "languages", "segments"])
 
@@ -274,12 +293,18 @@ def classify(documents: DataFrame, weights: np.ndarray, key: str = "doc_id", tex
 
 
 def labels(classified: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per document: its main language and confidence (the share of its sentences times their mean confidence), and whether it is mixed."""
+    """One row per document: its main language and confidence, and whether it is mixed.
+
+    The main language has most whole sentences, or most of the text where there are none. The confidence is its share of
+    these times their mean confidence. A text without letters has neither.
+    """
     first = F.try_element_at("languages", F.lit(1))
+    size = F.aggregate("languages", F.lit(0), lambda a, x: a + x["letters"])
+    share = F.when(F.col("n_sentences") > 0, first["sentences"] / F.col("n_sentences")).otherwise(first["letters"] / size)
     return classified.select(
         key,
         first["lang"].alias("lang"),
-        (first["confidence"] * first["sentences"] / F.col("n_sentences")).alias("confidence"),
+        (first["confidence"] * share).alias("confidence"),
         (F.size(F.filter("languages", lambda x: x["sentences"] >= 2)) > 1).alias("mixed"),
     )
 
@@ -287,7 +312,7 @@ def labels(classified: DataFrame, key: str = "doc_id") -> DataFrame:
 def unnamed(classified: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, lang): languages with two or more whole sentences, or the only one, that the document's label does not name."""
     each = classified.select(key, "_label", "n_sentences", F.explode("languages").alias("x"))
-    enough = (F.col("x.sentences") >= 2) | (F.col("n_sentences") == 1)
+    enough = (F.col("x.sentences") >= 2) | (F.col("n_sentences") == 1) & (F.col("x.sentences") == 1)
     out = each.where(enough).select(key, F.col("x.lang").alias("lang"), "_label")
     words = F.split(F.lower(F.trim("_label")), r"[^\p{L}\p{M}]+")
     names = F.create_map(*[x for lang, ns in NOTATIONS.items() for x in (F.lit(lang), F.array(*map(F.lit, ns)))])

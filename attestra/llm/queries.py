@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import address, language, leakage, names, packing, pii
-from attestra.session import spread, table
+from attestra.session import split, table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,13 +19,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Each piece of personal information in the extracted texts."""
     rows = table(spark, d, "extractions")
-    return pii.occurrences(pii.find(spread(rows.select("extraction_id", "_formatted_text")), pii.fitted(rows)))
+    return pii.occurrences(pii.find(split(rows.select("extraction_id", "_formatted_text")), pii.fitted(rows)))
 
 
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The extracted texts with placeholders in place of personal information."""
     rows = table(spark, d, "extractions")
-    found = pii.find(spread(rows.select("extraction_id", "_formatted_text")), pii.fitted(rows))
+    found = pii.find(split(rows.select("extraction_id", "_formatted_text")), pii.fitted(rows))
     return found.select("extraction_id", "redacted", F.size("spans").cast("long").alias("n_spans"))
 
 
@@ -36,7 +36,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """Where each piece of each document lies, for each capacity."""
-    return packing.pack(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "pack_limits"))
+    return packing.pack(split(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "pack_limits"))
 
 
 def p7_usage(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,7 @@ def p7_usage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaked(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"))
+    return leakage.leaked(split(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,9 +59,9 @@ def p8_templates(spark: SparkSession, d: str) -> DataFrame:
     return _leaked(spark, d)
 
 
-def _classified(spark: SparkSession, d: str) -> DataFrame:
+def _classified(spark: SparkSession, d: str, rest: bool = False) -> DataFrame:
     documents = table(spark, d, "documents")
-    return language.classify(spread(documents.select("doc_id", "text", "lang")), language.fitted(documents), label="lang")
+    return language.classify(split(documents.select("doc_id", "text", "lang")), language.fitted(documents), label="lang", rest=rest)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,12 +71,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_languages(spark: SparkSession, d: str) -> DataFrame:
     """The language of each document, with a confidence."""
-    return language.labels(_classified(spark, d))
+    return language.labels(_classified(spark, d, rest=True))
 
 
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     """The segments of mixed documents, each with its language and confidence."""
-    each = _classified(spark, d).where(F.size("segments") > 1).select("doc_id", F.posexplode("segments").alias("segment", "x"))
+    each = _classified(spark, d, rest=True).where(F.size("segments") > 1).select("doc_id", F.posexplode("segments").alias("segment", "x"))
     return each.select("doc_id", "segment", "x.lang", "x.start_pos", "x.end_pos", "x.sentences", "x.confidence")
 
 

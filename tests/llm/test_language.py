@@ -64,3 +64,16 @@ def test_rows_and_edges(spark, small):
     runs = {r["doc_id"]: r["segments"] for r in lang.classify(df, w, label="lang").collect()}
     assert [(s["lang"], s["sentences"], s["start_pos"]) for s in runs[1]] == [("en", 2, 1), ("hi", 2, 2 * len(EN) + 3)]
     assert lang.unnamed(lang.classify(df.limit(0), w, label="lang")).count() == 0
+
+
+def test_what_lies_outside_of_sentences_has_a_language_too(spark, small):
+    w = lang.fitted(table(spark, small.replace("sf0.001", "sf0.01"), "documents"))
+    rows = [(1, "Papers of the applicant without any mark", None), (2, f"SANCTION LETTER OF THE BRANCH\n\n{HI} {HI}\n\nyours faithfully for the branch", None), (3, "12/3 4711", None), (4, "", None), (5, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in lang.labels(lang.classify(df, w, rest=True)).collect()}
+    assert got[1]["lang"] == "en" and 0 < got[1]["confidence"] <= 1 and got[2]["lang"] == "hi" and not got[2]["mixed"]
+    assert [got[k]["lang"] for k in (3, 4, 5)] == [None] * 3
+    segments = {r["doc_id"]: r["segments"] for r in lang.classify(df, w, rest=True).collect()}[2]
+    assert [(s["lang"], s["sentences"]) for s in segments] == [("en", 0), ("hi", 2), ("en", 0)] and segments[-1]["end_pos"] == len(rows[1][1])
+    # The rest adds no language to what is found by sentences.
+    assert lang.unnamed(lang.classify(df, w, label="lang", rest=True)).collect() == lang.unnamed(lang.classify(df, w, label="lang")).collect()
