@@ -1,17 +1,16 @@
 """Problem 2: schemas that drift between the files of a feed.
 
-Files are compared with the feed's previous present file. Which fields a file has, and of which type, is counted by
-keyed aggregations. Renames are found by similarity flooding: the fields that vanish and the fields that appear at one
-file form a pairwise connectivity graph with their types, name parts and contents; scores flow along its edges to a
-fixpoint; consistent correspondences are taken from the result. The flooded graphs hold fields, not rows, so a group is
-as large as a schema is wide. What the graph needs of the rows (how often the contents of two fields agree for the same
-record) is aggregated by Spark before.
+Files are compared with the feed's previous present file. Which fields a file has, and of which type, is counted by one
+keyed aggregation. Renames are found by similarity flooding: the fields that vanish and the fields that appear at one
+file form a pairwise connectivity graph with their types, name parts and nested members; scores flow along its edges to a
+fixpoint, and the flooded scores alone decide which consistent correspondences are taken. The flooded graphs hold fields,
+not rows, so a group is as large as a schema is wide. What the graph needs of the rows (how often the contents of two
+fields agree for the same record) is aggregated by Spark before.
 """
 
 from __future__ import annotations
 
 import difflib
-import math
 import re
 from collections.abc import Iterator
 
@@ -20,28 +19,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from attestra.session import checkpointed, split
+from attestra.session import checkpointed
 
-#: Flooded score from which a pair is taken to be a rename, and the share of equal contents that alone is enough.
-ACCEPT = 0.5
+#: Share of a node's score that flows in from its neighbours, and flooded score from which a pair is a rename.
+FLOW, ACCEPT = 0.3, 0.5
 #: Rounds after which flooding is stopped if it has not converged before.
 ROUNDS = 50
+#: Concepts up to which the unified table has a typed column for each.
+COLUMNS = 2000
+TYPES = ("array", "boolean", "number", "object", "string")
 
 #: A number with what may be written around it: a currency before, a unit after.
 _MEASURE = r"(?i)^(?:rs\.?|inr|₹)?\s*(-?\d[\d,]*(?:\.\d+)?)\s*(?:/-)?\s*(?:%|percent|p\.?a\.?|months?|mths?|years?|yrs?|days?|rupees)?$"
 
 
-def explode_fields(lines: DataFrame, keep: list[str], payload: str = "payload", recorded: bool = False) -> DataFrame:
-    """One row per top-level field of each JSON line: keep..., field, type (JSON type, null for null) and content.
+def explode_fields(lines: DataFrame, keep: list[str], payload: str = "payload", record: str = "loan_id", recorded: bool = False) -> DataFrame:
+    """One row per top-level field of each JSON line: keep..., _record, field, type (JSON type, null for null), nested and content.
 
-    content is the scalar that a value holds, however it is wrapped: a one-element array and an object with a member
-    `value` count as what they hold, 9.0 as 9. Lines that are no JSON objects give no rows. recorded: also `text`, the value
-    as it was recorded, arrays and objects whole as JSON.
+    _record identifies the record within its feed. nested is the schema of an array or object. content is the scalar that a value holds,
+    however it is wrapped: a one-element array and an object with a member `value` count as what they hold, 9.0 as 9. Lines that are no
+    JSON objects give no rows. recorded: also `text`, the value as it was recorded, arrays and objects whole as JSON.
     """
     spark = lines.sparkSession
     parsed = lines.select(*keep, F.expr(f"try_parse_json({payload})").alias("_v")).where(F.expr("schema_of_variant(_v) LIKE 'OBJECT%'"))
-    each = parsed.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select(*keep, F.col("key").alias("field"), F.col("value").alias("_x"))
-    shape = F.expr("schema_of_variant(_x)")
+    each = parsed.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select(
+        *keep, F.expr(f"try_variant_get(_v, '$.{record}', 'string')").alias("_record"), F.col("key").alias("field"), F.col("value").alias("_x"), F.expr("schema_of_variant(value)").alias("_s")
+    )
+    shape = F.col("_s")
     kind = (
         F.when(shape.isNull() | (shape == "VOID"), None)
         .when(shape == "STRING", "string")
@@ -54,8 +58,9 @@ def explode_fields(lines: DataFrame, keep: list[str], payload: str = "payload",
         "coalesce(try_variant_get(_x, '$.value', 'string'), try_variant_get(_x, '$[0].value', 'string'), "
         "array_join(try_variant_get(_x, '$', 'array<string>'), ', '), try_variant_get(_x, '$', 'string'))"
     )
-    text = [F.expr("if(schema_of_variant(_x) LIKE 'ARRAY%' OR schema_of_variant(_x) LIKE 'OBJECT%', to_json(_x), try_variant_get(_x, '$', 'string'))").alias("text")] if recorded else []
-    return each.withColumn("type", kind).withColumn("_c", F.trim(inner)).select(*keep, "field", "type", _canonical(F.col("_c")).alias("content"), *text)
+    nested = F.when(shape.startswith("ARRAY") | shape.startswith("OBJECT"), shape)
+    text = [F.expr("if(_s LIKE 'ARRAY%' OR _s LIKE 'OBJECT%', to_json(_x), try_variant_get(_x, '$', 'string'))").alias("text")] if recorded else []
+    return each.withColumn("_c", F.trim(inner)).select(*keep, "_record", "field", kind.alias("type"), nested.alias("nested"), _canonical(F.col("_c")).alias("content"), *text)
 
 
 def _canonical(c: Column) -> Column:
@@ -65,18 +70,34 @@ def _canonical(c: Column) -> Column:
     return F.when(c == "", None).when(F.lower(c) == "true", "1").when(F.lower(c) == "false", "0").when(number != "", number).otherwise(c)
 
 
-def file_fields(fields: DataFrame) -> DataFrame:
-    """(feed, file_no, field, type): a field is in a file if any line has its key; its type is that of most of its
-    non-null values there (ties: the first by name), null if all are null."""
-    counted = fields.groupBy("feed", "file_no", "field", "type").agg(F.count(F.lit(1)).alias("n"))
-    typed = F.when(F.col("type").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("type").alias("type")))
-    return counted.groupBy("feed", "file_no", "field").agg(F.min(typed)["type"].alias("type"))
+def file_fields(fields: DataFrame, *keys: str) -> DataFrame:
+    """(feed, file_no, field, type, nested): a field is in a file if any line has its key; its type is that of most of its
+    non-null values there (ties: the first by name), null if all are null. One aggregation, combined before the shuffle."""
+    counts = [F.count_if(F.col("type") == t).alias(f"_{t}") for t in TYPES]
+    counted = fields.groupBy("feed", "file_no", "field").agg(*counts, F.max("nested").alias("nested"))
+    most = F.array_min(F.array(*[F.when(F.col(f"_{t}") > 0, F.struct((-F.col(f"_{t}")).alias("n"), F.lit(t).alias("type"))) for t in TYPES]))
+    return counted.select("feed", "file_no", "field", most["type"].alias("type"), "nested")
 
 
 def file_order(lines: DataFrame) -> DataFrame:
-    """(feed, file_no, prev_no) of the files that are present; a feed's files are few."""
+    """(feed, file_no, prev_no, next_no) of the files that are present; a feed's files are few."""
     files = lines.select("feed", "file_no").where(F.col("feed").isNotNull() & F.col("file_no").isNotNull()).distinct()
-    return files.withColumn("prev_no", F.lag("file_no").over(W.partitionBy("feed").orderBy("file_no")))
+    w = W.partitionBy("feed").orderBy("file_no")
+    return files.withColumn("prev_no", F.lag("file_no").over(w)).withColumn("next_no", F.lead("file_no").over(w))
+
+
+def transitions(types: DataFrame, order: DataFrame) -> DataFrame:
+    """(feed, file_no, prev_no, field, old_type, type, old_nested, nested, then, now): each field before and at each file but a feed's first."""
+    known = types.join(order, ["feed", "file_no"])
+    none = F.lit(None).cast("string")
+    now = known.where(F.col("prev_no").isNotNull()).select(
+        "feed", "file_no", "prev_no", "field", none.alias("old_type"), "type", none.alias("old_nested"), "nested", F.lit(False).alias("then"), F.lit(True).alias("now")
+    )
+    before = known.where(F.col("next_no").isNotNull()).select(
+        "feed", F.col("next_no").alias("file_no"), F.col("file_no").alias("prev_no"), "field", F.col("type").alias("old_type"), none.alias("type"), F.col("nested").alias("old_nested"), none.alias("nested"),
+        F.lit(True).alias("then"), F.lit(False).alias("now"),
+    )
+    return now.unionByName(before).groupBy("feed", "file_no", "prev_no", "field").agg(*[F.max(c).alias(c) for c in ("old_type", "type", "old_nested", "nested")], F.bool_or("then").alias("then"), F.bool_or("now").alias("now"))
 
 
 def _parts(name: str) -> set[str]:
@@ -90,58 +111,52 @@ def name_similarity(a: str, b: str) -> float:
     return max(0.9 * shared, difflib.SequenceMatcher(None, "".join(sorted(x)), "".join(sorted(y))).ratio())
 
 
+MEASURES = ["old", "new", "old_type", "new_type", "old_nested", "new_nested", "aligned", "equal", "chance", "recoded"]
+_MEMBER = re.compile(r"(\w+): ([A-Z]+)")
+
+
 def flood(pairs: pd.DataFrame) -> list[tuple[str, str, float]]:
     """Similarity flooding over one file's vanished and appeared fields.
 
-    pairs: old, new, old_type, new_type, aligned (records with both), equal (with equal contents), chance (equal ones
-    expected from the contents' frequencies alone), recoded (contents differ but map one to one). Nodes are pairs: of fields, of types, of name parts. A pair of fields
-    is joined to its pair of types by the edge `type` and to the pairs of its name parts by `part`; weights are shared
-    among the neighbours of a node (the inverse-average rule). Initial scores: contents for fields, 1 for equal types, equality for parts.
-    Returns consistent correspondences (old, new, score): a stable matching of the scores.
+    pairs has MEASURES: aligned (records with both), equal (with equal contents), chance (equal ones expected from the
+    contents' frequencies alone), recoded (contents differ but map one to one). Nodes are pairs: of fields, of types, of
+    equal name parts, of nested members of one name. A pair of fields is joined to its pair of types, the pairs of its
+    name parts and those of its members. Each round a node's score becomes its own start and, by FLOW, the mean of its
+    neighbours' scores, which converges. A pair of fields starts from its contents, or from its names where fewer than two records tell.
+    Returns consistent correspondences (old, new, score): a stable matching of the flooded scores from ACCEPT on.
     """
-    edges: dict[tuple, dict[tuple, float]] = {}
+    near: dict[tuple, list[tuple]] = {}
     start: dict[tuple, float] = {}
+    rows = list(pairs.itertuples())
 
-    def join(a: tuple, b: tuple) -> None:
-        edges.setdefault(a, {})[b] = 1.0
-        edges.setdefault(b, {})[a] = 1.0
+    def join(a: tuple, b: tuple, s: float) -> None:
+        start[b] = s
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
 
-    for p in pairs.itertuples():
+    for p in rows:
         node = ("field", p.old, p.new)
-        start[node] = _content(p)
-        kinds = ("type", p.old_type, p.new_type)
-        start[kinds] = 1.0 if p.old_type == p.new_type else 0.3
-        join(node, kinds)
-        for x in _parts(p.old):
-            for y in _parts(p.new):
-                part = ("part", x, y)
-                start[part] = 1.0 if x == y else 0.0
-                if x == y:
-                    join(node, part)
+        start[node] = _content(p) if p.aligned >= 2 else max(_content(p), name_similarity(p.old, p.new) - (0.0 if p.old_type == p.new_type else 0.1))
+        join(node, ("type", p.old_type, p.new_type), 1.0 if p.old_type == p.new_type else 0.3)
+        for x in _parts(p.old) & _parts(p.new):
+            join(node, ("part", x, x), 1.0)
+        old, new = (dict(_MEMBER.findall(n)) if isinstance(n, str) else {} for n in (p.old_nested, p.new_nested))
+        for m in old.keys() & new.keys():
+            join(node, ("member", m, old[m], new[m]), 1.0 if old[m] == new[m] else 0.5)
     score = dict(start)
     for _ in range(ROUNDS):
-        raised = {
-            n: start[n] + score[n] + sum(0.2 * score[m] / math.sqrt(len(edges[m]) * len(edges[n])) for m in edges.get(n, ()) if start[n] or n[0] != "part")
-            for n in score
-        }
-        top = max(raised.values(), default=1.0) or 1.0
-        raised = {n: v / top for n, v in raised.items()}
-        change = max((abs(raised[n] - score[n]) for n in raised), default=0.0)
-        score = raised
+        flown = {n: (1 - FLOW) * start[n] + FLOW * sum(score[m] for m in near[n]) / len(near[n]) for n in score}
+        change = max((abs(flown[n] - score[n]) for n in flown), default=0.0)
+        score = flown
         if change < 1e-4:
             break
-    # What flows in from types and names ranks the pairs; the contents and names decide whether there is a match at all.
-    order = sorted(pairs.itertuples(), key=lambda p: (-score["field", p.old, p.new], p.old, p.new))
     taken_old, taken_new, out = set(), set(), []
-    for p in order:
-        evidence = _content(p)
-        if p.aligned < 2:
-            evidence = max(evidence, 0.9 * name_similarity(p.old, p.new) - (0.0 if p.old_type == p.new_type else 0.1))
-        if p.old in taken_old or p.new in taken_new or evidence < ACCEPT:
-            continue
-        taken_old.add(p.old)
-        taken_new.add(p.new)
-        out.append((p.old, p.new, float(score["field", p.old, p.new])))
+    for p in sorted(rows, key=lambda p: (-score["field", p.old, p.new], p.old, p.new)):
+        s = score["field", p.old, p.new]
+        if s >= ACCEPT and p.old not in taken_old and p.new not in taken_new:
+            taken_old.add(p.old)
+            taken_new.add(p.new)
+            out.append((p.old, p.new, float(s)))
     return out
 
 
@@ -154,62 +169,60 @@ def _content(p) -> float:
     return max(alike, 0.8 if p.recoded else 0.0)
 
 
-def renames(fields: DataFrame, types: DataFrame, order: DataFrame, record: str = "loan_id") -> DataFrame:
-    """(feed, file_no, old_name, new_name, score) of fields whose content goes on under another name.
+def renames(lines: DataFrame, moved: DataFrame, record: str = "loan_id") -> DataFrame:
+    """(feed, file_no, old_name, new_name, old_type, new_type, score) of fields whose content goes on under another name.
 
-    fields has a column _record that identifies a record within its feed. Contents are compared record by record
-    between the two files; records that only one of them has do not count.
+    moved: the transitions in which a field vanishes or appears. Contents are compared record by record between the two
+    files, as 64-bit hashes; records that only one of them has do not count, repeated lines count once.
     """
-    after = order.where(F.col("prev_no").isNotNull())
-    now = types.join(after, ["feed", "file_no"]).select("feed", "file_no", "field", F.col("type").alias("new_type"))
-    before = after.join(types.withColumnRenamed("file_no", "prev_no"), ["feed", "prev_no"]).select("feed", "file_no", "field", F.col("type").alias("old_type"))
-    both = before.withColumn("_in", F.lit(1)).join(now.withColumn("_out", F.lit(1)), ["feed", "file_no", "field"], "full_outer")
-    moved = both.where(F.col("_in").isNull() | F.col("_out").isNull())
-    gone = F.collect_list(F.when(F.col("_out").isNull(), F.struct(F.col("field").alias("old"), "old_type")))
-    come = F.collect_list(F.when(F.col("_in").isNull(), F.struct(F.col("field").alias("new"), "new_type")))
-    sides = moved.groupBy("feed", "file_no").agg(gone.alias("gone"), come.alias("come")).where((F.size("gone") > 0) & (F.size("come") > 0))
-    pairs = sides.select("feed", "file_no", F.explode("gone").alias("g"), "come").select("feed", "file_no", "g", F.explode("come").alias("c")).select("feed", "file_no", "g.*", "c.*").persist()
-
-    # One content per record, file and field: repeated lines count once.
-    single = fields.where(F.col("_record").isNotNull()).groupBy("feed", "file_no", "field", "_record").agg(F.min("content").alias("content"))
-    at = pairs.join(after, ["feed", "file_no"]).select("feed", "file_no", "prev_no", "old", "new")
-    old = at.join(single.select("feed", F.col("file_no").alias("prev_no"), F.col("field").alias("old"), "_record", F.col("content").alias("a")), ["feed", "prev_no", "old"])
-    joined = old.join(single.select("feed", "file_no", F.col("field").alias("new"), "_record", F.col("content").alias("b")), ["feed", "file_no", "new", "_record"])
-    known = joined.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("feed", "file_no", "old", "new", "a", "b").persist()
-    key = ["feed", "file_no", "old", "new"]
-    agreed = known.groupBy(*key).agg(F.count(F.lit(1)).alias("aligned"), F.sum((F.col("a") == F.col("b")).cast("long")).alias("equal"))
-    # By chance, as many contents agree as the products of their frequencies on both sides say.
-    left = known.groupBy(*key, F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("na"))
-    right = known.groupBy(*key, F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("nb"))
-    luck = left.join(right, [*key, "v"]).groupBy(*key).agg(F.sum(F.col("na") * F.col("nb")).alias("hits"))
-    # A code list in place of another: each old content has one new one and the reverse, and both recur.
-    ways = known.groupBy(*key, "a", "b").agg(F.lit(1).alias("_")).groupBy(*key).agg(
-        F.count(F.lit(1)).alias("ways"), F.count_distinct("a").alias("olds"), F.count_distinct("b").alias("news")
-    )
-    recoded = (F.col("ways") == F.col("olds")) & (F.col("ways") == F.col("news")) & (F.col("ways") >= 2) & (F.col("aligned") >= 2 * F.col("ways"))
-    stats = (
-        pairs.join(agreed, key, "left")
-        .join(luck, key, "left")
-        .join(ways, key, "left")
-        .select(*key, "old_type", "new_type", F.coalesce("aligned", F.lit(0)).alias("aligned"), F.coalesce("equal", F.lit(0)).alias("equal"),
-                F.coalesce(F.col("hits") / (F.col("aligned") * F.col("aligned")), F.lit(0.0)).alias("chance"),
-                F.coalesce(recoded, F.lit(False)).alias("recoded"))
+    key = ["feed", "file_no"]
+    gone = F.collect_list(F.when(~F.col("now"), F.struct(F.col("field").alias("old"), "old_type", "old_nested")))
+    come = F.collect_list(F.when(~F.col("then"), F.struct(F.col("field").alias("new"), F.col("type").alias("new_type"), F.col("nested").alias("new_nested"))))
+    sides = moved.groupBy(*key, "prev_no").agg(gone.alias("gone"), come.alias("come")).where((F.size("gone") > 0) & (F.size("come") > 0))
+    # Which file's values of which field are needed: few, so the second reading of the lines keeps little.
+    wanted = sides.select(
+        "feed", F.col("file_no").alias("at"),
+        F.explode(F.concat(F.transform("gone", lambda x: F.struct(F.col("prev_no").alias("file_no"), x["old"].alias("field"), F.lit(True).alias("was"))),
+                           F.transform("come", lambda x: F.struct(F.col("file_no").alias("file_no"), x["new"].alias("field"), F.lit(False).alias("was"))))).alias("x"),
+    ).select("feed", "at", "x.*")
+    values = explode_fields(lines, key, record=record).where(F.col("_record").isNotNull()).select(*key, "field", "_record", F.xxhash64("content").alias("c"), "content").where(F.col("content").isNotNull()).drop("content")
+    # One content per record, file and field; then the vanished and the appeared fields of a record meet.
+    single = values.join(wanted, [*key, "field"]).groupBy("feed", "at", "_record", "was", "field").agg(F.min("c").alias("c"))
+    side = lambda was: F.collect_list(F.when(F.col("was") == was, F.struct("field", "c")))
+    both = single.groupBy("feed", "at", "_record").agg(side(True).alias("old"), side(False).alias("new")).where((F.size("old") > 0) & (F.size("new") > 0))
+    each = both.select("feed", "at", F.explode("old").alias("o"), "new").select("feed", "at", "o", F.explode("new").alias("n"))
+    pair = ["feed", "at", "old", "new"]
+    ways = each.groupBy("feed", "at", F.col("o.field").alias("old"), F.col("n.field").alias("new"), F.col("o.c").alias("a"), F.col("n.c").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    # By chance, as many contents agree as the products of their frequencies on both sides say. A code list in place of
+    # another: each old content has one new one and the reverse, and both recur.
+    told = F.explode(F.array(
+        F.struct(F.col("a").alias("v"), F.col("n").alias("na"), F.lit(0).cast("long").alias("nb"), F.col("n").alias("aligned"), F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0).alias("equal"), F.lit(1).alias("ways")),
+        F.struct(F.col("b").alias("v"), F.lit(0).cast("long").alias("na"), F.col("n").alias("nb"), F.lit(0).cast("long").alias("aligned"), F.lit(0).cast("long").alias("equal"), F.lit(0).alias("ways")),
+    ))
+    by_value = ways.select(*pair, told.alias("x")).select(*pair, "x.*").groupBy(*pair, "v").agg(*[F.sum(c).alias(c) for c in ("na", "nb", "aligned", "equal", "ways")])
+    agreed = by_value.groupBy(*pair).agg(
+        F.sum("aligned").alias("aligned"), F.sum("equal").alias("equal"), F.sum("ways").alias("ways"), F.sum(F.col("na") * F.col("nb")).alias("hits"),
+        F.count_if(F.col("na") > 0).alias("olds"), F.count_if(F.col("nb") > 0).alias("news"),
     )
-
-    measures = ["old", "new", "old_type", "new_type", "aligned", "equal", "chance", "recoded"]
-    graphs = stats.groupBy("feed", "file_no").agg(F.collect_list(F.struct(*measures)).alias("pairs"))
+    recoded = (F.col("ways") == F.col("olds")) & (F.col("ways") == F.col("news")) & (F.col("ways") >= 2) & (F.col("aligned") >= 2 * F.col("ways"))
+    measured = agreed.groupBy("feed", F.col("at").alias("file_no")).agg(
+        F.collect_list(F.struct("old", "new", "aligned", "equal", (F.col("hits") / (F.col("aligned") * F.col("aligned"))).alias("chance"), recoded.alias("recoded"))).alias("measured")
+    )
+    graphs = sides.join(measured, key, "left").select(*key, "gone", "come", "measured")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(f, n, *x) for f, n, ps in zip(pdf["feed"], pdf["file_no"], pdf["pairs"]) for x in flood(pd.DataFrame(list(ps), columns=measures).astype(object))]
-            yield pd.DataFrame(found, columns=["feed", "file_no", "old_name", "new_name", "score"])
-
-    kind = dict(types.dtypes)
-    return split(graphs).mapInPandas(run, f"feed {kind['feed']}, file_no {kind['file_no']}, old_name string, new_name string, score double")
-
+            found = []
+            for feed, no, old, new, told in zip(pdf["feed"], pdf["file_no"], pdf["gone"], pdf["come"], pdf["measured"]):
+                known = {(m["old"], m["new"]): m for m in told} if told is not None else {}
+                empty = {"aligned": 0, "equal": 0, "chance": 0.0, "recoded": False}
+                rows = [{**o, **n, **{c: v for c, v in known.get((o["old"], n["new"]), empty).items() if c in empty}} for o in old for n in new]
+                types = {("o", o["old"]): o["old_type"] for o in old} | {("n", n["new"]): n["new_type"] for n in new}
+                found += [(feed, no, a, b, types["o", a], types["n", b], s) for a, b, s in flood(pd.DataFrame(rows, columns=MEASURES).astype(object))]
+            yield pd.DataFrame(found, columns=[*key, "old_name", "new_name", "old_type", "new_type", "score"])
 
-def with_record(lines: DataFrame, record: str = "loan_id", payload: str = "payload") -> DataFrame:
-    return lines.withColumn("_record", F.expr(f"try_variant_get(try_parse_json({payload}), '$.{record}', 'string')"))
+    kind = dict(moved.dtypes)
+    return graphs.mapInPandas(run, f"feed {kind['feed']}, file_no {kind['file_no']}, old_name string, new_name string, old_type string, new_type string, score double")
 
 
 def schema_changes(lines: DataFrame, record: str = "loan_id") -> DataFrame:
@@ -219,25 +232,25 @@ def schema_changes(lines: DataFrame, record: str = "loan_id") -> DataFrame:
     carries the later name; a type is only compared where both files have non-null values. Null payloads and lines that are no
     objects are ignored; repeated lines change nothing; an empty table gives an empty report.
     """
-    fields = explode_fields(with_record(lines, record), ["feed", "file_no", "_record"]).persist()
-    types = file_fields(fields).persist()
-    order = file_order(lines).persist()
-    moves = renames(fields, types, order, record).persist()
-    after = order.where(F.col("prev_no").isNotNull())
-    # What the previous file had, under the names of this one.
-    before = after.join(types.withColumnRenamed("file_no", "prev_no"), ["feed", "prev_no"]).select("feed", "file_no", "field", F.col("type").alias("old_type"))
-    renamed = moves.select("feed", "file_no", F.col("old_name").alias("field"), "new_name")
-    before = before.join(renamed, ["feed", "file_no", "field"], "left").withColumn("old_name", F.col("field")).withColumn("field", F.coalesce("new_name", "field"))
-    now = types.join(after.select("feed", "file_no"), ["feed", "file_no"]).withColumn("_now", F.lit(True))
-    both = before.withColumn("_then", F.lit(True)).join(now, ["feed", "file_no", "field"], "full_outer")
-    changed = F.col("_then") & F.col("_now") & (F.col("old_type") != F.col("type"))
+    # The lines are read twice, for the types and for the contents of what moved: at scale that is less than keeping all fields.
+    steps = transitions(file_fields(explode_fields(lines, ["feed", "file_no"], record=record)), file_order(lines)).persist()
+    moves = renames(lines, steps.where(~F.col("then") | ~F.col("now")), record)
+    key, none = ["feed", "file_no"], F.lit("")
     item = lambda cond, field, change, new: F.when(cond, F.struct(field.alias("field"), F.lit(change).alias("change"), new.alias("new_name")))
-    none = F.lit("")
+    differ = lambda a, b: F.col(a) != F.col(b)
+    # A moved field's row and its rename meet under (file, field); a rename speaks at its old name and silences the new one.
+    told = moves.select(*key, F.explode(F.array(
+        F.struct(F.col("old_name").alias("field"), F.col("new_name").alias("new_name"), F.coalesce(differ("old_type", "new_type"), F.lit(False)).alias("changed")),
+        F.struct(F.col("new_name").alias("field"), F.lit(None).cast("string").alias("new_name"), F.lit(False).alias("changed")),
+    )).alias("x")).select(*key, "x.*", F.lit(True).alias("moved"))
+    both = steps.join(told, [*key, "field"], "left")
+    still = F.col("moved").isNull()
     found = F.array(
-        item(F.col("_then").isNull(), F.col("field"), "added", none),
-        item(F.col("_now").isNull(), F.col("old_name"), "removed", none),
-        item(F.col("new_name").isNotNull(), F.col("old_name"), "renamed", F.col("new_name")),
-        item(changed, F.col("field"), "type_changed", none),
+        item(still & ~F.col("then"), F.col("field"), "added", none),
+        item(still & ~F.col("now"), F.col("field"), "removed", none),
+        item(F.col("new_name").isNotNull(), F.col("field"), "renamed", F.col("new_name")),
+        item(still & F.col("then") & F.col("now") & differ("old_type", "type"), F.col("field"), "type_changed", none),
+        item(F.col("new_name").isNotNull() & F.col("changed"), F.col("new_name"), "type_changed", none),
     )
     return both.select("feed", F.col("file_no").cast("long").alias("file_no"), F.explode(F.array_compact(found)).alias("x")).select("feed", "file_no", "x.*")
 
@@ -256,9 +269,10 @@ def unified_table(lines: DataFrame, key: str = "raw_id", record: str = "loan_id"
     line, that of the concept's name or else the most frequent holds it and the others keep their own names. Lines that are
     no objects keep their row with null maps.
     """
-    fields = explode_fields(with_record(lines, record), [key, "feed", "file_no", "_record"], recorded=True).persist()
-    types = file_fields(fields).persist()
-    moves = checkpointed(renames(fields, types, file_order(lines), record).select("feed", "old_name", "new_name").distinct())
+    fields = explode_fields(lines, [key, "feed", "file_no"], record=record, recorded=True)
+    types = checkpointed(file_fields(fields))
+    steps = transitions(types, file_order(lines))
+    moves = checkpointed(renames(lines, steps.where(~F.col("then") | ~F.col("now")), record).select("feed", "old_name", "new_name").distinct())
     # Checkpoints, as the plans of the rounds would otherwise carry those of the renames.
     names = checkpointed(concepts(checkpointed(types.groupBy("feed", "field").agg(F.count(F.lit(1)).alias("files"))), moves))
     held = fields.where(F.col("text").isNotNull()).withColumn("feed", F.coalesce("feed", F.lit(""))).join(names, ["feed", "field"])
@@ -277,6 +291,31 @@ def unified_table(lines: DataFrame, key: str = "raw_id", record: str = "loan_id"
     return lines.select(key, "feed", "file_no").join(maps, key, "left")
 
 
+def typed_table(lines: DataFrame, key: str = "raw_id", record: str = "loan_id") -> DataFrame:
+    """One row per line: key, feed, file_no and a column per concept, cast to its common type.
+
+    number is DOUBLE, boolean BOOLEAN, array ARRAY<STRING>, object MAP<STRING, STRING>, all else STRING. Columns whose names differ
+    in case only, or clash with key, feed or file_no, get a number. More than COLUMNS concepts stay in the maps of unified_table.
+    """
+    unified = checkpointed(unified_table(lines, key, record))
+    kinds = unified.select(F.explode("types").alias("name", "type")).distinct().orderBy("name").limit(COLUMNS + 1).collect()
+    if len(kinds) > COLUMNS:
+        return unified
+    cast = {
+        "number": lambda c: c.try_cast("double"), "boolean": lambda c: c.try_cast("boolean"), "string": lambda c: c,
+        "array": lambda c: F.from_json(c, "array<string>"), "object": lambda c: F.from_json(c, "map<string,string>"),
+    }
+    taken, columns = {key.lower(), "feed", "file_no"}, []
+    for r in kinds:
+        name, n = r["name"], 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{r['name']}_{n}"
+        taken.add(name.lower())
+        columns.append(cast[r["type"]](F.try_element_at("fields", F.lit(r["name"]))).alias(name))
+    return unified.select(key, "feed", "file_no", *columns)
+
+
 def concepts(names: DataFrame, edges: DataFrame) -> DataFrame:
     """(feed, field, files, concept). names: feed, field, files; edges: feed, old_name, new_name. A null feed counts as ''.
 

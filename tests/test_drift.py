@@ -53,11 +53,23 @@ def test_unrelated_fields_are_no_rename(spark):
 
 
 def test_flooding_prefers_the_same_content():
-    pairs = pd.DataFrame(
-        [("a", "x", "string", "string", 9, 9, 0.1, False), ("a", "y", "string", "string", 9, 1, 0.1, False), ("b", "x", "string", "string", 9, 1, 0.1, False), ("b", "y", "string", "number", 9, 8, 0.1, False)],
-        columns=["old", "new", "old_type", "new_type", "aligned", "equal", "chance", "recoded"],
-    )
-    assert {(o, n) for o, n, _ in drift.flood(pairs)} == {("a", "x"), ("b", "y")}
+    pairs = [("a", "x", "string", "string", 9, 9), ("a", "y", "string", "string", 9, 1), ("b", "x", "string", "string", 9, 1), ("b", "y", "string", "number", 9, 8)]
+    assert {(o, n) for o, n, _ in drift.flood(graph(pairs))} == {("a", "x"), ("b", "y")}
+
+
+def graph(pairs, nested=("", "")):
+    return pd.DataFrame([(o, n, p, q, *nested, k, e, 0.1, False) for o, n, p, q, k, e in pairs], columns=drift.MEASURES)
+
+
+def test_the_flooded_score_decides():
+    """Middling contents are a rename if types, names and members speak for it, and none if they speak against."""
+    same = drift.flood(graph([("address_text", "address", "object", "object", 10, 5)], ("OBJECT<line: STRING, pin: STRING>",) * 2))
+    other = drift.flood(graph([("address_text", "mobile", "object", "number", 10, 5)], ("OBJECT<line: STRING>", None)))
+    assert [x[:2] for x in same] == [("address_text", "address")] and other == []
+    # Members that agree raise a score, names without a shared record decide by themselves.
+    plain = drift.flood(graph([("a", "b", "array", "object", 10, 8)]))[0][2]
+    assert drift.flood(graph([("a", "b", "array", "object", 10, 8)], ("ARRAY<OBJECT<x: STRING>>", "OBJECT<x: STRING>")))[0][2] > plain
+    assert drift.flood(graph([("pan_no", "panNo", "string", "string", 0, 0), ("branch", "consent", "string", "string", 0, 0)])) [0][:2] == ("pan_no", "panNo")
 
 
 def test_unified_names(spark):
@@ -66,6 +78,16 @@ def test_unified_names(spark):
     assert len(out) == 24 and len({k for r in out for k in r["fields"] if k != "loan_id"}) == 1
 
 
+def test_typed_columns(spark):
+    make = {"amount": lambda i: 1000.5 + i, "ok": lambda i: i % 2 == 0, "tags": lambda i: [f"a{i}"], "card": lambda i: {"value": f"C{i}"}, "Feed": lambda i: "clash", "note": lambda i: None}
+    files = {0: people(6, pan=lambda i: f"PAN{i:04d}", **make), 1: people(6, panNo=lambda i: f"PAN{i:04d}", **{**make, "amount": lambda i: str(1000.5 + i)})}
+    out = drift.typed_table(lines(spark, files))
+    kinds = dict(out.dtypes)
+    assert kinds["amount"] == "double" and kinds["ok"] == "boolean" and kinds["tags"] == "array<string>" and kinds["card"] == "map<string,string>" and kinds["Feed_2"] == "string"
+    assert len({"pan", "panNo"} & set(kinds)) == 1 and out.count() == 12 and {r["amount"] for r in out.collect()} == {1000.5 + i for i in range(6)}
+    assert drift.typed_table(lines(spark, {})).count() == 0
+
+
 def test_one_rename_unites_and_recorded_values_stay(spark):
     extra = {"tenure": lambda i: f"{i + 2} {'years' if i % 2 else 'months'}", "tags": lambda i: [f"a{i}", f"b{i}"], "card": lambda i: {"value": f"C{i}", "checked": i % 2 == 0}, "amount": lambda i: 1000.0 + i}
     files = {0: people(6, pan=lambda i: f"PAN{i:04d}", **extra), 1: people(6, panNo=lambda i: f"PAN{i:04d}", **extra)}
