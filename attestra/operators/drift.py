@@ -13,6 +13,7 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -111,30 +112,42 @@ def name_similarity(a: str, b: str) -> float:
     return max(0.9 * shared, difflib.SequenceMatcher(None, "".join(sorted(x)), "".join(sorted(y))).ratio())
 
 
-MEASURES = ["old", "new", "old_type", "new_type", "old_nested", "new_nested", "aligned", "equal", "chance", "recoded"]
+class Pair(NamedTuple):
+    """A vanished and an appeared field: aligned records have both, equal ones with equal contents, of which a share of `chance`
+    is expected from the contents' frequencies alone; recoded: the contents differ but map one to one."""
+
+    old: str
+    new: str
+    old_type: str | None
+    new_type: str | None
+    old_nested: str | None
+    new_nested: str | None
+    aligned: int = 0
+    equal: int = 0
+    chance: float = 0.0
+    recoded: bool = False
+
+
 _MEMBER = re.compile(r"(\w+): ([A-Z]+)")
 
 
-def flood(pairs: pd.DataFrame) -> list[tuple[str, str, float]]:
+def flood(pairs: list[Pair]) -> list[tuple[str, str, float]]:
     """Similarity flooding over one file's vanished and appeared fields.
 
-    pairs has MEASURES: aligned (records with both), equal (with equal contents), chance (equal ones expected from the
-    contents' frequencies alone), recoded (contents differ but map one to one). Nodes are pairs: of fields, of types, of
-    equal name parts, of nested members of one name. A pair of fields is joined to its pair of types, the pairs of its
+    Nodes are pairs: of fields, of types, of equal name parts, of nested members of one name. A pair of fields is joined to its pair of types, the pairs of its
     name parts and those of its members. Each round a node's score becomes its own start and, by FLOW, the mean of its
     neighbours' scores, which converges. A pair of fields starts from its contents, or from its names where fewer than two records tell.
     Returns consistent correspondences (old, new, score): a stable matching of the flooded scores from ACCEPT on.
     """
     near: dict[tuple, list[tuple]] = {}
     start: dict[tuple, float] = {}
-    rows = list(pairs.itertuples())
 
     def join(a: tuple, b: tuple, s: float) -> None:
         start[b] = s
         near.setdefault(a, []).append(b)
         near.setdefault(b, []).append(a)
 
-    for p in rows:
+    for p in pairs:
         node = ("field", p.old, p.new)
         start[node] = _content(p) if p.aligned >= 2 else max(_content(p), name_similarity(p.old, p.new) - (0.0 if p.old_type == p.new_type else 0.1))
         join(node, ("type", p.old_type, p.new_type), 1.0 if p.old_type == p.new_type else 0.3)
@@ -151,7 +164,7 @@ def flood(pairs: pd.DataFrame) -> list[tuple[str, str, float]]:
         if change < 1e-4:
             break
     taken_old, taken_new, out = set(), set(), []
-    for p in sorted(rows, key=lambda p: (-score["field", p.old, p.new], p.old, p.new)):
+    for p in sorted(pairs, key=lambda p: (-score["field", p.old, p.new], p.old, p.new)):
         s = score["field", p.old, p.new]
         if s >= ACCEPT and p.old not in taken_old and p.new not in taken_new:
             taken_old.add(p.old)
@@ -214,11 +227,10 @@ def renames(lines: DataFrame, moved: DataFrame, record: str = "loan_id") -> Data
         for pdf in batches:
             found = []
             for feed, no, old, new, told in zip(pdf["feed"], pdf["file_no"], pdf["gone"], pdf["come"], pdf["measured"]):
-                known = {(m["old"], m["new"]): m for m in told} if told is not None else {}
-                empty = {"aligned": 0, "equal": 0, "chance": 0.0, "recoded": False}
-                rows = [{**o, **n, **{c: v for c, v in known.get((o["old"], n["new"]), empty).items() if c in empty}} for o in old for n in new]
-                types = {("o", o["old"]): o["old_type"] for o in old} | {("n", n["new"]): n["new_type"] for n in new}
-                found += [(feed, no, a, b, types["o", a], types["n", b], s) for a, b, s in flood(pd.DataFrame(rows, columns=MEASURES).astype(object))]
+                known = {(m["old"], m["new"]): (m["aligned"], m["equal"], m["chance"], m["recoded"]) for m in told} if told is not None else {}
+                pairs = [Pair(o["old"], n["new"], o["old_type"], n["new_type"], o["old_nested"], n["new_nested"], *known.get((o["old"], n["new"]), ())) for o in old for n in new]
+                types = {(p.old, p.new): (p.old_type, p.new_type) for p in pairs}
+                found += [(feed, no, a, b, *types[a, b], s) for a, b, s in flood(pairs)]
             yield pd.DataFrame(found, columns=[*key, "old_name", "new_name", "old_type", "new_type", "score"])
 
     kind = dict(moved.dtypes)

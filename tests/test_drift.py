@@ -3,8 +3,6 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-import pandas as pd
-
 from attestra.operators import drift
 
 LINES = "raw_id bigint, feed string, file_no int, file_name string, line_no int, received_at timestamp, payload string, field string"
@@ -58,7 +56,7 @@ def test_flooding_prefers_the_same_content():
 
 
 def graph(pairs, nested=("", "")):
-    return pd.DataFrame([(o, n, p, q, *nested, k, e, 0.1, False) for o, n, p, q, k, e in pairs], columns=drift.MEASURES)
+    return [drift.Pair(o, n, p, q, *nested, k, e, 0.1) for o, n, p, q, k, e in pairs]
 
 
 def test_the_flooded_score_decides():
