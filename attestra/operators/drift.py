@@ -55,9 +55,11 @@ def explode_fields(lines: DataFrame, keep: list[str], payload: str = "payload",
         .when(shape.startswith("OBJECT"), "object")
         .otherwise("number")
     )
+    # By the shape first: a value is asked for what it can hold only.
     inner = F.expr(
-        "coalesce(try_variant_get(_x, '$.value', 'string'), try_variant_get(_x, '$[0].value', 'string'), "
-        "array_join(try_variant_get(_x, '$', 'array<string>'), ', '), try_variant_get(_x, '$', 'string'))"
+        "CASE WHEN _s LIKE 'OBJECT%' THEN try_variant_get(_x, '$.value', 'string') "
+        "WHEN _s LIKE 'ARRAY%' THEN coalesce(try_variant_get(_x, '$[0].value', 'string'), array_join(try_variant_get(_x, '$', 'array<string>'), ', ')) "
+        "WHEN _s <> 'VOID' THEN try_variant_get(_x, '$', 'string') END"
     )
     nested = F.when(shape.startswith("ARRAY") | shape.startswith("OBJECT"), shape)
     text = [F.expr("if(_s LIKE 'ARRAY%' OR _s LIKE 'OBJECT%', to_json(_x), try_variant_get(_x, '$', 'string'))").alias("text")] if recorded else []
@@ -68,7 +70,9 @@ def _canonical(c: Column) -> Column:
     """The content without its notation: 12, 12.0, "12", "12 months", "12%" and "Rs. 12.00/-" are the same content."""
     number = F.regexp_replace(F.regexp_extract(c, _MEASURE, 1), ",", "")
     number = F.when(number.contains("."), F.regexp_replace(number, r"\.?0+$", "")).otherwise(number)
-    return F.when(c == "", None).when(F.lower(c) == "true", "1").when(F.lower(c) == "false", "0").when(number != "", number).otherwise(c)
+    # Most texts are no measures: only what begins and ends as one can is parsed. The longest measure has fewer characters.
+    may = (F.length(c) <= 40) & c.rlike(r"^(?:[-0-9]|(?i:rs|inr|₹))") & c.rlike(r"\d")
+    return F.when(c == "", None).when(F.lower(c) == "true", "1").when(F.lower(c) == "false", "0").when(may, F.coalesce(F.nullif(number, F.lit("")), c)).otherwise(c)
 
 
 def file_fields(fields: DataFrame, *keys: str) -> DataFrame:
@@ -198,9 +202,11 @@ def renames(lines: DataFrame, moved: DataFrame, record: str = "loan_id") -> Data
         F.explode(F.concat(F.transform("gone", lambda x: F.struct(F.col("prev_no").alias("file_no"), x["old"].alias("field"), F.lit(True).alias("was"))),
                            F.transform("come", lambda x: F.struct(F.col("file_no").alias("file_no"), x["new"].alias("field"), F.lit(False).alias("was"))))).alias("x"),
     ).select("feed", "at", "x.*")
-    values = explode_fields(lines, key, record=record).where(F.col("_record").isNotNull()).select(*key, "field", "_record", F.xxhash64("content").alias("c"), "content").where(F.col("content").isNotNull()).drop("content")
+    # Nulls are left to the aggregation: a filter on the contents would compute them twice.
+    hashed = F.when(F.col("content").isNotNull(), F.xxhash64("content"))
+    values = explode_fields(lines, key, record=record).select(*key, "field", "_record", hashed.alias("c"))
     # One content per record, file and field; then the vanished and the appeared fields of a record meet.
-    single = values.join(wanted, [*key, "field"]).groupBy("feed", "at", "_record", "was", "field").agg(F.min("c").alias("c"))
+    single = values.join(wanted, [*key, "field"]).groupBy("feed", "at", "_record", "was", "field").agg(F.min("c").alias("c")).where(F.col("_record").isNotNull() & F.col("c").isNotNull())
     side = lambda was: F.collect_list(F.when(F.col("was") == was, F.struct("field", "c")))
     both = single.groupBy("feed", "at", "_record").agg(side(True).alias("old"), side(False).alias("new")).where((F.size("old") > 0) & (F.size("new") > 0))
     each = both.select("feed", "at", F.explode("old").alias("o"), "new").select("feed", "at", "o", F.explode("new").alias("n"))
