@@ -42,6 +42,25 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _jaro_winkler(x.lower(), y.lower()) for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def jaro_winkler_each(pairs: pd.Series) -> pd.Series:
+    """SIM-01 of each struct (a, b) of an array, trimmed; 0 where one is blank, null where one is null."""
+    out, known = [], {}
+    for row in pairs:
+        scores = []
+        for p in row:
+            a, b = p["a"], p["b"]
+            if a is None or b is None:
+                scores.append(None)
+                continue
+            if (a, b) not in known:
+                x, y = a.strip().lower(), b.strip().lower()
+                known[a, b] = _jaro_winkler(x, y) if x and y else 0.0
+            scores.append(known[a, b])
+        out.append(scores)
+    return pd.Series(out)
+
+
 @F.pandas_udf(T.DoubleType())
 def gestalt(a: pd.Series, b: pd.Series) -> pd.Series:
     """SIM-03: ratio of matching blocks."""

@@ -310,36 +310,226 @@ def sim_recoverable(spark: SparkSession, d: str) -> DataFrame:
 
 # --- record comparison ------------------------------------------------------------------------------------------------
 
-_CHECKS = ", ".join(f"('{a}', '{b}', {repr(c) if c else 'NULL'}, '{m}', 'chk_{a}_{b}_vs_los')" for a, b, c, m in records.CHECKS)
-_LOS_VALUE = "CASE k.los_field " + " ".join(f"WHEN '{c}' THEN CAST(l.{c} AS VARCHAR)" for c in sorted({c[2] for c in records.CHECKS if c[2]})) + " END"
-_D, _L = "d.value", "lv"
+#: The configured checks as a relation of their own: check, subnode, document, field, method, optional, names in the document, names in the loan's row.
+_CHECKS = """
+('chk_check_kyc_aadhaar_applicant_name_vs_los', 'check_kyc', 'aadhaar', 'applicant_name', 'jaro_winkler', false, 'applicant_name name full_name customer_name', 'applicant_name'),
+('chk_check_kyc_aadhaar_fathers_name_vs_los', 'check_kyc', 'aadhaar', 'fathers_name', 'jaro_winkler', true, 'fathers_name father_name', 'fathers_name'),
+('chk_check_kyc_aadhaar_gender_vs_los', 'check_kyc', 'aadhaar', 'gender', 'exact_string_ci', true, 'gender applicant_gender', 'applicant_gender'),
+('chk_check_kyc_aadhaar_address_vs_los', 'check_kyc', 'aadhaar', 'address', 'tfidf_cosine', false, 'address current_address address_text', 'current_address permanent_address'),
+('chk_check_kyc_aadhaar_aadhaar_number_vs_los', 'check_kyc', 'aadhaar', 'aadhaar_number', 'masked_aadhaar', false, 'aadhaar_number aadhaar aadhaar_no uid', 'aadhaar_no'),
+('chk_check_kyc_aadhaar_mobile_no_vs_los', 'check_kyc', 'aadhaar', 'mobile_no', 'exact_string', false, 'mobile_no applicant_mobile_no mobile phone', 'applicant_mobile_no'),
+('chk_check_kyc_aadhaar_dob_vs_los', 'check_kyc', 'aadhaar', 'dob', 'exact_date', false, 'dob applicant_dob date_of_birth', 'applicant_dob'),
+('chk_check_kyc_pan_applicant_name_vs_los', 'check_kyc', 'pan', 'applicant_name', 'jaro_winkler', false, 'applicant_name name full_name customer_name', 'applicant_name'),
+('chk_check_kyc_pan_fathers_name_vs_los', 'check_kyc', 'pan', 'fathers_name', 'jaro_winkler', false, 'fathers_name father_name', 'fathers_name'),
+('chk_check_kyc_pan_pan_number_vs_los', 'check_kyc', 'pan', 'pan_number', 'exact_id', false, 'pan_number pan applicant_pan_number', 'applicant_pan_number pan'),
+('chk_check_kyc_pan_dob_vs_los', 'check_kyc', 'pan', 'dob', 'exact_date', false, 'dob applicant_dob date_of_birth', 'applicant_dob'),
+('chk_check_kyc_application_form_applicant_name_vs_los', 'check_kyc', 'application_form', 'applicant_name', 'jaro_winkler', false, 'applicant_name name customer_name full_name', 'applicant_name'),
+('chk_check_kyc_application_form_fathers_name_vs_los', 'check_kyc', 'application_form', 'fathers_name', 'jaro_winkler', false, 'fathers_name father_name', 'fathers_name'),
+('chk_check_kyc_application_form_dob_vs_los', 'check_kyc', 'application_form', 'dob', 'exact_date', false, 'dob applicant_dob date_of_birth', 'applicant_dob'),
+('chk_check_kyc_application_form_mobile_no_vs_los', 'check_kyc', 'application_form', 'mobile_no', 'exact_string', false, 'mobile_no applicant_mobile_no mobile phone', 'applicant_mobile_no'),
+('chk_check_kyc_application_form_gender_vs_los', 'check_kyc', 'application_form', 'gender', 'exact_string_ci', false, 'gender applicant_gender', 'applicant_gender'),
+('chk_check_kyc_application_form_pan_number_vs_los', 'check_kyc', 'application_form', 'pan_number', 'exact_id', false, 'pan_number pan applicant_pan_number', 'applicant_pan_number pan'),
+('chk_aadhaar_xml_aadhaar_no_vs_los', 'check_kyc', 'aadhaar_xml', 'aadhaar_number', 'masked_aadhaar', true, 'aadhaar_number aadhaar uid aadhaar_no', 'aadhaar_no'),
+('chk_check_financial_application_form_loan_amount_vs_los', 'check_financial', 'application_form', 'loan_amount', '[exact_numeric]', false, 'loan_amount funding_amount amount sanctioned_amount disbursal_amount', 'loan_amount funding_amount'),
+('chk_check_financial_application_form_loan_validity_vs_los', 'check_financial', 'application_form', 'loan_validity', 'tenure_months', false, 'loan_validity tenure tenure_months loan_tenure loan_term term validity', 'loan_validity tenure tenure_months'),
+('chk_check_financial_application_form_account_no_vs_los', 'check_financial', 'application_form', 'account_no', 'exact_id', false, 'account_no account_number applicant_bank_account_no bank_account_no', 'applicant_bank_account_no'),
+('chk_check_financial_application_form_type_of_account_vs_los', 'check_financial', 'application_form', 'type_of_account', 'exact_string_ci', false, 'type_of_account bank_account_type account_type', 'bank_account_type'),
+('chk_check_financial_application_form_loan_type_vs_los', 'check_financial', 'application_form', 'loan_type', 'exact_string_ci', false, 'loan_type', 'loan_type'),
+('chk_check_financial_kfs_loan_amount_vs_los', 'check_financial', 'kfs', 'loan_amount', 'exact_numeric', false, 'loan_amount funding_amount amount sanctioned_amount disbursal_amount', 'loan_amount funding_amount'),
+('chk_check_financial_kfs_loan_validity_vs_los', 'check_financial', 'kfs', 'loan_validity', 'tenure_months', false, 'loan_validity tenure tenure_months loan_tenure loan_term term validity', 'loan_validity tenure tenure_months'),
+('chk_check_financial_kfs_loan_type_vs_los', 'check_financial', 'kfs', 'loan_type', 'exact_string_ci', false, 'loan_type', 'loan_type'),
+('chk_check_financial_kfs_irr_percent_vs_los', 'check_financial', 'kfs', 'irr_percent', 'exact_numeric', false, 'irr_percent irr roi interest_rate', 'irr_percent'),
+('chk_check_financial_kfs_emi_vs_los', 'check_financial', 'kfs', 'emi', 'exact_numeric', false, 'emi monthly_emi emi_amount', 'emi'),
+('chk_check_financial_kfs_bpi_vs_los', 'check_financial', 'kfs', 'bpi', 'exact_numeric', true, 'bpi bpi_charges bpi_charge broken_period_interest BPI', 'bpi_charges'),
+('chk_check_financial_kfs_customer_consent_vs_los', 'check_financial', 'kfs', 'customer_consent', 'presence_only', false, 'customer_consent consent is_consented', ''),
+('chk_check_financial_disbursal_memo_loan_no_vs_los', 'check_financial', 'disbursal_memo', 'loan_no', 'exact_id', false, 'loan_no loan_id loan_number application_id', 'loan_id application_id'),
+('chk_check_financial_disbursal_memo_loan_amount_vs_los', 'check_financial', 'disbursal_memo', 'loan_amount', 'exact_numeric', false, 'loan_amount disbursal_amount amount funding_amount sanctioned_amount', 'loan_amount funding_amount'),
+('chk_check_financial_sanction_letter_applicant_name_vs_los', 'check_financial', 'sanction_letter', 'applicant_name', 'jaro_winkler', false, 'applicant_name name customer_name full_name', 'applicant_name'),
+('chk_check_financial_sanction_letter_loan_amount_vs_los', 'check_financial', 'sanction_letter', 'loan_amount', 'exact_numeric', false, 'loan_amount funding_amount amount sanctioned_amount disbursal_amount', 'loan_amount funding_amount'),
+('chk_check_financial_sanction_letter_loan_validity_vs_los', 'check_financial', 'sanction_letter', 'loan_validity', 'tenure_months', false, 'loan_validity tenure tenure_months loan_tenure loan_term term validity', 'loan_validity tenure tenure_months'),
+('chk_check_financial_sanction_letter_irr_percent_vs_los', 'check_financial', 'sanction_letter', 'irr_percent', 'exact_numeric', false, 'irr_percent irr roi interest_rate', 'irr_percent'),
+('chk_check_financial_sanction_letter_emi_vs_los', 'check_financial', 'sanction_letter', 'emi', 'exact_numeric', false, 'emi monthly_emi emi_amount', 'emi'),
+('chk_check_financial_sanction_letter_loan_type_vs_los', 'check_financial', 'sanction_letter', 'loan_type', 'exact_string_ci', true, 'loan_type', 'loan_type'),
+('chk_check_financial_sanction_letter_mobile_no_vs_los', 'check_financial', 'sanction_letter', 'mobile_no', 'exact_string', true, 'mobile_no applicant_mobile_no mobile phone', 'applicant_mobile_no'),
+('chk_check_financial_sanction_letter_address_vs_los', 'check_financial', 'sanction_letter', 'address', 'tfidf_cosine', true, 'address current_address address_text', 'current_address permanent_address'),
+('chk_check_financial_account_statement_account_no_vs_los', 'check_financial', 'account_statement', 'account_no', 'exact_id', false, 'account_no account_number bank_account_no applicant_bank_account_no', 'applicant_bank_account_no'),
+('chk_check_financial_account_statement_applicant_name_vs_los', 'check_financial', 'account_statement', 'applicant_name', 'jaro_winkler', false, 'applicant_name name account_holder_name customer_name full_name', 'applicant_name'),
+('chk_check_financial_account_statement_current_address_vs_los', 'check_financial', 'account_statement', 'current_address', 'tfidf_cosine', true, 'current_address address address_text permanent_address', 'current_address permanent_address'),
+('chk_check_loan_application_application_form_application_no_vs_los', 'check_loan_application', 'application_form', 'application_no', 'exact_id', false, 'application_no application_id loan_id loan_no', 'loan_id application_id'),
+('chk_check_loan_application_kfs_application_no_vs_los', 'check_loan_application', 'kfs', 'application_no', 'exact_id', false, 'application_no application_id loan_id loan_no', 'loan_id application_id'),
+('chk_check_loan_application_sanction_letter_application_no_vs_los', 'check_loan_application', 'sanction_letter', 'application_no', 'exact_id', false, 'application_no application_id loan_id loan_no', 'loan_id application_id'),
+('chk_check_loan_application_disbursal_memo_loan_no_vs_los', 'check_loan_application', 'disbursal_memo', 'loan_no', 'exact_id', false, 'loan_no loan_id loan_number application_id', 'loan_id application_id')
+"""
+#: Other names of documents: name, canonical name, rank.
+_FILED_AS = ", ".join(
+    f"('{n}', '{names.split()[0]}', {i})"
+    for names in (
+        "aadhaar kyc_address_proof aadhaar_card aadhar", "aadhaar_xml aadhaarxml xml_aadhaar", "pan kyc_pan pan_card", "application_form loan_application application appform app_form",
+        "account_statement bank_statement bank_account_statement bank_statement_6m", "kfs key_fact_statement key_fact_statement_kfs", "sanction_letter sanction", "loan_agreement agreement",
+        "disbursal_memo disbursement_memo memo disbursalmemo", "vkyc vkyc_audit_trail vkyc_audit", "bt_details foreclosure_letter bt",
+    )
+    for i, n in enumerate(names.split())
+)
+_DOCS = (
+    f"(SELECT loan_id, canon, field, value, kind FROM (SELECT *, min(rank) OVER (PARTITION BY loan_id, canon) AS best FROM (SELECT f.loan_id, coalesce(a.canon, f.doc_key) AS canon, coalesce(a.rank, 0) AS rank, f.field, f.value, f.kind "
+    f"FROM {LATEST_FIELDS} f LEFT JOIN (VALUES {_FILED_AS}) a(name, canon, rank) ON a.name = f.doc_key)) WHERE rank = best)"
+)
+_LOS_NAMES = "loan_id applicant_name applicant_mobile_no applicant_dob applicant_pan_number fathers_name applicant_bank_account_no loan_type loan_validity current_address permanent_address aadhaar_no bank_account_type applicant_gender application_id pan tenure_months tenure loan_amount funding_amount irr_percent emi bpi_charges".split()
+_LOS_LONG = "(" + " UNION ALL ".join(f"SELECT loan_id, '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM {LATEST_LOS}" for c in _LOS_NAMES) + ")"
+_D, _L = "d", "l"
 _X, _Y = _aadhaar(_D), _aadhaar(_L)
-_LAST4 = "right(regexp_replace({x}, '[^0-9]', '', 'g'), 4)"
+_DIGITS = "regexp_replace({x}, '[^0-9]', '', 'g')"
+_LAST4 = f"(length({_DIGITS.format(x=_X)}) >= 4 AND length({_DIGITS.format(x=_Y)}) >= 4 AND right({_DIGITS.format(x=_X)}, 4) = right({_DIGITS.format(x=_Y)}, 4))"
+_MASKED = f"(regexp_matches({_X}, '[X*•]') OR regexp_matches({_Y}, '[X*•]'))"
+_SHORT = f"({_LAST4} AND (length({_X}) = 4 OR length({_Y}) = 4) AND NOT (length({_DIGITS.format(x=_X)}) = 12 AND length({_DIGITS.format(x=_Y)}) = 12))"
+_BAND = "CASE WHEN {s} >= 0.5 THEN 'MATCH' WHEN {s} >= 0.4 THEN 'PARTIAL' ELSE 'MISMATCH' END"
+_FILLED = f"trim({_D}) <> '' AND trim({_L}) <> ''"
+_JARO = f"round(CASE WHEN {_FILLED} THEN jaro_winkler_similarity(lower(trim({_D})), lower(trim({_L}))) ELSE 0.0 END, 4)"
+_COSINE = (
+    f"round(CASE WHEN lower(trim({_L})) = lower(trim({_D})) THEN 1.0 WHEN len(lw) = 0 OR len(dw) = 0 THEN 0.0 ELSE "
+    f"coalesce(list_sum(list_transform(list_intersect(list_distinct(lw), list_distinct(dw)), lambda w: len(list_filter(lw, lambda v: v = w)) * len(list_filter(dw, lambda v: v = w)))), 0) / sqrt({_NORM.format(p='lw', q='dw')} * {_NORM.format(p='dw', q='lw')}) END, 4)"
+)
 _STATUS = (
-    f"CASE WHEN method = 'presence_only' THEN CASE WHEN {_D} IS NULL THEN 'NOT_FOUND' WHEN lower(trim({_D})) IN ('true','1','yes','y','verified','accepted','consented') THEN 'MATCH' ELSE 'MISMATCH' END "
+    f"CASE WHEN NOT filed THEN 'NOT_FOUND' WHEN method = 'presence_only' THEN CASE WHEN coalesce(CASE WHEN kind = 'number' THEN TRY_CAST({_D} AS DOUBLE) > 0 ELSE lower(trim({_D})) IN ('true','1','yes','y','verified','accepted','consented') END, false) THEN 'MATCH' ELSE 'MISMATCH' END "
     f"WHEN {_D} IS NULL OR {_L} IS NULL THEN 'NOT_FOUND' WHEN method = 'exact_numeric' AND ({_num(_D)} IS NULL OR {_num(_L)} IS NULL) THEN 'NOT_FOUND' "
-    f"WHEN coalesce(CASE method WHEN 'exact_id' THEN {_id(_D)} = {_id(_L)} WHEN 'exact_date' THEN {_date(_D)} = {_date(_L)} WHEN 'exact_string_ci' THEN lower(trim({_D})) = lower(trim({_L})) AND trim({_D}) <> '' "
-    f"WHEN 'exact_numeric' THEN abs({_num(_D)} - {_num(_L)}) < 0.01 WHEN 'masked_aadhaar' THEN CASE WHEN regexp_matches({_X}, '[X*•]') OR regexp_matches({_Y}, '[X*•]') THEN {_LAST4.format(x=_X)} = {_LAST4.format(x=_Y)} ELSE {_X} = {_Y} END "
-    f"WHEN 'tenure_months' THEN {_tenure(_D)} = {_tenure(_L)} ELSE trim({_D}) = trim({_L}) END, false) THEN 'MATCH' ELSE 'MISMATCH' END"
+    f"WHEN method = 'jaro_winkler' THEN {_BAND.format(s='jaro')} WHEN method = 'tfidf_cosine' THEN {_BAND.format(s='cosine')} "
+    f"WHEN coalesce(CASE method WHEN 'exact_id' THEN {_id(_D)} = {_id(_L)} WHEN 'exact_date' THEN {_date(_D)} = {_date(_L)} AND trim({_D}) <> '' WHEN 'exact_string_ci' THEN lower(trim({_D})) = lower(trim({_L})) AND {_FILLED} "
+    f"WHEN 'exact_numeric' THEN abs({_num(_D)} - {_num(_L)}) < 0.01 WHEN 'masked_aadhaar' THEN {_X} <> '' AND {_Y} <> '' AND CASE WHEN {_MASKED} THEN {_LAST4} ELSE {_X} = {_Y} OR {_SHORT} END "
+    f"WHEN 'tenure_months' THEN {_tenure(_D)} = {_tenure(_L)} ELSE trim({_D}) = trim({_L}) AND {_FILLED} END, false) THEN 'MATCH' ELSE 'MISMATCH' END"
 )
+_KIND_OF_MATCH = "CASE method WHEN 'jaro_winkler' THEN 'fuzzy' WHEN 'tfidf_cosine' THEN 'fuzzy' WHEN 'exact_id' THEN 'exact_id' WHEN 'masked_aadhaar' THEN 'masked_id' WHEN 'tenure_months' THEN 'tenure' WHEN 'exact_date' THEN 'exact_date' WHEN 'presence_only' THEN 'presence' ELSE 'exact_string' END"
 RECORDS = (
-    f"(SELECT e.loan_id, e.check_id, e.doc_key, e.field, e.method, {_STATUS} AS status FROM (SELECT l.loan_id, k.check_id, k.doc_key, k.field, k.method, {_LOS_VALUE} AS lv FROM {LATEST_LOS} l "
-    f"CROSS JOIN (VALUES {_CHECKS}) k(doc_key, field, los_field, method, check_id)) e LEFT JOIN {LATEST_FIELDS} d ON d.loan_id = e.loan_id AND d.doc_key = e.doc_key AND d.field = e.field)"
+    f"(SELECT loan_id, check_id, subnode, doc_key, field, {_KIND_OF_MATCH} AS match_type, method, status, "
+    f"CAST(CASE WHEN status = 'NOT_FOUND' THEN 0.0 WHEN method = 'jaro_winkler' THEN jaro WHEN method = 'tfidf_cosine' THEN cosine WHEN method = 'masked_aadhaar' AND NOT {_MASKED} AND {_X} <> {_Y} AND {_SHORT} THEN 0.95 WHEN status = 'MATCH' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS confidence "
+    f"FROM (SELECT *, {_STATUS} AS status FROM (SELECT *, CASE WHEN method = 'jaro_winkler' THEN {_JARO} END AS jaro, CASE WHEN method = 'tfidf_cosine' THEN {_COSINE} END AS cosine FROM ("
+    f"SELECT e.*, p.loan_id IS NOT NULL AS filed, dv.value AS d, dv.kind AS kind, lv.value AS l, {_WORDS.format(x='dv.value')} AS dw, {_WORDS.format(x='lv.value')} AS lw "
+    f"FROM (SELECT l.loan_id, k.* FROM {LATEST_LOS} l CROSS JOIN (VALUES {_CHECKS}) k(check_id, subnode, doc_key, field, method, optional, doc_names, los_names)) e "
+    f"LEFT JOIN (SELECT DISTINCT loan_id, canon FROM {_DOCS}) p ON p.loan_id = e.loan_id AND p.canon = e.doc_key "
+    f"LEFT JOIN (SELECT x.loan_id, k.check_id, arg_min(x.value, list_position(string_split(k.doc_names, ' '), x.field)) AS value, arg_min(x.kind, list_position(string_split(k.doc_names, ' '), x.field)) AS kind FROM {_DOCS} x "
+    f"JOIN (VALUES {_CHECKS}) k(check_id, subnode, doc_key, field, method, optional, doc_names, los_names) ON k.doc_key = x.canon AND list_contains(string_split(k.doc_names, ' '), x.field) WHERE x.value IS NOT NULL GROUP BY ALL) dv ON dv.loan_id = e.loan_id AND dv.check_id = e.check_id "
+    f"LEFT JOIN (SELECT x.loan_id, k.check_id, arg_min(x.value, list_position(string_split(k.los_names, ' '), x.field)) AS value FROM {_LOS_LONG} x "
+    f"JOIN (VALUES {_CHECKS}) k(check_id, subnode, doc_key, field, method, optional, doc_names, los_names) ON list_contains(string_split(k.los_names, ' '), x.field) WHERE x.value IS NOT NULL GROUP BY ALL) lv ON lv.loan_id = e.loan_id AND lv.check_id = e.check_id))) "
+    f"WHERE NOT (optional AND (NOT filed OR d IS NULL OR l IS NULL)))"
 )
+COLUMNS = ("loan_id", "check_id", "subnode", "doc_key", "field", "match_type", "method", "status", "confidence")
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    return records.compare(table(spark, d, "los"), table(spark, d, "doc_fields"))
+    return records.compare(table(spark, d, "los"), table(spark, d, "doc_fields")).select(*COLUMNS)
 
 
-@add(f"SELECT loan_id, check_id, doc_key, field, method, status FROM {RECORDS}")
+@add(f"SELECT {', '.join(COLUMNS)} FROM {RECORDS}")
 def cmp_records(spark: SparkSession, d: str) -> DataFrame:
-    """JN-01, CMP-03 to CMP-13, CMP-17 to CMP-20, SET-02."""
+    """JN-01, JN-02, CMP-01 to CMP-06, CMP-08 to CMP-13, CMP-17 to CMP-20, SET-02, FN-09, FN-10, FN-34: all configured checks of all loans."""
     return _records(spark, d)
 
 
-_COUNTS = "count(*) FILTER (status = 'MATCH') AS n_match, count(*) FILTER (status = 'MISMATCH') AS n_mismatch, count(*) FILTER (status = 'NOT_FOUND') AS n_not_found, count(*) AS n_total"
-ROLLUP = f"(SELECT *, CASE WHEN n_mismatch > 0 THEN 'Discrepancy' WHEN n_not_found > 0 THEN 'Indeterminate' ELSE 'Verified' END AS rollup FROM (SELECT loan_id, {_COUNTS} FROM {RECORDS} GROUP BY loan_id))"
+_NEAR = f"CASE WHEN a <= 0 OR b <= 0 THEN CASE WHEN a = b THEN 1.0 ELSE 0.0 END ELSE least(a, b) / greatest(a, b) END"
+
+
+@add(
+    f"SELECT loan_id, doc_key, CASE WHEN a IS NULL OR b IS NULL THEN 'NOT_FOUND' WHEN {_NEAR} >= 0.90 THEN 'MATCH' ELSE 'MISMATCH' END AS status, CAST(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE round(least(1.0, {_NEAR}), 4) END AS DOUBLE) AS confidence "
+    f"FROM (SELECT d.loan_id, d.doc_key, {_num('d.value')} AS a, {_num('l.loan_amount')} AS b FROM {LATEST_FIELDS} d JOIN {LATEST_LOS} l USING (loan_id) WHERE d.field = 'loan_amount' AND d.value IS NOT NULL AND l.loan_amount IS NOT NULL)"
+)
+def cmp_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """CMP-07: amounts of documents within nine tenths of the loan's; with a side of zero or less only equal ones match."""
+    docs = records.latest_fields(table(spark, d, "doc_fields").where("field = 'loan_amount'")).where("value IS NOT NULL")
+    own = records.latest_rows(table(spark, d, "los")).where("loan_amount IS NOT NULL").select("loan_id", F.col("loan_amount").cast("string").alias("l"))
+    status, confidence = records.status_of(F.lit("threshold_90"), F.col("value"), F.col("l"))
+    return docs.join(own, "loan_id").select("loan_id", "doc_key", status.alias("status"), confidence.alias("confidence"))
+
+
+def _number_of(doc: str, names: str) -> str:
+    return (
+        f"(SELECT loan_id, {_num('value')} AS v FROM (SELECT loan_id, arg_min(value, list_position(string_split('{names}', ' '), field)) AS value FROM {_DOCS} "
+        f"WHERE canon = '{doc}' AND value IS NOT NULL AND list_contains(string_split('{names}', ' '), field) GROUP BY loan_id))"
+    )
+
+
+_BPI = "bpi_charge broken_period_interest bpi"
+BPI = (
+    f"(SELECT loan_id, CASE WHEN a IS NULL OR b IS NULL THEN 'NOT_FOUND' WHEN greatest(a, b) = 0 THEN 'MATCH' WHEN abs(a - b) / greatest(a, b) <= 0.10 THEN 'MATCH' ELSE 'MISMATCH' END AS status, "
+    f"CAST(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 WHEN greatest(a, b) = 0 THEN 1.0 ELSE round(greatest(0.0, 1 - abs(a - b) / greatest(a, b)), 4) END AS DOUBLE) AS confidence "
+    f"FROM (SELECT loan_id, k.v AS a, m.v AS b FROM {_number_of('kfs', _BPI)} k FULL OUTER JOIN {_number_of('disbursal_memo', _BPI)} m USING (loan_id)) WHERE a IS NOT NULL OR b IS NOT NULL)"
+)
+
+
+def _bpi(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "doc_fields")
+    return records.tolerance(records.document_value(f, "kfs", *_BPI.split()), records.document_value(f, "disbursal_memo", *_BPI.split()))
+
+
+@add(f"SELECT * FROM {BPI}")
+def cmp_bpi(spark: SparkSession, d: str) -> DataFrame:
+    """CMP-14, JN-03: interest of the broken period in two documents of a loan, within a tenth; a full outer join."""
+    return _bpi(spark, d)
+
+
+SIGNATURES = (
+    f"(SELECT loan_id, CASE WHEN c > 0 THEN 'MATCH' ELSE 'MISMATCH' END AS status, c AS confidence FROM (SELECT loan_id, CAST(CASE WHEN coalesce(i.x.is_acceptable, false) THEN 100.0 WHEN coalesce(i.x.is_signed, false) THEN 0.0 "
+    f"WHEN coalesce(g.kind = 'bool' AND lower(g.value) = 'true', false) THEN 85.0 ELSE 0.0 END AS DOUBLE) AS c FROM (SELECT loan_id, pyhanko_inspection AS x FROM (SELECT *, row_number() OVER (PARTITION BY loan_id ORDER BY inspected_at DESC NULLS LAST, inspection_id DESC) rn "
+    f"FROM inspections WHERE loan_id IS NOT NULL AND pyhanko_inspection IS NOT NULL) WHERE rn = 1) i FULL OUTER JOIN (SELECT a.loan_id, f.value, f.kind FROM (SELECT DISTINCT loan_id FROM {_DOCS} WHERE canon = 'loan_agreement') a "
+    f"LEFT JOIN (SELECT * FROM {_DOCS} WHERE canon = 'loan_agreement' AND field = 'loan_agreement_signed') f USING (loan_id)) g USING (loan_id)))"
+)
+
+
+@add(f"SELECT * FROM {SIGNATURES}")
+def cmp_signature(spark: SparkSession, d: str) -> DataFrame:
+    """CMP-15: the signature of each loan's agreement; confidence from 0 to 100."""
+    return records.signatures(table(spark, d, "doc_fields"), table(spark, d, "inspections")).select("loan_id", "status", "confidence")
+
+
+@add(
+    f"SELECT loan_id, check_id, subnode, status, confidence FROM {RECORDS} UNION ALL SELECT loan_id, 'chk_check_financial_kfs_vs_disbursal_memo_bpi_charge', 'check_financial', status, confidence FROM {BPI} JOIN (SELECT loan_id FROM {LATEST_LOS}) USING (loan_id) "
+    f"UNION ALL SELECT loan_id, 'chk_loan_agreement_digital_signature', 'check_loan_application', status, confidence FROM {SIGNATURES} JOIN (SELECT loan_id FROM {LATEST_LOS}) USING (loan_id)"
+)
+def cmp_subnodes(spark: SparkSession, d: str) -> DataFrame:
+    """CMP-17, CMP-18, CMP-19, SET-02: the records of the three checkers, with those between documents and of the signature."""
+    return _all_records(spark, d)
+
+
+def _all_records(spark: SparkSession, d: str) -> DataFrame:
+    loans = table(spark, d, "los").where("loan_id IS NOT NULL").select("loan_id").distinct()
+    bpi = _bpi(spark, d).join(loans, "loan_id", "left_semi").select("loan_id", F.lit("chk_check_financial_kfs_vs_disbursal_memo_bpi_charge").alias("check_id"), F.lit("check_financial").alias("subnode"), "status", "confidence")
+    signed = records.signatures(table(spark, d, "doc_fields"), table(spark, d, "inspections")).join(loans, "loan_id", "left_semi").select("loan_id", "check_id", "subnode", "status", "confidence")
+    return _records(spark, d).select("loan_id", "check_id", "subnode", "status", "confidence").unionByName(bpi).unionByName(signed)
+
+
+@add(f"SELECT loan_id, check_id, status, CAST(CASE WHEN match_type = 'fuzzy' AND status = 'PARTIAL' THEN 0.5 ELSE confidence END AS DOUBLE) AS confidence, match_type = 'fuzzy' AND status = 'PARTIAL' AS adjudicated FROM {RECORDS}")
+def cmp_adjudicated(spark: SparkSession, d: str) -> DataFrame:
+    """CMP-16, UDF-01: records after adjudication of partial matches, by the adjudicator that needs no model."""
+    return records.adjudicated(_records(spark, d)).select("loan_id", "check_id", "status", "confidence", "adjudicated")
+
+
+_BARE = "lower(replace(trim({x}), ' ', ''))"
+_FORM = """
+('applicant_name', 'applicant_name', 3.0, 'text', 'applicant_name customer_name name full_name'), ('application_no', 'loan_id', 1.0, 'text', 'application_no application_id loan_id loan_no'),
+('fathers_name', 'fathers_name', 1.0, 'text', 'fathers_name father_name'), ('dob', 'applicant_dob', 3.0, 'date', 'dob applicant_dob date_of_birth'), ('gender', 'applicant_gender', 1.0, 'text', 'gender'),
+('mobile_no', 'applicant_mobile_no', 1.0, 'mobile', 'mobile_no applicant_mobile_no mobile phone'), ('pan_number', 'applicant_pan_number', 3.0, 'text', 'pan_number pan applicant_pan_number'),
+('account_no', 'applicant_bank_account_no', 2.0, 'text', 'account_no bank_account_no account_number applicant_bank_account_no'), ('type_of_account', 'bank_account_type', 1.0, 'text', 'type_of_account'),
+('loan_type', 'loan_type', 1.0, 'text', 'loan_type'), ('loan_amount', 'loan_amount', 2.0, 'number', 'loan_amount funding_amount amount sanctioned_amount disbursal_amount'),
+('loan_validity', 'tenure', 2.0, 'number', 'loan_validity tenure tenure_months loan_tenure loan_term term validity')
+"""
+_SAME = (
+    f"coalesce(CASE how WHEN 'mobile' THEN CASE WHEN length({_DIGITS.format(x='x')}) >= 10 AND length({_DIGITS.format(x='y')}) >= 10 THEN right({_DIGITS.format(x='x')}, 10) = right({_DIGITS.format(x='y')}, 10) ELSE {_BARE.format(x='x')} = {_BARE.format(x='y')} END "
+    f"WHEN 'date' THEN {_date('x')} = {_date('y')} WHEN 'number' THEN coalesce({_num('x')}, 0) = coalesce({_num('y')}, 0) AND x IS NOT NULL "
+    f"ELSE {_BARE.format(x='x')} = {_BARE.format(x='y')} OR contains({_BARE.format(x='x')}, {_BARE.format(x='y')}) OR contains({_BARE.format(x='y')}, {_BARE.format(x='x')}) END, false)"
+)
+
+
+@add(
+    f"SELECT loan_id, CAST(count(y) AS INTEGER) AS n_fields, CAST(count(*) FILTER (y IS NOT NULL AND {_SAME}) AS INTEGER) AS n_matched, CAST(coalesce(round(sum(weight) FILTER (y IS NOT NULL AND {_SAME}) / sum(weight) FILTER (y IS NOT NULL) * 100, 1), 0) AS DOUBLE) AS match_score FROM ("
+    f"SELECT f.loan_id, k.field, CAST(k.weight AS DOUBLE) AS weight, k.how, v.value AS x, l.value AS y FROM (SELECT DISTINCT loan_id FROM {_DOCS} WHERE canon = 'application_form') f JOIN {LATEST_LOS} o USING (loan_id) CROSS JOIN (VALUES {_FORM}) k(field, row_field, weight, how, names) "
+    f"LEFT JOIN (SELECT d.loan_id, k.field, arg_min(d.value, list_position(string_split(k.names, ' '), d.field)) AS value FROM {_DOCS} d JOIN (VALUES {_FORM}) k(field, row_field, weight, how, names) ON list_contains(string_split(k.names, ' '), d.field) "
+    f"WHERE d.canon = 'application_form' AND d.value IS NOT NULL GROUP BY ALL) v ON v.loan_id = f.loan_id AND v.field = k.field LEFT JOIN {_LOS_LONG} l ON l.loan_id = f.loan_id AND l.field = k.row_field) GROUP BY loan_id"
+)
+def cmp_form(spark: SparkSession, d: str) -> DataFrame:
+    """CMP-21: the weighted score of a form against the loan's row."""
+    return records.form_score(table(spark, d, "los"), table(spark, d, "doc_fields"))
+
+
+_COUNTS = "count(*) FILTER (status = 'MATCH') AS n_match, count(*) FILTER (status = 'PARTIAL') AS n_partial, count(*) FILTER (status = 'MISMATCH') AS n_mismatch, count(*) FILTER (status = 'NOT_FOUND') AS n_not_found, count(*) AS n_total"
+ROLLUP = f"(SELECT *, CASE WHEN n_mismatch > 0 THEN 'Discrepancy' WHEN n_match < n_total THEN 'Indeterminate' ELSE 'Verified' END AS rollup FROM (SELECT loan_id, {_COUNTS} FROM {RECORDS} GROUP BY loan_id))"
 
 
 @add(f"SELECT * FROM {ROLLUP}")
@@ -348,6 +538,15 @@ def agg_rollup(spark: SparkSession, d: str) -> DataFrame:
     return records.rollup(_records(spark, d))
 
 
+@add(
+    f"SELECT loan_id, subnode, coalesce(n_total, 0) AS n_total, coalesce(rollup, 'Indeterminate') AS rollup FROM (SELECT loan_id, s.subnode FROM {LATEST_LOS} CROSS JOIN (VALUES ('check_kyc'), ('check_financial'), ('check_loan_application')) s(subnode)) LEFT JOIN "
+    f"(SELECT loan_id, subnode, count(*) AS n_total, CASE WHEN bool_or(status = 'MISMATCH') THEN 'Discrepancy' WHEN bool_or(status <> 'MATCH') THEN 'Indeterminate' ELSE 'Verified' END AS rollup FROM {RECORDS} GROUP BY loan_id, subnode) USING (loan_id, subnode)"
+)
+def agg_subnodes(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-01: the tri-state rollup per loan and subnode; an empty one is Indeterminate."""
+    return records.subnode_rollups(_records(spark, d), table(spark, d, "los"))
+
+
 @add(
     f"SELECT doc_key, field, {_COUNTS}, round(avg(CASE status WHEN 'MATCH' THEN 1.0 ELSE 0.0 END), 4) AS match_rate FROM {RECORDS} GROUP BY doc_key, field"
 )
@@ -355,7 +554,7 @@ def agg_check_rates(spark: SparkSession, d: str) -> DataFrame:
     """AGG-10, AGG-14, AGG-17: status counts and rate of matches per check."""
     n = lambda s: F.count_if(F.col("status") == s)
     return _records(spark, d).groupBy("doc_key", "field").agg(
-        n("MATCH").alias("n_match"), n("MISMATCH").alias("n_mismatch"), n("NOT_FOUND").alias("n_not_found"), F.count(F.lit(1)).alias("n_total"),
+        n("MATCH").alias("n_match"), n("PARTIAL").alias("n_partial"), n("MISMATCH").alias("n_mismatch"), n("NOT_FOUND").alias("n_not_found"), F.count(F.lit(1)).alias("n_total"),
         F.round(F.avg((F.col("status") == "MATCH").cast("double")), 4).alias("match_rate"),
     )
 
@@ -374,20 +573,6 @@ def ent_mismatches(spark: SparkSession, d: str) -> DataFrame:
     return r.select("loan_id", "check_id", "doc_key", "field", F.when(F.col("method").isin("exact_id", "masked_aadhaar"), "HIGH").otherwise("MEDIUM").alias("priority"))
 
 
-def _amount_sql(doc: str, field: str) -> str:
-    return f"(SELECT loan_id, {_num('value')} AS v FROM {LATEST_FIELDS} WHERE doc_key = '{doc}' AND field = '{field}')"
-
-
-@add(
-    f"SELECT loan_id, CASE WHEN a IS NULL OR b IS NULL THEN 'NOT_FOUND' WHEN greatest(abs(a), abs(b)) = 0 THEN 'MATCH' WHEN abs(a - b) / greatest(abs(a), abs(b)) <= 0.10 THEN 'MATCH' ELSE 'MISMATCH' END AS status "
-    f"FROM (SELECT loan_id, k.v AS a, s.v AS b FROM {_amount_sql('kfs', 'emi')} k FULL OUTER JOIN {_amount_sql('sanction_letter', 'emi')} s USING (loan_id)) WHERE a IS NOT NULL OR b IS NOT NULL"
-)
-def cmp_tolerance(spark: SparkSession, d: str) -> DataFrame:
-    """CMP-07, CMP-14, JN-03: instalments of two documents within a tenth; a full outer join."""
-    f = records.latest_fields(table(spark, d, "doc_fields").where("field = 'emi'")).select("loan_id", "doc_key", fn.clean_numeric(F.col("value")).alias("v"))
-    return records.tolerance(f.where("doc_key = 'kfs'"), f.where("doc_key = 'sanction_letter'"))
-
-
 # --- scans, joins, set operations -------------------------------------------------------------------------------------
 
 
