@@ -1,22 +1,26 @@
 """Problem 1: one measured quantity recorded in different units, brought to common units.
 
-A duration may be recorded in several columns of a row. What is known of the unit, in order of weight:
+A duration may be recorded in several columns of a row. All of them together with the identity among the row's columns
+(the instalment of an annuity fixes its number of months from amount and rate) form one system: a combination of a unit for
+each value solves it if all lengths agree within a tolerance, and the sum of log residuals says how well. What is known of the
+units, in order of weight:
 
-1. the physical identity among the row's columns (the instalment of an annuity fixes its number of months from amount
-   and rate, so every column that records the duration must agree with it). Of all unit candidates the one with the
-   smallest log residual against the identity is chosen when the stated unit is contradicted;
+1. the identity: where it contradicts the stated unit of a value, the unit with the smallest log residual replaces it, if
+   that is the only one which fits;
 2. the unit written in the text itself;
 3. what is known of the source, from a free-text note, possibly bounded by load day;
 4. months.
 
-Everything is a Column expression: one pass over the rows, one broadcast of the (counted) note rules, no shuffle.
+The number of combinations that solve a row's system is counted: where it is not one, the solution is not unique and rests on
+the note or the default; such rows are flagged. Everything is a Column expression: one pass over the rows, one broadcast of
+the (counted) note rules, no shuffle.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,25 +64,38 @@ _LEADING_UNIT = rf"(?<![\p{{L}}\p{{M}}])({_ANY_UNIT})\.?\s*:?\s*\d"
 TOLERANCE = 0.12
 
 
-def _plain(c: Column) -> Column:
-    """Lower case, ASCII digits, number words as digits, no surplus blanks."""
-    s = F.lower(F.translate(c.cast("string"), "०१२३४५६७८९౦౧౨౩౪౫౬౭౮౯೦೧೨೩೪೫೬೭೮೯௦௧௨௩௪௫௬௭௮௯", "0123456789" * 4))
-    s = F.regexp_replace(s, r"\bhalf(?:\s+a)?\s+year\b(?!ly)", "1 half-year")
-    for word, n in _TENS.items():
-        for one, k in list(_ONES.items())[:9]:
-            # Only where a tens word is present at all does the chain below matter; see the guard in parse_duration.
-            s = F.regexp_replace(s, rf"\b{word}[\s-]+{one}\b", str(10 * n + k))
-        s = F.regexp_replace(s, rf"\b{word}\b", str(10 * n))
-    for word, n in _ONES.items():
-        s = F.regexp_replace(s, rf"\b{word}\b", str(n))
-    return F.trim(s)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_DIGITS = ("०१२३४५६७८९౦౧౨౩౪౫౬౭౮౯೦೧೨೩೪೫೬೭೮೯௦௧௨௩௪௫௬௭௮௯", "0123456789" * 4)
+_SPELLED = {w: 10 * n for w, n in _TENS.items()} | _ONES
+
+
+def _folded(s: Column) -> Column:
+    """A text with its number words as digits: a tens word takes a ones word after it along. Hyphens become blanks."""
+    numbers = F.create_map(*[F.lit(x) for kv in _SPELLED.items() for x in kv])
+    flush = lambda a: F.when(a["n"].isNull(), a["out"]).otherwise(F.concat_ws(" ", F.nullif(a["out"], F.lit("")), a["n"].cast("string")))
+    none = F.lit(None).cast("int")
+
+    def step(a: Column, w: Column) -> Column:
+        n = F.try_element_at(numbers, w)
+        joins = (a["n"] >= 20) & (a["n"] % 10 == 0) & (n < 10)
+        return (
+            F.when(n.isNull(), F.struct(F.concat_ws(" ", F.nullif(flush(a), F.lit("")), w).alias("out"), none.alias("n")))
+            .when(joins, F.struct(a["out"].alias("out"), (a["n"] + n).alias("n")))
+            .otherwise(F.struct(flush(a).alias("out"), n.alias("n")))
+        )
+
+    half = F.regexp_replace(s, r"\bhalf(?:\s+a)?\s+year\b(?!ly)", "1 half-year")
+    return F.aggregate(F.split(F.trim(F.translate(half, "-", " ")), r"\s+"), F.struct(F.lit("").alias("out"), none.alias("n")), step, flush)
 
 
 def _spelled(c: Column) -> Column:
-    """_plain, with the long chain of number words evaluated only for texts that hold a spelled number."""
-    s = F.lower(F.translate(c.cast("string"), "०१२३४५६७८९౦౧౨౩౪౫౬౭౮౯೦೧೨೩೪೫೬೭೮೯௦௧௨௩௪௫௬௭௮௯", "0123456789" * 4))
-    words = "|".join([*_TENS, *_ONES, r"half\s"])
-    return F.when(s.rlike(rf"\b(?:{words})"), _plain(c)).otherwise(F.trim(s))
+    """Lower case, ASCII digits, and number words as digits where a text has any."""
+    words = "|".join([*_SPELLED, r"half\s"])
+    return let(F.lower(F.translate(c.cast("string"), *_DIGITS)), lambda s: F.when(s.rlike(rf"\b(?:{words})"), _folded(s)).otherwise(F.trim(s)))
 
 
 def _unit_of(word: Column) -> Column:
@@ -102,28 +119,26 @@ def parse_duration(c: Column) -> Column:
     up ("3Y6M"). unit: the unit written, "mixed" for several different ones. All null: no duration. Null, empty text,
     text without a number and a number of 0 or less give no duration.
     """
-    s = _spelled(c)
-    number = F.regexp_extract(s, r"^\+?(\d+(?:\.\d+)?)$", 1)
-    counts = F.regexp_extract_all(s, F.lit(_COMPONENT), 1)
-    words = F.regexp_extract_all(s, F.lit(_COMPONENT), 2)
-    ahead = F.size(counts) == 0
-    lead = F.regexp_extract(s, _LEADING, 1)
-    counts = F.when(ahead & (lead != ""), F.array(lead)).otherwise(counts)
-    words = F.when(ahead & (lead != ""), F.array(F.regexp_extract(s, _LEADING_UNIT, 1))).otherwise(words)
-    units = F.array_distinct(F.transform(words, _unit_of))
-    months = F.aggregate(
-        F.arrays_zip(counts.alias("n"), words.alias("w")),
-        F.lit(0.0),
-        lambda a, x: a + x["n"].cast("double") * _factor(_unit_of(x["w"])),
-    )
-    bare = F.when(number != "", number.cast("double"))
-    bare = F.when(bare > 0, bare)
-    written = (F.size(counts) > 0) & (months > 0) & bare.isNull()
-    return F.struct(
-        bare.alias("bare"),
-        F.when(written, months).alias("months"),
-        F.when(written, F.when(F.size(units) == 1, units[0]).otherwise("mixed")).alias("unit"),
-    )
+
+    def read(s: Column) -> Column:
+        counts, words = (F.regexp_extract_all(s, F.lit(_COMPONENT), i) for i in (1, 2))
+        lead = lambda pattern: F.array_compact(F.array(F.nullif(F.regexp_extract(s, pattern, 1), F.lit(""))))
+        return F.struct(F.regexp_extract(s, r"^\+?(\d+(?:\.\d+)?)$", 1).try_cast("double").alias("number"), counts.alias("n"), words.alias("w"), lead(_LEADING).alias("ln"), lead(_LEADING_UNIT).alias("lw"))
+
+    def parts(x: Column) -> Column:
+        ahead = (F.size(x["n"]) == 0) & (F.size(x["ln"]) > 0)
+        counts, words = F.when(ahead, x["ln"]).otherwise(x["n"]), F.when(ahead, x["lw"]).otherwise(x["w"])
+        return F.struct(F.when(x["number"] > 0, x["number"]).alias("bare"), F.transform(F.arrays_zip(counts.alias("n"), words.alias("w")), lambda c: F.struct(c["n"].cast("double").alias("n"), _unit_of(c["w"]).alias("u"))).alias("parts"))
+
+    def summed(x: Column) -> Column:
+        months = F.aggregate(x["parts"], F.lit(0.0), lambda a, c: a + c["n"] * _factor(c["u"]))
+        return F.struct(x["bare"].alias("bare"), F.when(x["bare"].isNull() & (months > 0), months).alias("months"), F.array_distinct(F.transform(x["parts"], lambda c: c["u"])).alias("units"))
+
+    def named(x: Column) -> Column:
+        unit = F.when(x["months"].isNotNull(), F.when(F.size(x["units"]) == 1, F.get(x["units"], F.lit(0))).otherwise("mixed"))
+        return F.struct(x["bare"].alias("bare"), x["months"].alias("months"), unit.alias("unit"))
+
+    return let(let(let(let(_spelled(c), read), parts), summed), named)
 
 
 # --- what is known of the sources ------------------------------------------------------------------------------------
@@ -238,60 +253,62 @@ def reconcile_durations(
     """One row per (key, field) that records a duration: its length in months and how the unit was found.
 
     Columns: key, field, recorded (text), months DOUBLE, months_rounded BIGINT, unit (of the recorded value), basis (text, note, default or
-    identity), residual (|ln| against the identity, null without one), unique (no second unit fits as well).
+    identity), residual (|ln| against the identity, null without one), row_residual (sum over the row's values, against the first one
+    without an identity), solutions (combinations of units for which all values of the row agree), unique (just one does).
     Null, empty and wordless values give no row; repeated rows give a row each; extra columns are ignored; an empty
     table gives an empty result. If the identity contradicts the stated unit and exactly one other unit agrees with it
-    within the tolerance, that one is taken; if none or several agree, the stated one is kept and `unique` is false.
+    within the tolerance, that one is taken; if none or several agree, the stated one is kept.
     """
     fields = list(fields)
-    base = rows.select(
-        F.col(key),
-        F.col(source).alias("_source"),
-        F.to_date(F.col(loaded_at)).alias("_day"),
-        identity.alias("_n"),
-        *[F.col(f).cast("string").alias(f) for f in fields],
-    )
-    long = base.select(
-        key, "_source", "_day", "_n",
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("recorded")) for f in fields])).alias("x"),
-    ).select(key, "_source", "_day", "_n", "x.field", "x.recorded").where(F.col("recorded").isNotNull())
-    parsed = long.withColumn("_p", parse_duration(F.col("recorded"))).where(F.col("_p.bare").isNotNull() | F.col("_p.months").isNotNull())
-
     rules = (
         source_rules(notes, fields, source)
-        .groupBy(F.col(source).alias("_source"), "field")
-        .agg(F.collect_list(F.struct("unit", "from_day", "to_day")).alias("_rules"))
-    )
-    joined = parsed.join(small(rules), ["_source", "field"], "left")
-    fitting = F.filter(
-        F.col("_rules"),
-        lambda x: (x["from_day"].isNull() | (F.col("_day") >= x["from_day"])) & (x["to_day"].isNull() | (F.col("_day") <= x["to_day"])),
-    )
-    stated = F.coalesce(F.col("_p.unit"), F.try_element_at(fitting, F.lit(1))["unit"], F.lit("month"))
-    basis = F.when(F.col("_p.unit").isNotNull(), "text").when(F.size(fitting) > 0, "note").otherwise("default")
-    joined = joined.withColumn("_stated", stated).withColumn("_basis", basis)
-    months = F.coalesce(F.col("_p.months"), F.col("_p.bare") * _factor(F.col("_stated")))
-    joined = joined.withColumn("_months", months).withColumn("_res", F.abs(F.ln(F.col("_months") / F.col("_n"))))
-    # Candidates by log residual. The number stands as it is recorded; the unit is what may be wrong.
-    count = F.coalesce(F.col("_p.bare"), F.when(F.col("_p.unit") != "mixed", F.col("_months") / _factor(F.col("_p.unit"))))
-    ranked = F.array_sort(
-        F.array(*[F.struct(F.abs(F.ln(count * m / F.col("_n"))).alias("res"), F.lit(u).alias("unit"), (count * m).alias("months")) for u, m in MONTHS_PER.items()])
-    )
-    joined = joined.withColumn("_ranked", F.when((F.col("_res") > tolerance) & count.isNotNull(), ranked))
-    best = F.col("_ranked")[0]
-    agreeing = F.size(F.filter(F.col("_ranked"), lambda x: x["res"] <= tolerance))
-    swap = F.col("_ranked").isNotNull() & (agreeing == 1)
-    return joined.select(
-        key,
-        "field",
-        "recorded",
-        F.when(swap, best["months"]).otherwise(F.col("_months")).alias("months"),
-        F.when(swap, F.floor(best["months"] + 0.5)).otherwise(F.floor(F.col("_months") + 0.5)).alias("months_rounded"),
-        F.when(swap, best["unit"]).otherwise(F.col("_stated")).alias("unit"),
-        F.when(swap, "identity").otherwise(F.col("_basis")).alias("basis"),
-        F.when(swap, best["res"]).otherwise(F.col("_res")).alias("residual"),
-        (F.col("_res").isNull() | (F.col("_res") <= tolerance) | swap).alias("unique"),
-    )
+        .groupBy(F.col(source).alias("_source"), "field").agg(F.collect_list(F.struct("unit", "from_day", "to_day")).alias("rules"))
+        .groupBy("_source").agg(F.map_from_entries(F.collect_list(F.struct("field", "rules"))).alias("_rules"))
+    )
+    base = rows.select(
+        F.col(key), F.col(source).alias("_source"), F.to_date(F.col(loaded_at)).alias("_day"), identity.alias("_n"),
+        F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("recorded")) for f in fields]).alias("_x"),
+    ).join(small(rules), "_source", "left")
+    n, day = F.col("_n"), F.col("_day")
+    parsed = F.transform(F.filter("_x", lambda x: x["recorded"].isNotNull()), lambda x: F.struct(x["field"].alias("field"), x["recorded"].alias("recorded"), parse_duration(x["recorded"]).alias("p")))
+    known = base.withColumn("_v", parsed).withColumn("_v", F.filter("_v", lambda x: x["p"]["bare"].isNotNull() | x["p"]["months"].isNotNull())).where(F.size("_v") > 0)
+
+    def told(x: Column) -> Column:
+        """A value with its stated unit, where that comes from, and its count of units."""
+        fits = F.filter(F.try_element_at("_rules", x["field"]), lambda r: (r["from_day"].isNull() | (day >= r["from_day"])) & (r["to_day"].isNull() | (day <= r["to_day"])))
+        stated = F.coalesce(x["p"]["unit"], F.get(fits, F.lit(0))["unit"])
+        basis = F.when(x["p"]["unit"].isNotNull(), "text").when(stated.isNotNull(), "note").otherwise("default")
+        head = let(F.struct(x.alias("x"), F.coalesce(stated, F.lit("month")).alias("unit"), basis.alias("basis")), lambda y: F.struct(
+            y["x"]["field"].alias("field"), y["x"]["recorded"].alias("recorded"), y["unit"].alias("unit"), y["basis"].alias("basis"), y["x"]["p"].alias("p"), _factor(y["unit"]).alias("factor")))
+        return let(head, lambda y: F.struct(
+            y["field"].alias("field"), y["recorded"].alias("recorded"), y["unit"].alias("unit"), y["basis"].alias("basis"), F.coalesce(y["p"]["months"], y["p"]["bare"] * y["factor"]).alias("months"),
+            F.coalesce(y["p"]["bare"], F.when(y["unit"] != "mixed", y["p"]["months"] / y["factor"])).alias("count")))
+
+    per_unit = F.array(*[F.struct(F.lit(u).alias("unit"), F.lit(m).alias("m")) for u, m in MONTHS_PER.items()])
+    off = lambda a, b: F.abs(F.ln(a / b))
+
+    def placed(v: Column) -> Column:
+        """A value in the unit that the identity leaves it: of all units the one with the least residual, if the stated one does not fit and no other does."""
+        fitting = F.filter(F.transform(per_unit, lambda u: F.struct(off(v["count"] * u["m"], n).alias("res"), u["unit"].alias("unit"), (v["count"] * u["m"]).alias("months"))), lambda r: r["res"] <= tolerance)
+        best = F.when((off(v["months"], n) > tolerance) & (F.size(fitting) == 1), F.get(fitting, F.lit(0)))
+        return let(F.struct(v.alias("v"), best.alias("best")), lambda y: F.struct(
+            y["v"]["field"].alias("field"), y["v"]["recorded"].alias("recorded"), F.coalesce(y["best"]["months"], y["v"]["months"]).alias("months"), F.coalesce(y["best"]["unit"], y["v"]["unit"]).alias("unit"),
+            F.when(y["best"].isNotNull(), F.lit("identity")).otherwise(y["v"]["basis"]).alias("basis"),
+            # The lengths that the value may have: with an identity in any unit, without one in the written unit or, if none is written, in any.
+            F.when(y["v"]["count"].isNull() | n.isNull() & (y["v"]["basis"] == "text"), F.array(y["v"]["months"])).otherwise(F.transform(per_unit, lambda u: y["v"]["count"] * u["m"])).alias("options"),
+        ))
+
+    agreeing = lambda v, length: F.size(F.filter(v["options"], lambda m: off(m, length) <= tolerance))
+    ways = lambda length: F.aggregate("_v", F.lit(1), lambda a, v: a * agreeing(v, length))
+    # Combinations that solve the row: around the identity, or around each length that its first value may have.
+    solutions = F.when(n.isNotNull(), ways(n)).otherwise(F.aggregate(F.get("_v", F.lit(0))["options"], F.lit(0), lambda a, length: a + ways(length)))
+    middle = F.coalesce(n, F.get("_v", F.lit(0))["months"])
+    row_residual = F.aggregate("_v", F.lit(0.0), lambda a, v: a + off(v["months"], middle))
+    solved = known.withColumn("_v", F.transform("_v", told)).withColumn("_v", F.transform("_v", placed)).select(key, "_n", "_v", solutions.alias("_solutions"), row_residual.alias("_row"))
+    return solved.select(key, "_n", "_solutions", "_row", F.explode("_v").alias("v")).select(
+        key, "v.field", "v.recorded", "v.months", F.floor(F.col("v.months") + 0.5).alias("months_rounded"), "v.unit", "v.basis", off(F.col("v.months"), n).alias("residual"),
+        F.col("_row").alias("row_residual"), F.col("_solutions").alias("solutions"), (F.col("_solutions") == 1).alias("unique"),
+    )
 
 
 def converted(reconciled: DataFrame) -> DataFrame:

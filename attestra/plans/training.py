@@ -15,7 +15,7 @@ DURATIONS = ("loan_validity", "tenure_months", "tenure")
 
 def _durations(spark: SparkSession, d: str) -> DataFrame:
     months = units.annuity_months(F.col("loan_amount"), F.col("irr_percent"), F.col("emi"))
-    return units.reconcile_durations(table(spark, d, "los"), table(spark, d, "source_notes"), "row_id", DURATIONS, months)
+    return units.reconcile_durations(split(table(spark, d, "los")), table(spark, d, "source_notes"), "row_id", DURATIONS, months)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

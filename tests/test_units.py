@@ -79,3 +79,30 @@ def test_empty_and_repeated(spark):
 def test_whole_table(spark, small):
     found = training.p1_found(spark, small)
     assert found.columns == ["row_id", "field", "months"] and found.count() == found.distinct().count() > 0
+
+
+def test_combinations_that_solve_a_row_are_counted(spark):
+    rows = [
+        ("Q", None, 12, None, None, None, None),  # nothing tells: any of seven units
+        ("Q", "3 years", None, 36, None, None, None),  # the written unit leaves 36 one choice: months
+        ("Q", "3 years", None, 50, None, None, None),  # no combination agrees
+        ("Q", None, 36, 3, 100000.0, 12.0, emi(100000, 12, 36)),  # the identity solves for both at once
+        ("Q", None, 36, 3, None, None, None),  # 36 months and 3 years agree, as do other pairs
+    ]
+    got = reconcile(spark, rows, [("Q", None)])
+    assert got[0, "tenure_months"]["solutions"] == 7 and not got[0, "tenure_months"]["unique"] and got[0, "tenure_months"]["months_rounded"] == 12
+    assert got[1, "tenure"]["unique"] and got[1, "loan_validity"]["unique"]
+    assert got[2, "tenure"]["solutions"] == 0 and not got[2, "tenure"]["unique"]
+    assert [(got[3, f]["months_rounded"], got[3, f]["unique"]) for f in ("tenure_months", "tenure")] == [(36, True), (36, True)] and got[3, "tenure"]["row_residual"] < 0.01
+    assert got[4, "tenure"]["solutions"] > 1 and not got[4, "tenure"]["unique"]
+
+
+def test_number_words_against_a_plain_reading(spark):
+    ones = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+    tens = {"twenty": 20, "thirty": 30, "forty": 40, "ninety": 90}
+    texts = {f"{w} months": n for n, w in enumerate(ones, 1)} | {f"{t} months": n for t, n in tens.items()} | {f"{t}{sep}{w} months": n + k for t, n in tens.items() for k, w in enumerate(ones[:9], 1) for sep in ("-", " ")}
+    df = spark.createDataFrame(list(texts.items()), "t string, n int")
+    assert df.where(units.parse_duration(F.col("t"))["months"] != F.col("n")).count() == 0 and df.where(units.parse_duration(F.col("t"))["months"].isNull()).count() == 0
+    halves = {"half a year": 6.0, "half year": 6.0, "two half-years": 12.0, "half-yearly 3": 18.0}
+    df = spark.createDataFrame(list(halves.items()), "t string, n double")
+    assert df.where(~units.parse_duration(F.col("t"))["months"].eqNullSafe(F.col("n"))).count() == 0
