@@ -20,12 +20,13 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.functions.normalise import let
 from attestra.session import small
 
 #: Months in one of each unit.
@@ -64,11 +65,6 @@ _LEADING_UNIT = rf"(?<![\p{{L}}\p{{M}}])({_ANY_UNIT})\.?\s*:?\s*\d"
 TOLERANCE = 0.12
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 _DIGITS = ("०१२३४५६७८९౦౧౨౩౪౫౬౭౮౯೦೧೨೩೪೫೬೭೮೯௦௧௨௩௪௫௬௭௮௯", "0123456789" * 4)
 _SPELLED = {w: 10 * n for w, n in _TENS.items()} | _ONES
 

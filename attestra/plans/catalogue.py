@@ -124,19 +124,6 @@ def fn_aliases(spark: SparkSession, d: str) -> DataFrame:
 _TYPES = "CASE doc_key WHEN 'kyc_pan' THEN 'pan' WHEN 'kyc_address_proof' THEN 'aadhaar' WHEN 'policy_note' THEN 'other' WHEN 'field_report' THEN 'other' WHEN 'complaint_mail' THEN 'other' ELSE doc_key END"
 
 
-@add(
-    f"SELECT doc_id, {_TYPES} AS doc_type, regexp_replace(regexp_replace(lower(trim('Doc-X1_' || source)), '^doc-[a-z0-9]+[_-]', ''), '[\\s-]+', '_', 'g') AS name, "
-    "CASE WHEN source LIKE 'mail/%' THEN 'mail' WHEN source LIKE 'store/%' THEN 'store' ELSE 'other' END AS route FROM documents"
-)
-def fn_doc_type(spark: SparkSession, d: str) -> DataFrame:
-    """FN-11, FN-12, FN-14, SRC-07: canonical type, unified name and route of documents."""
-    dim = {"kyc_pan": "pan", "kyc_address_proof": "aadhaar", "policy_note": "other", "field_report": "other", "complaint_mail": "other"}
-    k = F.col("doc_key")
-    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in dim.items() for x in kv]), F.coalesce(k, F.lit(""))), k)
-    route = F.when(F.col("source").startswith("mail/"), "mail").when(F.col("source").startswith("store/"), "store").otherwise("other")
-    return table(spark, d, "documents").select("doc_id", kind.alias("doc_type"), fn.doc_name(F.concat(F.lit("Doc-X1_"), "source")).alias("name"), route.alias("route"))
-
-
 @add("SELECT row_id, '₹' || format('{:,}', CAST(floor(loan_amount) AS BIGINT)) AS shown FROM los WHERE loan_amount IS NOT NULL")
 def fn_rupees(spark: SparkSession, d: str) -> DataFrame:
     """FN-16."""
@@ -157,48 +144,6 @@ def fn_clock(spark: SparkSession, d: str) -> DataFrame:
     return a.select("audit_id", fn.clock_12h(F.col("event_ts")).alias("clock"), day.alias("day"), fn.duration_text(s).alias("took"))
 
 
-_MASK = r"regexp_replace(regexp_replace({x}, '\b[0-9]{{4}}[ -]?[0-9]{{4}}[ -]?([0-9]{{4}})\b', 'XXXX-XXXX-\1', 'g'), '\b[A-Z]{{5}}([0-9]{{4}}[A-Z])\b', 'XXXXX\1', 'g')"
-
-
-@add(f"SELECT extraction_id, {_MASK.format(x='_formatted_text')} AS masked FROM extractions")
-def fn_mask_pii(spark: SparkSession, d: str) -> DataFrame:
-    """FN-24."""
-    return table(spark, d, "extractions").select("extraction_id", fn.mask_pii(F.col("_formatted_text")).alias("masked"))
-
-
-@add(r"SELECT audit_id, regexp_replace(coalesce(reason, '') || ' token=' || audit_id, '(?i)\b(password|token|secret|api_key)\s*[=:]\s*[^\s,;]+', '\1=***', 'g') AS line FROM audit_log")
-def fn_redact_log(spark: SparkSession, d: str) -> DataFrame:
-    """FN-25."""
-    line = F.concat(F.coalesce("reason", F.lit("")), F.lit(" token="), F.col("audit_id").cast("string"))
-    return table(spark, d, "audit_log").select("audit_id", fn.redact_log(line).alias("line"))
-
-
-_TEMPLATE = ("applicant_name", "fathers_name", "dob", "mobile_no", "gender", "pan_number", "aadhaar_number", "address", "loan_amount", "account_no")
-
-
-@add(f"SELECT loan_id, {', '.join(f'max(CASE WHEN field = {chr(39)}{f}{chr(39)} THEN value END) AS {f}' for f in _TEMPLATE)} FROM {LATEST_FIELDS} GROUP BY loan_id")
-def fn_template(spark: SparkSession, d: str) -> DataFrame:
-    """FN-28, FLT-12, UDTF-02: fields of all documents in one fixed template per loan (several documents: the largest text)."""
-    f = records.latest_fields(table(spark, d, "doc_fields"))
-    return f.groupBy("loan_id").agg(*[F.max(F.when(F.col("field") == c, F.col("value"))).alias(c) for c in _TEMPLATE])
-
-
-@add(
-    "SELECT field_id, CAST(round(least(1.0, CASE WHEN regexp_matches(v, p) THEN 1.0 ELSE 0.5 END * CASE WHEN length(v) = n THEN 1.0 ELSE 0.6 END), 4) AS DOUBLE) AS confidence, regexp_matches(v, p) AS valid FROM ("
-    "SELECT field_id, upper(regexp_replace(value, '\\s', '', 'g')) AS v, CASE field WHEN 'pan_number' THEN '^[A-Z]{5}[0-9]{4}[A-Z]$' WHEN 'aadhaar_number' THEN '^[0-9]{12}$' ELSE '^[6-9][0-9]{9}$' END AS p, "
-    "CASE field WHEN 'aadhaar_number' THEN 12 ELSE 10 END AS n FROM doc_fields WHERE field IN ('pan_number', 'aadhaar_number', 'mobile_no') AND value IS NOT NULL)"
-)
-def fn_field_valid(spark: SparkSession, d: str) -> DataFrame:
-    """FN-32, AGG-15: form and length of identifiers, with a confidence."""
-    f = table(spark, d, "doc_fields").where(F.col("field").isin("pan_number", "aadhaar_number", "mobile_no") & F.col("value").isNotNull())
-    v = F.upper(F.regexp_replace("value", r"\s", ""))
-    name = F.col("field")
-    good = F.when(name == "pan_number", v.rlike("^[A-Z]{5}[0-9]{4}[A-Z]$")).when(name == "aadhaar_number", v.rlike("^[0-9]{12}$")).otherwise(v.rlike("^[6-9][0-9]{9}$"))
-    fits = F.length(v) == F.when(name == "aadhaar_number", 12).otherwise(10)
-    c = F.least(F.lit(1.0), F.when(good, 1.0).otherwise(0.5) * F.when(fits, 1.0).otherwise(0.6))
-    return f.select("field_id", F.round(c, 4).alias("confidence"), good.alias("valid"))
-
-
 @add("SELECT 'APPL' || lpad(CAST(max(TRY_CAST(nullif(regexp_extract(loan_id, '(\\d+)$', 1), '') AS BIGINT)) + 1 AS VARCHAR), 8, '0') AS next_id FROM los")
 def fn_next_id(spark: SparkSession, d: str) -> DataFrame:
     """FN-35."""
@@ -225,11 +170,11 @@ def fn_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 # --- similarity -------------------------------------------------------------------------------------------------------
 
-_CARD = f"(SELECT loan_id, value FROM {LATEST_FIELDS} WHERE doc_key = 'pan' AND field = 'applicant_name')"
+CARD = f"(SELECT loan_id, value FROM {LATEST_FIELDS} WHERE doc_key = 'pan' AND field = 'applicant_name')"
 _JW = "coalesce(CASE WHEN trim(l.applicant_name) <> '' AND trim(c.value) <> '' THEN jaro_winkler_similarity(lower(l.applicant_name), lower(c.value)) END, 0)"
 
 
-@add(f"SELECT l.loan_id, round({_JW}, 6) AS score, CASE WHEN {_JW} >= 0.5 THEN 'MATCH' WHEN {_JW} >= 0.4 THEN 'PARTIAL' ELSE 'MISMATCH' END AS status FROM {LATEST_LOS} l JOIN {_CARD} c USING (loan_id)")
+@add(f"SELECT l.loan_id, round({_JW}, 6) AS score, CASE WHEN {_JW} >= 0.5 THEN 'MATCH' WHEN {_JW} >= 0.4 THEN 'PARTIAL' ELSE 'MISMATCH' END AS status FROM {LATEST_LOS} l JOIN {CARD} c USING (loan_id)")
 def cmp_jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
     """CMP-01, SIM-01."""
     return records.compare_names(table(spark, d, "los"), table(spark, d, "doc_fields"))
@@ -253,17 +198,7 @@ def cmp_tfidf(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("loan_id", F.round(sim.tfidf_cosine(F.col("a"), F.col("b")), 4).alias("score"))
 
 
-@add(
-    f"SELECT loan_id, round(CASE WHEN length(a) = 0 THEN CASE WHEN length(b) > 0 THEN 1.0 ELSE 0.0 END ELSE least(1.0, levenshtein(a, b) / length(a)) END, 4) AS cer FROM ("
-    f"SELECT l.loan_id, lower(l.applicant_name) AS a, lower(c.value) AS b FROM {LATEST_LOS} l JOIN {_CARD} c USING (loan_id) WHERE l.applicant_name IS NOT NULL AND c.value IS NOT NULL)"
-)
-def sim_cer(spark: SparkSession, d: str) -> DataFrame:
-    """SIM-04, SIM-06."""
-    pairs = _name_pairs(spark, d)
-    return pairs.select("loan_id", F.round(sim.char_error_rate(F.lower("a"), F.lower("b")), 4).alias("cer"))
-
-
-def _name_pairs(spark: SparkSession, d: str) -> DataFrame:
+def name_pairs(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "doc_fields")
     card = records.latest_fields(f.where((F.col("doc_key") == "pan") & (F.col("field") == "applicant_name"))).select("loan_id", F.col("value").alias("b"))
     return records.latest_rows(table(spark, d, "los")).select("loan_id", F.col("applicant_name").alias("a")).join(card, "loan_id").where("a IS NOT NULL AND b IS NOT NULL")
@@ -272,42 +207,19 @@ def _name_pairs(spark: SparkSession, d: str) -> DataFrame:
 @add()
 def sim_wer(spark: SparkSession, d: str) -> DataFrame:
     """SIM-03, SIM-05: word error rate and ratio of matching blocks."""
-    pairs = sim.over_distinct(_name_pairs(spark, d), "a", "b", sim.word_error_rate, "wer")
+    pairs = sim.over_distinct(name_pairs(spark, d), "a", "b", sim.word_error_rate, "wer")
     return sim.over_distinct(pairs, "a", "b", sim.gestalt, "ratio").select("loan_id", "wer", "ratio")
 
 
-@add(
-    "SELECT field_id, contains(lower(e.t), lower(value)) OR contains(regexp_replace(lower(e.t), '[^a-z0-9]', '', 'g'), regexp_replace(lower(value), '[^a-z0-9]', '', 'g')) AS found "
-    "FROM doc_fields f JOIN (SELECT loan_id, doc_key, max(_formatted_text) AS t FROM extractions WHERE loan_id IS NOT NULL GROUP BY loan_id, doc_key) e USING (loan_id, doc_key) "
-    "WHERE value IS NOT NULL AND regexp_replace(lower(value), '[^a-z0-9]', '', 'g') <> ''"
-)
-def sim_field_recall(spark: SparkSession, d: str) -> DataFrame:
-    """SIM-07: whether a field's value stands in the document's text, as it is or without separators."""
-    e = table(spark, d, "extractions").where("loan_id IS NOT NULL").groupBy("loan_id", "doc_key").agg(F.max("_formatted_text").alias("t"))
-    f = table(spark, d, "doc_fields").where(F.col("value").isNotNull() & (fn.alnum(F.col("value")) != ""))
-    found = F.lower("t").contains(F.lower("value")) | fn.alnum(F.col("t")).contains(fn.alnum(F.col("value")))
-    return f.join(e, ["loan_id", "doc_key"]).select("field_id", found.alias("found"))
-
-
 _RANGES = {"latin": "A-Za-z", "devanagari": "ऀ-ॿ", "tamil": "஀-௿", "telugu": "ఀ-౿", "kannada": "ಀ-೿"}
 
 
 @add(f"SELECT doc_id, {', '.join(f'CAST(length(text) - length(regexp_replace(text, {chr(39)}[{r}]{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})) AS INTEGER) AS {n}' for n, r in _RANGES.items())} FROM documents")
 def sim_scripts(spark: SparkSession, d: str) -> DataFrame:
-    """SIM-13, SIM-14: letters by script."""
+    """Letters by script."""
     return table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in sim.script_counts(F.col("text")).items()])
 
 
-@add(
-    "SELECT extraction_id, regexp_matches(_formatted_text, '[A-Z]{5}[0-9]{4}[A-Z]') OR regexp_matches(_formatted_text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') OR length(regexp_replace(_formatted_text, '[^0-9]', '', 'g')) >= 5 AS recoverable, "
-    "regexp_matches(_formatted_text, '(?i)PAN') AND NOT regexp_matches(_formatted_text, '\\b[A-Z]{5}[0-9]{4}[A-Z]\\b') AS ambiguous FROM extractions"
-)
-def sim_recoverable(spark: SparkSession, d: str) -> DataFrame:
-    """SIM-15, FN-33, FLT-08."""
-    c = F.col("_formatted_text")
-    return table(spark, d, "extractions").select("extraction_id", sim.recoverable(c).alias("recoverable"), (c.rlike("(?i)PAN") & ~c.rlike(r"\b[A-Z]{5}[0-9]{4}[A-Z]\b")).alias("ambiguous"))
-
-
 # --- record comparison ------------------------------------------------------------------------------------------------
 
 #: The configured checks as a relation of their own: check, subnode, document, field, method, optional, names in the document, names in the loan's row.
@@ -361,7 +273,7 @@ _CHECKS = """
 ('chk_check_loan_application_disbursal_memo_loan_no_vs_los', 'check_loan_application', 'disbursal_memo', 'loan_no', 'exact_id', false, 'loan_no loan_id loan_number application_id', 'loan_id application_id')
 """
 #: Other names of documents: name, canonical name, rank.
-_FILED_AS = ", ".join(
+FILED_AS = ", ".join(
     f"('{n}', '{names.split()[0]}', {i})"
     for names in (
         "aadhaar kyc_address_proof aadhaar_card aadhar", "aadhaar_xml aadhaarxml xml_aadhaar", "pan kyc_pan pan_card", "application_form loan_application application appform app_form",
@@ -372,7 +284,7 @@ _FILED_AS = ", ".join(
 )
 _DOCS = (
     f"(SELECT loan_id, canon, field, value, kind FROM (SELECT *, min(rank) OVER (PARTITION BY loan_id, canon) AS best FROM (SELECT f.loan_id, coalesce(a.canon, f.doc_key) AS canon, coalesce(a.rank, 0) AS rank, f.field, f.value, f.kind "
-    f"FROM {LATEST_FIELDS} f LEFT JOIN (VALUES {_FILED_AS}) a(name, canon, rank) ON a.name = f.doc_key)) WHERE rank = best)"
+    f"FROM {LATEST_FIELDS} f LEFT JOIN (VALUES {FILED_AS}) a(name, canon, rank) ON a.name = f.doc_key)) WHERE rank = best)"
 )
 _LOS_NAMES = "loan_id applicant_name applicant_mobile_no applicant_dob applicant_pan_number fathers_name applicant_bank_account_no loan_type loan_validity current_address permanent_address aadhaar_no bank_account_type applicant_gender application_id pan tenure_months tenure loan_amount funding_amount irr_percent emi bpi_charges".split()
 _LOS_LONG = "(" + " UNION ALL ".join(f"SELECT loan_id, '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM {LATEST_LOS}" for c in _LOS_NAMES) + ")"
@@ -689,8 +601,9 @@ def agg_types(spark: SparkSession, d: str) -> DataFrame:
 @add("SELECT loan_id, canon, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY loan_id, canon ORDER BY created_at NULLS LAST, doc_id) rn FROM (SELECT loan_id, doc_id, created_at, " + _TYPES + " AS canon FROM documents WHERE loan_id IS NOT NULL)) WHERE rn = 1")
 def ded_first_of_type(spark: SparkSession, d: str) -> DataFrame:
     """DED-01, DED-03, SRC-24: the first document per loan and canonical type; an aggregate, so a hot loan is combined before the shuffle."""
-    kinds = fn_doc_type(spark, d).select("doc_id", F.col("doc_type").alias("canon"))
-    docs = table(spark, d, "documents").where("loan_id IS NOT NULL").select("doc_id", "loan_id", "created_at").join(kinds, "doc_id")
+    dim = {"kyc_pan": "pan", "kyc_address_proof": "aadhaar", "policy_note": "other", "field_report": "other", "complaint_mail": "other"}
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in dim.items() for x in kv]), F.coalesce("doc_key", F.lit(""))), "doc_key")
+    docs = table(spark, d, "documents").where("loan_id IS NOT NULL").select("doc_id", "loan_id", "created_at", kind.alias("canon"))
     first = F.min_by("doc_id", F.struct(F.col("created_at").isNull(), "created_at", "doc_id"))
     return docs.groupBy("loan_id", "canon").agg(first.alias("doc_id"))
 
@@ -721,21 +634,26 @@ _WORD_ROWS = (
     "FROM (SELECT extraction_id, line, j - 1 AS pos, w[j] AS word FROM (SELECT extraction_id, line, w, unnest(range(1, len(w) + 1)) AS j FROM (SELECT extraction_id, i - 1 AS line, string_split(a[i], ' ') AS w FROM "
     "(SELECT extraction_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT extraction_id, string_split(_formatted_text, chr(10)) AS a FROM extractions WHERE _formatted_text IS NOT NULL))))) WHERE word <> '')"
 )
-_TOKENS = f"(SELECT extraction_id, page, ord, word, CAST(l AS DOUBLE) AS l, CAST(t AS DOUBLE) AS t, CAST(r AS DOUBLE) AS r, CAST(b AS DOUBLE) AS b FROM {_WORD_ROWS})"
-_GRID = f"(SELECT extraction_id, page, c AS cell, (c % 2) * 0.25 AS cl, (c // 2) * 0.25 AS ct, (c % 2) * 0.25 + 0.25 AS cr, (c // 2) * 0.25 + 0.25 AS cb FROM (SELECT DISTINCT extraction_id, page FROM {_TOKENS}), range(0, 8) g(c))"
+TOKENS = f"(SELECT extraction_id, page, ord, word, CAST(l AS DOUBLE) AS l, CAST(t AS DOUBLE) AS t, CAST(r AS DOUBLE) AS r, CAST(b AS DOUBLE) AS b FROM {_WORD_ROWS})"
+GRID = f"(SELECT extraction_id, page, c AS cell, (c % 2) * 0.25 AS cl, (c // 2) * 0.25 AS ct, (c % 2) * 0.25 + 0.25 AS cr, (c // 2) * 0.25 + 0.25 AS cb FROM (SELECT DISTINCT extraction_id, page FROM {TOKENS}), range(0, 8) g(c))"
 _INTER = "greatest(0.0, least(r, cr) - greatest(l, cl)) * greatest(0.0, least(b, cb) - greatest(t, ct))"
 _OVER = f"CASE WHEN (r - l) * (b - t) > 0 THEN {_INTER} / ((r - l) * (b - t)) ELSE 0.0 END"
 
 
-def _toks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = layout.tokens(table(spark, d, "extractions"))
+def pages_of(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens of all pages."""
+    return layout.tokens(table(spark, d, "extractions"))
+
+
+def tokens_and_cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = pages_of(spark, d)
     return t, layout.cells(t, "extraction_id")
 
 
-@add(f"SELECT extraction_id, page, count(*) AS n, round(min(l), 4) AS l, round(min(t), 4) AS t, round(max(r), 4) AS r, round(max(b), 4) AS b, count(*) FILTER (length(word) = 1) AS low, count(*) FILTER (length(word) = 1) > 5 AS escalate FROM {_TOKENS} GROUP BY extraction_id, page")
+@add(f"SELECT extraction_id, page, count(*) AS n, round(min(l), 4) AS l, round(min(t), 4) AS t, round(max(r), 4) AS r, round(max(b), 4) AS b, count(*) FILTER (length(word) = 1) AS low, count(*) FILTER (length(word) = 1) > 5 AS escalate FROM {TOKENS} GROUP BY extraction_id, page")
 def agg_pages(spark: SparkSession, d: str) -> DataFrame:
     """AGG-13, AGG-19, GEO-06, FLT-09: per page the tokens, their joint box and the short ones."""
-    t, _ = _toks(spark, d)
+    t, _ = tokens_and_cells(spark, d)
     short = F.count_if(F.length("word") == 1)
     return t.groupBy("extraction_id", "page").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.min("l"), 4).alias("l"), F.round(F.min("t"), 4).alias("t"), F.round(F.max("r"), 4).alias("r"), F.round(F.max("b"), 4).alias("b"), short.alias("low"), (short > 5).alias("escalate")
@@ -744,11 +662,11 @@ def agg_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @add(
     f"SELECT extraction_id, ord, round(least(1.0, l), 4) AS nl, round({_INTER} / ((r - l) * (b - t) + (cr - cl) * (cb - ct) - {_INTER}), 6) AS iou, round({_OVER}, 6) AS overlap, (r - l <= 1e-4 OR b - t <= 1e-4) AS flat "
-    f"FROM {_TOKENS} JOIN {_GRID} USING (extraction_id, page) WHERE {_INTER} > 0"
+    f"FROM {TOKENS} JOIN {GRID} USING (extraction_id, page) WHERE {_INTER} > 0"
 )
 def geo_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """GEO-01 to GEO-05, GEO-08: boxes of tokens against the cells they touch."""
-    t, g = _toks(spark, d)
+    """GEO-01, GEO-03, GEO-04, GEO-08: boxes of tokens against the cells they touch."""
+    t, g = tokens_and_cells(spark, d)
     a, c = geo.box(), geo.box("c")
     j = t.join(g, ["extraction_id", "page"]).where(geo.intersection(a, c) > 0)
     inside = F.round(geo.normalised(F.col("l"), F.lit(1.0)), 4)
@@ -756,26 +674,26 @@ def geo_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @add(
-    f"SELECT extraction_id, page, cell, string_agg(word, ' ' ORDER BY ord) AS text, count(*) AS n FROM {_TOKENS} JOIN {_GRID} USING (extraction_id, page) "
+    f"SELECT extraction_id, page, cell, string_agg(word, ' ' ORDER BY ord) AS text, count(*) AS n FROM {TOKENS} JOIN {GRID} USING (extraction_id, page) "
     f"WHERE ((l + r) / 2 BETWEEN cl AND cr AND (t + b) / 2 BETWEEN ct AND cb) OR {_OVER} >= 0.40 GROUP BY extraction_id, page, cell"
 )
 def jn_fuse_cells(spark: SparkSession, d: str) -> DataFrame:
     """JN-10, AGG-20, SNK-10."""
-    t, g = _toks(spark, d)
+    t, g = tokens_and_cells(spark, d)
     return layout.fuse_cells(t, g, "extraction_id").withColumn("cell", F.col("cell").cast("long"))
 
 
-@add(f"SELECT extraction_id, page, ord, word FROM {_TOKENS} k WHERE NOT EXISTS (SELECT 1 FROM {_GRID} g WHERE g.extraction_id = k.extraction_id AND g.page = k.page AND {_OVER} >= 0.60)")
+@add(f"SELECT extraction_id, page, ord, word FROM {TOKENS} k WHERE NOT EXISTS (SELECT 1 FROM {GRID} g WHERE g.extraction_id = k.extraction_id AND g.page = k.page AND {_OVER} >= 0.60)")
 def jn_outside(spark: SparkSession, d: str) -> DataFrame:
     """JN-11, JN-12."""
-    t, g = _toks(spark, d)
+    t, g = tokens_and_cells(spark, d)
     return layout.outside(t, g, "extraction_id").select("extraction_id", "page", "ord", "word")
 
 
-@add(f"SELECT extraction_id, page, ord, cell, share FROM (SELECT *, row_number() OVER (PARTITION BY extraction_id, page, ord ORDER BY share DESC, cell) rn FROM (SELECT extraction_id, page, ord, cell, round({_OVER}, 6) AS share FROM {_TOKENS} JOIN {_GRID} USING (extraction_id, page)) WHERE share > 0) WHERE rn = 1")
+@add(f"SELECT extraction_id, page, ord, cell, share FROM (SELECT *, row_number() OVER (PARTITION BY extraction_id, page, ord ORDER BY share DESC, cell) rn FROM (SELECT extraction_id, page, ord, cell, round({_OVER}, 6) AS share FROM {TOKENS} JOIN {GRID} USING (extraction_id, page)) WHERE share > 0) WHERE rn = 1")
 def jn_best_cell(spark: SparkSession, d: str) -> DataFrame:
     """JN-15."""
-    t, g = _toks(spark, d)
+    t, g = tokens_and_cells(spark, d)
     return layout.best_cell(t, g, "extraction_id").withColumn("cell", F.col("cell").cast("long"))
 
 
@@ -784,13 +702,13 @@ _FRAME = "OVER (PARTITION BY extraction_id, page, t ORDER BY ord ROWS BETWEEN CU
 
 @add(
     " UNION ALL ".join(
-        f"SELECT extraction_id, page, ord, CAST({k} AS INTEGER) AS k, array_to_string(ws, ' ') AS text, round(r, 4) AS r FROM (SELECT extraction_id, page, ord, list(word) {_FRAME.format(n=k - 1)} AS ws, max(r) {_FRAME.format(n=k - 1)} AS r FROM {_TOKENS}) WHERE len(ws) = {k}"
+        f"SELECT extraction_id, page, ord, CAST({k} AS INTEGER) AS k, array_to_string(ws, ' ') AS text, round(r, 4) AS r FROM (SELECT extraction_id, page, ord, list(word) {_FRAME.format(n=k - 1)} AS ws, max(r) {_FRAME.format(n=k - 1)} AS r FROM {TOKENS}) WHERE len(ws) = {k}"
         for k in (2, 3, 4)
     )
 )
 def win_windows(spark: SparkSession, d: str) -> DataFrame:
     """WIN-06, WIN-11: windows of two to four tokens within a line."""
-    return layout.windows(_toks(spark, d)[0], "extraction_id").select("extraction_id", "page", "ord", "k", "text", F.round("r", 4).alias("r"))
+    return layout.windows(tokens_and_cells(spark, d)[0], "extraction_id").select("extraction_id", "page", "ord", "k", "text", F.round("r", 4).alias("r"))
 
 
 _AHEAD = "OVER (PARTITION BY extraction_id, page ORDER BY ord ROWS BETWEEN CURRENT ROW AND {n} FOLLOWING)"
@@ -799,89 +717,65 @@ _AHEAD = "OVER (PARTITION BY extraction_id, page ORDER BY ord ROWS BETWEEN CURRE
 @add(
     " UNION ALL ".join(
         f"SELECT extraction_id, page, ord, CAST({k} AS INTEGER) AS k, array_to_string(ws, ' ') AS text, round(l, 4) AS l, round(t, 4) AS t, round(r, 4) AS r, round(b, 4) AS b FROM "
-        f"(SELECT extraction_id, page, ord, list(word) {w} AS ws, min(l) {w} AS l, min(t) {w} AS t, max(r) {w} AS r, max(b) {w} AS b, list(t) {w} AS ts, list(b) {w} AS bs FROM {_TOKENS}) WHERE len(ws) = {k} "
+        f"(SELECT extraction_id, page, ord, list(word) {w} AS ws, min(l) {w} AS l, min(t) {w} AS t, max(r) {w} AS r, max(b) {w} AS b, list(t) {w} AS ts, list(b) {w} AS bs FROM {TOKENS}) WHERE len(ws) = {k} "
         f"AND (len(list_filter(range(1, {k}), lambda i: abs(ts[i + 1] - ts[1]) > 0.035)) = 0 OR len(list_filter(range(1, {k}), lambda i: ts[i + 1] - bs[i] > 0.06)) = 0)"
         for k, w in ((k, _AHEAD.format(n=k - 1)) for k in range(2, 8))
     )
 )
 def win_page_windows(spark: SparkSession, d: str) -> DataFrame:
     """WIN-08: windows of two to seven tokens, also over line ends."""
-    out = layout.page_windows(_toks(spark, d)[0], "extraction_id")
+    out = layout.page_windows(tokens_and_cells(spark, d)[0], "extraction_id")
     return out.select("extraction_id", "page", "ord", "k", "text", *[F.round(c, 4).alias(c) for c in ("l", "t", "r", "b")])
 
 
 @add(
     f"SELECT extraction_id, page, round(t, 4) AS t, CAST(run AS BIGINT) AS run, count(*) AS n, round(min(l), 4) AS l, round(max(r), 4) AS r FROM (SELECT *, sum(nw) OVER (PARTITION BY extraction_id, page, t ORDER BY ord ROWS UNBOUNDED PRECEDING) AS run FROM "
-    f"(SELECT *, CASE WHEN l - lag(r) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) > 0.0225 THEN 1 ELSE 0 END AS nw FROM {_TOKENS})) GROUP BY extraction_id, page, t, run"
+    f"(SELECT *, CASE WHEN l - lag(r) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) > 0.0225 THEN 1 ELSE 0 END AS nw FROM {TOKENS})) GROUP BY extraction_id, page, t, run"
 )
 def win_islands(spark: SparkSession, d: str) -> DataFrame:
     """WIN-03, WIN-13, WIN-14."""
-    out = layout.islands(_toks(spark, d)[0], "extraction_id", 0.0225)
+    out = layout.islands(tokens_and_cells(spark, d)[0], "extraction_id", 0.0225)
     return out.select("extraction_id", "page", F.round("t", 4).alias("t"), F.col("run").cast("long").alias("run"), "n", F.round("l", 4).alias("l"), F.round("r", 4).alias("r"))
 
 
 @add(
-    f"SELECT extraction_id, page, round(t, 4) AS t, count(*) AS n, round(stddev_samp(w) / avg(w), 6) AS width_cv, round(stddev_samp(p) / avg(p), 6) AS pitch_cv FROM (SELECT extraction_id, page, t, r - l AS w, l - lag(l) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) AS p FROM {_TOKENS}) GROUP BY extraction_id, page, t HAVING count(*) >= 3"
+    f"SELECT extraction_id, page, round(t, 4) AS t, count(*) AS n, round(stddev_samp(w) / avg(w), 6) AS width_cv, round(stddev_samp(p) / avg(p), 6) AS pitch_cv FROM (SELECT extraction_id, page, t, r - l AS w, l - lag(l) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) AS p FROM {TOKENS}) GROUP BY extraction_id, page, t HAVING count(*) >= 3"
 )
 def win_uniformity(spark: SparkSession, d: str) -> DataFrame:
     """WIN-05."""
-    u = layout.uniformity(_toks(spark, d)[0], "extraction_id")
+    u = layout.uniformity(tokens_and_cells(spark, d)[0], "extraction_id")
     return u.select("extraction_id", "page", F.round("t", 4).alias("t"), "n", F.round("width_cv", 6).alias("width_cv"), F.round("pitch_cv", 6).alias("pitch_cv"))
 
 
 @add()
 def win_cluster_rows(spark: SparkSession, d: str) -> DataFrame:
     """WIN-01: an ordered fold per page."""
-    return layout.cluster_rows(_toks(spark, d)[0], "extraction_id")
+    return layout.cluster_rows(tokens_and_cells(spark, d)[0], "extraction_id")
 
 
 @add()
 def ded_spatial(spark: SparkSession, d: str) -> DataFrame:
     """DED-04: an ordered fold per page."""
-    return layout.spatial_dedupe(_toks(spark, d)[0], "extraction_id")
+    return layout.spatial_dedupe(tokens_and_cells(spark, d)[0], "extraction_id")
 
 
 @add(
-    f"SELECT extraction_id, page, ord, rtrim(word, ':') AS label, value FROM (SELECT *, lead(word) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) AS value, lead(l) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) - r AS dx FROM {_TOKENS}) WHERE ends_with(word, ':') AND value IS NOT NULL AND dx <= 0.35"
+    f"SELECT extraction_id, page, ord, rtrim(word, ':') AS label, value FROM (SELECT *, lead(word) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) AS value, lead(l) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) - r AS dx FROM {TOKENS}) WHERE ends_with(word, ':') AND value IS NOT NULL AND dx <= 0.35"
 )
 def jn_label_value(spark: SparkSession, d: str) -> DataFrame:
     """JN-13, JN-14, WIN-21."""
-    return layout.nearest_right(_toks(spark, d)[0], "extraction_id")
+    return layout.nearest_right(tokens_and_cells(spark, d)[0], "extraction_id")
 
 
 # --- text quality, tables, weighted groups, adjudication --------------------------------------------------------------
 
 _LINES = "(SELECT extraction_id, CAST(i - 1 AS INTEGER) AS line, a[i] AS s FROM (SELECT extraction_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT extraction_id, string_split(_formatted_text, chr(10)) AS a FROM extractions WHERE _formatted_text IS NOT NULL)))"
-_Q = {k: getattr(quality, k).replace("'", "''") for k in ("FOREIGN_SYMBOLS", "ONLY_SYMBOLS", "REPEATED", "MISREAD_NGRAMS", "MISREAD_TOKENS", "CJK", "IDENTIFIER", "CONSONANTS", "SYMBOL", "SCRIPT")}
-_ACRONYMS = ", ".join(f"'{a}'" for a in quality.ACRONYMS)
-_LETTERS = "regexp_replace(w, '[^a-zA-Z]', '', 'g')"
-_NOISY = (
-    "CASE WHEN x = '' THEN false WHEN " + " OR ".join(f"regexp_matches(x, '{_Q[k]}')" for k in ("FOREIGN_SYMBOLS", "ONLY_SYMBOLS", "REPEATED", "MISREAD_NGRAMS", "CJK", "MISREAD_TOKENS")) + " THEN true "
-    "WHEN regexp_matches(x, '^[A-Z]{1,2}$') THEN true WHEN regexp_matches(x, '^[0-9]+$') THEN false "
-    f"WHEN NOT regexp_matches(x, '{_Q['IDENTIFIER']}') AND (len(list_filter(regexp_extract_all(x, '{_Q['CONSONANTS']}'), lambda w: upper(w) NOT IN ({_ACRONYMS}))) > 0 "
-    f"OR len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: NOT regexp_matches(w, '[0-9]') AND length({_LETTERS}) >= 4 AND upper({_LETTERS}) NOT IN ({_ACRONYMS}) AND length(regexp_replace({_LETTERS}, '[^aeiouyAEIOUY]', '', 'g')) < 0.15 * length({_LETTERS}))) > 0) THEN true "
-    f"WHEN NOT regexp_matches(x, '{_Q['SCRIPT']}') THEN true WHEN length(x) > 4 AND regexp_matches(x, '[a-zA-Z\\x{{0900}}-\\x{{097F}}]') AND length(x) - length(regexp_replace(x, '{_Q['SYMBOL']}', '', 'g')) > 0.40 * length(x) THEN true ELSE false END"
-)
-
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "extractions").where("_formatted_text IS NOT NULL")
     return e.select("extraction_id", F.posexplode(F.split("_formatted_text", "\n")).alias("line", "s"))
 
 
-@add(f"SELECT extraction_id, line, {_NOISY} AS noisy FROM (SELECT extraction_id, line, trim(s) AS x FROM {_LINES})")
-def sim_noisy(spark: SparkSession, d: str) -> DataFrame:
-    """SIM-11, FLT-10."""
-    return _lines(spark, d).select("extraction_id", "line", quality.noisy(F.col("s")).alias("noisy"))
-
-
-@add()
-def sim_trust(spark: SparkSession, d: str) -> DataFrame:
-    """SIM-12, AGG-16: mean trust per text, with the share of noisy lines."""
-    t = _lines(spark, d).select("extraction_id", quality.trust(F.col("s")).alias("trust"))
-    return t.groupBy("extraction_id").agg(F.round(F.avg("trust"), 6).alias("trust"), F.round(F.avg((F.col("trust") == 0.35).cast("double")), 6).alias("noisy_share"))
-
-
 @add()
 def sim_sanitized(spark: SparkSession, d: str) -> DataFrame:
     """SIM-08, SIM-09: lines cleaned, with score and judgement."""
@@ -908,11 +802,11 @@ _CANDIDATE = r"length(word) <= 4 AND regexp_matches(word, '^[A-Za-z0-9@.,/_#-]+$
 
 @add(
     f"SELECT extraction_id, page, n, round(c / n, 6) AS ratio, CASE WHEN n_rows > 1 OR n < 2 THEN 'KEEP' WHEN c / n >= 0.75 THEN 'RECLASSIFY' WHEN c / n >= 0.4 THEN 'AMBIGUOUS' ELSE 'KEEP' END AS shape "
-    f"FROM (SELECT extraction_id, page, count(*) AS n, count(DISTINCT t) AS n_rows, count(*) FILTER ({_CANDIDATE}) AS c FROM {_TOKENS} GROUP BY extraction_id, page)"
+    f"FROM (SELECT extraction_id, page, count(*) AS n, count(DISTINCT t) AS n_rows, count(*) FILTER ({_CANDIDATE}) AS c FROM {TOKENS} GROUP BY extraction_id, page)"
 )
 def agg_table_shape(spark: SparkSession, d: str) -> DataFrame:
     """AGG-18, SIM-19: a page's grid told apart as a table or a row of boxes."""
-    t, _ = _toks(spark, d)
+    t, _ = tokens_and_cells(spark, d)
     short = (F.length("word") <= 4) & F.col("word").rlike("^[A-Za-z0-9@.,/_#-]+$")
     g = t.groupBy("extraction_id", "page").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("t").alias("n_rows"), F.count_if(short).alias("c"))
     r = F.col("c") / F.col("n")
