@@ -558,7 +558,7 @@ def src_cache_probe(spark: SparkSession, d: str) -> DataFrame:
 
 @add("SELECT doc_id, n_chars, n_chars < 50 AS scanned, CASE WHEN n_chars > 50000 THEN 'reject' ELSE 'accept' END AS guard FROM documents")
 def src_guards(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-13 to SRC-17: predicates on size."""
+    """SRC-14: predicates on size."""
     n = F.col("n_chars")
     return table(spark, d, "documents").select("doc_id", "n_chars", (n < 50).alias("scanned"), F.when(n > 50000, "reject").otherwise("accept").alias("guard"))
 
@@ -652,7 +652,7 @@ def tokens_and_cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]
 
 @add(f"SELECT extraction_id, page, count(*) AS n, round(min(l), 4) AS l, round(min(t), 4) AS t, round(max(r), 4) AS r, round(max(b), 4) AS b, count(*) FILTER (length(word) = 1) AS low, count(*) FILTER (length(word) = 1) > 5 AS escalate FROM {TOKENS} GROUP BY extraction_id, page")
 def agg_pages(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-13, AGG-19, GEO-06, FLT-09: per page the tokens, their joint box and the short ones."""
+    """AGG-19, GEO-06: per page the tokens, their joint box and the short ones."""
     t, _ = tokens_and_cells(spark, d)
     short = F.count_if(F.length("word") == 1)
     return t.groupBy("extraction_id", "page").agg(
@@ -733,7 +733,7 @@ def win_page_windows(spark: SparkSession, d: str) -> DataFrame:
     f"(SELECT *, CASE WHEN l - lag(r) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) > 0.0225 THEN 1 ELSE 0 END AS nw FROM {TOKENS})) GROUP BY extraction_id, page, t, run"
 )
 def win_islands(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-03, WIN-13, WIN-14."""
+    """WIN-13: lines split where the gap is wide."""
     out = layout.islands(tokens_and_cells(spark, d)[0], "extraction_id", 0.0225)
     return out.select("extraction_id", "page", F.round("t", 4).alias("t"), F.col("run").cast("long").alias("run"), "n", F.round("l", 4).alias("l"), F.round("r", 4).alias("r"))
 
@@ -763,7 +763,7 @@ def ded_spatial(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT extraction_id, page, ord, rtrim(word, ':') AS label, value FROM (SELECT *, lead(word) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) AS value, lead(l) OVER (PARTITION BY extraction_id, page, t ORDER BY ord) - r AS dx FROM {TOKENS}) WHERE ends_with(word, ':') AND value IS NOT NULL AND dx <= 0.35"
 )
 def jn_label_value(spark: SparkSession, d: str) -> DataFrame:
-    """JN-13, JN-14, WIN-21."""
+    """JN-13, WIN-21: the value right of a label on its line."""
     return layout.nearest_right(tokens_and_cells(spark, d)[0], "extraction_id")
 
 
@@ -819,7 +819,7 @@ def agg_table_shape(spark: SparkSession, d: str) -> DataFrame:
     f"(SELECT *, CASE WHEN kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY extraction_id ORDER BY line) THEN 1 ELSE 0 END AS nw FROM (SELECT extraction_id, line, CASE WHEN contains(s, ':') THEN 'pairs' WHEN trim(s) = '' THEN 'blank' ELSE 'text' END AS kind FROM {_LINES}))) GROUP BY extraction_id, block, kind"
 )
 def win_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-12, WIN-14, WIN-16: adjacent lines of one kind merged into blocks; a window within a text."""
+    """Adjacent lines of one kind merged into blocks; a window within a text."""
     kind = F.when(F.col("s").contains(":"), "pairs").when(F.trim("s") == "", "blank").otherwise("text")
     w = W.partitionBy("extraction_id").orderBy("line")
     marked = _lines(spark, d).select("extraction_id", "line", kind.alias("kind"))

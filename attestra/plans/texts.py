@@ -263,9 +263,9 @@ def sim_recoverable(spark: SparkSession, d: str) -> DataFrame:
 _W = "list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
 _WORDY = f"(len({_W.format(x='lower(t)')}) >= 2 AND len(list_filter({_W.format(x='lower(t)')}, lambda w: w IN ({_quoted(sim.AMOUNT_WORDS)}))) >= 1 AND 2 * len(list_filter({_W.format(x='lower(t)')}, lambda w: w IN ({_quoted(sim.AMOUNT_WORDS)}))) >= len({_W.format(x='lower(t)')}))"
 _HOLDS = lambda x, words: "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
-_DEFINITE = f"(regexp_matches(t, '^[0-9,.]+$') OR NOT regexp_matches(t, '\\s') AND regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[0-9]') OR {_WORDY} OR {_HOLDS('lower(t)', sim.BANKS)} OR regexp_matches(t, '\\b[0-9]{{1,2}}[-/.](?:[A-Za-z]{{3}}|[0-9]{{1,2}})[-/.][0-9]{{2,4}}\\b'))"
-_LABEL = (
-    f"(t <> '' AND length(t) <= 55 AND len({_W.format(x='t')}) <= 6 AND NOT {_DEFINITE} AND bare NOT IN ({_quoted(sim.SECTION_HEADERS)}) AND NOT {_HOLDS('bare', sim.BRANDING_KEYWORDS)} AND ({_HOLDS('bare', sim.KNOWN_LABELS)} OR ends_with(t, ':') "
+DEFINITE = f"(regexp_matches(t, '^[0-9,.]+$') OR NOT regexp_matches(t, '\\s') AND regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[0-9]') OR {_WORDY} OR {_HOLDS('lower(t)', sim.BANKS)} OR regexp_matches(t, '\\b[0-9]{{1,2}}[-/.](?:[A-Za-z]{{3}}|[0-9]{{1,2}})[-/.][0-9]{{2,4}}\\b'))"
+FORM_LABEL = (
+    f"(t <> '' AND length(t) <= 55 AND len({_W.format(x='t')}) <= 6 AND NOT {DEFINITE} AND bare NOT IN ({_quoted(sim.SECTION_HEADERS)}) AND NOT {_HOLDS('bare', sim.BRANDING_KEYWORDS)} AND ({_HOLDS('bare', sim.KNOWN_LABELS)} OR ends_with(t, ':') "
     f"OR len({_W.format(x='t')}) <= 4 AND regexp_matches(t, '^\\p{{Lu}}') AND NOT {_HOLDS('lower(t)', sim.NO_LABELS)} AND {_HOLDS('lower(t)', sim.LABEL_INDICATORS)}))"
 )
 _CELLS = f"(SELECT extraction_id, line, pos, t, trim(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}_\\s/]', '', 'g')) AS bare FROM (SELECT extraction_id, line, CAST(j - 1 AS INTEGER) AS pos, trim(c[j]) AS t FROM (SELECT extraction_id, line, c, unnest(range(1, len(c) + 1)) AS j FROM (SELECT extraction_id, line, regexp_split_to_array(s, '[:;,]') AS c FROM {LINES}))))"
@@ -273,7 +273,7 @@ _LETTERS = "length(regexp_replace(t, '[^\\p{L}]', '', 'g'))"
 
 
 @add(
-    f"SELECT extraction_id, line, pos, {_DEFINITE} AS definite, {_WORDY} AS amount_words, {_LABEL} AS label, (length(t) > 40 AND NOT contains(t, ' ') OR {_LETTERS} > 20 AND length(regexp_replace(lower(t), '[^aeiou]', '', 'g')) / {_LETTERS} < 0.15) AS gibberish, "
+    f"SELECT extraction_id, line, pos, {DEFINITE} AS definite, {_WORDY} AS amount_words, {FORM_LABEL} AS label, (length(t) > 40 AND NOT contains(t, ' ') OR {_LETTERS} > 20 AND length(regexp_replace(lower(t), '[^aeiou]', '', 'g')) / {_LETTERS} < 0.15) AS gibberish, "
     f"CASE WHEN k = '' THEN 'field' ELSE k END AS key FROM (SELECT *, regexp_replace(lower(trim(regexp_replace(t, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'))), '\\s+', '_', 'g') AS k FROM {_CELLS})"
 )
 def sim_form_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -303,7 +303,7 @@ def sim_fused_rows(spark: SparkSession, d: str) -> DataFrame:
 _Q = {k: getattr(quality, k).replace("'", "''") for k in ("FOREIGN_SYMBOLS", "ONLY_SYMBOLS", "REPEATED", "MISREAD_NGRAMS", "MISREAD_TOKENS", "CJK", "CONSONANTS", "SYMBOL", "SCRIPT", "LETTER", "BLOB", "PUNCTUATED")}
 _ACRONYMS = _quoted(quality.ACRONYMS)
 _LET = "regexp_replace(w, '[^a-zA-Z]', '', 'g')"
-_NOISY = (
+NOISY = (
     "CASE WHEN x = '' THEN false WHEN " + " OR ".join(f"regexp_matches(x, '{_Q[k]}')" for k in ("FOREIGN_SYMBOLS", "ONLY_SYMBOLS", "REPEATED", "MISREAD_NGRAMS", "CJK", "MISREAD_TOKENS")) + " THEN true "
     f"WHEN NOT regexp_matches(x, '{_ID}') AND len(list_filter(regexp_extract_all(x, '{_Q['BLOB']}'), lambda b: length(trim(b)) <= 5 AND length(regexp_replace(b, '[^0-9]', '', 'g')) <= 2)) > 0 THEN true WHEN regexp_matches(x, '{_Q['PUNCTUATED']}') THEN true "
     "WHEN regexp_matches(x, '^[A-Z]{1,2}$') THEN true WHEN regexp_matches(x, '^[0-9]+$') THEN false "
@@ -319,7 +319,7 @@ _COST = (
 _TRUST = (
     f"CASE WHEN x = '' THEN 0.0 WHEN noisy THEN 0.35 ELSE floor(greatest(0.15, least(0.99, CASE WHEN x IN ({_quoted(quality.TITLES)}) OR regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '\\p{{Ll}}') AND len(regexp_split_to_array(x, '\\s+')) BETWEEN 2 AND 5 AND cost = 0 THEN 0.98 ELSE 0.96 END - cost)) * 10000 + 0.5) / 10000 END"
 )
-TRUSTED = f"(SELECT extraction_id, line, noisy, CAST({_TRUST} AS DOUBLE) AS trust FROM (SELECT *, {_NOISY} AS noisy, {_COST} AS cost FROM (SELECT extraction_id, line, trim(s) AS x FROM {LINES})))"
+TRUSTED = f"(SELECT extraction_id, line, noisy, CAST({_TRUST} AS DOUBLE) AS trust FROM (SELECT *, {NOISY} AS noisy, {_COST} AS cost FROM (SELECT extraction_id, line, trim(s) AS x FROM {LINES})))"
 
 
 @add(f"SELECT extraction_id, line, noisy FROM {TRUSTED}")
