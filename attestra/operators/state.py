@@ -1,33 +1,30 @@
-"""Keyed state: the status of each case folded from its events, as a batch and as a stream."""
+"""Keyed state: the status of each case folded from its events. The stream in streaming/audit.py folds with the same function."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-STATUS = "loan_id string, current string, history string, errors string, events bigint"
 
 
 def fold_status(events: DataFrame) -> DataFrame:
     """STM-02, DED-05: per loan the last event type, the history without immediate repeats and the distinct errors.
 
-    events: loan_id, event_ts, audit_id, type, error. Folded in order of (event_ts, audit_id); repeated events count once; events without a loan or type are left out.
+    events: loan_id, event_ts, audit_id, type, error. Folded in order of (event_ts, audit_id); repeated events count once; events
+    without a loan or type are left out. A busy loan's events are sorted day by day, in tasks of their own, and only its changes of
+    type come together.
     """
     known = events.where(F.col("loan_id").isNotNull() & F.col("type").isNotNull()).select("loan_id", "event_ts", "audit_id", "type", "error").distinct()
-    # A busy loan's events are folded day by day first; what is left of a day are its changes of type.
-    seq = F.array_sort(F.collect_list(F.struct("event_ts", "audit_id", "type")))
-    daily = known.groupBy("loan_id", F.to_date("event_ts").alias("day")).agg(
-        _runs(F.transform(seq, lambda x: x["type"])).alias("runs"), F.collect_set("error").alias("errors"), F.count(F.lit(1)).alias("n")
+    day = W.partitionBy("loan_id", F.to_date("event_ts")).orderBy("event_ts", "audit_id", "error")
+    at = F.struct("event_ts", "audit_id", "type")
+    moved = F.when(~F.col("type").eqNullSafe(F.lag("type").over(day)), at)
+    marked = known.select("loan_id", "error", at.alias("at"), moved.alias("moved"))
+    # The fold of a day is combined before the shuffle; nulls are no changes and are not collected.
+    whole = marked.groupBy("loan_id").agg(
+        F.array_sort(F.collect_list("moved")).alias("changes"), F.array_sort(F.collect_set("error")).alias("errors"), F.count(F.lit(1)).alias("events"), F.max("at")["type"].alias("current")
     )
-    days = F.array_sort(F.collect_list(F.struct("day", "runs")))
-    whole = daily.groupBy("loan_id").agg(
-        _runs(F.flatten(F.transform(days, lambda x: x["runs"]))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("errors")))).alias("errors"), F.sum("n").alias("events")
-    )
-    return whole.select("loan_id", F.element_at("runs", -1).alias("current"), F.array_join("runs", ">").alias("history"), F.array_join("errors", "|").alias("errors"), "events")
+    runs = _runs(F.transform("changes", lambda x: x["type"]))
+    return whole.select("loan_id", "current", F.array_join(runs, ">").alias("history"), F.array_join("errors", "|").alias("errors"), "events")
 
 
 def _runs(types: Column) -> Column:
@@ -35,28 +32,6 @@ def _runs(types: Column) -> Column:
     return F.filter(types, lambda x, i: (i == 0) | (x != F.try_element_at(types, i)))
 
 
-def stream_status(events: DataFrame) -> DataFrame:
-    """The same as a stream, for events that arrive in order of time within a loan: state per loan, one row per loan and micro-batch that touches it."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        history, errors, n, last = state.get if state.exists else ("", "", 0, "")
-        seen = [h for h in history.split(">") if h]
-        wrong = {e for e in errors.split("|") if e}
-        rows = pd.concat(list(batches)).sort_values(["event_ts", "audit_id"])
-        for t, e in zip(rows["type"], rows["error"]):
-            n += 1
-            last = t
-            if not seen or seen[-1] != t:
-                seen.append(t)
-            if isinstance(e, str):
-                wrong.add(e)
-        state.update((">".join(seen), "|".join(sorted(wrong)), n, last))
-        yield pd.DataFrame([(key[0], last, ">".join(seen), "|".join(sorted(wrong)), n)], columns=["loan_id", "current", "history", "errors", "events"])
-
-    known = events.where(F.col("loan_id").isNotNull() & F.col("type").isNotNull())
-    return known.groupBy("loan_id").applyInPandasWithState(step, STATUS, "history string, errors string, n bigint, last string", "update", GroupStateTimeout.NoTimeout)
-
-
-def newest_first(updates: DataFrame) -> DataFrame:
-    """The last state of each loan among a stream's updates: the one with most events."""
-    return updates.groupBy("loan_id").agg(F.max_by(F.struct("current", "history", "errors", "events"), "events").alias("x")).select("loan_id", "x.*")
+def newest_first(states: DataFrame) -> DataFrame:
+    """The last state of each loan among those of all micro-batches: that of the latest batch."""
+    return states.groupBy("loan_id").agg(F.max_by(F.struct("current", "history", "errors", "events"), "batch").alias("x")).select("loan_id", "x.*")

@@ -6,7 +6,7 @@ import datetime as dt
 import random
 
 from attestra.operators import state
-from attestra.streaming.audit import audit_stream, run_status
+from attestra.streaming.audit import audit_stream, progress, run_status
 
 SCHEMA = "loan_id string, event_ts timestamp, audit_id bigint, type string, error string"
 
@@ -37,12 +37,19 @@ def test_batch_fold(spark):
     assert state.fold_status(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def test_stream_equals_batch_with_repeats_and_late_events(spark, tmp_path):
     rows = events()
+    random.Random(5).shuffle(rows)  # late ones among them
     for k in range(3):
-        spark.createDataFrame(rows[40 * k : 40 * k + 40], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame(rows[40 * k : 40 * k + 40] + rows[:7], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.read.parquet(str(tmp_path / "in"))
     query = run_status(audit_stream(spark, str(tmp_path / "in"), source.schema, files=1), str(tmp_path / "out"), str(tmp_path / "cp"))
-    query.awaitTermination(120)
-    got = {r["loan_id"]: (r["current"], r["history"], r["errors"], r["events"]) for r in state.newest_first(spark.read.parquet(str(tmp_path / "out"))).collect()}
-    assert {k: (v[3], v[2]) for k, v in got.items()} == {k: (v[3], v[2]) for k, v in plain(rows).items()}
+    query.awaitTermination(180)
+    states = spark.read.parquet(str(tmp_path / "out" / "status"))
+    got = {r["loan_id"]: (r["current"], r["history"], r["errors"], r["events"]) for r in state.newest_first(states).collect()}
+    assert got == plain(rows) and states.select("batch").distinct().count() == 3
+
+
+def test_progress(spark):
+    got = [tuple(r) for r in progress(spark.createDataFrame(events(8), SCHEMA)).where("loan_id = 'A'").orderBy("step").collect()]
+    assert got[0] == ("A", 0, "start", "started") and got[-1][2:] == ("finish", "done") and all(r[3] == "completed" for r in got[1:-1])
