@@ -150,25 +150,29 @@ def canonical_type(c: Column, aliases: dict[str, str]) -> Column:
     aliases: canonical name to its aliases, blank-separated. Nothing gives "miscellaneous", an unknown name itself.
     """
     named = F.create_map(*[F.lit(x) for canon, names in aliases.items() for n in names.split() for x in (n, canon)])
+
+    def read(x: Column) -> Column:
+        stem, bare = x["stem"], x["bare"]
+        has = lambda *ws: F.greatest(*[stem.contains(w) for w in ws], F.lit(False))
+        by_word = (
+            F.when(stem.contains("xml") & has("aadhaar", "aadhar"), "aadhaar_xml")
+            .when(has("aadhaar", "aadhar"), "aadhaar")
+            .when(stem.contains("kfs") | stem.contains("key") & stem.contains("fact"), "kfs")
+            .when(stem.contains("sanction"), "sanction_letter")
+            .when(stem.contains("agreement"), "loan_agreement")
+            .when(has("memo", "disbursal"), "disbursal_memo")
+            .when(has("statement", "bank"), "account_statement")
+            .when(stem.contains("vkyc"), "vkyc")
+            .when(has("bt", "foreclosure"), "bt_details")
+            .when(stem.contains("pan"), "pan")
+            .when(stem.contains("application") | bare.rlike(r"(?:^|_)app(?:lication)?(?:_|$)"), "application_form")
+            .otherwise(stem)
+        )
+        return F.coalesce(*[F.try_element_at(named, y) for y in (stem, bare, F.replace(stem, F.lit(" "), F.lit("_")))], by_word)
+
     stem = F.trim(F.lower(F.regexp_replace(F.regexp_extract(c, r"([^/]+)/*$", 1), r"(.)\.[^.]*$", "$1")))
-    bare = F.regexp_replace(stem, r"^(?:appl\d+|loan_\d+|[a-z0-9]+)_(.+)$", "$1")
-    has = lambda *ws: F.greatest(*[stem.contains(w) for w in ws], F.lit(False))
-    by_word = (
-        F.when(stem.contains("xml") & has("aadhaar", "aadhar"), "aadhaar_xml")
-        .when(has("aadhaar", "aadhar"), "aadhaar")
-        .when(stem.contains("kfs") | stem.contains("key") & stem.contains("fact"), "kfs")
-        .when(stem.contains("sanction"), "sanction_letter")
-        .when(stem.contains("agreement"), "loan_agreement")
-        .when(has("memo", "disbursal"), "disbursal_memo")
-        .when(has("statement", "bank"), "account_statement")
-        .when(stem.contains("vkyc"), "vkyc")
-        .when(has("bt", "foreclosure"), "bt_details")
-        .when(stem.contains("pan"), "pan")
-        .when(stem.contains("application") | bare.rlike(r"(?:^|_)app(?:lication)?(?:_|$)"), "application_form")
-        .otherwise(stem)
-    )
-    looked = [F.try_element_at(named, x) for x in (stem, bare, F.replace(stem, F.lit(" "), F.lit("_")))]
-    return F.when(F.coalesce(c, F.lit("")) == "", "miscellaneous").otherwise(F.coalesce(*looked, by_word))
+    cut = lambda s: F.struct(s.alias("stem"), F.regexp_replace(s, r"^(?:appl\d+|loan_\d+|[a-z0-9]+)_(.+)$", "$1").alias("bare"))
+    return F.when(F.coalesce(c, F.lit("")) == "", "miscellaneous").otherwise(let(let(stem, cut), read))
 
 
 def display_name(canonical: Column) -> Column:

@@ -326,14 +326,14 @@ RECORDS = (
 COLUMNS = ("loan_id", "check_id", "subnode", "doc_key", "field", "match_type", "method", "status", "confidence")
 
 
-def _records(spark: SparkSession, d: str) -> DataFrame:
+def all_checks(spark: SparkSession, d: str) -> DataFrame:
     return records.compare(table(spark, d, "los"), table(spark, d, "doc_fields")).select(*COLUMNS)
 
 
 @add(f"SELECT {', '.join(COLUMNS)} FROM {RECORDS}")
 def cmp_records(spark: SparkSession, d: str) -> DataFrame:
     """JN-01, JN-02, CMP-01 to CMP-06, CMP-08 to CMP-13, CMP-17 to CMP-20, SET-02, FN-09, FN-10, FN-34: all configured checks of all loans."""
-    return _records(spark, d)
+    return all_checks(spark, d)
 
 
 _NEAR = f"CASE WHEN a <= 0 OR b <= 0 THEN CASE WHEN a = b THEN 1.0 ELSE 0.0 END ELSE least(a, b) / greatest(a, b) END"
@@ -404,13 +404,13 @@ def _all_records(spark: SparkSession, d: str) -> DataFrame:
     loans = table(spark, d, "los").where("loan_id IS NOT NULL").select("loan_id").distinct()
     bpi = _bpi(spark, d).join(loans, "loan_id", "left_semi").select("loan_id", F.lit("chk_check_financial_kfs_vs_disbursal_memo_bpi_charge").alias("check_id"), F.lit("check_financial").alias("subnode"), "status", "confidence")
     signed = records.signatures(table(spark, d, "doc_fields"), table(spark, d, "inspections")).join(loans, "loan_id", "left_semi").select("loan_id", "check_id", "subnode", "status", "confidence")
-    return _records(spark, d).select("loan_id", "check_id", "subnode", "status", "confidence").unionByName(bpi).unionByName(signed)
+    return all_checks(spark, d).select("loan_id", "check_id", "subnode", "status", "confidence").unionByName(bpi).unionByName(signed)
 
 
 @add(f"SELECT loan_id, check_id, status, CAST(CASE WHEN match_type = 'fuzzy' AND status = 'PARTIAL' THEN 0.5 ELSE confidence END AS DOUBLE) AS confidence, match_type = 'fuzzy' AND status = 'PARTIAL' AS adjudicated FROM {RECORDS}")
 def cmp_adjudicated(spark: SparkSession, d: str) -> DataFrame:
     """CMP-16, UDF-01: records after adjudication of partial matches, by the adjudicator that needs no model."""
-    return records.adjudicated(_records(spark, d)).select("loan_id", "check_id", "status", "confidence", "adjudicated")
+    return records.adjudicated(all_checks(spark, d)).select("loan_id", "check_id", "status", "confidence", "adjudicated")
 
 
 _BARE = "lower(replace(trim({x}), ' ', ''))"
@@ -447,7 +447,7 @@ ROLLUP = f"(SELECT *, CASE WHEN n_mismatch > 0 THEN 'Discrepancy' WHEN n_match <
 @add(f"SELECT * FROM {ROLLUP}")
 def agg_rollup(spark: SparkSession, d: str) -> DataFrame:
     """AGG-01, AGG-03, SET-06."""
-    return records.rollup(_records(spark, d))
+    return records.rollup(all_checks(spark, d))
 
 
 @add(
@@ -456,7 +456,7 @@ def agg_rollup(spark: SparkSession, d: str) -> DataFrame:
 )
 def agg_subnodes(spark: SparkSession, d: str) -> DataFrame:
     """AGG-01: the tri-state rollup per loan and subnode; an empty one is Indeterminate."""
-    return records.subnode_rollups(_records(spark, d), table(spark, d, "los"))
+    return records.subnode_rollups(all_checks(spark, d), table(spark, d, "los"))
 
 
 @add(
@@ -465,7 +465,7 @@ def agg_subnodes(spark: SparkSession, d: str) -> DataFrame:
 def agg_check_rates(spark: SparkSession, d: str) -> DataFrame:
     """AGG-10, AGG-14, AGG-17: status counts and rate of matches per check."""
     n = lambda s: F.count_if(F.col("status") == s)
-    return _records(spark, d).groupBy("doc_key", "field").agg(
+    return all_checks(spark, d).groupBy("doc_key", "field").agg(
         n("MATCH").alias("n_match"), n("PARTIAL").alias("n_partial"), n("MISMATCH").alias("n_mismatch"), n("NOT_FOUND").alias("n_not_found"), F.count(F.lit(1)).alias("n_total"),
         F.round(F.avg((F.col("status") == "MATCH").cast("double")), 4).alias("match_rate"),
     )
@@ -474,14 +474,14 @@ def agg_check_rates(spark: SparkSession, d: str) -> DataFrame:
 @add(f"SELECT rollup, count(*) AS loans, CAST(sum(n_match) AS BIGINT) AS matches, round(avg(n_mismatch), 4) AS mean_mismatches FROM {ROLLUP} GROUP BY rollup")
 def agg_kpi(spark: SparkSession, d: str) -> DataFrame:
     """AGG-09."""
-    r = records.rollup(_records(spark, d))
+    r = records.rollup(all_checks(spark, d))
     return r.groupBy("rollup").agg(F.count(F.lit(1)).alias("loans"), F.sum("n_match").alias("matches"), F.round(F.avg("n_mismatch"), 4).alias("mean_mismatches"))
 
 
 @add(f"SELECT loan_id, check_id, doc_key, field, CASE WHEN method IN ('exact_id', 'masked_aadhaar') THEN 'HIGH' ELSE 'MEDIUM' END AS priority FROM {RECORDS} WHERE status = 'MISMATCH'")
 def ent_mismatches(spark: SparkSession, d: str) -> DataFrame:
     """ENT-05, FLT-05: the mismatches, by priority."""
-    r = _records(spark, d).where("status = 'MISMATCH'")
+    r = all_checks(spark, d).where("status = 'MISMATCH'")
     return r.select("loan_id", "check_id", "doc_key", "field", F.when(F.col("method").isin("exact_id", "masked_aadhaar"), "HIGH").otherwise("MEDIUM").alias("priority"))
 
 
@@ -549,13 +549,6 @@ def agg_signatures(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "inspections").select("inspection_id", F.coalesce((F.size(s) > 0) & good, F.lit(False)).alias("accepted"))
 
 
-@add("SELECT extraction_id, doc_key, arrived_at >= extracted_at AS fresh FROM extractions WHERE arrived_at IS NOT NULL AND extracted_at IS NOT NULL AND loan_id IS NOT NULL")
-def src_cache_probe(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-28: whether a cached extraction is no older than its source."""
-    e = table(spark, d, "extractions").where("arrived_at IS NOT NULL AND extracted_at IS NOT NULL AND loan_id IS NOT NULL")
-    return e.select("extraction_id", "doc_key", (F.col("arrived_at") >= F.col("extracted_at")).alias("fresh"))
-
-
 @add("SELECT doc_id, n_chars, n_chars < 50 AS scanned, CASE WHEN n_chars > 50000 THEN 'reject' ELSE 'accept' END AS guard FROM documents")
 def src_guards(spark: SparkSession, d: str) -> DataFrame:
     """SRC-14: predicates on size."""
@@ -843,7 +836,7 @@ _GROUPS = ", ".join(f"('{g}', '{f}', {w})" for g, f, w in GROUPS)
 def agg_weighted(spark: SparkSession, d: str) -> DataFrame:
     """JN-04, JN-05, AGG-04, AGG-05, AGG-07: the weighted share of matches per group of fields."""
     spec = spark.createDataFrame(list(GROUPS), "grp string, field string, weight double")
-    r = _records(spark, d).where("status <> 'NOT_FOUND'").join(F.broadcast(spec), "field")
+    r = all_checks(spark, d).where("status <> 'NOT_FOUND'").join(F.broadcast(spec), "field")
     score = F.sum(F.col("weight") * (F.col("status") == "MATCH").cast("double")) / F.sum("weight")
     return r.groupBy("loan_id", "grp").agg(F.round(score, 6).alias("score"), F.count(F.lit(1)).alias("checks"))
 
@@ -859,7 +852,7 @@ def ent_adjudicated(spark: SparkSession, d: str) -> DataFrame:
     """CMP-16, JN-21, ENT-06, AGG-11: the last adjudication of a loan's field replaces its status before the rollup."""
     a = table(spark, d, "audit_log").where("loan_id IS NOT NULL AND field_type IS NOT NULL AND adjudication_status IS NOT NULL")
     last = a.groupBy("loan_id", F.col("field_type").alias("field")).agg(F.max_by("adjudication_status", F.struct("event_ts", "audit_id")).alias("verdict"))
-    r = _records(spark, d).join(last, ["loan_id", "field"], "left").withColumn("now", F.coalesce("verdict", "status"))
+    r = all_checks(spark, d).join(last, ["loan_id", "field"], "left").withColumn("now", F.coalesce("verdict", "status"))
     n = r.groupBy("loan_id").agg(F.count_if(F.col("verdict").isNotNull() & (F.col("verdict") != F.col("status"))).alias("changed"), F.count_if(F.col("now") == "MISMATCH").alias("n_mismatch"), F.count_if(F.col("now") != "MATCH").alias("_open"))
     state_of = F.when(F.col("n_mismatch") > 0, "Discrepancy").when(F.col("_open") > 0, "Indeterminate").otherwise("Verified")
     return n.select("loan_id", "changed", "n_mismatch", state_of.alias("rollup"))
