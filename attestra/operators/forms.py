@@ -408,3 +408,113 @@ def block_text(found: DataFrame, *key: str) -> DataFrame:
     top = F.when(F.col("block") == "pairs", "Field | Value").otherwise(F.col("head"))
     text = F.concat_ws("\n", F.when(F.col("title").isNotNull(), F.concat(F.lit("### "), "title")), F.lit("[TABLE]"), top, F.nullif("body", F.lit("")), F.lit("[/TABLE]"))
     return whole.select(*key, "section", "block", text.alias("text"))
+
+
+# --- containers without text of their own -----------------------------------------------------------------------------
+
+#: Labels of layout regions that say nothing of a text.
+REGION_LABELS = ("Text Block", "Picture", "Container", "Form Field", "text", "Text", "IMAGE", "Image", "Figure")
+
+
+def is_container(text: Column, label: Column, source: Column, box: geo.Box) -> Column:
+    """GEO-09: whether an element is a region of the layout rather than a recognised text.
+
+    Its formed box has no text, or the text is a region's label or its own; or the box is three times as wide as the text needs, or very
+    wide and flat for so few characters; or it bears a region's label and no recogniser as its source.
+    """
+    t, own = F.trim(F.coalesce(text, F.lit(""))), F.trim(F.coalesce(label, F.lit("")))
+    w, h = F.abs(box[2] - box[0]), F.abs(box[3] - box[1])
+    formed = ~(w.isNull() | h.isNull() | (w <= 1e-4) | (h <= 1e-4))
+    labels = sorted({x.upper() for x in REGION_LABELS})
+    empty = (t == "") | F.upper(t).isin(*labels) | (own != "") & (t == own)
+    wide = (t != "") & ((h > 0.1) & (w > F.length(t) * h * 0.45 * 3.0) | (h > 0) & (w / h > 15) & (F.length(t) / h < 0.5))
+    generic = (own != "") & F.greatest(*[F.upper(own).contains(x) | F.contains(F.lit(x), F.upper(own)) for x in labels])
+    unread = ~F.lower(F.coalesce(source, F.lit(""))).isin("rapidocr", "ocr", "docling_ocr")
+    return F.coalesce(formed & empty, F.lit(False)) | F.coalesce(wide, F.lit(False)) | generic & unread
+
+
+def boxes_from_neighbours(elements: DataFrame, *key: str, reach: float = 0.6) -> DataFrame:
+    """AGG-22: containers (key..., ord, box, container) with the joint box of the texts within them: key..., ord, n, l, t, r, b.
+
+    A text counts if it lies within the container, give or take `reach` of the container's height; without any the box stays.
+    """
+    each = elements.select(*key, "ord", *"ltrb", "container")
+    holders = each.where(F.col("container") & (F.abs(F.col("b") - F.col("t")) > 0)).select(*key, F.col("ord").alias("_ord"), *[F.col(c).alias(f"c{c}") for c in "ltrb"])
+    texts = each.where(~F.col("container") & ~geo.degenerate(geo.box()))
+    give = F.abs(F.col("cb") - F.col("ct")) * reach
+    within = (F.col("l") >= F.col("cl") - give) & (F.col("r") <= F.col("cr") + give) & (F.col("t") >= F.col("ct") - give) & (F.col("b") <= F.col("cb") + give)
+    # The range condition is checked among the elements of a page.
+    joint = holders.join(texts, list(key)).where(within).groupBy(*key, "_ord").agg(F.count(F.lit(1)).alias("n"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"))
+    both = holders.join(joint, [*key, "_ord"], "left")
+    return both.select(*key, F.col("_ord").alias("ord"), F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(c, f"c{c}").alias(c) for c in "ltrb"])
+
+
+# --- labels and values ------------------------------------------------------------------------------------------------
+
+#: Height within which two elements are of a row; how far right and below a value may stand; scores and confidences of a pair.
+ROW, RIGHT, BELOW, LEFT, SCORE, SURE = 0.022, 0.35, 0.045, 0.06, 0.70, 0.72
+
+
+def fits(label: Column, value: Column) -> Column:
+    """JN-13: how well a value suits a label by what both say, from the amounts, banks, codes, numbers and dates that labels ask for."""
+    low, v, vl = F.lower(F.trim(label)), F.trim(value), F.lower(F.trim(value))
+    has = lambda c, *ws: F.greatest(*[c.contains(w) for w in ws], F.lit(False))
+    number, words = v.rlike("^[0-9,.]+$"), sim.amount_in_words(v)
+    amount = F.when(has(low, "rupees", "words"), F.when(words, 0.35).when(number, -0.30)).when(low.contains("amount"), F.when(number, 0.35).when(words, 0.15))
+    bank = F.when(has(low, "with bank", "bank name"), F.when(has(vl, "bank", "punjab", "hdfc", "sbi", "icici", "axis"), 0.35).when(v.rlike("^[0-9]+$"), -0.40))
+    code = F.when(has(low, "code", "ifsc", "micr", "umrn", "reference", "ref") & v.rlike("[0-9]") & ~v.rlike(r"\s{2,}"), 0.30)
+    person = F.when(has(low, "pan", "permanent", "account") & (F.upper(v).rlike("[A-Z0-9]{10}") | v.rlike("[0-9]")), 0.35)
+    months = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+    date = F.when(low.contains("date") & (v.rlike(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}") | has(vl, *months)), 0.35)
+    leak = F.when(has(vl, "weekly", "monthly", "daily", "fixed", "maximum"), -0.80)
+    noise = F.when(sim.gibberish(v), -0.90)
+    parts = [F.coalesce(p, F.lit(0.0)) for p in (amount, bank, code, person, date, leak, noise)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out + p
+    return out
+
+
+def label_values(elements: DataFrame, *key: str) -> DataFrame:
+    """JN-13, WIN-21: key..., label, value, relation of each label with the value that stands right of it or else below it.
+
+    elements: key..., ord, text, class, box, confidence. All pairs that may be are joined and scored; which value a label gets is settled label
+    by label in reading order, as a value belongs to one label only: a fold over a page's few scored pairs.
+    """
+    e = elements.select(*key, "ord", "text", "class", "confidence", *"ltrb")
+    labels = e.where("class = 'label'").select(*key, F.col("ord").alias("lo"), F.col("text").alias("label"), F.col("confidence").alias("lc"), *[F.col(c).alias(f"a{c}") for c in "ltrb"])
+    values = e.where("class = 'value'").select(*key, F.col("ord").alias("vo"), F.col("text").alias("value"), F.col("confidence").alias("vc"), *[F.col(c).alias(f"v{c}") for c in "ltrb"])
+    middle = lambda p: (F.col(f"{p}t") + F.col(f"{p}b")) / 2
+    over = F.greatest(F.lit(0.0), F.least("ab", "vb") - F.greatest("at", "vt"))
+    row = (F.abs(middle("a") - middle("v")) <= ROW) | (over / F.greatest(F.lit(0.01), F.col("ab") - F.col("at")) >= 0.40)
+    dx, dy = F.col("vl") - F.col("ar"), F.col("vt") - F.col("ab")
+    right = row & dx.between(-0.02, RIGHT)
+    below = dy.between(0.0, BELOW) & ((F.least("ar", "vr") - F.greatest("al", "vl") > 0) | (F.abs(F.col("al") - F.col("vl")) <= LEFT))
+    near = labels.join(values, list(key)).where(right | below).withColumns({"right": right, "below": below})
+    # Another label between a label and a value to its right keeps them apart.
+    others = labels.select(*key, F.col("lo").alias("oo"), F.col("al").alias("ol"), middle("a").alias("om"))
+    between = near.alias("n").join(others.alias("o"), list(key)).where((F.col("oo") != F.col("lo")) & (F.col("ar") < F.col("ol")) & (F.col("ol") < F.col("vl")) & (F.abs(F.col("om") - middle("a")) <= ROW))
+    parted = between.select(*key, "lo", "vo", F.lit(True).alias("parted")).distinct()
+    suits = F.lit(0.50) + fits(F.col("label"), F.col("value"))
+    scored = near.join(parted, [*key, "lo", "vo"], "left").select(
+        *key, "lo", "vo", "at", "al", "label", "value", F.least("lc", "vc").alias("sure"),
+        F.when(F.col("right") & F.col("parted").isNull(), suits + 0.25 - F.greatest(F.lit(0.0), dx) / RIGHT * 0.15).alias("beside"),
+        F.when(F.col("below"), suits + 0.15 - dy / BELOW * 0.15).alias("under"),
+    )
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        head, taken, out = [pdf[k].iloc[0] for k in key], set(), []
+        for _, of in pdf.sort_values(["at", "al", "lo", "vo"], kind="stable").groupby(["at", "al", "lo"], sort=True):
+            free = of[~of["vo"].isin(taken)]
+            for name, score in (("right_of_label", "beside"), ("below_label", "under")):
+                known = free[free[score].notna()]
+                if len(known):
+                    best = known.loc[known[score].idxmax()]
+                    if best[score] >= SCORE and best["sure"] >= SURE:
+                        taken.add(best["vo"])
+                        out.append((*head, best["label"], best["value"], name))
+                    break
+        return pd.DataFrame(out, columns=[*key, "label", "value", "relation"])
+
+    kinds = ", ".join(f"{k} {elements.schema[k].dataType.simpleString()}" for k in key)
+    return scored.groupBy(*key).applyInPandas(settle, f"{kinds}, label string, value string, relation string")

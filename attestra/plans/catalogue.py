@@ -132,7 +132,7 @@ def fn_rupees(spark: SparkSession, d: str) -> DataFrame:
 
 @add(
     "SELECT audit_id, lower(strftime(event_ts + INTERVAL 330 MINUTE, '%-I:%M %p')) AS clock, strftime(event_ts + INTERVAL 330 MINUTE, '%d/%m/%Y') AS day, "
-    "printf('%dm %02ds', CAST(floor(s / 60) AS INTEGER), CAST(s % 60 AS INTEGER)) AS took "
+    "CASE WHEN s >= 60 THEN printf('%dm %02ds', CAST(floor(s / 60) AS INTEGER), CAST(s % 60 AS INTEGER)) ELSE printf('%ds', CAST(s AS INTEGER)) END AS took "
     "FROM (SELECT *, greatest(0, CAST(epoch(date_trunc('second', ingested_at)) AS BIGINT) - CAST(epoch(date_trunc('second', event_ts)) AS BIGINT)) AS s FROM audit_log) WHERE event_ts IS NOT NULL AND ingested_at IS NOT NULL"
 )
 def fn_clock(spark: SparkSession, d: str) -> DataFrame:

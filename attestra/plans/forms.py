@@ -231,3 +231,76 @@ def snk_full_text(spark: SparkSession, d: str) -> DataFrame:
     pages = ls.groupBy("extraction_id", page).agg(joined(F.struct(top.alias("top"), "line", "x")).alias("body"))
     head = F.concat(F.lit("--- PAGE "), F.col("page").cast("string"), F.lit(" ---\n"), "body")
     return pages.groupBy("extraction_id").agg(joined(F.struct("page", head.alias("x"))).alias("text"))
+
+
+# --- containers, pairs of labels and values, flat fields --------------------------------------------------------------
+
+_ELEMENTS = (
+    f"(SELECT extraction_id, line // 40 AS page, line AS ord, trim(s) AS x, CASE line % 6 WHEN 0 THEN 'Text Block' WHEN 1 THEN 'Figure' ELSE 'paragraph' END AS label, CASE WHEN line % 4 = 0 THEN 'layout' ELSE 'rapidocr' END AS source, 0.05::DOUBLE AS l, ((line % 40) * 0.025)::DOUBLE AS t, "
+    f"(0.05 + CASE WHEN line % 9 = 5 THEN 0.9 ELSE least(length(trim(s)) * 0.008, 0.9) END)::DOUBLE AS r, ((line % 40) * 0.025 + CASE WHEN line % 9 = 5 THEN 0.12 ELSE 0.02 END)::DOUBLE AS b FROM {LINES})"
+)
+_W, _H = "abs(r - l)", "abs(b - t)"
+_UP = sorted({x.upper() for x in forms.REGION_LABELS})
+_CONTAINER = (
+    f"(NOT ({_W} <= 1e-4 OR {_H} <= 1e-4) AND (x = '' OR upper(x) IN ({_quoted(_UP)}) OR label <> '' AND x = label) OR x <> '' AND ({_H} > 0.1 AND {_W} > length(x) * {_H} * 0.45 * 3.0 OR {_H} > 0 AND {_W} / {_H} > 15 AND length(x) / {_H} < 0.5) "
+    f"OR label <> '' AND ({' OR '.join(f'''contains(upper(label), '{u}') OR contains('{u}', upper(label))''' for u in _UP)}) AND source NOT IN ('rapidocr', 'ocr', 'docling_ocr'))"
+)
+
+
+def _elements(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("line")
+    x = F.trim("s")
+    kind = F.when(n % 6 == 0, "Text Block").when(n % 6 == 1, "Figure").otherwise("paragraph")
+    top = (n % 40) * 0.025
+    return lines(spark, d).select(
+        "extraction_id", F.floor(n / 40).cast("int").alias("page"), n.alias("ord"), x.alias("x"), kind.alias("label"), F.when(n % 4 == 0, "layout").otherwise("rapidocr").alias("source"), F.lit(0.05).alias("l"), top.alias("t"),
+        (F.lit(0.05) + F.when(n % 9 == 5, 0.9).otherwise(F.least(F.length(x) * 0.008, F.lit(0.9)))).alias("r"), (top + F.when(n % 9 == 5, 0.12).otherwise(0.02)).alias("b"),
+    )
+
+
+@add(f"SELECT extraction_id, ord, {_CONTAINER} AS container FROM {_ELEMENTS}")
+def geo_containers(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-09: elements that are regions of the layout rather than texts."""
+    e = _elements(spark, d)
+    return e.select("extraction_id", "ord", forms.is_container(F.col("x"), F.col("label"), F.col("source"), tuple(F.col(c) for c in "ltrb")).alias("container"))
+
+
+@add(
+    f"WITH e AS (SELECT *, {_CONTAINER} AS container FROM {_ELEMENTS}) SELECT c.extraction_id, c.page, c.ord, count(x.ord) AS n, round(coalesce(min(x.l), any_value(c.l)), 6) AS l, round(coalesce(min(x.t), any_value(c.t)), 6) AS t, round(coalesce(max(x.r), any_value(c.r)), 6) AS r, round(coalesce(max(x.b), any_value(c.b)), 6) AS b FROM (SELECT * FROM e WHERE container AND abs(b - t) > 0) c "
+    f"LEFT JOIN (SELECT * FROM e WHERE NOT container AND NOT (r - l <= 1e-4 OR b - t <= 1e-4)) x ON x.extraction_id = c.extraction_id AND x.page = c.page AND x.l >= c.l - abs(c.b - c.t) * 0.6 AND x.r <= c.r + abs(c.b - c.t) * 0.6 AND x.t >= c.t - abs(c.b - c.t) * 0.6 AND x.b <= c.b + abs(c.b - c.t) * 0.6 GROUP BY c.extraction_id, c.page, c.ord"
+)
+def agg_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-22: the boxes of layout regions from the texts within them."""
+    e = _elements(spark, d)
+    marked = e.withColumn("container", forms.is_container(F.col("x"), F.col("label"), F.col("source"), tuple(F.col(c) for c in "ltrb")))
+    return forms.boxes_from_neighbours(marked, "extraction_id", "page").select("extraction_id", "page", "ord", "n", *[F.round(c, 6).alias(c) for c in "ltrb"])
+
+
+@add()
+def jn_label_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """JN-13, WIN-21: labels with their values by place and sense, each value once; parts of lines as elements. See the tests for a plain loop."""
+    parts = lines(spark, d).select("extraction_id", "line", F.posexplode(F.split("s", "[:;,]")).alias("pos", "c")).withColumn("x", F.trim("c")).where("x <> ''")
+    top = (F.col("line") % 40) * 0.025
+    e = parts.select(
+        "extraction_id", F.floor(F.col("line") / 40).cast("int").alias("page"), (F.col("line") * 100 + F.col("pos")).alias("ord"), F.col("x").alias("text"), forms.element_class(F.col("x"), F.lit(1.0), F.lit(0.9)).alias("class"), F.lit(0.9).alias("confidence"),
+        (F.col("pos") * 0.2).alias("l"), top.alias("t"), (F.col("pos") * 0.2 + F.least(F.length("x") * 0.008, F.lit(0.19))).alias("r"), (top + 0.02).alias("b"),
+    )
+    return forms.label_values(e, "extraction_id", "page")
+
+
+@add(
+    f"SELECT extraction_id, name, value, kind FROM (SELECT e.extraction_id, array_to_string(list_transform(string_split(replace(f.field, '_', ' '), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS name, f.value, 'template' AS kind FROM (SELECT extraction_id, loan_id, doc_key FROM extractions WHERE loan_id IS NOT NULL) e JOIN {LATEST_FIELDS} f USING (loan_id, doc_key) WHERE f.value IS NOT NULL "
+    f"UNION ALL SELECT extraction_id, CASE WHEN p > 0 AND trim(substr(x, 1, p - 1)) <> '' AND trim(substr(x, p + 1)) <> '' THEN trim(substr(x, 1, p - 1)) ELSE 'Text Block' END, CASE WHEN p > 0 AND trim(substr(x, 1, p - 1)) <> '' AND trim(substr(x, p + 1)) <> '' THEN trim(substr(x, p + 1)) ELSE x END, 'element' "
+    f"FROM (SELECT extraction_id, trim(s) AS x, CASE WHEN instr(trim(s), ':') > 0 THEN instr(trim(s), ':') ELSE instr(trim(s), '=') END AS p FROM {LINES} WHERE trim(s) <> ''))"
+)
+def flt_flat_fields(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-13, UDTF-02: template fields and elements of a document as uniform rows."""
+    e = table(spark, d, "extractions").where("loan_id IS NOT NULL").select("extraction_id", "loan_id", "doc_key")
+    f = records.latest_fields(table(spark, d, "doc_fields")).where("value IS NOT NULL")
+    named = e.join(f, ["loan_id", "doc_key"]).select("extraction_id", F.initcap(F.replace("field", F.lit("_"), F.lit(" "))).alias("name"), "value", F.lit("template").alias("kind"))
+    x = F.trim("s")
+    p = F.when(F.instr(x, ":") > 0, F.instr(x, ":")).otherwise(F.instr(x, "="))
+    k, v = F.trim(F.substr(x, F.lit(1), p - 1)), F.trim(F.substr(x, p + 1))
+    pair = (p > 0) & (k != "") & (v != "")
+    parts = lines(spark, d).where(x != "").select("extraction_id", F.when(pair, k).otherwise("Text Block").alias("name"), F.when(pair, v).otherwise(x).alias("value"), F.lit("element").alias("kind"))
+    return named.unionByName(parts)
