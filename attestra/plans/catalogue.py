@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from attestra.functions import geometry as geo
 from attestra.functions import normalise as fn
 from attestra.functions import similarity as sim
-from attestra.functions import textquality as quality
 from attestra.operators import layout, records, state
 from attestra.session import table
 
@@ -204,11 +203,22 @@ def name_pairs(spark: SparkSession, d: str) -> DataFrame:
     return records.latest_rows(table(spark, d, "los")).select("loan_id", F.col("applicant_name").alias("a")).join(card, "loan_id").where("a IS NOT NULL AND b IS NOT NULL")
 
 
-@add()
+_WLIST = "list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
+
+
+@add(
+    f"SELECT loan_id, CAST(CASE WHEN len(x) = 0 THEN CASE WHEN len(y) > 0 THEN 1.0 ELSE 0.0 END ELSE least(1.0, levenshtein(p, q) / len(x)) END AS DOUBLE) AS wer FROM (SELECT *, array_to_string(list_transform(x, lambda w: chr(CAST(48 + list_position(u, w) AS INTEGER))), '') AS p, array_to_string(list_transform(y, lambda w: chr(CAST(48 + list_position(u, w) AS INTEGER))), '') AS q FROM ("
+    f"SELECT loan_id, x, y, list_distinct(list_concat(x, y)) AS u FROM (SELECT l.loan_id, {_WLIST.format(x='l.applicant_name')} AS x, {_WLIST.format(x='c.value')} AS y FROM {LATEST_LOS} l JOIN {CARD} c USING (loan_id) WHERE l.applicant_name IS NOT NULL AND c.value IS NOT NULL)))"
+)
 def sim_wer(spark: SparkSession, d: str) -> DataFrame:
-    """SIM-03, SIM-05: word error rate and ratio of matching blocks."""
-    pairs = sim.over_distinct(name_pairs(spark, d), "a", "b", sim.word_error_rate, "wer")
-    return sim.over_distinct(pairs, "a", "b", sim.gestalt, "ratio").select("loan_id", "wer", "ratio")
+    """SIM-05, SIM-06: word error rate, over distinct pairs. In SQL words become single characters."""
+    return sim.over_distinct(name_pairs(spark, d), "a", "b", sim.word_error_rate, "wer").select("loan_id", "wer")
+
+
+@add()
+def sim_gestalt(spark: SparkSession, d: str) -> DataFrame:
+    """SIM-03: ratio of matching blocks, over distinct pairs."""
+    return sim.over_distinct(name_pairs(spark, d), "a", "b", sim.gestalt, "ratio").select("loan_id", "ratio")
 
 
 _RANGES = {"latin": "A-Za-z", "devanagari": "ऀ-ॿ", "tamil": "஀-௿", "telugu": "ఀ-౿", "kannada": "ಀ-೿"}
@@ -769,12 +779,6 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return e.select("extraction_id", F.posexplode(F.split("_formatted_text", "\n")).alias("line", "s"))
 
 
-@add()
-def sim_sanitized(spark: SparkSession, d: str) -> DataFrame:
-    """SIM-08, SIM-09: lines cleaned, with score and judgement."""
-    return _lines(spark, d).select("extraction_id", "line", quality.sanitized(F.col("s")).alias("x")).select("extraction_id", "line", "x.text", "x.score", "x.valid")
-
-
 @add(
     "SELECT extraction_id, line, CAST(k AS INTEGER) AS pair, c[2 * k + 1 + h] AS field, c[2 * k + 2 + h] AS value FROM (SELECT *, unnest(range(0, (len(c) - h) // 2)) AS k FROM (SELECT *, CASE WHEN regexp_matches(c[1], '^([0-9]{1,3}|[a-zA-Z]|[ivx]+)[.)]?$') OR lower(c[1]) IN ('sr.', 'sr. no.', 'sl no', 'sl. no.', 'no.', 'no') THEN 1 ELSE 0 END AS h "
     f"FROM (SELECT extraction_id, line, list_filter(list_transform(string_split(s, ','), lambda v: trim(v)), lambda v: v <> '') AS c FROM {_LINES}) WHERE len(c) > 0))"

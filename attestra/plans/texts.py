@@ -351,6 +351,37 @@ def agg_page_trust(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("extraction_id", "page").agg(F.count(F.lit(1)).alias("n"), low.alias("low"), F.round(F.avg("trust"), 6).alias("trust"), ((low > 0) | (F.avg("trust") < 0.80)).alias("escalate"))
 
 
+def _sanitizing() -> str:
+    """The stages of sanitising a line as nested SQL: characters, labels, tokens, structure, judgement."""
+    replace = lambda x, pattern, by="", how=", 'g'": f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by}'{how})"
+    s = replace(replace("s", quality.CJK), quality.FOREIGN_SYMBOLS)
+    for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
+        s = replace(s, f"{c}{{5,}}", c * 2)
+    # No look-ahead here: what must follow is captured and put back.
+    for pattern, by in ((r"^[fF](ua)?\s*/\s*([A-Z])", "\\2"), (r"^[aA]\s*/\s*([A-Z][a-z]{2,})", "\\1"), (r"^[a-z]\s+([A-Z][a-z]{2,})", "\\1")):
+        s = replace(s, pattern, by, "")
+    kept = f"SELECT extraction_id, line, s AS raw, array_to_string(list_filter(regexp_split_to_array(trim({s}), '\\s+'), lambda w: NOT regexp_matches(w, '{quality.GARBAGE_TOKENS}') OR upper(w) IN ({_quoted(quality.PROTECTED_ACRONYMS)})), ' ') AS s FROM {LINES}"
+    cut = f"SELECT extraction_id, line, raw, {replace('s', r'^[0-9]{1,3}[A-Z]{2,4}\s+([A-Z][a-z])', chr(92) + '1', '')} AS s FROM ({kept})"
+    bare = "s"
+    for pattern in (r"^[A-Z]\s+$", r"^\d{1,3}\s*$", r",\s*,+", r"^\s*,\s*", r"\s*,\s*$"):
+        bare = replace(bare, pattern)
+    whole = replace("trim(" + replace(bare, r"\s+", " ") + ")", r"\s*,\s*", ", ")
+    shaped = f"SELECT extraction_id, line, raw, CASE WHEN regexp_matches(s, '{quality.PROTECTED}') THEN s ELSE {whole} END AS s FROM ({cut})"
+    latin = "length(regexp_replace(t, '[^a-zA-Z]', '', 'g'))"
+    few = f"regexp_matches(t, '[a-zA-Z]{{5,}}') AND length(regexp_replace(t, '[^aeiouyAEIOUY]', '', 'g')) < 0.10 * {latin}"
+    plain = f"1.0 - CASE WHEN length(t) = 1 THEN 0.3 WHEN length(t) = 2 THEN 0.1 ELSE 0.0 END - CASE WHEN {few} THEN 0.3 ELSE 0.0 END"
+    score = f"CASE WHEN upper(t) IN ({_quoted(quality.PROTECTED_ACRONYMS)}) OR regexp_matches(t, '{quality.PROTECTED}') THEN least(1.0, {plain} + 0.2) ELSE {plain} END"
+    judged = f"SELECT *, CAST(CASE WHEN t = '' OR regexp_matches(t, '{_Q['ONLY_SYMBOLS']}') OR NOT regexp_matches(t, '{_Q['SCRIPT']}') THEN 0.0 ELSE round({score}, 3) END AS DOUBLE) AS sc FROM (SELECT *, trim(s) AS t FROM ({shaped}))"
+    text = "trim(regexp_replace(trim(regexp_replace(s, '\\s+', ' ', 'g')), '^[^\\p{L}\\p{N}_\\s]+|[^\\p{L}\\p{N}_\\s]+$', '', 'g'))"
+    return f"SELECT extraction_id, line, CASE WHEN trim(raw) = '' THEN '' ELSE {text} END AS text, CASE WHEN trim(raw) = '' THEN 0.0 ELSE sc END AS score, trim(raw) <> '' AND sc >= 0.4 AS valid FROM ({judged})"
+
+
+@add(_sanitizing())
+def sim_sanitized(spark: SparkSession, d: str) -> DataFrame:
+    """SIM-08, SIM-09: lines cleaned, with score and judgement."""
+    return lines(spark, d).select("extraction_id", "line", quality.sanitized(F.col("s")).alias("x")).select("extraction_id", "line", "x.text", "x.score", "x.valid")
+
+
 @add()
 def sim_label_noise(spark: SparkSession, d: str) -> DataFrame:
     """SIM-10: lines without what misread labels leave behind. Its rules look around a match, which the SQL at hand cannot; see the tests."""

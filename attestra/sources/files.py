@@ -73,3 +73,19 @@ def table_text(cells: DataFrame, key: str) -> DataFrame:
     rows = cells.groupBy(key, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), " | ").alias("line"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n")
     return rows.groupBy(key).agg(F.concat(F.lit("[TABLE]\n"), body).alias("text"))
+
+
+def read_results(documents: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """SRC-23: (key, check_id, status) of results in any of their shapes: a list, a list under `results` or `checks`, or an object of objects by check.
+
+    Null, broken and other JSON gives nothing.
+    """
+    v = documents.select(key, F.expr(f"try_parse_json({text})").alias("_v"))
+    shape = F.expr("schema_of_variant(_v)")
+    under = lambda p: F.expr(f"try_variant_get(_v, '{p}', 'array<variant>')")
+    listed = F.when(shape.startswith("ARRAY"), under("$")).otherwise(F.coalesce(under("$.results"), under("$.checks")))
+    rows = v.select(key, "_v", listed.alias("_l"))
+    get = lambda e, p: F.expr(f"try_variant_get({e}, '{p}', 'string')")
+    many = rows.where(F.col("_l").isNotNull()).select(key, F.explode("_l").alias("_e")).select(key, get("_e", "$.check_id").alias("check_id"), get("_e", "$.status").alias("status"))
+    named = rows.where(F.col("_l").isNull() & shape.startswith("OBJECT")).select(key, F.explode(F.expr("try_variant_get(_v, '$', 'map<string,variant>')")).alias("check_id", "_e")).select(key, "check_id", get("_e", "$.status").alias("status"))
+    return many.unionByName(named).where(F.col("check_id").isNotNull())
