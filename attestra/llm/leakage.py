@@ -211,7 +211,13 @@ class Index:
         a, b = _runs(closed, change)
         total = np.concatenate([[0], np.cumsum(equal)])
         good = total[b] - total[a] >= PIECE
-        out = self._literal(doc, dn[flat[a[good]]], inside[a[good]], here[a[good]])
+        # Within a piece a stretch may break and begin anew: it is followed from each run of three equal words that no stretch covers yet.
+        within = np.zeros(len(equal) + 1, dtype=np.int64)
+        within[a[good]] += 1
+        within[b[good]] -= 1
+        x, y = _runs(equal, change)
+        starts = x[(y - x >= 3) & (np.cumsum(within)[x] > 0)]
+        out = self._literal(doc, dn[flat[starts]], inside[starts], here[starts])
         known = {x[0] for x in out}
         a, b = _runs(code[here] == self.code[own], change)
         long = b - a >= LEAST
