@@ -199,8 +199,8 @@ def mentions(los: DataFrame, fields: DataFrame) -> DataFrame:
     return own.unionByName(card).where((F.trim("name") != "") | (F.col("field") == "los") & (F.trim("other") != ""))
 
 
-#: The columns that are compared, and what parts them in one string.
-BODY, SEPARATOR = ["loan_id", "name", "dob", "pan", "aad", "mob", "other", "homes"], "\x1f"
+#: The columns that are compared, and what parts them in one string. Mentions that agree in all of them are one class.
+BODY, SEPARATOR = ["name", "dob", "pan", "aad", "mob", "other", "homes"], "\x1f"
 ENTRY = ", ".join(f"{c} string" for c in MENTION) + ", keys array<string>"
 
 
@@ -282,7 +282,7 @@ def same_father(s: float, e: float, child: float | None) -> bool:
 
 
 def candidates(mentions_in: DataFrame) -> DataFrame:
-    """(a, b): ids of mentions that share an entry of the suffix index. mentions_in: id, field, keys."""
+    """(a, b): ids of mentions (or classes of copies) that share an entry of the suffix index. mentions_in: id, field, keys."""
     # All mentions of an entry meet, however many: a hot entry is a skewed key of the join, which the optimiser splits.
     final = mentions_in.select("id", "field", F.explode("keys").alias("k")).select("id", F.xxhash64("field", "k").alias("e"))
     return final.alias("x").join(final.alias("y"), "e").where(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
@@ -294,27 +294,28 @@ def linked(los: DataFrame, fields: DataFrame) -> DataFrame:
     Repeated rows and restatements of a loan count once; null and blank names are no cases; a name without any word of three letters
     and a record without any refining field link to nothing; extra columns are ignored.
     """
-    base = entries(mentions(los, fields)).withColumn("id", F.xxhash64("field", "loan_id", "name", "other")).persist()
-    pairs = candidates(base)
     # What is compared travels as one string: ten short columns would weigh twice as much in the two joins.
     body = F.array_join(F.array(*[F.translate(F.coalesce(c, F.lit("")), SEPARATOR, "") for c in BODY]), SEPARATOR)
-    left = base.select(F.col("id").alias("a"), "field", body.alias("x"))
-    right = base.select(F.col("id").alias("b"), body.alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("field", "x", "y")
+    base = entries(mentions(los, fields)).select("loan_id", "field", body.alias("body"), "keys").withColumn("id", F.xxhash64("field", "body")).persist()
+    # Copies are one class in the index, however many loans they are of, and are told apart again at the end.
+    classes = base.groupBy("id").agg(*[F.first(c).alias(c) for c in ("field", "body", "keys")]).persist()
+    pairs = candidates(classes)
+    left = classes.select(F.col("id").alias("a"), "field", F.col("body").alias("x"))
+    right = classes.select(F.col("id").alias("b"), F.col("body").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "field", "x", "y")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for f, x, y in zip(pdf["field"], pdf["x"], pdf["y"]):
-                l1, n1, d1, p1, a1, m1, o1, h1 = x.split(SEPARATOR)
-                l2, n2, d2, p2, a2, m2, o2, h2 = y.split(SEPARATOR)
-                if l1 == l2 or n1 == n2 and o1 == o2:
+            for a, b, f, x, y in zip(pdf["a"], pdf["b"], pdf["field"], pdf["x"], pdf["y"]):
+                n1, d1, p1, a1, m1, o1, h1 = x.split(SEPARATOR)
+                n2, d2, p2, a2, m2, o2, h2 = y.split(SEPARATOR)
+                if n1 == n2 and o1 == o2:
                     continue
-                one, two = (l1, l2) if l1 < l2 else (l2, l1)
                 other_day = bool(d1 and d2 and d1 != d2)
                 if f == "los" and o1 != o2 and o1 and o2 and h1 and h2 and not set(h1.split("|")).isdisjoint(h2.split("|")) and same_name(o1, o2) >= 0.55:
                     # Fathers of one house; the children may be different.
-                    out.append(("fathers_name", one, two))
+                    out.append(("fathers_name", a, b))
                 if other_day:
                     continue  # another day of birth is another person
                 s = same_name(n1, n2)
@@ -323,9 +324,12 @@ def linked(los: DataFrame, fields: DataFrame) -> DataFrame:
                 e = evidence(d1, p1, a1, m1, h1, d2, p2, a2, m2, h2)
                 related = same_name(o1, o2) if o1 and o2 else None
                 if n1 != n2 and same_bearer(s, e, related):
-                    out.append(("applicant_name" if f == "los" else f, one, two))
+                    out.append(("applicant_name" if f == "los" else f, a, b))
                 if f == "los" and related and o1 != o2 and same_father(related, e, s):
-                    out.append(("fathers_name", one, two))
-            yield pd.DataFrame(out, columns=["field", "loan_a", "loan_b"])
+                    out.append(("fathers_name", a, b))
+            yield pd.DataFrame(out, columns=["field", "a", "b"])
 
-    return both.mapInPandas(compare, "field string, loan_a string, loan_b string").distinct()
+    same = both.mapInPandas(compare, "field string, a bigint, b bigint")
+    of = lambda side, loan: base.select(F.col("id").alias(side), F.col("loan_id").alias(loan))
+    loans = same.join(of("a", "p"), "a").join(of("b", "q"), "b").where(F.col("p") != F.col("q"))
+    return loans.select("field", F.least("p", "q").alias("loan_a"), F.greatest("p", "q").alias("loan_b")).distinct()

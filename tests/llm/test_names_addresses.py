@@ -163,3 +163,10 @@ def test_fathers_meet_without_a_house(spark):
     rows = [("A", "Lokhan Hosaknath", "Manikraj Belurkar", "16/04/1991", None, None, "9000540165", None, None), ("B", "L. H.", "Manikrj Belurkar", "16/04/1991", None, None, "9000540165", None, None)]
     rows += [("C", None, "Manikraj Belurkar", None, None, None, None, "12/3, Mill Road, Jalkhed 383120", None), ("D", "Rudrit B", "Manikraj Belurkr", None, None, None, None, "No. 12/3, Mill Rd, Jalkhed 383120", None)]
     assert {("fathers_name", "A", "B"), ("fathers_name", "C", "D")} <= {tuple(r) for r in names.linked(los(spark, rows), spark.createDataFrame([], FIELDS)).collect()}
+
+
+def test_copies_are_one_class_in_the_index(spark):
+    copy = ("Lokhan Hosaknath", "Manikraj Hosaknath", "16/04/1991", "CJKXS6836K", None, "9000540165", None, None)
+    rows = [(f"C{i}", *copy) for i in range(40)] + [("V", "Lokhn Hosaknath", "Manikraj Hosaknath", *copy[2:])]
+    got = {tuple(r) for r in names.linked(los(spark, rows), spark.createDataFrame([], FIELDS)).collect()}
+    assert got == {("applicant_name", f"C{i}", "V") for i in range(40)}
