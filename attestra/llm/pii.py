@@ -23,6 +23,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,12 @@ _HOUSE = frozenset("flat flt unit apt f h d no house door plot block blk".split(
 _ROAD = frozenset("road rd rood street str st lane ln avenue ave av marg mg cross crs main mn path bazaar bazar".split())
 
 
+#: Classes of words that an address counts.
+_COUNTED = {"num": ("num",), "known": ("address", "partly"), "other": ("name", "other"), "unknown": ("unknown", "halfname", "namelike")}
+#: Bits of these counts and of those of roads and houses.
+_BITS = np.arange(len(_COUNTED) + 2)
+
+
 class Lexicon:
     """Which words occur in names, in addresses and elsewhere in the labelled texts, and which begin addresses."""
 
@@ -77,8 +84,28 @@ class Lexicon:
                 tails[w[-4:]] += 1
                 tails[w[-3:]] += 1
         self.tails = {t for t, n in tails.items() if n >= 3}
+        self.known: dict[str, tuple] = {}
         return self
 
+    def read(self, w: str) -> tuple[str, str, bool, bool | None, int]:
+        """Of a token: lower case, class, whether it may be of a name and of an address (None: if such words stand near), and what it counts as in an address."""
+        if w not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            low = w.lower()
+            c = self.looks(low) if w[0].isalpha() else "num" if w[0].isdigit() else "punct"
+            namey = w[0].isalpha() and w.isascii() and not (low in _TITLES and len(w) > 1) and (c in ("name", "namelike", "halfname") or w[0].isupper() and c != "other" or len(w) == 1)
+            place: bool | None
+            if c in ("address", "num") or low in _HOUSE or low in _ROAD:
+                place = True
+            elif c == "partly" or c == "unknown" and w.islower():
+                place = None
+            else:
+                place = low in ",.#/-:&()\\" if c == "punct" else c in ("unknown", "halfname", "namelike")
+            counted = [c in v for v in _COUNTED.values()] + [low in _ROAD, low in _HOUSE or low == "#"]
+            self.known[w] = low, c, namey, place, sum(1 << i for i, x in enumerate(counted) if x)
+        return self.known[w]
+
     def looks(self, low: str) -> str:
         """A coarse class of a word: name, address, other, or what its parts suggest."""
         n, a, o = self.name.get(low, 0), self.address.get(low, 0), self.other.get(low, 0)
@@ -120,24 +147,28 @@ class Lattice:
     def __init__(self, text: str, lex: Lexicon) -> None:
         self.text = text
         self.words, self.starts, self.ends = _tokens(text)
-        self.low = [w.lower() for w in self.words]
         self.n = len(self.words)
         self.lex = lex
-        self.cls = [lex.looks(w) if w[0].isalpha() else "num" if w[0].isdigit() else "punct" for w in self.low]
-        self.into: list[list[tuple[int, str, tuple[str, ...]]]] = [[] for _ in range(self.n + 1)]
+        seen = [lex.read(w) for w in self.words]
+        self.low, self.cls, self.namey, place, codes = map(list, zip(*seen)) if seen else ([], [], [], [], [])
+        #: Whether a token begins a line; what may be of an address; sums up to each token of what addresses count.
+        self.fresh = [True] + ["\n" in text[a:b] for a, b in zip(self.ends, self.starts[1:])]
+        self.placey = [self._near(i) if p is None else p for i, p in enumerate(place)]
+        self.sums = [[0] * len(_BITS)] + np.cumsum((np.array(codes, dtype=np.int64)[:, None] >> _BITS) & 1, axis=0).tolist()
+        self.into: list[list[tuple[int, str, tuple]]] = [[] for _ in range(self.n + 1)]
         self._patterns()
         self._names()
         self._addresses()
 
-    def add(self, a: int, b: int, kind: str, form: list[str]) -> None:
-        """A segment of tokens a..b-1 with the features of its form; those of its context are shared by all that begin or end there."""
-        self.into[b].append((a, kind, tuple(form)))
+    def add(self, a: int, b: int, kind: str, form: tuple) -> None:
+        """A segment of tokens a..b-1 with what its form's features are made of, see `features`; those of its context are shared by all that begin or end there."""
+        self.into[b].append((a, kind, form))
 
     def before(self, a: int) -> tuple[str, ...]:
         """What stands before a segment that begins at a."""
         if not a:
             return ("p1=^", "line=True")
-        gap = "\n" in self.text[self.ends[a - 1] : self.starts[a]]
+        gap = self.fresh[a]
         return (f"p1={self.low[a - 1]}", f"p2={self.low[a - 2] if a > 1 else '^'} {self.low[a - 1]}", f"pc={self.cls[a - 1]}", f"line={gap}")
 
     def after(self, b: int) -> tuple[str, ...]:
@@ -161,19 +192,19 @@ class Lattice:
             digits = sum(c.isdigit() for c in m[0])
             if kind == "email":
                 mark = "@" if "@" in m[0] else re.search(r"[(\[]?\bat\b", m[0].lower())[0]
-                self.add(a, b, kind, [*form, f"mark={mark}", f"spelled dot={'dot' in self.low[a:b]}", f"domain={self.low[b - 1] in _DOMAINS}"])
+                self.add(a, b, kind, (*form, f"mark={mark}", f"spelled dot={'dot' in self.low[a:b]}", f"domain={self.low[b - 1] in _DOMAINS}"))
             else:
                 shape = re.sub(r"[0-9]+", lambda d: str(len(d[0])), re.sub(r"[A-Za-z]+", "A", m[0]))[:16]
-                self.add(a, b, kind, [*form, f"{form[-1]} digits={digits}", f"{form[-1]} shape={shape}"])
+                self.add(a, b, kind, (*form, f"{form[-1]} digits={digits}", f"{form[-1]} shape={shape}"))
 
     def _names(self) -> None:
         i = 0
         while i < self.n:
-            if not self._namey(i):
+            if not self.namey[i]:
                 i += 1
                 continue
             parts, j, comma = [], i, False
-            while j < self.n and len(parts) < NAME_WORDS and self._namey(j):
+            while j < self.n and len(parts) < NAME_WORDS and self.namey[j]:
                 parts.append(j)
                 self._name(i, j + 1, parts, comma)
                 k = j + 1
@@ -191,37 +222,16 @@ class Lattice:
                 j = k
             i += 1
 
-    def _namey(self, i: int) -> bool:
-        w, c = self.words[i], self.cls[i]
-        if not w[0].isalpha() or not w.isascii() or self.low[i] in _TITLES and len(w) > 1:
-            return False
-        return c in ("name", "namelike", "halfname") or w[0].isupper() and c != "other" or len(w) == 1
-
     def _name(self, a: int, b: int, parts: list[int], comma: bool) -> None:
-        long = [p for p in parts if len(self.words[p]) > 2]
+        words, cls = self.words, self.cls
+        long = [cls[p] for p in parts if len(words[p]) > 2]
         if not long:
             return
-        shapes = "".join(_shape(self.words[p]) for p in parts)
-        f = [f"name shape={shapes}", f"name n={len(parts)} long={len(long)} comma={comma}"]
-        f += [f"name first={self.cls[parts[0]] if len(self.words[parts[0]]) > 1 else 'initial'}", f"name last={self.cls[parts[-1]] if len(self.words[parts[-1]]) > 1 else 'initial'}"]
-        counts = defaultdict(int)
-        for p in long:
-            counts[self.cls[p]] += 1
-        f += [f"name {c}={n}" for c, n in counts.items()]
-        f += [f"name low={sum(self.words[p][0].islower() for p in parts)}"]
-        if b < self.n and self._namey(b) and "\n" not in self.text[self.ends[b - 1] : self.starts[b]]:
-            f.append(f"name goes on={self.cls[b] if len(self.words[b]) > 1 else 'initial'}")
-        if a and self._namey(a - 1) and "\n" not in self.text[self.ends[a - 1] : self.starts[a]]:
-            f.append(f"name before={self.cls[a - 1] if len(self.words[a - 1]) > 1 else 'initial'}")
-        self.add(a, b, "name", f)
-
-    def _placey(self, i: int) -> bool:
-        c, w = self.cls[i], self.low[i]
-        if c in ("address", "num") or w in _HOUSE or w in _ROAD or c == "partly" and self._near(i):
-            return True
-        if c == "punct":
-            return w in ",.#/-:&()" or w == "\\"
-        return c in ("unknown", "halfname", "namelike") and not (self.words[i].islower() and c == "unknown" and not self._near(i))
+        part = lambda p: cls[p] if len(words[p]) > 1 else "initial"
+        goes = part(b) if b < self.n and self.namey[b] and not self.fresh[b] else None
+        back = part(a - 1) if a and self.namey[a - 1] and not self.fresh[a] else None
+        low = sum(words[p][0].islower() for p in parts)
+        self.add(a, b, "name", ("".join([_shape(words[p]) for p in parts]), len(parts), comma, part(parts[0]), part(parts[-1]), tuple(long), low, goes, back))
 
     def _near(self, i: int) -> bool:
         return any(0 <= k < self.n and (self.cls[k] in ("address", "num")) for k in (i - 1, i + 1, i - 2, i + 2))
@@ -229,11 +239,11 @@ class Lattice:
     def _addresses(self) -> None:
         i = 0
         while i < self.n:
-            if not self._placey(i) or self.low[i] in ",./-:&()":
+            if not self.placey[i] or self.low[i] in ",./-:&()":
                 i += 1
                 continue
             j = i
-            while j < self.n and self._placey(j):
+            while j < self.n and self.placey[j]:
                 j += 1
             # Starts: where a part may begin. Ends: after words and numbers. All of the run, only the span's length is bounded.
             begins = [k for k in range(i, j) if self.low[k] == "#" or self.cls[k] != "punct" and (k == i or self._edge(k)) and (self.cls[k] != "partly" or self.lex.starts.get(self.low[k]))]
@@ -246,39 +256,47 @@ class Lattice:
 
     def _edge(self, k: int) -> bool:
         """A part may begin after punctuation, a line's end or a word that is none of an address."""
-        return self.cls[k - 1] == "punct" or "\n" in self.text[self.ends[k - 1] : self.starts[k]] or self.cls[k - 1] not in ("address", "num") or self.low[k] in _HOUSE or self.cls[k] == "num"
+        return self.cls[k - 1] == "punct" or self.fresh[k] or self.cls[k - 1] not in ("address", "num") or self.low[k] in _HOUSE or self.cls[k] == "num"
 
     def _stop(self, k: int) -> bool:
         if k >= self.n:
             return True
         dash = self.low[k] in "-–—" and self.starts[k] > self.ends[k - 1] and k + 1 < self.n and self.starts[k + 1] > self.ends[k]
-        return dash or self.low[k] in ".;" or "\n" in self.text[self.ends[k - 1] : self.starts[k]] or self.cls[k - 1] == "num" and len(self.low[k - 1]) in (3, 6)
+        return dash or self.low[k] in ".;" or self.fresh[k] or self.cls[k - 1] == "num" and len(self.low[k - 1]) in (3, 6)
 
     def _address(self, a: int, b: int) -> None:
-        cls = self.cls[a:b]
-        nums = sum(c == "num" for c in cls)
-        known = sum(c in ("address", "partly") for c in cls)
+        nums, known, other, unknown, road, house = (y - x for x, y in zip(self.sums[a], self.sums[b]))
         if not nums or not known:
             return
-        other = sum(c in ("name", "other") for c in cls)
-        unknown = sum(c in ("unknown", "halfname", "namelike") for c in cls)
-        body = self.low[a:b]
-        f = [f"addr known={min(known, 8)}", f"addr nums={min(nums, 5)}", f"addr unknown={min(unknown, 5)}", f"addr other={min(other, 3)}"]
-        f += [f"addr start={self.low[a] if self.cls[a] in ('address', 'punct') or self.low[a] in _HOUSE else self.cls[a]}", f"addr end={self.cls[b - 1]}{len(self.low[b - 1]) if self.cls[b - 1] == 'num' else ''}"]
-        f.append(f"addr start seen={self.lex.starts.get(self.low[a], 0) >= 3 or self.cls[a]}")
-        f += [f"addr road={any(w in _ROAD for w in body)}", f"addr house={any(w in _HOUSE or w == '#' for w in body)}", f"addr len={min((b - a) // 4, 9)}"]
-        if self.cls[b - 1] == "num" and len(self.low[b - 1]) == 6 or b - a > 2 and [len(w) for w in self.low[b - 2 : b]] == [3, 3] and self.cls[b - 1] == self.cls[b - 2] == "num":
-            f.append("addr pin at end")
-        f += [f"addr goes on={self._beyond(b, 1)}", f"addr before={self._beyond(a - 1, -1)}"]
-        self.add(a, b, "address", f)
+        cls, low = self.cls, self.low
+        end = cls[b - 1]
+        pin = end == "num" and (len(low[b - 1]) == 6 or b - a > 2 and cls[b - 2] == "num" and len(low[b - 1]) == len(low[b - 2]) == 3)
+        self.add(a, b, "address", (
+            min(known, 8), min(nums, 5), min(unknown, 5), min(other, 3), low[a] if cls[a] in ("address", "punct") or low[a] in _HOUSE else cls[a],
+            f"{end}{len(low[b - 1])}" if end == "num" else end, self.lex.starts.get(low[a], 0) >= 3 or cls[a], road > 0, house > 0, min((b - a) // 4, 9), pin, self._beyond(b, 1), self._beyond(a - 1, -1),
+        ))
 
     def _beyond(self, k: int, step: int) -> str:
         """The class of the next word on the line, from token k on, if it may be of an address: a span should not stop short of it."""
         while 0 <= k < self.n and self.cls[k] == "punct" and self.low[k] in ",./-–—:#()":
             k += step
-        if not 0 <= k < self.n or "\n" in (self.text[self.ends[k - 1] : self.starts[k]] if step > 0 and k else self.text[self.ends[k] : self.starts[k + 1]] if step < 0 and k + 1 < self.n else ""):
+        if not 0 <= k < self.n or (k > 0 and self.fresh[k] if step > 0 else k + 1 < self.n and self.fresh[k + 1]):
             return "nothing"
-        return self.cls[k] if self.cls[k] != "punct" and self._placey(k) else "nothing"
+        return self.cls[k] if self.cls[k] != "punct" and self.placey[k] else "nothing"
+
+
+def features(kind: str, form: tuple) -> list[str]:
+    """The features of a segment's form by name."""
+    if kind == "name":
+        shapes, n, comma, first, last, long, low, goes, back = form
+        out = [f"name shape={shapes}", f"name n={n} long={len(long)} comma={comma}", f"name first={first}", f"name last={last}", *[f"name {c}={k}" for c, k in Counter(long).items()], f"name low={low}"]
+        return out + ([f"name goes on={goes}"] if goes else []) + ([f"name before={back}"] if back else [])
+    if kind == "address":
+        known, nums, unknown, other, start, end, seen, road, house, size, pin, goes, back = form
+        out = [f"addr known={known}", f"addr nums={nums}", f"addr unknown={unknown}", f"addr other={other}", f"addr start={start}", f"addr end={end}", f"addr start seen={seen}", f"addr road={road}", f"addr house={house}", f"addr len={size}"]
+        return out + (["addr pin at end"] if pin else []) + [f"addr goes on={goes}", f"addr before={back}"]
+    return list(form)
+
 
 class Weights:
     """Weights of features, named "type|feature", with the sums that decoding asks for again and again."""
@@ -287,14 +305,15 @@ class Weights:
         self.values, self.context = values, context
         self.sums: dict[tuple, float] = {}
 
-    def of(self, kind: str, features: tuple[str, ...]) -> float:
-        key = (kind, features)
+    def of(self, kind: str, form: tuple, context: bool = False) -> float:
+        """The sum for a segment's form or, already named, for its context."""
+        key = (kind, context, form)
         s = self.sums.get(key)
         if s is None:
             if len(self.sums) > 300_000:
                 self.sums.clear()
             get = self.values.get
-            s = self.sums[key] = sum(get(f"{kind}|{f}", 0.0) for f in features)
+            s = self.sums[key] = sum(get(f"{kind}|{f}", 0.0) for f in (form if context else features(kind, form)))
         return s
 
 
@@ -311,9 +330,9 @@ def decode(x: Lattice, weights: Weights) -> list[tuple[int, int, str]]:
             s = best[a] + bias[kind] + of(kind, form)
             if weights.context:
                 if (a, kind) not in left:
-                    left[a, kind] = of(kind, x.before(a))
+                    left[a, kind] = of(kind, x.before(a), True)
                 if kind not in right:
-                    right[kind] = of(kind, x.after(b))
+                    right[kind] = of(kind, x.after(b), True)
                 s += left[a, kind] + right[kind]
             if s > top:
                 top, arg = s, (a, kind)
@@ -349,7 +368,7 @@ class Learner:
         out = []
         for b in range(1, x.n + 1):
             for a, kind, form in x.into[b]:
-                names = ("bias", *form, *x.before(a), *x.after(b)) if self.context else ("bias", *form)
+                names = ("bias", *features(kind, form), *x.before(a), *x.after(b)) if self.context else ("bias", *features(kind, form))
                 out.append((a, b, [self._id(f"{kind}|{f}") for f in names], (a, b, kind) in gold))
         return x.n, out
 
@@ -549,6 +568,7 @@ def find(rows: DataFrame, model: Model, key: str = "extraction_id", text: str =
     spans: array of struct pii_type, start_pos (1-based), length. A null text stays null, an empty one empty, both
     without spans; repeated rows are treated alike; extra columns are ignored. Texts are decoded whole.
     """
+    model.lexicon.known = {}
     shared = rows.sparkSession.sparkContext.broadcast((model.weights.values, model.weights.context, model.lexicon))
     kind = rows.schema[key].dataType.simpleString()
 
