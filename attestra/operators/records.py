@@ -159,46 +159,57 @@ def present(value: Column, kind: Column) -> Column:
     return F.when(kind == "number", value.try_cast("double") > 0).otherwise(F.lower(F.trim(value)).isin(*_CONSENT))
 
 
-def status_of(method: Column, doc: Column, los: Column, score: Column | None = None, kind: Column | None = None) -> tuple[Column, Column]:
-    """CMP-01 to CMP-13: status and confidence of one check. A missing value gives NOT_FOUND, an unparsable number too.
+def likeness(method: Column, doc: Column, los: Column, score: Column | None = None) -> Column:
+    """CMP-01, CMP-02, CMP-07: how near two values are by a method that asks for it, to four places; null for the others.
 
     score: the similarity of names, computed before; without it names are not compared.
     """
     a, b = fn.clean_numeric(doc), fn.clean_numeric(los)
     ratio = F.when((a <= 0) | (b <= 0), (a == b).cast("double")).otherwise(F.least(a, b) / F.greatest(a, b))
-    x, y = fn.clean_aadhaar(doc), fn.clean_aadhaar(los)
+    named = F.coalesce(score, F.lit(0.0)) if score is not None else F.lit(0.0)
+    return F.when(method == "jaro_winkler", F.round(named, 4)).when(method == "tfidf_cosine", F.round(tfidf_cosine(los, doc), 4)).when(method == "threshold_90", ratio)
+
+
+def _last4(x: Column, y: Column) -> tuple[Column, Column, Column]:
+    """Of two cleaned identity numbers: whether one is masked, whether the last four digits agree, and whether one is these four alone."""
     digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
-    masked = fn.is_masked(x) | fn.is_masked(y)
-    last4 = (F.length(digits(x)) >= 4) & (F.length(digits(y)) >= 4) & (F.right(digits(x), F.lit(4)) == F.right(digits(y), F.lit(4)))
+    same = (F.length(digits(x)) >= 4) & (F.length(digits(y)) >= 4) & (F.right(digits(x), F.lit(4)) == F.right(digits(y), F.lit(4)))
     both12 = (F.length(digits(x)) == 12) & (F.length(digits(y)) == 12)
-    short = last4 & ((F.length(x) == 4) | (F.length(y) == 4)) & ~both12
-    p, q = fn.tenure_months(doc), fn.tenure_months(los)
-    text = F.round(tfidf_cosine(los, doc), 4)
-    like = F.round(F.coalesce(score, F.lit(0.0)), 4) if score is not None else F.lit(0.0)
+    return fn.is_masked(x) | fn.is_masked(y), same, same & ((F.length(x) == 4) | (F.length(y) == 4)) & ~both12
+
+
+def status_of(method: Column, doc: Column, los: Column, near: Column, kind: Column | None = None) -> Column:
+    """CMP-01 to CMP-13: the status of one check. A missing value gives NOT_FOUND, an unparsable number too. near: its likeness."""
+    a, b = fn.clean_numeric(doc), fn.clean_numeric(los)
+    x, y = fn.clean_aadhaar(doc), fn.clean_aadhaar(los)
+    masked, last4, short = _last4(x, y)
     filled = (F.trim(doc) != "") & (F.trim(los) != "")
-    status = (
+    return (
         F.when(method == "presence_only", tri_state(present(doc, kind if kind is not None else F.lit("string"))))
         .when(doc.isNull() | los.isNull(), "NOT_FOUND")
-        .when(method == "jaro_winkler", band(like))
-        .when(method == "tfidf_cosine", band(text))
+        .when(method.isin("jaro_winkler", "tfidf_cosine"), band(near))
         .when(method == "exact_id", tri_state(fn.clean_id(doc) == fn.clean_id(los)))
         .when(method == "exact_date", tri_state((fn.normalize_date(doc) == fn.normalize_date(los)) & (F.trim(doc) != "")))
         .when(method == "exact_string_ci", tri_state((F.lower(F.trim(doc)) == F.lower(F.trim(los))) & filled))
         .when(method == "exact_numeric", F.when(a.isNull() | b.isNull(), "NOT_FOUND").otherwise(tri_state(F.abs(a - b) < 0.01)))
-        .when(method == "threshold_90", F.when(a.isNull() | b.isNull(), "NOT_FOUND").otherwise(tri_state(ratio >= NEAR_AMOUNT)))
+        .when(method == "threshold_90", F.when(near.isNull(), "NOT_FOUND").otherwise(tri_state(near >= NEAR_AMOUNT)))
         .when(method == "masked_aadhaar", tri_state((x != "") & (y != "") & F.when(masked, last4).otherwise((x == y) | short)))
-        .when(method == "tenure_months", tri_state(p == q))
+        .when(method == "tenure_months", tri_state(fn.tenure_months(doc) == fn.tenure_months(los)))
         .otherwise(tri_state((F.trim(doc) == F.trim(los)) & filled))
     )
-    sure = (
+
+
+def confidence_of(method: Column, doc: Column, los: Column, near: Column, status: Column) -> Column:
+    """The confidence of a check's status: its likeness where the method has one, 0.95 for four digits against twelve, else 1 or 0."""
+    x, y = fn.clean_aadhaar(doc), fn.clean_aadhaar(los)
+    masked, _, short = _last4(x, y)
+    return (
         F.when(status == "NOT_FOUND", 0.0)
-        .when(method == "jaro_winkler", like)
-        .when(method == "tfidf_cosine", text)
-        .when(method == "threshold_90", F.round(F.least(F.lit(1.0), ratio), 4))
+        .when(method.isin("jaro_winkler", "tfidf_cosine"), near)
+        .when(method == "threshold_90", F.round(F.least(F.lit(1.0), near), 4))
         .when((method == "masked_aadhaar") & short & ~masked & (x != y), 0.95)
         .otherwise((status == "MATCH").cast("double"))
     )
-    return status, sure
 
 
 def compare(los: DataFrame, fields: DataFrame, checks: tuple = CHECKS) -> DataFrame:
@@ -235,12 +246,15 @@ def compare(los: DataFrame, fields: DataFrame, checks: tuple = CHECKS) -> DataFr
     )
     doc = F.col("d")["value"]
     missing = ~F.col("filed") | ~F.col("alone") & (doc.isNull() | F.col("los_value").isNull())
-    status, confidence = status_of(F.col("how"), doc, F.col("los_value"), F.col("score"), F.col("d")["kind"])
-    status = F.when(missing, "NOT_FOUND").otherwise(status)
-    shown = F.when(F.col("how") == "exact_id", F.array(fn.clean_id(doc), fn.clean_id(F.col("los_value")))).otherwise(F.array(doc, F.col("los_value")))
-    return each.where(~(missing & F.col("optional"))).select(
-        "loan_id", "check_id", "subnode", "doc_key", "field", "match_type", "method", status.alias("status"), F.when(missing, 0.0).otherwise(confidence).alias("confidence"),
-        F.when(F.col("alone"), F.array(doc)).when(missing, F.array(doc, F.col("los_value"))).otherwise(shown).alias("values"),
+    how, own = F.col("how"), F.col("los_value")
+    # Step by step, so that what the next step needs is computed once.
+    each = each.withColumn("_doc", doc).withColumn("_near", likeness(how, F.col("_doc"), own, F.col("score")))
+    status = F.when(missing, "NOT_FOUND").otherwise(status_of(how, F.col("_doc"), own, F.col("_near"), F.col("d")["kind"]))
+    judged = each.where(~(missing & F.col("optional"))).withColumn("status", status)
+    shown = F.when(how == "exact_id", F.array(fn.clean_id(F.col("_doc")), fn.clean_id(own))).otherwise(F.array("_doc", "los_value"))
+    return judged.select(
+        "loan_id", "check_id", "subnode", "doc_key", "field", "match_type", "method", "status", confidence_of(how, F.col("_doc"), own, F.col("_near"), F.col("status")).alias("confidence"),
+        F.when(F.col("alone"), F.array("_doc")).when(missing, F.array("_doc", "los_value")).otherwise(shown).alias("values"),
     )
 
 

@@ -357,8 +357,10 @@ def cmp_threshold(spark: SparkSession, d: str) -> DataFrame:
     """CMP-07: amounts of documents within nine tenths of the loan's; with a side of zero or less only equal ones match."""
     docs = records.latest_fields(table(spark, d, "doc_fields").where("field = 'loan_amount'")).where("value IS NOT NULL")
     own = records.latest_rows(table(spark, d, "los")).where("loan_amount IS NOT NULL").select("loan_id", F.col("loan_amount").cast("string").alias("l"))
-    status, confidence = records.status_of(F.lit("threshold_90"), F.col("value"), F.col("l"))
-    return docs.join(own, "loan_id").select("loan_id", "doc_key", status.alias("status"), confidence.alias("confidence"))
+    v, own_value = F.col("value"), F.col("l")
+    near = docs.join(own, "loan_id").withColumn("near", records.likeness(F.lit("threshold_90"), v, own_value))
+    judged = near.withColumn("status", records.status_of(F.lit("threshold_90"), v, own_value, F.col("near")))
+    return judged.select("loan_id", "doc_key", "status", records.confidence_of(F.lit("threshold_90"), v, own_value, F.col("near"), F.col("status")).alias("confidence"))
 
 
 def _number_of(doc: str, names: str) -> str:
