@@ -40,8 +40,9 @@ UNITS = frozenset(
     "rupees rupee rs inr paise lakh lakhs crore crores dollar dollars euro euros percent percentage bps day days week weeks fortnight fortnights month months quarter quarters "
     "year years hour hours minute minutes kg kgs kilogram kilograms gram grams quintal quintals tonne tonnes km kms kilometre kilometres metre metres acre acres hectare hectares litre litres".split()
 )
-#: A stretch is followed from a piece of it: two or more windows on one diagonal with PIECE equal words, single words between them aside.
-PIECE = 5
+#: A stretch is followed from pieces of it: two or more windows on one diagonal with PIECE equal words, single words between them aside.
+#: The pieces of all diagonals within REACH must hold ENOUGH words: about half of LEAST, as what lies on a diagonal with a single window is not counted.
+PIECE, REACH, ENOUGH = 5, 20, 10
 #: Bytes of passages up to which items are handed to every task; bits of the bitmaps of words and of windows.
 ITEM_BYTES, WORD_BITS, WINDOW_BITS = 32 << 20, 20, 22
 #: Words that a page heading or other inserted line may have within a stretch.
@@ -210,13 +211,16 @@ class Index:
         closed[1:-1] |= equal[:-2] & equal[2:] & ~change[1:] & ~change[:-1]
         a, b = _runs(closed, change)
         total = np.concatenate([[0], np.cumsum(equal)])
-        good = total[b] - total[a] >= PIECE
-        # Within a piece a stretch may break and begin anew: it is followed from each run of three equal words that no stretch covers yet.
+        # What a stretch takes over lies in pieces of its diagonal and, after a split, lost or added word or a heading, of near ones.
+        held = np.concatenate([[0], np.cumsum(np.bincount(flat[a], weights=b - a, minlength=len(lane)))])
+        around = held[np.searchsorted(lane, lane + REACH, "right")] - held[np.searchsorted(lane, lane - REACH, "left")]
+        good = (total[b] - total[a] >= PIECE) & (around[flat[a]] >= ENOUGH)
+        # Within a piece a stretch may break and begin anew: it is followed from each run of equal words that no stretch covers yet.
         within = np.zeros(len(equal) + 1, dtype=np.int64)
         within[a[good]] += 1
         within[b[good]] -= 1
-        x, y = _runs(equal, change)
-        starts = x[(y - x >= 3) & (np.cumsum(within)[x] > 0)]
+        starts = _runs(equal, change)[0]
+        starts = starts[np.cumsum(within)[starts] > 0]
         out = self._literal(doc, dn[flat[starts]], inside[starts], here[starts])
         known = {x[0] for x in out}
         a, b = _runs(code[here] == self.code[own], change)
