@@ -32,13 +32,13 @@ def boxed_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 @add(
-    f"SELECT loan_id, doc_key, regexp_replace(trim(value), ' +', ' ', 'g') AS text, CAST(length(replace(value, ' ', '')) AS INTEGER) AS n, 1.0::DOUBLE AS score, length(replace(value, ' ', '')) >= 4 AND NOT contains(trim(value), ' ') AS clean FROM {LATEST_FIELDS} WHERE field IN {_BOXED} AND regexp_matches(value, '^[A-Za-z0-9 -]{{3,}}$') AND length(replace(value, ' ', '')) >= 2"
+    f"SELECT loan_id, doc_key, text, CAST(len(cells) AS INTEGER) AS n, 1.0::DOUBLE AS score, len(cells) >= 4 AND list_aggregate(steps, 'stddev_pop') / list_avg(steps) <= 0.28 AS clean FROM (SELECT *, list_transform(range(1, len(cells)), lambda i: cells[i + 1] - cells[i]) AS steps FROM ("
+    f"SELECT loan_id, doc_key, regexp_replace(trim(value), ' +', ' ', 'g') AS text, list_filter(range(1, length(trim(value)) + 1), lambda i: substr(trim(value), i, 1) <> ' ') AS cells FROM {LATEST_FIELDS} WHERE field IN {_BOXED} AND regexp_matches(value, '^[A-Za-z0-9 -]{{3,}}$'))) WHERE len(cells) >= 2"
 )
 def win_comb_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-02 to WIN-07, WIN-18, SIM-19: values read back from character boxes; the SQL are the values themselves."""
+    """WIN-02 to WIN-07, WIN-18, SIM-19: values read back from character boxes; the SQL are the values themselves, and the evenness of their steps."""
     found = forms.comb_boxes(boxed_values(spark, d), "loan_id", "doc_key")
-    # Over an empty cell a run is not clean by the strict measure, however few the empty cells are.
-    return found.select("loan_id", "doc_key", "text", "n", F.round("score", 6).alias("score"), (F.col("clean") & ~F.contains("text", F.lit(" "))).alias("clean"))
+    return found.withColumn("score", F.round("score", 6)).select("loan_id", "doc_key", "text", "n", "score", "clean")
 
 
 # --- logical tables ---------------------------------------------------------------------------------------------------
