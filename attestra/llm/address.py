@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Different leading components before its own, in sorted order, with whose records a record is compared besides its ties.
@@ -228,6 +228,18 @@ def same_place(a: tuple, b: tuple) -> bool:
     return (road > 0) + (area > 0) + (town > 0) + (pin > 0) >= 2
 
 
+def roads_contradict(x: Column, y: Column) -> Column:
+    """Whether two joined lists of roads are one name each, of as many words, too many edits apart to be alike: such addresses are never of one place.
+
+    A swap of neighbours is two plain edits, so twice the edits that `alike` allows are waited for. Decided before anything goes to Python.
+    """
+    words = lambda c: F.size(F.split(c, " "))
+    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    one = (x != "") & (y != "") & ~x.contains("|") & ~y.contains("|") & (words(x) == words(y))
+    allowed = F.greatest(F.lit(1), F.floor(F.least(F.length(bare(x)), F.length(bare(y))) / 4))
+    return one & (F.levenshtein(bare(x), bare(y)) > 2 * allowed)
+
+
 PARSED = "house string, flat string, pin string, roads array<string>, areas array<string>, rest array<string>"
 
 
@@ -291,6 +303,7 @@ def same_spellings(places: DataFrame, key: str = "sid") -> DataFrame:
     right = keyed.select("house", "flat", "lead", F.col(key).alias("b"), F.col("leads").alias("yl"), *[F.col(c).alias(f"y{c}") for c in parts])
     tied = left.join(right, ["house", "flat", "lead"]).where((F.col("a") < F.col("b")) & (F.array_min(F.array_intersect("xl", "yl")) == F.col("lead"))).drop("lead", "xl", "yl")
     pair = [f"{s}{c}" for s in "xy" for c in parts]
+    tied = tied.where(~roads_contradict(F.col("xroads"), F.col("yroads")))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from attestra.llm import address, names
 from attestra.session import table
@@ -170,3 +172,13 @@ def test_copies_are_one_class_in_the_index(spark):
     rows = [(f"C{i}", *copy) for i in range(40)] + [("V", "Lokhn Hosaknath", "Manikraj Hosaknath", *copy[2:])]
     got = {tuple(r) for r in names.linked(los(spark, rows), spark.createDataFrame([], FIELDS)).collect()}
     assert got == {("applicant_name", f"C{i}", "V") for i in range(40)}
+
+
+def test_roads_that_contradict_are_never_alike(spark):
+    rng = random.Random(8)
+    base = ["mill road", "temple street", "ord7 cross", "ord8 cross", "station road", "court road", "colege road", "x lane", "elephant gate street", "water tank road"]
+    slip = lambda s: "".join(c if rng.random() > 0.12 else rng.choice(["", "a", "k", c + c]) for c in s)
+    names = [*base, *["|".join(rng.sample(base, 2)) for _ in range(4)], "", *[slip(rng.choice(base)) for _ in range(60)]]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string").select("a", "b", address.roads_contradict(F.col("a"), F.col("b")).alias("c")).collect()
+    assert any(r["c"] for r in pairs)
+    assert not [(r["a"], r["b"]) for r in pairs if r["c"] and address._agree(address._names(r["a"]), address._names(r["b"])) >= 0]
