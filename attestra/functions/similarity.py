@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestra.functions.normalise import let
+
 
 def _jaro_winkler(a: str, b: str) -> float:
     if a == b:
@@ -171,26 +173,35 @@ def script_of(c: Column) -> Column:
 
     Devanagari and Latin are mixed if each has a fifth of the letters. A text without letters counts as Latin.
     """
-    s = F.trim(c)
-    n = {k: F.length(s) - F.length(F.regexp_replace(s, r, "")) for k, r in SCRIPTS.items()}
-    total = n["devanagari"] + n["kana"] + n["han"] + n["hangul"] + n["latin"]
-    dev, lat = n["devanagari"] / total, n["latin"] / total
-    jap = (n["kana"] + F.when(n["kana"] > 0, n["han"]).otherwise(0)) / total
-    chi = F.when(n["kana"] == 0, n["han"]).otherwise(0) / total
-    both = (n["devanagari"] > 0) & (n["latin"] > 0)
-    say = lambda script, mixed, sure: F.struct(F.lit(script).alias("script"), F.lit(mixed).alias("mixed"), (F.floor(sure * 100 + 0.5) / 100).alias("confidence"))
-    return (
-        F.when(F.coalesce(s, F.lit("")) == "", say("unknown", False, F.lit(1.0)))
-        .when(total == 0, say("latin", False, F.lit(0.90)))
-        .when(both & (dev >= 0.20) & (lat >= 0.20), say("mixed", True, F.greatest(dev, lat)))
-        .when(both & (dev > lat), say("devanagari", True, dev))
-        .when(both, say("latin", True, lat))
-        .when((n["devanagari"] > 0) & (dev >= 0.15), say("devanagari", False, dev))
-        .when((n["kana"] > 0) | (n["han"] > 0) & (jap >= 0.20), say("japanese", False, jap))
-        .when(n["hangul"] > 0, say("korean", False, n["hangul"] / total))
-        .when(chi >= 0.30, say("chinese", False, chi))
-        .otherwise(say("latin", False, F.when(lat > 0, lat).otherwise(0.90)))
-    )
+    def counted(s: Column) -> Column:
+        return F.struct(s.alias("s"), *[(F.length(s) - F.length(F.regexp_replace(s, r, ""))).alias(k) for k, r in SCRIPTS.items()])
+
+    def shares(n: Column) -> Column:
+        letters = n["devanagari"] + n["kana"] + n["han"] + n["hangul"] + n["latin"]
+        total = F.nullif(letters, F.lit(0))
+        return F.struct(
+            (F.coalesce(n["s"], F.lit("")) == "").alias("blank"), letters.alias("total"), (n["kana"] > 0).alias("kana"), (n["han"] > 0).alias("han"), (n["devanagari"] / total).alias("dev"), (n["latin"] / total).alias("lat"),
+            ((n["kana"] + F.when(n["kana"] > 0, n["han"]).otherwise(0)) / total).alias("jap"), (F.when(n["kana"] == 0, n["han"]).otherwise(0) / total).alias("chi"), (n["hangul"] / total).alias("kor"),
+        )
+
+    def judged(x: Column) -> Column:
+        dev, lat = x["dev"], x["lat"]
+        both = (dev > 0) & (lat > 0)
+        say = lambda script, mixed, sure: F.struct(F.lit(script).alias("script"), F.lit(mixed).alias("mixed"), (F.floor(sure * 100 + 0.5) / 100).alias("confidence"))
+        return (
+            F.when(x["blank"], say("unknown", False, F.lit(1.0)))
+            .when(x["total"] == 0, say("latin", False, F.lit(0.90)))
+            .when(both & (dev >= 0.20) & (lat >= 0.20), say("mixed", True, F.greatest(dev, lat)))
+            .when(both & (dev > lat), say("devanagari", True, dev))
+            .when(both, say("latin", True, lat))
+            .when(dev >= 0.15, say("devanagari", False, dev))
+            .when(x["kana"] | x["han"] & (x["jap"] >= 0.20), say("japanese", False, x["jap"]))
+            .when(x["kor"] > 0, say("korean", False, x["kor"]))
+            .when(x["chi"] >= 0.30, say("chinese", False, x["chi"]))
+            .otherwise(say("latin", False, F.when(lat > 0, lat).otherwise(0.90)))
+        )
+
+    return let(let(let(F.trim(c), counted), shares), judged)
 
 
 def script_mismatch(expected: Column, c: Column) -> Column:

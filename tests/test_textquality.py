@@ -77,3 +77,13 @@ def test_recall_in_windows_against_all_windows(spark):
         near = any(lev(norm(p[a : a + len(w) + 8]), w) <= 0.25 * len(w) for a in range(max(1, len(p) - 2 * len(w) + 1)))
         expected = "exact" if w in p else "compact" if w.replace(" ", "") in p.replace(" ", "") else "near" if near else None
         assert got[i] == expected, (t, v)
+
+
+def test_scripts(spark):
+    cases = {
+        "": ("unknown", False, 1.0), "12 !": ("latin", False, 0.9), "नमस्ते": ("devanagari", False, 1.0), "नमस्ते hello world": ("mixed", True, 0.63), "こんにちは漢字": ("japanese", False, 1.0),
+        "漢字漢字": ("chinese", False, 1.0), "안녕하세요": ("korean", False, 1.0), "漢字 latin text here": ("latin", False, 0.87),
+    }
+    rows = spark.createDataFrame([(t,) for t in (*cases, None)], "t string").select("t", sim.script_of(F.col("t")).alias("x"), sim.script_mismatch(F.lit("hindi"), F.col("t")).alias("m")).collect()
+    assert {r["t"]: tuple(r["x"]) for r in rows if r["t"] is not None} == cases
+    assert {r["t"] for r in rows if r["m"]} == {"12 !", "漢字 latin text here"} and [tuple(r["x"]) for r in rows if r["t"] is None] == [("unknown", False, 1.0)]
