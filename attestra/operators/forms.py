@@ -1,13 +1,19 @@
 """Form- and table-level operators over tokens and rows: character boxes, logical tables, where a field stands on a page, checkboxes.
 
-What a row or a token is, is decided by Column expressions; windows carry titles, headers and candidates along. Only the grouping of
-character boxes is an ordered fold, page by page.
+What a row or a token is, is decided by Column expressions; windows carry titles, headers and candidates along. The grouping of
+character boxes is an ordered fold, page by page, and a field's places are searched for in the letters of a page, without its windows.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate, groupby
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -261,55 +267,198 @@ def clean_number(c: Column) -> Column:
     return F.when(n.endswith(".0"), F.regexp_replace(n, r"\.0$", "")).when(n.endswith(".00"), F.regexp_replace(n, r"\.00$", "")).otherwise(n)
 
 
-def windows_of(toks: DataFrame, key: str, longest: int = 7, band: float = 0.035, gap: float = 0.06) -> DataFrame:
-    """WIN-08: single tokens and windows of 2 to `longest`: key, page, pos, k, text, box, confidence. toks: key, page, word, confidence and a box."""
-    order = W.partitionBy(key, "page").orderBy("t", "l", "ord")
-    placed = toks.withColumn("pos", F.row_number().over(order))
-    ahead = W.partitionBy(key, "page").orderBy("pos").rowsBetween(0, longest - 1)
-    runs = placed.select(key, "page", "pos", F.collect_list(F.struct("word", "l", "t", "r", "b", "confidence")).over(ahead).alias("ws"))
-    runs = runs.select(key, "page", "pos", F.explode(F.expr("sequence(1, size(ws))")).alias("k"), "ws").withColumn("ws", F.expr("slice(ws, 1, k)"))
-    line = F.expr(f"forall(ws, x -> abs(x.t - ws[0].t) <= {band})")
-    close = F.expr(f"k = 1 OR forall(sequence(1, k - 1), i -> ws[i].t - ws[i - 1].b <= {gap})")
-    sides = [F.expr(f"{f}(ws.{c})").alias(c) for f, c in (("array_min", "l"), ("array_min", "t"), ("array_max", "r"), ("array_max", "b"))]
-    mean = F.expr("aggregate(ws, 0.0D, (a, x) -> a + x.confidence) / k")
-    return runs.where(line | close).select(key, "page", "pos", "k", F.array_join("ws.word", " ").alias("text"), *sides, mean.alias("confidence"))
+_NO_ALNUM, _CURRENCY, _NUMBER_IN, _DATE_MARKS = re.compile("[^a-z0-9]"), re.compile("[₹$€£,]"), re.compile(r"[0-9]+(?:\.[0-9]+)?"), re.compile(r"[/.\s-]", re.ASCII)
+
+
+def number_in(text: str) -> str:
+    """clean_number of a text."""
+    m = _NUMBER_IN.search(_CURRENCY.sub("", text))
+    n = m.group() if m else ""
+    return n[:-2] if n.endswith(".0") else n[:-3] if n.endswith(".00") else n
 
 
-def located(fields: DataFrame, wins: DataFrame, key: str, most: int = 5) -> DataFrame:
-    """WIN-09, WIN-10, WIN-11, SRT-07: for each field of a document the `most` best places: key, field, place, page, pos, k, text, score, strategy.
+class Page:
+    """WIN-08: the tokens of a page in reading order and their windows: single tokens and runs of up to `longest` on a line or close below each other.
 
-    A window equals a value as text, in its letters and digits, as a number or, a single token, as a date; else one may hold the other.
-    Equal ones meet by hash joins on the normalised text; for the rest the windows of a document are scanned once. Ranked by 0.7 score,
-    0.2 confidence and 0.05 for the first page; ties in reading order, shorter windows first.
+    A window is (p, k): its first token and how many. Its letters and digits are a stretch of those of the page, so windows that may
+    equal or hold a value are found where the value, or a part of it that they must share, stands on the page; no window is built before.
+    """
+
+    def __init__(self, words: list, lows: list, tops: list, bottoms: list, longest: int, band: float, gap: float) -> None:
+        self.words, self.lows, self.tops, self.bottoms, self.longest, self.band, self.gap = words, lows, tops, bottoms, longest, band, gap
+        alnum = [_NO_ALNUM.sub("", w or "") for w in lows]
+        self.flat, self.at = "".join(alnum), [0, *accumulate(map(len, alnum))]
+        self.nums = [number_in(w or "") for w in words]
+        self.by_num: dict[str, list[int]] = {}
+        self.by_date: dict[str, list[int]] = {}
+        for i, (n, w) in enumerate(zip(self.nums, words)):
+            self.by_num.setdefault(n, []).append(i)
+            self.by_date.setdefault(_DATE_MARKS.sub("", w or ""), []).append(i)
+        self.known: dict[int, int] = {}
+
+    def reach(self, p: int) -> int:
+        """Tokens of the longest window that begins at p."""
+        if p not in self.known:
+            t, b, n = self.tops, self.bottoms, min(self.longest, len(self.tops) - p)
+            apart = lambda x, y, most, sign: x is None or y is None or not (abs(x - y) if sign else x - y) <= most
+            line = next((i for i in range(1, n) if apart(t[p + i], t[p], self.band, True)), n)
+            close = next((i for i in range(1, n) if apart(t[p + i], b[p + i - 1], self.gap, False)), n)
+            self.known[p] = max(line, close)
+        return self.known[p]
+
+    def places_of(self, part: str) -> Iterator[int]:
+        """Where a text of letters and digits begins in those of the page."""
+        o = self.flat.find(part)
+        while o >= 0:
+            yield o
+            o = self.flat.find(part, o + 1)
+
+    def token_at(self, o: int) -> int:
+        return bisect_right(self.at, o) - 1
+
+    def text(self, texts: list, p: int, k: int) -> str:
+        return " ".join(w for w in texts[p : p + k] if w is not None)
+
+    def equal(self, low: str, alnum: str, num: str, date: str) -> Iterator[tuple[tuple[int, int], int]]:
+        """WIN-09: windows that equal a value, and the way: 0 as text, 1 in letters and digits, 2 as a number, 3 as a date (single tokens)."""
+        at, size = self.at, len(self.tops)
+        # A value without letters and digits stands only where windows have none.
+        starts = self.places_of(alnum) if alnum else (o for o in [-1])
+        for o in starts:
+            firsts = range(bisect_left(at, o), min(size, bisect_right(at, o))) if alnum else range(size)
+            for p in firsts:
+                end = at[p] + len(alnum)
+                if at[p + 1] > end:
+                    continue
+                for k in range(1, self.reach(p) + 1):
+                    if at[p + k] > end:
+                        break
+                    if at[p + k] == end:
+                        same = self.text(self.lows, p, k) == low
+                        if same or alnum:
+                            yield (p, k), 0 if same else 1
+        for i in self.by_num.get(num, ()) if num else ():
+            for p in range(i, max(-1, i - self.longest), -1):
+                if p < i and self.nums[p]:
+                    break
+                for k in range(i - p + 1, self.reach(p) + 1):
+                    yield (p, k), 2
+        for i in self.by_date.get(date, ()) if date else ():
+            yield (i, 1), 3
+
+    def holding(self, alnum: str) -> Iterator[tuple[tuple[int, int], int, int]]:
+        """WIN-10: windows whose letters and digits hold a value's or lie in them, the way, and their length: 4 for single tokens, 5 for runs
+        of a length like the value's. A window may come twice."""
+        at, n = self.at, len(alnum)
+        for o in self.places_of(alnum) if n >= 5 else ():
+            i = self.token_at(o)
+            if o + n <= at[i + 1] and at[i + 1] - at[i] != n:
+                yield (i, 1), 4, at[i + 1] - at[i]
+        if n >= 8:
+            # Every stretch of `least` or more of the value's characters has those in its middle, and so has what holds all of it.
+            least = next(m for m in range(int(0.7 * n) - 1, n + 1) if m / n >= 0.70)
+            core = alnum[n - least : least]
+            for o in self.places_of(core):
+                i, j = self.token_at(o), self.token_at(o + len(core) - 1)
+                for p in range(max(0, j - self.longest + 1), i + 1):
+                    for k in range(max(2, j - p + 1), self.reach(p) + 1):
+                        m = at[p + k] - at[p]
+                        if min(m, n) / max(m, n) >= 0.70:
+                            other = self.flat[at[p] : at[p + k]]
+                            if other != alnum and (alnum in other or other in alnum):
+                                yield (p, k), 5, m
+
+
+def places_on(page: Page, values: list[tuple[str, str, str, str]]) -> list[tuple[int, int, int, int, int]]:
+    """(p, k, way, length of the value, length of the window) of all windows of a page that have one of the values of a field."""
+    equal: dict[tuple[int, int], int] = {}
+    for v in values:
+        for w, way in page.equal(*v):
+            equal[w] = min(way, equal.get(w, way))
+    held = {(*w, way, len(v[1]), m, n): None for n, v in enumerate(values) for w, way, m in page.holding(v[1]) if w not in equal}
+    return [(*w, way, 0, 0) for w, way in equal.items()] + [x[:5] for x in held]
+
+
+#: Documents whose tokens are read at once.
+AT_ONCE = 64
+
+
+def located(fields: DataFrame, toks: DataFrame, key: str, most: int = 5, longest: int = 7, band: float = 0.035, gap: float = 0.06) -> DataFrame:
+    """WIN-08 to WIN-11, SRT-07: for each field of a document the `most` best places: key, field, place, page, pos, k, text, score, strategy.
+
+    toks: key, page, ord, word, confidence and a box. A window (see Page) equals a value as text, in its letters and digits, as a number
+    or, a single token, as a date; else one may hold the other. The tokens and the values of a document each become one row, and its
+    windows are never rows. Ranked by 0.7 score, 0.2 confidence and 0.05 for the first page; ties in reading order, shorter windows first.
     """
     v = F.trim(F.regexp_replace("value", r"\s+", " "))
     target = fields.select(key, "field", v.alias("v")).where(v != "").select(
         key, "field", F.lower("v").alias("low"), F.regexp_replace(F.lower("v"), "[^a-z0-9]", "").alias("alnum"), clean_number(F.col("v")).alias("num"),
         F.when(F.col("v").rlike("[/.-]"), F.regexp_replace("v", r"[/.\s-]", "")).otherwise("").alias("date"),
     )
-    seen = wins.select("*", F.lower("text").alias("low"), F.regexp_replace(F.lower("text"), "[^a-z0-9]", "").alias("alnum"), clean_number(F.col("text")).alias("num"), F.when(F.col("k") == 1, F.regexp_replace("text", r"[/.\s-]", "")).otherwise("").alias("date"))
-    # One row per way of reading a value or a window: rank of the way, and the text under which the two may meet.
-    ways = lambda: F.filter(
-        F.array(*[F.struct(F.lit(i).alias("way"), F.col(c).alias("token")) for i, c in enumerate(("low", "alnum", "num", "date"))]), lambda x: x["token"] != ""
-    )
-    left = target.select(key, "field", "alnum", F.explode(ways()).alias("x")).select(key, "field", "x.*")
-    right = seen.select(key, "page", "pos", "k", "text", "confidence", F.explode(ways()).alias("x")).select(key, "page", "pos", "k", "text", "confidence", "x.*")
-    place = [key, "field", "page", "pos", "k", "text", "confidence"]
-    equal = left.join(right, [key, "way", "token"]).groupBy(*place).agg(F.min("way").alias("way"))
-    single = F.element_at(F.array(*map(F.lit, (1.0, 0.98, 0.95, 0.95))), F.col("way") + 1)
-    several = F.element_at(F.array(*map(F.lit, (0.97, 0.95, 0.93, 0.0))), F.col("way") + 1)
-    names = F.element_at(F.array(*map(F.lit, ("exact", "alphanumeric", "numeric", "date"))), F.col("way") + 1)
-    equal = equal.where((F.col("k") == 1) | (F.col("way") < 3)).select(*place, F.when(F.col("k") == 1, single).otherwise(several).alias("score"), names.alias("strategy"))
-    a, b = F.length("alnum"), F.length("other")
-    pairs = target.where(a >= 5).select(key, "field", "alnum").join(seen.select(key, "page", "pos", "k", "text", "confidence", F.col("alnum").alias("other")), key)
-    within = (F.col("k") == 1) & F.contains("other", "alnum")
-    over = F.least(a, b) / F.greatest(a, b)
-    partly = (F.col("k") > 1) & (a >= 8) & (F.contains("other", "alnum") | (b > 0) & F.contains("alnum", "other")) & (over >= 0.70)
-    held = pairs.where((within | partly) & (F.col("alnum") != F.col("other"))).select(*place, F.when(F.col("k") == 1, 0.85 + 0.10 * (a / b)).otherwise(F.round(0.82 + 0.12 * over, 3)).alias("score"), F.lit("containment").alias("strategy"))
-    both = equal.unionByName(held.join(equal.select(key, "field", "page", "pos", "k"), [key, "field", "page", "pos", "k"], "left_anti"))
-    rank = F.col("score") * 0.7 + F.col("confidence") * 0.2 + F.when(F.col("page") == 1, 0.05).otherwise(0.0)
-    ranked = both.withColumn("rank", F.round(rank, 9)).withColumn("place", F.row_number().over(W.partitionBy(key, "field").orderBy(F.desc("rank"), "page", "k", "pos")))
-    return ranked.where(F.col("place") <= most).select(key, "field", "place", "page", "pos", "k", "text", "score", "strategy")
+    sought = target.groupBy(key).agg(F.collect_list(F.struct("field", "low", "alnum", "num", "date")).alias("fs"))
+    pages = toks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("page", "t", "l", "ord", "word", "b", "confidence"))).alias("ws"))
+    # Exploded tokens look as small as their table to the optimiser: without the hint it may broadcast them.
+    both = pages.join(sought.hint("merge"), key).select(
+        key, *[F.col(f"ws.{c}").alias(c) for c in ("page", "t", "b", "confidence", "word")], F.transform("ws.word", F.lower).alias("low"),
+        *[F.col(f"fs.{c}").alias(f"f_{c}") for c in ("field", "low", "alnum", "num", "date")],
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, AT_ONCE):
+                yield from matched(batch.slice(start, AT_ONCE))
+
+    def matched(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        docs, names, sizes, found = [], [], [], []
+        columns = [batch.column(c).to_pylist() for c in ("page", "t", "b", "confidence", "word", "low", "f_field", "f_low", "f_alnum", "f_num", "f_date")]
+        for d, (numbers, tops, bottoms, sure, words, lows, fs, *forms) in enumerate(zip(*columns)):
+            values: dict = {}
+            for f, v in zip(fs, zip(*forms)):
+                values.setdefault(f, []).append(v)
+            places: dict = {f: [] for f in values}
+            begin = 0
+            for number, run_of in groupby(numbers):
+                end = begin + sum(1 for _ in run_of)
+                page = Page(words[begin:end], lows[begin:end], tops[begin:end], bottoms[begin:end], longest, band, gap)
+                for f, vs in values.items():
+                    for p, k, way, own, other in places_on(page, vs):
+                        cs = sure[begin + p : begin + p + k]
+                        places[f].append((number, p + 1, k, page.text(page.words, p, k), None if None in cs else sum(cs, 0.0) / k, way, own, other))
+                begin = end
+            for f, x in places.items():
+                if x:
+                    docs.append(d)
+                    names.append(f)
+                    sizes.append(len(x))
+                    found += x
+        if docs:
+            typed = zip(zip(*found), (batch.column("page").type.value_type, pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))
+            inner = pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in typed], ["page", "pos", "k", "text", "confidence", "way", "own", "other"])
+            lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), inner)
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(docs)), pa.array(names, batch.column("f_field").type.value_type), lists], [key, "field", "found"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    found = both.mapInArrow(run, f"{key} {kind(toks, key)}, field {kind(fields, 'field')}, found array<struct<page:{kind(toks, 'page')},pos:int,k:int,text:string,confidence:double,way:int,own:int,other:int>>")
+    single = F.array(*map(F.lit, (1.0, 0.98, 0.95, 0.95)))
+    several = F.array(*map(F.lit, (0.97, 0.95, 0.93, 0.0)))
+    names = F.array(*map(F.lit, ("exact", "alphanumeric", "numeric", "date", "containment", "containment")))
+
+    def scored(x: Column) -> Column:
+        a, b = x["own"], x["other"]
+        return (
+            F.when(x["way"] == 4, 0.85 + 0.10 * (a / b))
+            .when(x["way"] == 5, F.round(0.82 + 0.12 * (F.least(a, b) / F.greatest(a, b)), 3))
+            .when(x["k"] == 1, F.get(single, x["way"]))
+            .otherwise(F.get(several, x["way"]))
+        )
+
+    def ranked(x: Column) -> Column:
+        rank = F.round(x["score"] * 0.7 + x["confidence"] * 0.2 + F.when(x["page"] == 1, 0.05).otherwise(0.0), 9)
+        return F.struct(rank.isNull().alias("none"), (-rank).alias("rank"), x["page"].alias("page"), x["k"].alias("k"), x["pos"].alias("pos"), x["text"].alias("text"), x["score"].alias("score"), F.get(names, x["way"]).alias("strategy"))
+
+    marked = F.transform("found", lambda x: x.withField("score", scored(x)))
+    best = F.slice(F.array_sort(F.transform(marked, ranked)), 1, most)
+    return found.select(key, "field", F.posexplode(best).alias("place", "x")).select(key, "field", (F.col("place") + 1).alias("place"), "x.page", "x.pos", "x.k", "x.text", "x.score", "x.strategy")
 
 
 def beside_anchor(toks: DataFrame, fields: DataFrame, key: str) -> DataFrame:

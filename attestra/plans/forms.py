@@ -151,7 +151,7 @@ def _fields_of(spark: SparkSession, d: str) -> DataFrame:
 @add(_located_sql(5))
 def win_located(spark: SparkSession, d: str) -> DataFrame:
     """WIN-08 to WIN-11, SRT-07, SIM-17, JN-19: the five best places of each field's value in its document."""
-    found = forms.located(_fields_of(spark, d), forms.windows_of(_sure(spark, d), "extraction_id"), "extraction_id")
+    found = forms.located(_fields_of(spark, d), _sure(spark, d), "extraction_id")
     return found.withColumn("score", F.round("score", 6))
 
 

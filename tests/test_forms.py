@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -127,3 +128,68 @@ def test_segments_of_a_table(spark):
     text = {(r["section"], r["block"]): r["text"] for r in forms.block_text(marked, "doc").collect()}
     assert text[1, "table"] == "### Loan Details\n[TABLE]\nSr | Due Date | Principal\n1 | 01/02 | 70\nTOTAL | 70\n[/TABLE]"
     assert text[1, "pairs"] == "### Loan Details\n[TABLE]\nField | Value\nAmount | 500\nRate | 12\n[/TABLE]"
+
+
+WORD = "doc string, page int, ord int, word string, l double, t double, b double, confidence double"
+
+
+def plain_places(rows, fields, most=5):
+    """Every window of every page against every field."""
+    out, low_alnum = {}, lambda s: re.sub("[^a-z0-9]", "", s.lower())
+    date = lambda s: re.sub(r"[/.\s-]", "", s)
+    for doc, field, v in fields:
+        a, places = low_alnum(v), []
+        for page_no in sorted({r[1] for r in rows if r[0] == doc}):
+            ws = sorted((r for r in rows if r[:2] == (doc, page_no)), key=lambda r: (r[5], r[4], r[2]))
+            for p, k in ((p, k) for p in range(len(ws)) for k in range(1, min(7, len(ws) - p) + 1)):
+                w = ws[p : p + k]
+                if not (all(abs(x[5] - w[0][5]) <= 0.035 for x in w) or all(y[5] - x[6] <= 0.06 for x, y in zip(w, w[1:]))):
+                    continue
+                text = " ".join(x[3] for x in w)
+                o, score = low_alnum(text), None
+                over = min(len(a), len(o)) / max(len(a), len(o), 1)
+                if text.lower() == v.lower():
+                    score, way = (1.0, 0.97)[k > 1], "exact"
+                elif a and a == o:
+                    score, way = (0.98, 0.95)[k > 1], "alphanumeric"
+                elif forms.number_in(v) and forms.number_in(v) == forms.number_in(text):
+                    score, way = (0.95, 0.93)[k > 1], "numeric"
+                elif k == 1 and re.search("[/.-]", v) and date(v) and date(v) == date(text):
+                    score, way = 0.95, "date"
+                elif k == 1 and len(a) >= 5 and a in o:
+                    score, way = 0.85 + 0.10 * (len(a) / len(o)), "containment"
+                elif k > 1 and len(a) >= 8 and o and (a in o or o in a) and over >= 0.70:
+                    score, way = round(0.82 + 0.12 * over, 3), "containment"
+                if score:
+                    rank = round(score * 0.7 + sum(x[7] for x in w) / k * 0.2 + 0.05 * (page_no == 1), 9)
+                    places.append((-rank, page_no, k, p + 1, text, round(score, 9), way))
+        out |= {(doc, field, n): x[1:] for n, x in enumerate(sorted(places)[:most], 1)}
+    return out
+
+
+def test_places_against_all_windows(spark):
+    rng = random.Random(11)
+    words = ["Ravi", "ravi", "Kumar", "KUMAR-", "ABCDE1234F", "xABCDE1234Fy", "12", "₹5,00,000", "500000.00", "-", "--", "रवि", "12/04/2024", "12042024", "no.", "12345678", "1234", "5678", "90", "Σας"]
+    values = ["Ravi Kumar", "ravi", "ABCDE1234F", "5,00,000", "12-04-2024", "- -", "-", "रवि", "1234 5678 90", "345678", "12", "Kumar Ravi Kumar", "no. 12", "kumarravi12", "1234 5678 9012", "90 1234567812", "Σας", "रवि/", "absent"]
+    rows, fields = [], []
+    for d in range(12):
+        for page_no in (1, 2):
+            for i in range(40):
+                rows.append((f"d{d}", page_no, i, rng.choice(words), 0.05 * (i % 8), 0.03 * (i // 8) * (1 + d % 3), 0.03 * (i // 8) * (1 + d % 3) + 0.02, rng.choice([0.8, 0.9, 0.93])))
+        fields += [(f"d{d}", f"f{n}", v) for n, v in enumerate(values)]
+    toks, sought = spark.createDataFrame(rows, WORD), spark.createDataFrame([*fields, (None, "f", "ravi"), ("d1", "g", " "), ("other", "g", "12")], "doc string, field string, value string")
+    found = forms.located(sought, toks, "doc")
+    got = {(r["doc"], r["field"], r["place"]): (r["page"], r["k"], r["pos"], r["text"], round(r["score"], 9), r["strategy"]) for r in found.collect()}
+    assert got == plain_places(rows, fields) and {x[-1] for x in got.values()} == {"exact", "alphanumeric", "numeric", "date", "containment"}
+    assert forms.located(sought, toks.limit(0), "doc").count() == forms.located(sought.limit(0), toks, "doc").count() == 0
+
+
+def test_places_are_found_without_rows_of_windows(spark, small):
+    """Exploded tokens look small to the optimiser, which sent all windows through the driver; windows must be no rows, and tokens not broadcast."""
+    from attestra.plans import forms as plans
+    from attestra.plans.catalogue import pages_of
+
+    toks = pages_of(spark, small).withColumn("confidence", F.lit(0.9))
+    plan = forms.located(plans._fields_of(spark, small), toks, "extraction_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("SortMergeJoin") >= 1
+    assert all("word" not in line for line in plan.splitlines() if "BroadcastExchange" in line)
