@@ -1,7 +1,7 @@
 """Form- and table-level operators over tokens and rows: character boxes, logical tables, where a field stands on a page, checkboxes.
 
 What a row or a token is, is decided by Column expressions; windows carry titles, headers and candidates along. The grouping of
-character boxes is an ordered fold, page by page, and a field's places are searched for in the letters of a page, without its windows.
+character boxes is an ordered fold over many pages at once, and a field's places are searched for in the letters of a page, without its windows.
 """
 
 from __future__ import annotations
@@ -31,30 +31,89 @@ EVEN_STEPS, EVEN_WIDTHS, BOX_TEXT = 0.45, 0.50, 4
 CLEAN_STEPS, CLEAN_WIDTHS, CLEAN_CELLS = 0.28, 0.45, 4
 
 
-def rows_by_band(boxes: np.ndarray) -> list[list[int]]:
-    """WIN-02: boxes (l, t, r, b) grouped into rows, from the top. A box joins the row whose band it overlaps most, or else the first
-    whose mean centre is near enough; the row's band, centre and height follow its boxes, so lines do not chain."""
+def bands(boxes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rows_by_band for many pages at once: a number for the row of each box, and the place of each box in its page's order from the top.
+
+    boxes (l, t, r, b) stand page by page, `sizes` has how many each page has. The pages advance together, a box of each at a time.
+    """
     centre, height = (boxes[:, 1] + boxes[:, 3]) / 2, np.maximum(1e-4, boxes[:, 3] - boxes[:, 1])
-    rows: list[dict] = []
-    for i in np.lexsort((boxes[:, 0], centre)):
-        best, most = None, 0.0
-        for row in rows:
-            over = max(0.0, min(boxes[i, 3], row["bottom"]) - max(boxes[i, 1], row["top"])) / height[i]
-            near = abs(centre[i] - row["centre"]) <= DRIFT * max(height[i], row["height"])
-            if (over >= BAND or near) and (over > most or best is None and near):
-                best, most = row, over
-        if best is None:
-            best = {"of": [], "top": boxes[i, 1], "bottom": boxes[i, 3]}
-            rows.append(best)
-        best["of"].append(int(i))
-        best["top"], best["bottom"] = min(best["top"], boxes[i, 1]), max(best["bottom"], boxes[i, 3])
-        best["centre"], best["height"] = centre[best["of"]].mean(), (boxes[best["of"], 3] - boxes[best["of"], 1]).mean()
-    return [row["of"] for row in sorted(rows, key=lambda r: r["centre"])]
-
-
-def spread_of(x: np.ndarray, floor: float = 1e-4) -> float:
-    """Sample deviation over mean; 0 for fewer than two values."""
-    return float(x.std(ddof=1) / (x.mean() + floor)) if len(x) >= 2 else 0.0
+    page = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((boxes[:, 0], centre, page))
+    place = np.empty(len(boxes), np.int64)
+    place[order] = np.arange(len(boxes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # The longest pages first: those that still have boxes are always the first ones.
+    by_size = np.argsort(-sizes, kind="stable")
+    starts, longest = (np.cumsum(sizes) - sizes)[by_size], sizes[by_size]
+    rows, own = np.zeros(len(sizes), np.int64), np.empty(len(boxes), np.int64)
+    known = {k: np.zeros((len(sizes), 4)) for k in ("top", "bottom", "centres", "heights", "count")}
+    for step in range(int(longest[0]) if len(sizes) else 0):
+        live = np.searchsorted(-longest, -step, "left")
+        i, r = order[starts[:live] + step], int(rows[:live].max())
+        if r == known["top"].shape[1]:
+            known = {k: np.concatenate([x, np.zeros_like(x)], axis=1) for k, x in known.items()}
+        top, bottom, centres, heights, count = (x[:live, :r] for x in known.values())
+        box, c, h = boxes[i], centre[i, None], height[i, None]
+        there = np.arange(r) < rows[:live, None]
+        over = np.maximum(0.0, np.minimum(box[:, 3:4], bottom) - np.maximum(box[:, 1:2], top)) / h
+        n = np.maximum(count, 1)
+        near = there & (np.abs(c - centres / n) <= DRIFT * np.maximum(h, heights / n))
+        fit = np.where(there & ((over >= BAND) | near) & (over > 0), over, np.where(near, 0.0, -1.0))
+        at, best = (fit.argmax(axis=1), fit.max(axis=1)) if r else (np.zeros(live, np.int64), np.full(live, -1.0))
+        new = ~(best >= 0)
+        at, p = np.where(new, rows[:live], at), np.arange(live)
+        known["top"][p, at] = np.where(new, box[:, 1], np.minimum(known["top"][p, at], box[:, 1]))
+        known["bottom"][p, at] = np.where(new, box[:, 3], np.maximum(known["bottom"][p, at], box[:, 3]))
+        for k, x in (("centres", c[:, 0]), ("heights", box[:, 3] - box[:, 1]), ("count", 1)):
+            known[k][p, at] += x
+        rows[:live] += new
+        own[i] = at
+    first = np.empty(len(sizes), np.int64)
+    first[by_size] = np.cumsum(rows) - rows
+    return first[page] + own, place
+
+
+def rows_by_band(boxes: np.ndarray) -> list[list[int]]:
+    """WIN-02: boxes (l, t, r, b) of a page grouped into rows, from the top. A box joins the row whose band it overlaps most, or else the
+    first whose mean centre is near enough; the row's band, centre and height follow its boxes, so lines do not chain."""
+    own, place = bands(boxes, np.array([len(boxes)]))
+    rows: dict[int, list[int]] = {}
+    for i in np.argsort(place):
+        rows.setdefault(int(own[i]), []).append(int(i))
+    centre = (boxes[:, 1] + boxes[:, 3]) / 2
+    return sorted(rows.values(), key=lambda r: centre[r].mean())
+
+
+def spread_of(x: np.ndarray, floor: float = 1e-4) -> np.ndarray:
+    """Sample deviation over mean, row by row; 0 for fewer than two values."""
+    return x.std(axis=1, ddof=1) / (x.mean(axis=1) + floor) if x.shape[1] >= 2 else np.zeros(len(x))
+
+
+def evenness_of(boxes: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """evenness for many runs of as many boxes: boxes (runs, n, 4), chars (runs, n)."""
+    if boxes.shape[1] < 2:
+        return np.zeros(len(boxes), bool), np.zeros(len(boxes))
+    l, t, r, b = (np.ascontiguousarray(boxes[:, :, k]) for k in range(4))  # noqa: E741
+    width, height = (r - l) / chars, b - t
+    w, h = np.median(width, axis=1), np.median(height, axis=1)
+    share = (chars[:, 1:] + chars[:, :-1]) / 2
+    advance, middle, centre = np.diff(l) / share, (t + b) / 2, (l + r) / 2
+    steady = (w > 0) & (h > 0) & (advance.min(axis=1) >= np.minimum(0.25 * w, 0.15 * h)) & (advance.max(axis=1) <= np.maximum(6.5 * w, 3.0 * h))
+    steady &= ~((np.abs(np.diff(middle)).max(axis=1) > 0.6 * h) | (np.ptp(middle, axis=1) > 1.5 * h))
+    pitch = np.diff(centre) / share
+    usual = np.median(pitch, axis=1)[:, None]
+    with np.errstate(all="ignore"):
+        cells = np.where(usual > 0, np.maximum(1, np.rint(pitch / usual)), 1.0)
+        few = cells <= 3
+        even_pitch = np.where(pitch.mean(axis=1) > 0, spread_of(np.where(few, pitch / cells, pitch)), 0.0)
+        gap = (l[:, 1:] - r[:, :-1]) / share
+        even_gap = spread_of(np.abs(np.where(few & (cells > 1), gap - (cells - 1) * usual, gap)))
+        wide, high = width.mean(axis=1), height.mean(axis=1)
+        even_width, shape = spread_of(width, 0.0), wide / high
+    steady &= ~(wide <= 0)
+    shaped = (high > 0) & (shape >= 0.10) & (shape <= 3.0)
+    good = ((even_gap <= EVEN_STEPS) | (even_pitch <= EVEN_STEPS)) & ((even_width <= EVEN_WIDTHS) | (even_pitch <= EVEN_STEPS)) & shaped
+    score = 0.4 * (1 - np.minimum(even_gap, 1)) + 0.4 * (1 - np.minimum(np.minimum(even_width, even_pitch), 1)) + 0.2 * shaped
+    return steady & good, np.where(steady, score, 0.0)
 
 
 def evenness(boxes: np.ndarray, chars: np.ndarray) -> tuple[bool, float]:
@@ -63,74 +122,67 @@ def evenness(boxes: np.ndarray, chars: np.ndarray) -> tuple[bool, float]:
     Steps count per character; a step over up to two empty cells counts as that many. Cells must advance, keep their baseline, leap
     no whole field, and be even in gaps or pitches, and in widths or pitches. The score is 0.4 gaps, 0.4 sizes, 0.2 shape.
     """
-    if len(boxes) < 2:
-        return False, 0.0
-    l, t, r, b = boxes.T  # noqa: E741
-    width, height = (r - l) / chars, b - t
-    w, h = float(np.median(width)), float(np.median(height))
-    share = (chars[1:] + chars[:-1]) / 2
-    advance, middle, centre = np.diff(l) / share, (t + b) / 2, (l + r) / 2
-    steady = w > 0 and h > 0 and advance.min() >= min(0.25 * w, 0.15 * h) and advance.max() <= max(6.5 * w, 3.0 * h)
-    if not steady or np.abs(np.diff(middle)).max() > 0.6 * h or np.ptp(middle) > 1.5 * h:
-        return False, 0.0
-    pitch = np.diff(centre) / share
-    usual = float(np.median(pitch))
-    cells = np.maximum(1, np.rint(pitch / usual)) if usual > 0 else np.ones(len(pitch))
-    few = cells <= 3
-    even_pitch = spread_of(np.where(few, pitch / cells, pitch)) if pitch.mean() > 0 else 0.0
-    gap = (l[1:] - r[:-1]) / share
-    even_gap = spread_of(np.abs(np.where(few & (cells > 1), gap - (cells - 1) * usual, gap)))
-    if width.mean() <= 0:
-        return False, 0.0
-    even_width = spread_of(width, 0.0)
-    shaped = 0.10 <= width.mean() / height.mean() <= 3.0 if height.mean() > 0 else False
-    good = (even_gap <= EVEN_STEPS or even_pitch <= EVEN_STEPS) and (even_width <= EVEN_WIDTHS or even_pitch <= EVEN_STEPS) and shaped
-    return bool(good), 0.4 * (1 - min(even_gap, 1)) + 0.4 * (1 - min(even_width, even_pitch, 1)) + 0.2 * shaped
-
-
-def box_runs(boxes: np.ndarray, chars: np.ndarray, least: int = 2) -> list[list[int]]:
-    """WIN-03, WIN-04: a row (sorted from the left) split where the gap is that between fields, then into the longest even runs."""
-    w, h = np.median(np.maximum(1e-3, np.abs(boxes[:, 2] - boxes[:, 0]) / chars)), np.median(np.maximum(1e-3, np.abs(boxes[:, 3] - boxes[:, 1])))
-    out: list[list[int]] = []
-    run: list[int] = []
-
-    def close() -> None:
-        if len(run) >= least:
-            out.append(run.copy())
-
-    pieces, start = [], 0
-    for i in range(1, len(boxes) + 1):
-        wide = i < len(boxes) and boxes[i, 0] - boxes[i - 1, 2] > max(4 * w, 2 * h, 0.065 if boxes[i - 1, 0] <= 1.5 else 42.0)
-        if i == len(boxes) or wide:
-            pieces.append(range(start, i))
-            start = i
-    for piece in (p for p in pieces if len(p) >= least):
-        run = []
-        for i in piece:
-            if run and not evenness(boxes[[*run, i]], chars[[*run, i]])[0]:
-                close()
-                run = []
-            run.append(i)
-        close()
-    return out
+    good, score = evenness_of(boxes[None], chars[None])
+    return bool(good[0]), float(score[0])
+
+
+def medians(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The median of each group; groups stand one after another and are not empty."""
+    ordered = values[np.lexsort((values, np.repeat(np.arange(len(sizes)), sizes)))]
+    starts = np.cumsum(sizes) - sizes
+    return (ordered[starts + (sizes - 1) // 2] + ordered[starts + sizes // 2]) / 2
+
 
+def box_runs(boxes: np.ndarray, chars: np.ndarray, sizes: np.ndarray, least: int = 2) -> list[tuple[np.ndarray, int]]:
+    """WIN-03, WIN-04: rows (each sorted from the left) split where the gap is that between fields, then into the longest even runs.
 
-def merged_text(words: list[str], boxes: np.ndarray, chars: np.ndarray) -> str:
-    """WIN-06: the text of a run; an empty cell is a blank."""
-    centre = (boxes[:, 0] + boxes[:, 2]) / 2
-    step = np.diff(centre)
-    usual = float(np.median(step / ((chars[1:] + chars[:-1]) / 2))) if len(step) else 0.0
-    gap = boxes[1:, 0] - boxes[:-1, 2]
-    blank = (usual > 0) & ((step >= 1.55 * usual) | (gap >= 0.85 * usual))
-    return words[0].strip() + "".join((" " if s else "") + w.strip() for s, w in zip(blank, words[1:]))
+    `sizes` has the boxes of each row. Runs come as arrays of first boxes by length; those of all rows are extended together.
+    """
+    w, h = (np.repeat(medians(np.maximum(1e-3, x), sizes), sizes)[1:] for x in (np.abs(boxes[:, 2] - boxes[:, 0]) / chars, np.abs(boxes[:, 3] - boxes[:, 1])))
+    begins = np.zeros(len(boxes), bool)
+    begins[np.cumsum(sizes) - sizes] = True
+    begins[1:] |= boxes[1:, 0] - boxes[:-1, 2] > np.maximum(np.maximum(4 * w, 2 * h), np.where(boxes[:-1, 0] <= 1.5, 0.065, 42.0))
+    start = np.flatnonzero(begins)
+    length = np.diff(np.append(start, len(boxes)))
+    by_length = np.argsort(-length, kind="stable")
+    start, length = start[by_length], length[by_length]
+    run, closed = start.copy(), []
+    for step in range(1, int(length[0]) if len(length) else 0):
+        live = np.searchsorted(-length, -step, "left")
+        upto = start[:live] + step
+        size = upto - run[:live] + 1
+        for n in np.unique(size):
+            at = np.flatnonzero(size == n)
+            cells = run[at, None] + np.arange(n)
+            broken = at[~evenness_of(boxes[cells], chars[cells])[0]]
+            closed.append((run[broken], int(n) - 1))
+            run[broken] = upto[broken]
+    size = start + length - run
+    closed += [(run[size == n], int(n)) for n in np.unique(size)]
+    return [(at, n) for at, n in closed if n >= least and len(at)]
+
+
+def blanks(boxes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """WIN-06: whether an empty cell, a blank of the run's text, is before a box: boxes (runs, n, 4), chars (runs, n)."""
+    step = np.diff((boxes[:, :, 0] + boxes[:, :, 2]) / 2)
+    usual = np.median(step / ((chars[:, 1:] + chars[:, :-1]) / 2), axis=1)[:, None] if step.shape[1] else np.zeros((len(boxes), 1))
+    gap = boxes[:, 1:, 0] - boxes[:, :-1, 2]
+    return np.insert((usual > 0) & ((step >= 1.55 * usual) | (gap >= 0.85 * usual)), 0, False, axis=1)
+
+
+def clean_runs(boxes: np.ndarray) -> np.ndarray:
+    """clean_run for many runs of as many cells: boxes (runs, n, 4)."""
+    if boxes.shape[1] < CLEAN_CELLS:
+        return np.zeros(len(boxes), bool)
+    pitch, width = np.diff((boxes[:, :, 0] + boxes[:, :, 2]) / 2), boxes[:, :, 2] - boxes[:, :, 0]
+    with np.errstate(all="ignore"):
+        even = (pitch.std(axis=1) / pitch.mean(axis=1) <= CLEAN_STEPS) & (width.std(axis=1) / width.mean(axis=1) <= CLEAN_WIDTHS)
+    return even & (pitch.min(axis=1) > 0) & (width.mean(axis=1) > 0)
 
 
 def clean_run(boxes: np.ndarray) -> bool:
     """WIN-18: whether cells (sorted from the left) stand evenly and are of like widths."""
-    if len(boxes) < CLEAN_CELLS:
-        return False
-    pitch, width = np.diff((boxes[:, 0] + boxes[:, 2]) / 2), boxes[:, 2] - boxes[:, 0]
-    return bool(pitch.min() > 0 and width.mean() > 0 and pitch.std() / pitch.mean() <= CLEAN_STEPS and width.std() / width.mean() <= CLEAN_WIDTHS)
+    return bool(clean_runs(boxes[None])[0])
 
 
 def joined_cells(boxes: np.ndarray, target: int) -> np.ndarray:
@@ -149,28 +201,53 @@ def is_box_text(c: Column) -> Column:
     return F.length(t).between(1, BOX_TEXT) & t.rlike(r"^[\p{L}\p{N}@.,/_#-]+$")
 
 
+#: Boxes that are grouped at once; a page is never parted.
+BOXES_AT_ONCE = 50_000
+
+
 def comb_boxes(toks: DataFrame, *key: str) -> DataFrame:
     """WIN-07: fields written in character boxes: key..., text, n, l, t, r, b, score, clean; one row per run of boxes.
 
     toks: key..., ord, word, l, t, r, b. A page is a group; only short tokens take part. Nulls in words and boxes are left out.
+    A page becomes one row, and the pages of a batch are worked on together.
     """
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes, words = pdf[["l", "t", "r", "b"]].to_numpy(float), pdf["word"].tolist()
-        head, out = [pdf[k].iloc[0] for k in key], []
-        for row in rows_by_band(boxes):
-            row = sorted(row, key=lambda i: boxes[i, 0])
-            chars = np.array([max(1, len(words[i].strip())) for i in row])
-            for run in box_runs(boxes[row], chars):
-                at = [row[i] for i in run]
-                own = boxes[at]
-                score = evenness(own, chars[run])[1]
-                out.append((*head, merged_text([words[i] for i in at], own, chars[run]), len(at), own[:, 0].min(), own[:, 1].min(), own[:, 2].max(), own[:, 3].max(), score, clean_run(own)))
-        return pd.DataFrame(out, columns=[*key, "text", "n", "l", "t", "r", "b", "score", "clean"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto = np.cumsum(batch.column("word").value_lengths().to_numpy())
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + BOXES_AT_ONCE, "right")))
+                yield grouped(batch.slice(start, end - start))
+                start = end
+
+    def grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat = {c: batch.column(c).flatten() for c in ("word", "l", "t", "r", "b")}
+        boxes = np.column_stack([flat[c].to_numpy(zero_copy_only=False) for c in "ltrb"])
+        words = [w.strip() for w in flat["word"].to_pylist()]
+        pages = batch.column("word").value_lengths().to_numpy().astype(np.int64)
+        row, place = bands(boxes, pages)
+        order = np.lexsort((place, boxes[:, 0], row))
+        boxes, page = boxes[order], np.repeat(np.arange(len(pages)), pages)[order]
+        words = [words[i] for i in order]
+        chars = np.maximum(1, np.array([len(w) for w in words]))
+        out: list[tuple] = []
+        for first, n in box_runs(boxes, chars, np.unique(row, return_counts=True)[1]):
+            cells = first[:, None] + np.arange(n)
+            own, size = boxes[cells], chars[cells]
+            texts = ["".join((" " if blank else "") + w for blank, w in zip(bs, words[f : f + n])) for f, bs in zip(first.tolist(), blanks(own, size).tolist())]
+            sides = [own[:, :, k].min(axis=1) if k < 2 else own[:, :, k].max(axis=1) for k in range(4)]
+            out.append((page[first], texts, np.full(len(first), n, np.int32), *sides, evenness_of(own, size)[1], clean_runs(own)))
+        names = [*key, "text", "n", "l", "t", "r", "b", "score", "clean"]
+        at, texts, *rest = zip(*out) if out else ([], [], *[[np.empty(0, kind)] for kind in (np.int32, *[float] * 5, bool)])
+        docs = pa.array(np.concatenate(at) if out else np.empty(0, np.int64))
+        return pa.RecordBatch.from_arrays([*[batch.column(k).take(docs) for k in key], pa.array([t for ts in texts for t in ts], pa.string()), *[pa.array(np.concatenate(x)) for x in rest]], names)
 
     kinds = ", ".join(f"{k} {toks.schema[k].dataType.simpleString()}" for k in key)
     known = toks.where(is_box_text(F.col("word")) & F.col("l").isNotNull() & F.col("t").isNotNull() & F.col("r").isNotNull() & F.col("b").isNotNull())
-    return known.select(*key, "ord", "word", "l", "t", "r", "b").groupBy(*key).applyInPandas(page, f"{kinds}, text string, n int, l double, t double, r double, b double, score double, clean boolean")
+    box = [F.col(c).cast("double").alias(c) for c in "ltrb"]
+    pages = known.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", *box, "word"))).alias("ws")).select(*key, *[F.col(f"ws.{c}").alias(c) for c in ("word", "l", "t", "r", "b")])
+    return pages.mapInArrow(run, f"{kinds}, text string, n int, l double, t double, r double, b double, score double, clean boolean")
 
 
 # --- logical tables ---------------------------------------------------------------------------------------------------

@@ -193,3 +193,36 @@ def test_places_are_found_without_rows_of_windows(spark, small):
     plan = forms.located(plans._fields_of(spark, small), toks, "extraction_id")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("SortMergeJoin") >= 1
     assert all("word" not in line for line in plan.splitlines() if "BroadcastExchange" in line)
+
+
+def test_pages_are_read_together(spark, monkeypatch):
+    """Every page was a call of its own; pages of a batch are grouped at once, with what each gives alone."""
+    rng, rows = random.Random(4), []
+    for d in range(30):
+        lines = [boxes("".join(rng.choice("ABC123   ") for _ in range(rng.randrange(1, 22))), x=rng.uniform(0, 0.4), y=0.1 + 0.04 * i + rng.uniform(-0.004, 0.004), pitch=rng.choice([0.02, 0.03]), jitter=0.004, rng=rng) for i in range(rng.randrange(1, 5))]
+        lines.append([(w, x + 0.5, y, r + 0.5 + 0.01 * (len(w) > 1), b) for w, x, y, r, b in boxes("12", y=0.1)] + [("AB", 0.9, 0.1, 0.93, 0.12)])
+        rows += [(None if d == 7 else f"d{d}", i, *b, "clash") for i, b in enumerate(b for line in lines for b in line)]
+    many = forms.comb_boxes(spark.createDataFrame(rows, TOKEN), "doc")
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+    exact = lambda r: (r["doc"], r["text"], r["n"], round(r["l"], 9), round(r["b"], 9), round(r["score"], 9), r["clean"])
+    together = sorted(map(exact, many.collect()), key=repr)
+    monkeypatch.setattr(forms, "BOXES_AT_ONCE", 1)
+    alone = sorted(map(exact, forms.comb_boxes(spark.createDataFrame(rows, TOKEN), "doc").collect()), key=repr)
+    own = []
+    for doc in {r[0] for r in rows}:
+        page_rows = [r for r in rows if r[0] == doc]
+        xs = np.array([r[3:7] for r in page_rows])
+        for row in forms.rows_by_band(xs):
+            row = sorted(row, key=lambda i: xs[i, 0])
+            chars = np.array([len(page_rows[i][2]) for i in row])
+            gap = lambda i: xs[row[i], 0] - xs[row[i - 1], 2] > max(4 * np.median((xs[row, 2] - xs[row, 0]) / chars), 2 * np.median(xs[row, 3] - xs[row, 1]), 0.065)
+            run = [0]
+            for i in range(1, len(row) + 1):
+                if i == len(row) or gap(i) or not forms.evenness(xs[row][[*run, i]], chars[[*run, i]])[0]:
+                    if len(run) > 1:
+                        at = [row[j] for j in run]
+                        own.append((doc, len(at), round(xs[at, 0].min(), 9), round(xs[at, 3].max(), 9), round(forms.evenness(xs[at], chars[run])[1], 9), forms.clean_run(xs[at])))
+                    run = []
+                run.append(i)
+    assert together == alone and len(together) > 40 and sorted(((r[0], *r[2:]) for r in together), key=repr) == sorted(own, key=repr)
