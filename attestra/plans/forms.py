@@ -145,7 +145,8 @@ def _located_sql(most: int) -> str:
 def _fields_of(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "extractions").where("loan_id IS NOT NULL AND _formatted_text IS NOT NULL").select("extraction_id", "loan_id", "doc_key")
     f = records.latest_fields(table(spark, d, "doc_fields")).where("value IS NOT NULL AND kind <> 'bool'")
-    return e.join(f, ["loan_id", "doc_key"]).select("extraction_id", "field", "value")
+    # Its three columns look small beside the text; there are as many rows as documents, so they are not sent through the driver.
+    return f.join(e.hint("merge"), ["loan_id", "doc_key"]).select("extraction_id", "field", "value")
 
 
 @add(_located_sql(5))
